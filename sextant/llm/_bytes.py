@@ -101,7 +101,7 @@ class Words:
 
     def whole(self, a: int, b: int) -> np.ndarray:
         """One hash for the words a to b, for texts of fewer words than a shingle has."""
-        total = 0
+        total, n = 0, int(b - a)
         for h in self.hash[a:b].tolist():
-            total = (total * 0xA0761D6478BD642F + h + (b - a)) & _MASK
+            total = (total * 0xA0761D6478BD642F + h + n) & _MASK
         return mix(np.array([total], np.uint64))

@@ -1,11 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, nearest, unigram, warc
+from . import bpe, line_dedup, nearest, ngram_join, unigram, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1,
     "op3_nearest": nearest.op3,
     "op4_token_counts": unigram.op4,
     "op6_byte_bpe": bpe.op6,
     "op9_warc": warc.op9,
+    "op10_line_dedup": line_dedup.op10,
 }
-ORACLE_SQL = {"op3_nearest": nearest.OP3_SQL, "op9_warc": warc.OP9_SQL}
+ORACLE_SQL = {"op1_ngram_join": ngram_join.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL, "op3_nearest": nearest.OP3_SQL, "op9_warc": warc.OP9_SQL}

@@ -1,13 +1,16 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, line_dedup, nearest, ngram_join, unigram, warc
+from . import bpe, decontaminate, kneser_ney, line_dedup, nearest, ngram_join, quality, unigram, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
+    "op2_quality": quality.op2,
     "op3_nearest": nearest.op3,
     "op4_token_counts": unigram.op4,
+    "op5_kneser_ney": kneser_ney.op5,
     "op6_byte_bpe": bpe.op6,
+    "op8_decontaminate": decontaminate.op8,
     "op9_warc": warc.op9,
     "op10_line_dedup": line_dedup.op10,
 }
-ORACLE_SQL = {"op1_ngram_join": ngram_join.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL, "op3_nearest": nearest.OP3_SQL, "op9_warc": warc.OP9_SQL}
+ORACLE_SQL = {"op1_ngram_join": ngram_join.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL, "op3_nearest": nearest.OP3_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op9_warc": warc.OP9_SQL}

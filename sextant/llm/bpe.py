@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -95,28 +96,34 @@ class PerfectHash:
 
 def merge(token: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the pair of lowest rank, the leftmost of equals, is merged until none is left."""
-    n = len(token)
-    part: list[bytes | None] = [token[i : i + 1] for i in range(n)]
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(token[i : i + 2])) is not None]
+    n, get = len(token), ranks.get
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # links: where each part ends, and the one before it
+    rank_at = [get(token[i : i + 2], -1) for i in range(n - 1)]
+    rank_at.append(-1)
+    heap = [r * n + i for i, r in enumerate(rank_at) if r >= 0]
     heapq.heapify(heap)
     while heap:
-        _, i, length = heapq.heappop(heap)
-        left = part[i]
-        j = after[i]
-        if left is None or j >= n or len(left) + len(part[j]) != length:
+        r, i = divmod(heapq.heappop(heap), n)
+        if rank_at[i] != r:
             continue  # one of the two has been merged meanwhile
-        left = part[i] = left + part[j]
-        part[j] = None
-        after[i] = k = after[j]
+        j = end[i]
+        k = end[i] = end[j]
+        rank_at[j] = -1
+        rank_at[i] = r = get(token[i : end[k]], -1) if k < n else -1
         if k < n:
             before[k] = i
-            if (r := ranks.get(left + part[k])) is not None:
-                heapq.heappush(heap, (r, i, len(left) + len(part[k])))
+        if r >= 0:
+            heapq.heappush(heap, r * n + i)
         h = before[i]
-        if h >= 0 and (r := ranks.get(part[h] + left)) is not None:
-            heapq.heappush(heap, (r, h, len(part[h]) + len(left)))
-    return [ranks[p] for p in part if p is not None]
+        if h >= 0:
+            rank_at[h] = r = get(token[h:k], -1)
+            if r >= 0:
+                heapq.heappush(heap, r * n + h)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[token[i : end[i]]])
+        i = end[i]
+    return out
 
 
 class Codec:
@@ -125,7 +132,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, pattern
         self.table = PerfectHash(ranks)
-        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.bytes_of = np.full(max(ranks.values(), default=-1) + 1, None, object)
+        for b, i in ranks.items():
+            self.bytes_of[i] = b
         self.ready()
 
     def ready(self) -> None:
@@ -139,33 +148,28 @@ class Codec:
         self.__dict__.update(state)
         self.ready()
 
-    def encode(self, text: str) -> list[int]:
-        found = self.split(text)
-        cache = self.cache
-        missing = [t for t in dict.fromkeys(found) if t not in cache]
-        local = cache
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; a pre-token that a worker remembers is not looked up again."""
+        found = [self.split(t) if t else [] for t in texts]
+        if len(self.cache) > CACHE_ENTRIES:
+            self.cache = {}
+        ids = self.cache
+        missing = list(set().union(*found).difference(ids))
         if missing:
-            if len(cache) > CACHE_ENTRIES:
-                self.cache = cache = {}
-                missing = list(dict.fromkeys(found))
             raw = [t.encode() for t in missing]
-            known = self.table.find(raw)
-            local = None
-            for text_token, token, i in zip(missing, raw, known, strict=True):
-                ids = (i,) if i >= 0 else tuple(merge(token, self.ranks))
-                if len(text_token) <= CACHE_LENGTH:
-                    cache[text_token] = ids
-                else:
-                    local = local if local is not None else {}
-                    local[text_token] = ids
-            local = cache if local is None else {**{t: cache[t] for t in dict.fromkeys(found) if t in cache}, **local}
-        out: list[int] = []
-        for t in found:
-            out += local[t]
+            for text_token, token, i in zip(missing, raw, self.table.find(raw), strict=True):
+                ids[text_token] = (i,) if i >= 0 else tuple(merge(token, self.ranks))
+        out = [np.fromiter(chain.from_iterable(map(ids.__getitem__, f)), np.int32) for f in found]
+        for t in missing:
+            if len(t) > CACHE_LENGTH:
+                del ids[t]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        return b"".join(self.bytes_of[np.asarray(ids, np.int32)].tolist())
 
 
 def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -176,10 +180,10 @@ def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for batch in batches:
-            rows = [coder.encode(t or "") for t in batch.column(text).to_pylist()]
+            rows = coder.encode_all(batch.column(text).to_pylist())
             offsets = np.zeros(len(rows) + 1, np.int32)
             np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
+            flat = np.concatenate([np.zeros(0, np.int32), *rows])
             yield replaced(batch, {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
 
     return df.mapInArrow(run, with_columns(df.schema, [(ids, T.ArrayType(T.IntegerType()))]))
@@ -193,7 +197,8 @@ def decode(df: DataFrame, codec: Codec, ids: str = "ids", decoded: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value
         for batch in batches:
-            out = [coder.decode(r or []) for r in batch.column(ids).to_pylist()]
+            arrays = (batch.column(ids)[i].values for i in range(batch.num_rows))
+            out = [coder.decode(a.to_numpy()) if a is not None else b"" for a in arrays]
             yield replaced(batch, {decoded: pa.array(out, pa.binary())})
 
     return df.mapInArrow(run, with_columns(df.schema, [(decoded, T.BinaryType())]))

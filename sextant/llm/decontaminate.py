@@ -54,31 +54,35 @@ def blocks(fingerprint: Column) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
 
 
-def counted(h: Column) -> Column:
-    """A multiset of hashes as a set: each with the number of its occurrence."""
-    ordered = F.array_sort(h)
+def counted(ordered: Column) -> Column:
+    """A sorted multiset of hashes as a set: each with the number of its occurrence."""
     return F.transform(ordered, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(ordered, x)))
 
 
 def prepared_items(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w"))
-    rows = rows.select("item_id", F.size("w").alias("m"), shingles(F.col("w")).alias("h")).where(f"m >= {K}").distinct()
-    return rows.withColumns({"item_hash": simhash(F.col("h")), "item_set": counted(F.col("h"))})
+    rows = rows.select("item_id", F.size("w").alias("m"), shingles(F.col("w")).alias("h")).distinct()
+    return rows.withColumns({"item_hash": simhash(F.col("h")), "item_set": F.array_sort("h")}).withColumn("item_set", counted(F.col("item_set")))
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, th, item_id, m, start and the shingles of each window placed by a shared shingle."""
-    places = items.select("item_id", "m", F.posexplode("h").alias("q", "s"))
-    few = places.count() <= BROADCAST_SHINGLES
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), shingles(F.col("w")).alias("h")) if "w" in docs.columns else docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).select("doc_id", "th", shingles(F.col("w")).alias("h"))
-    start = F.col("pos") - F.col("q")
+    """doc_id, th, item_id, m, start and the sorted shingles of each window placed by a shared shingle.
+
+    The outer form of posexplode keeps the optimizer from inferring a filter on the array's size,
+    which would split the text again for every word; the null row it adds joins nothing.
+    """
+    places = items.select("item_id", "m", F.posexplode_outer("h").alias("q", "s"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).select("doc_id", "th", shingles(F.col("w")).alias("h"))
     cut = F.slice("h", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("m") - K + 1 + F.least(F.col("start"), F.lit(0)))
-    if few:
-        hits = rows.select("*", F.posexplode("h").alias("pos", "s")).join(F.broadcast(places), "s")
-        return hits.withColumn("start", start).groupBy("doc_id", "th", "item_id", "m", "start").agg(F.any_value(cut).alias("win"))
-    hits = rows.select("doc_id", "th", F.posexplode("h").alias("pos", "s")).join(places, "s")
-    hits = hits.select("doc_id", "th", "item_id", "m", start.alias("start")).distinct().withColumnRenamed("doc_id", "d")
-    return rows.join(hits, (F.col("doc_id").eqNullSafe(F.col("d"))) & (rows["th"] == hits["th"])).select("doc_id", rows["th"], "item_id", "m", "start", cut.alias("win")).dropDuplicates(["doc_id", "th", "item_id", "start"])
+    start = (F.col("pos") - F.col("q")).alias("start")
+    key = ["doc_id", "th", "item_id", "m", "start"]
+    if places.count() <= BROADCAST_SHINGLES:
+        hits = rows.select("*", F.posexplode_outer("h").alias("pos", "s")).join(F.broadcast(places), "s").select("doc_id", "th", "item_id", "m", start, "h")
+    else:
+        found = rows.select("doc_id", "th", F.posexplode_outer("h").alias("pos", "s")).join(places, "s").select("doc_id", "th", "item_id", "m", start).distinct()
+        found = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "item_id", "m", "start")
+        hits = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h"))).drop("__d", "__h")
+    return hits.groupBy(key).agg(F.array_sort(F.any_value(cut)).alias("win"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

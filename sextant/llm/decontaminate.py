@@ -45,7 +45,8 @@ def simhash(h: Column) -> Column:
         ones = F.aggregate(h, F.lit(0).cast("bigint"), lambda n, x: n + F.call_function("shiftrightunsigned", x, b).bitwiseAND(F.lit(1).cast("bigint")))
         return F.when(ones * 2 > F.size(h), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), bit)
+    # never null, or the optimizer would infer a test for null and push it down to the text
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), bit), F.lit(0).cast("bigint"))
 
 
 def blocks(fingerprint: Column) -> Column:

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bpe, decontaminate, kneser_ney, line_dedup, nearest, ngram_join, quality, unigram, warc
+from . import bpe, decontaminate, kneser_ney, line_dedup, nearest, ngram_join, quality, repeats, unigram, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_token_counts": unigram.op4,
     "op5_kneser_ney": kneser_ney.op5,
     "op6_byte_bpe": bpe.op6,
+    "op7_repeats": repeats.op7,
     "op8_decontaminate": decontaminate.op8,
     "op9_warc": warc.op9,
     "op10_line_dedup": line_dedup.op10,

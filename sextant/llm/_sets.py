@@ -95,6 +95,13 @@ def records(words: Words, rule: Rule, rarity: np.ndarray) -> Records:
     return Records(text[rec], line[rec], np.diff(np.append(start, len(tokens))), sums[0].view(np.int64), sums[1].view(np.int64), tokens, start)
 
 
+def only(rec: Records, which: Callable[[Records], np.ndarray]) -> Records:
+    """The chosen records."""
+    some = which(rec)
+    count = rec.n[some]
+    return Records(rec.text[some], rec.line[some], count, rec.k1[some], rec.k2[some], rec.tokens[spans(rec.start[some], count)], np.cumsum(count) - count)
+
+
 def each_run(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, int, Words]]:
     for batch in batches:
         for first, run in chunks(batch.column(text).cast(pa.binary()).to_pylist()):
@@ -145,32 +152,38 @@ def rarity_table(docs: DataFrame, rule: Rule) -> np.ndarray:
     return np.minimum(255, np.rint(np.log2(table.ravel() + 1.0) * 8)).astype(np.uint8)
 
 
-BLOOM_BITS = 1 << 23
+#: A filter has 16 bits an id up to this size, 16 MB.
+BLOOM_BITS = 1 << 27
 
 
-def _bloom_places(ids: np.ndarray) -> np.ndarray:
+def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
     h = mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([h & np.uint64(BLOOM_BITS - 1), (h >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)])
+    return np.stack([h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)])
 
 
-def bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of BLOOM_BITS bits of a column of longs; it only spares work, joins decide."""
+def bloom(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of a column of about count longs; it only spares work, and joins decide."""
+    bits = min(BLOOM_BITS, 1 << max(16, (16 * count).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, bool)
+        found = np.zeros(bits, bool)
         for batch in batches:
-            bits[_bloom_places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
-        yield packed(np.packbits(bits).view(np.uint32))
+            found[_bloom_places(batch.column(0).to_numpy(zero_copy_only=False), bits).ravel()] = True
+        yield packed(np.packbits(found, bitorder="little").view(np.uint32))
 
-    table = np.zeros((SLICES, BLOOM_BITS // 32 // SLICES), np.uint32)
+    table = np.zeros((SLICES, bits // 32 // SLICES), np.uint32)
     for s, part in reduce_slices(ids.mapInArrow(mark, PACKED), np.bitwise_or).items():
         table[s] = part
-    return np.unpackbits(table.ravel().view(np.uint8)).view(bool)
+    return table.ravel()
+
 
+def marked(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    places = _bloom_places(ids, len(table) * 32)
+    return ((table[places >> np.uint64(5)] >> (places & np.uint64(31)).astype(np.uint32)) & 1).all(axis=0)
 
-def in_bloom(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
-    some = ids.fill_null(0).to_numpy(zero_copy_only=False)
-    return bits[_bloom_places(some)].all(axis=0) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+def in_bloom(table: np.ndarray, ids: pa.Array) -> np.ndarray:
+    return marked(table, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -220,23 +233,25 @@ def scan(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
 
 
 def entries(found: DataFrame) -> DataFrame:
-    """tok, r, n, pos: an index entry for each prefix token that at least two classes have."""
-    classes = found.where(F.size("prefix") > 0).groupBy("k1", "k2").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    rows = classes.select(F.col("k1").alias("r"), "n", F.posexplode("prefix").alias("pos", "tok"))
-    shared = rows.selectExpr("tok", "r", "n * 4294967296 + pos AS np", "count(*) OVER (PARTITION BY tok) AS df")
-    return shared.where("df > 1").selectExpr("tok", "r", "shiftright(np, 32) AS n", "cast(np & 4294967295 AS int) AS pos", "df")
+    """tok, r, n, pos, df: an index entry for each prefix token that at least two classes have."""
+    rows = found.select(F.col("k1").alias("r"), "n", F.posexplode("prefix").alias("pos", "tok"))
+    shared = rows.selectExpr("tok", "r", "n * 4294967296 + pos AS np", "min(r) OVER (PARTITION BY tok) AS r1", "max(r) OVER (PARTITION BY tok) AS r2").where("r1 <> r2")
+    # a class of copies comes once from each task that met it
+    once = shared.select("tok", "r", "np").dropDuplicates(["tok", "r"])
+    return once.selectExpr("tok", "r", "shiftright(np, 32) AS n", "cast(np & 4294967295 AS int) AS pos", "count(*) OVER (PARTITION BY tok) AS df")
 
 
 def candidate_sets(docs: DataFrame, rule: Rule, rarity, wanted: DataFrame, orders: int = 0) -> DataFrame:
     """For the classes in wanted (d, l, k1, k2): set size, tokens, parity bitmap, and the prefixes
     under further token orders (32-bit hashes, which may only let more pairs through)."""
     sc = docs.sparkSession.sparkContext
-    bits = sc.broadcast(bloom(wanted.select("d")))  # BLOOM_BITS whatever the input
+    n = wanted.count()
+    texts, classes = (sc.broadcast(bloom(wanted.select(c), n)) for c in ("d", "k1"))  # at most BLOOM_BITS each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (batch.filter(pa.array(in_bloom(bits.value, batch.column("doc_id")))) for batch in batches)
-        for batch, first, words in each_run(b for b in kept if b.num_rows):
-            rec = records(words, rule, rarity.value)
+        kept = (batch.filter(pa.array(in_bloom(texts.value, batch.column("doc_id")))) for batch in batches)
+        for _, _, words in each_run(b for b in kept if b.num_rows):
+            rec = only(records(words, rule, rarity.value), lambda r: marked(classes.value, r.k1))
             if not len(rec.n):
                 continue
             size, own = rec.n, np.repeat(np.arange(len(rec.n)), rec.n)
@@ -244,18 +259,18 @@ def candidate_sets(docs: DataFrame, rule: Rule, rarity, wanted: DataFrame, order
             at = own * (BITMAP_WORDS * 64) + ((rec.tokens >> np.uint64(24)) & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64)
             parity = (np.bincount(at, minlength=parity.size) & 1).astype(np.uint8).reshape(parity.shape)
             bitmap = np.packbits(parity, axis=1)
-            arrays = [batch.column("doc_id").take(pa.array(rec.text + first)), pa.array(rec.line.astype(np.int32)), pa.array(rec.k1), pa.array(rec.k2), pa.array(size.astype(np.int64)), pa.array([b.tobytes() for b in bitmap], pa.binary()), lists(rec.tokens.view(np.int64), size)]
+            arrays = [pa.array(rec.k1), pa.array(rec.k2), pa.array(size.astype(np.int64)), pa.array([b.tobytes() for b in bitmap], pa.binary()), lists(rec.tokens.view(np.int64), size)]
             for i in range(orders):
                 h = mix(rec.tokens ^ np.uint64(0x2545F4914F6CDD1D * (i + 1)))
                 by = np.argsort(h)
                 by = by[np.argsort(own[by].astype(np.uint16 if len(size) < 65536 else np.int64), kind="stable")]
                 count = rule.prefix(size)
                 arrays.append(lists((h[by][spans(rec.start, count)] >> np.uint64(32)).astype(np.uint32).view(np.int32), count))
-            yield pa.RecordBatch.from_arrays(arrays, names=["d", "l", "k1", "k2", "n", "bitmap", "tokens", *(f"order{i}" for i in range(orders))])
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n", "bitmap", "tokens", *(f"order{i}" for i in range(orders))])
 
-    schema = "d long, l int, k1 long, k2 long, n long, bitmap binary, tokens array<long>" + "".join(f", order{i} array<int>" for i in range(orders))
+    schema = "k1 long, k2 long, n long, bitmap binary, tokens array<long>" + "".join(f", order{i} array<int>" for i in range(orders))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    return found.join(wanted.select("d", "l", "k1", "k2"), ["d", "l", "k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return found.join(wanted.select("k1", "k2", "d", "l"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
 
 def pairs(rows: DataFrame, rule: Rule, ordered: bool) -> DataFrame:
@@ -389,6 +404,6 @@ def begin(docs: DataFrame, rule: Rule, orders: int = 0) -> tuple[DataFrame, Data
     found = materialise(scan(docs, rule, rarity), "records")
     index = materialise(entries(found), "index")
     first = found.where("d IS NOT NULL AND n > 0").groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("f"), F.any_value("n").alias("n"), F.count(F.lit(1)).alias("members")).selectExpr("k1", "k2", "f.d AS d", "f.l AS l", "n", "members")
-    wanted = first.join(index.select(F.col("r").alias("k1")).distinct(), "k1", "left_semi")
+    wanted = materialise(first.join(index.select(F.col("r").alias("k1")).distinct(), "k1", "left_semi"), "wanted")
     sets = materialise(candidate_sets(docs, rule, rarity, wanted, orders), "sets")
     return found, first, index, sets

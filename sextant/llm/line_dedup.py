@@ -45,7 +45,7 @@ def without_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """docs with n_lines, n_removed and kept: the text without its repeated lines."""
     docs = docs.drop("n_lines", "n_removed", "kept")
     gone = materialise(repeated_lines(docs, rule), "gone")
-    touched = docs.sparkSession.sparkContext.broadcast(_sets.bloom(gone.select("d")))  # a fixed number of bits
+    touched = docs.sparkSession.sparkContext.broadcast(_sets.bloom(gone.select("d"), gone.count()))  # at most BLOOM_BITS
 
     def some(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -307,7 +307,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     found = materialise(covered(docs), "covered")
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())]
-    touched = docs.sparkSession.sparkContext.broadcast(bloom(found.select("d")))  # a fixed number of bits
+    ids = found.select("d").distinct()
+    touched = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))  # at most BLOOM_BITS
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
 
     def some(wanted: bool) -> DataFrame:

@@ -161,6 +161,7 @@ class _Act:
         elif SECTION.match(line):
             self.heading(3, line)
         elif ANNEX.match(line):
+            self.flush()
             self.stack = []
             self.heading(1, line)
             self.kind, self.head = "annex", (1, line, self.stack[-1][1] if self.stack else slug(line), None)

@@ -32,10 +32,10 @@ def test_act():
     assert got[0].path == "preambulo"
     by = {s.heading_text: s for s in got}
     assert by["Art. 1"].text == "Art. 1o Primeiro texto." and by["Art. 2"].heading_level == 5
-    assert by["Art. 3"].text == "Art. 3 Texto inteiro do artigo três."  # the better copy, in the first one's place
+    assert by["Art. 3"].text == "Art. 3 Texto inteiro do artigo três.\nFim do texto."  # the better copy, in the first one's place
     assert [s.heading_text for s in got].index("Art. 3") < [s.heading_text for s in got].index("Art. 12")
     assert by["Art. 12"].text.endswith("O produto") and "Art. 10-A" in by and "Art. 10" in by
-    assert by["CAPÍTULO II"].heading_level == 1 and by["Notas finais"].text == "sem artigo"
+    assert by["CAPÍTULO II"].heading_level == 1 and by["Notas finais"].text == "sem artigo" and by["Notas finais"].parent_path == by["CAPÍTULO II"].path
     annex = [s for s in got if s.heading_text == "ANEXO I"]
     assert annex[-1].path.endswith("/conteudo") and annex[-1].parent_path is None and annex[-1].text == "a | b"
     assert len({s.path for s in got}) == len(got)

@@ -6,7 +6,8 @@ smaller id, or earlier in the same one. Strings are judged on the input and neve
 Each string of LENGTH bytes names an anchor, the ANCHOR bytes in it of the least hash (the leftmost
 of equals), so equal strings have the same anchor at the same place. Strings of one anchor that start
 next to each other form a piece. Only pieces whose anchor occurs twice are moved, to the task of their
-anchor, equal pieces once. There the pieces that differ are a collection whose Burrows-Wheeler
+anchor, equal pieces once. There pieces that differ are cut into stretches around bytes that all
+their strings share; cuts of equal shared bytes that still differ are a collection whose Burrows-Wheeler
 transform is built column by column: each round inserts one symbol of every piece, and the transform
 goes through a file from round to round; further passes over it find which neighbours share LENGTH
 symbols. An anchor of very many pieces is cut by the bytes that all strings of one stretch share, so
@@ -91,7 +92,7 @@ def suffix_classes(pieces: list[bytes], folder: str) -> list[np.ndarray]:
         transform = np.fromfile(path, np.uint8)
         going = size[active] >= j
         active, place = active[going], place[going]
-        image = m + inverse(np.argsort(transform, kind="stable"))[place]
+        image = m + last_to_first(transform, place)
         after = np.empty(len(transform) + len(active), np.uint8)
         old = np.ones(len(after), bool)
         old[image] = False
@@ -100,20 +101,21 @@ def suffix_classes(pieces: list[bytes], folder: str) -> list[np.ndarray]:
         after.tofile(path)
         place = image
     transform = np.fromfile(path, np.uint8)
-    order = np.argsort(transform, kind="stable")
+    order = np.argsort(transform, kind="stable").astype(np.int32)
     symbols = transform[order]
     used = int(np.searchsorted(symbols, NONE))  # the marks before whole pieces lead nowhere
     order, symbols = order[:used], symbols[:used]
     changed = np.ones(used, bool)
     changed[1:] = symbols[1:] != symbols[:-1]
     # neighbours that share one symbol more than last time: the same first symbol before suffixes of one group
-    group = np.arange(len(transform))
-    group[m:] = m + np.cumsum(changed)
+    group = np.arange(len(transform), dtype=np.int32)
+    group[m:] = m + np.cumsum(changed, dtype=np.int32)
     for _ in range(LENGTH - 1):
         before = group[order]
         edge = changed.copy()
         edge[1:] |= before[1:] != before[:-1]
-        group[m:] = m + np.cumsum(edge)
+        np.cumsum(edge, dtype=np.int32, out=group[m:])
+        group[m:] += m
     image = np.zeros(len(transform), np.int64)
     image[order] = m + np.arange(used)
     out = [np.zeros(max(0, s - LENGTH + 1), np.int64) for s in size.tolist()]
@@ -129,13 +131,22 @@ def suffix_classes(pieces: list[bytes], folder: str) -> list[np.ndarray]:
     return out
 
 
-def inverse(order: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order))
+def last_to_first(transform: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Where the symbols at the given places come among all symbols in order, equal ones by place."""
+    order = np.argsort(transform, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=256))])
+    symbol = transform[place]
+    out = np.empty(len(place), np.int64)
+    by = np.argsort(symbol, kind="stable")
+    cut = np.searchsorted(symbol[by], np.arange(257))
+    for c in np.flatnonzero(np.diff(cut)).tolist():
+        own = by[cut[c] : cut[c + 1]]
+        out[own] = begin[c] + np.searchsorted(order[begin[c] : begin[c + 1]], place[own])
     return out
 
 
-ROW = "key long, d long, th long, s long, n int, piece binary"
+#: off: how far the anchor lies behind the first start.
+ROW = "key long, d long, th long, s long, n int, off int, piece binary"
 #: Starts from s on, n of them, all repeated.
 COVERED = "d long, th long, s long, n int"
 
@@ -185,7 +196,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 good = place < len(keys)
                 good[good] = keys[place[good]] == anchor[own][good]
                 twice[own], hot[own[good]] = good, is_hot[place[good]]
-            rows: list[tuple[int, int, int, int, int, bytes | None]] = []
+            rows: list[tuple] = []
             raw = data.tobytes()
 
             def put(key: int, i: int, a: int, b: int) -> None:
@@ -196,11 +207,11 @@ def covered(docs: DataFrame) -> DataFrame:
                 if known is None:
                     seen[key, piece] = mine
                 elif mine[:2] > known[:2]:
-                    rows.append((key, mine[0], mine[2], a, b - a + 1, None))
+                    rows.append((key, mine[0], mine[2], a, b - a + 1, 0, None))
                     return
                 elif mine[:2] < known[:2]:  # what was sent before is covered by this one where it arrives
                     seen[key, piece] = mine
-                rows.append((key, mine[0], mine[2], a, b - a + 1, piece))
+                rows.append((key, mine[0], mine[2], a, b - a + 1, int(spot[i]) - a, piece))
 
             for i in np.flatnonzero(twice).tolist():
                 a, b, p = int(first[i]), int(last[i]), int(spot[i])
@@ -208,15 +219,12 @@ def covered(docs: DataFrame) -> DataFrame:
                 if not hot[i]:
                     put(key, i, a, b)
                     continue
-                # starts whose distance to the anchor falls in one stretch share the bytes between
-                for g in range((p - b) // STRETCH, (p - a) // STRETCH + 1):
-                    low, high = p - (g + 1) * STRETCH + 1, p - g * STRETCH
-                    core = raw[int(begin[of[i]]) + high : int(begin[of[i]]) + low + LENGTH]
-                    put(_salted(key, g, core), i, max(a, low), min(b, high))
+                for g, low, high, core in stretches(p - a, b - a + 1, raw[int(begin[of[i]]) + a : int(begin[of[i]]) + b + LENGTH]):
+                    put(_salted(key, g, core), i, a + low, a + high)
             if rows:
                 columns = list(zip(*rows, strict=True))
                 keys = np.array(columns[0], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.binary())], names=["key", "d", "th", "s", "n", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c, pa.int64()) for c in columns[1:4]), *(pa.array(c, pa.int32()) for c in columns[4:6]), pa.array(columns[6], pa.binary())], names=["key", "d", "th", "s", "n", "off", "piece"])
             if len(seen) > 200_000:
                 seen.clear()
 
@@ -226,6 +234,17 @@ def covered(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, COVERED)
 
 
+def stretches(off: int, n: int, piece: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """Number, first and last start, and shared bytes of each stretch of a piece.
+
+    Starts fall in one stretch by their distance to the anchor; its strings all hold the shared bytes,
+    so equal strings of two pieces are in stretches of one number and equal shared bytes.
+    """
+    for g in range((off - n + 1) // STRETCH, off // STRETCH + 1):
+        low, high = off - (g + 1) * STRETCH + 1, off - g * STRETCH
+        yield g, max(0, low), min(n - 1, high), piece[high : low + LENGTH]
+
+
 def _salted(key: int, g: int, core: bytes) -> int:
     import xxhash
 
@@ -245,14 +264,26 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.int32())], names=["d", "th", "s", "n"])
 
     def close() -> None:
+        """Cut the pieces that differ by stretch and shared bytes; of equal cuts the first stands for all."""
         nonlocal waits
-        if len(group) > 1:  # pieces that differ: they share strings if at all in part
-            waiting.append(list(group.items()))
-            waits += sum(map(len, group))
+        if len(group) > 1:
+            cuts: dict[tuple[int, bytes], dict[bytes, tuple[int, int, int]]] = {}
+            for piece, (d, s, th, off) in group.items():
+                for g, low, high, core in stretches(off, len(piece) - LENGTH + 1, piece):
+                    own, cut, mine = cuts.setdefault((g, core), {}), piece[low : high + LENGTH], (d, s + low, th)
+                    known = own.get(cut)
+                    if known is None or mine[:2] < known[:2]:
+                        own[cut], mine = mine, known
+                    if mine is not None and mine[:2] != own[cut][:2]:
+                        out.append((mine[0], mine[2], mine[1], high - low + 1))
+            for own in cuts.values():
+                if len(own) > 1:  # these share strings, if at all, in part
+                    waiting.append(list(own.items()))
+                    waits += sum(map(len, own))
         group.clear()
 
     for batch in batches:
-        for k, d, th, s, n, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "th", "s", "n", "piece")), strict=True):
+        for k, d, th, s, n, off, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "th", "s", "n", "off", "piece")), strict=True):
             if piece is None:
                 out.append((d, th, s, n))
                 continue
@@ -264,10 +295,10 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     waiting, waits = [], 0
             known = group.get(piece)
             if known is None:
-                group[piece] = (d, s, th)
+                group[piece] = (d, s, th, off)
             elif (d, s) < known[:2]:
                 out.append((known[0], known[2], known[1], n))
-                group[piece] = (d, s, th)
+                group[piece] = (d, s, th, off)
             elif (d, s) > known[:2]:
                 out.append((d, th, s, n))
         if len(out) > 1 << 16:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,9 +242,9 @@ def entries(found: DataFrame) -> DataFrame:
     return once.selectExpr("tok", "r", "shiftright(np, 32) AS n", "cast(np & 4294967295 AS int) AS pos", "count(*) OVER (PARTITION BY tok) AS df")
 
 
-def candidate_sets(docs: DataFrame, rule: Rule, rarity, wanted: DataFrame, orders: int = 0) -> DataFrame:
-    """For the classes in wanted (d, l, k1, k2): set size, tokens, parity bitmap, and the prefixes
-    under further token orders (32-bit hashes, which may only let more pairs through)."""
+def candidate_sets(docs: DataFrame, rule: Rule, rarity, wanted: DataFrame, orders: int = 0, tokens: bool = True) -> DataFrame:
+    """For the classes in wanted (d, l, k1, k2): set size, parity bitmap, the prefixes under further
+    token orders (32-bit hashes, which may only let more pairs through), and the tokens if asked for."""
     sc = docs.sparkSession.sparkContext
     n = wanted.count()
     texts, classes = (sc.broadcast(bloom(wanted.select(c), n)) for c in ("d", "k1"))  # at most BLOOM_BITS each
@@ -258,17 +259,19 @@ def candidate_sets(docs: DataFrame, rule: Rule, rarity, wanted: DataFrame, order
             parity = np.zeros((len(size), BITMAP_WORDS * 64), np.uint8)
             at = own * (BITMAP_WORDS * 64) + ((rec.tokens >> np.uint64(24)) & np.uint64(BITMAP_WORDS * 64 - 1)).astype(np.int64)
             parity = (np.bincount(at, minlength=parity.size) & 1).astype(np.uint8).reshape(parity.shape)
-            bitmap = np.packbits(parity, axis=1)
-            arrays = [pa.array(rec.k1), pa.array(rec.k2), pa.array(size.astype(np.int64)), pa.array([b.tobytes() for b in bitmap], pa.binary()), lists(rec.tokens.view(np.int64), size)]
+            bitmap = np.packbits(parity, axis=1).view(np.int64).ravel()
+            arrays = [pa.array(rec.k1), pa.array(rec.k2), pa.array(size.astype(np.int64)), lists(bitmap, np.full(len(size), BITMAP_WORDS))]
+            if tokens:
+                arrays.append(lists(rec.tokens.view(np.int64), size))
             for i in range(orders):
                 h = mix(rec.tokens ^ np.uint64(0x2545F4914F6CDD1D * (i + 1)))
                 by = np.argsort(h)
                 by = by[np.argsort(own[by].astype(np.uint16 if len(size) < 65536 else np.int64), kind="stable")]
                 count = rule.prefix(size)
                 arrays.append(lists((h[by][spans(rec.start, count)] >> np.uint64(32)).astype(np.uint32).view(np.int32), count))
-            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n", "bitmap", "tokens", *(f"order{i}" for i in range(orders))])
+            yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "n", "bitmap", *["tokens"] * tokens, *(f"order{i}" for i in range(orders))])
 
-    schema = "k1 long, k2 long, n long, bitmap binary, tokens array<long>" + "".join(f", order{i} array<int>" for i in range(orders))
+    schema = "k1 long, k2 long, n long, bitmap array<long>" + ", tokens array<long>" * tokens + "".join(f", order{i} array<int>" for i in range(orders))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     return found.join(wanted.select("k1", "k2", "d", "l"), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
 
@@ -303,7 +306,7 @@ def pairs(rows: DataFrame, rule: Rule, ordered: bool) -> DataFrame:
 
     def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tok, r, n, pos, g, at, at2, is_open, b, b1, b2 = (table[c].to_numpy() for c in ("tok", "r", "n", "pos", "g", "at", "at2", "open", "b", "b1", "b2"))
-        bitmap = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        bitmap = pc.list_flatten(table["bitmap"]).to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS)
         change = np.concatenate([[True], (tok[1:] != tok[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
         run_of = np.cumsum(change) - 1
         last = np.append(np.flatnonzero(change)[1:], len(tok))[run_of]
@@ -348,30 +351,39 @@ def stars(rows: DataFrame, rule: Rule, best: int) -> DataFrame:
     """
     spec = "OVER (PARTITION BY tok ORDER BY at, at2, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     led = rows.selectExpr("r AS r1", "n", "pos", "bitmap", f"first(struct(r, n, pos, bitmap)) {spec} AS f").where("r1 <> f.r")
-    return led.select("r1", F.col("f.r").alias("r2"), (F.col("n") + F.col("f.n")).alias("total"), F.least(F.col("n"), F.col("f.n")).alias("low"), F.greatest(F.col("n"), F.col("f.n")).alias("high"), F.least(F.col("n") - F.col("pos"), F.col("f.n") - F.col("f.pos")).alias("left")).where(
-        (F.col("low") * rule.b >= F.col("high") * rule.a) & (F.col("left") * (rule.a + rule.b) >= F.col("total") * rule.a)
+    apart = sum((F.bit_count(F.get("bitmap", F.lit(i)).bitwiseXOR(F.get("f.bitmap", F.lit(i)))) for i in range(BITMAP_WORDS)), F.lit(0))
+    led = led.withColumn("apart", apart)
+    return led.select("r1", "apart", F.col("f.r").alias("r2"), (F.col("n") + F.col("f.n")).alias("total"), F.least(F.col("n"), F.col("f.n")).alias("low"), F.greatest(F.col("n"), F.col("f.n")).alias("high"), F.least(F.col("n") - F.col("pos"), F.col("f.n") - F.col("f.pos")).alias("left")).where(
+        (F.col("low") * rule.b >= F.col("high") * rule.a) & (F.col("left") * (rule.a + rule.b) >= F.col("total") * rule.a) & ((F.col("total") - F.col("apart")) * (rule.a + rule.b) >= 2 * F.col("total") * rule.a)
     ).groupBy("r1", "r2").agg(F.max("left").alias("left"), F.count(F.lit(1)).alias("hits")).selectExpr("r1", "r2", "row_number() OVER (PARTITION BY r1 ORDER BY hits DESC, left DESC, r2) AS place").where(F.col("place") <= best).select("r1", "r2")
 
 
-def verified(found: DataFrame, sets: DataFrame, rule: Rule, orders: int = 0) -> DataFrame:
-    """The pairs (r1, r2) whose sets reach the similarity; pairs must share a prefix token under each further order first."""
-    names = ["n", "tokens", *(f"order{i}" for i in range(orders))]
-    side = lambda i: sets.select(F.col("k1").alias(f"r{i}"), *(F.col(c).alias(f"{c}_{i}") for c in names if c != "tokens" or not orders))
-    if orders:  # intersect the filters on the short arrays before any set is moved
-        for i in (1, 2):
-            found = found.join(side(i), f"r{i}")
-        for i in range(orders):
-            found = found.where(F.arrays_overlap(f"order{i}_1", f"order{i}_2"))
-        found = found.select("r1", "r2", "n_1", "n_2")
-        for i in (1, 2):
-            found = found.join(sets.select(F.col("k1").alias(f"r{i}"), F.col("tokens").alias(f"tokens_{i}")), f"r{i}")
-    else:
-        for i in (1, 2):
-            found = found.join(side(i), f"r{i}")
+def verified(found: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (r1, r2) whose sets reach the similarity."""
+    for i in (1, 2):
+        found = found.join(sets.select(F.col("k1").alias(f"r{i}"), F.col("n").alias(f"n_{i}"), F.col("tokens").alias(f"tokens_{i}")), f"r{i}")
     common = F.size(F.array_intersect("tokens_1", "tokens_2"))
     return found.where(common * (rule.a + rule.b) >= (F.col("n_1") + F.col("n_2")) * rule.a).select("r1", "r2").distinct()
 
 
+def intersected(found: DataFrame, light: DataFrame, orders: int) -> DataFrame:
+    """The pairs that share a prefix token under each further order; no whole set is moved for this."""
+    for i in (1, 2):
+        found = found.join(light.select(F.col("k1").alias(f"r{i}"), *(F.col(f"order{j}").alias(f"order{j}_{i}") for j in range(orders))), f"r{i}")
+    for j in range(orders):
+        found = found.where(F.arrays_overlap(f"order{j}_1", f"order{j}_2"))
+    return found.select("r1", "r2")
+
+
+def verified_by_orders(found: DataFrame, light: DataFrame, docs: DataFrame, rule: Rule, rarity, orders: int) -> DataFrame:
+    """As verified, with the filters of all orders intersected first; sets are made of the classes left alone."""
+    pairs_left = materialise(intersected(found, light, orders), "pairs")
+    named = pairs_left.select(F.explode(F.array("r1", "r2")).alias("k1")).distinct()
+    wanted = materialise(light.select("k1", "k2", "d", "l").join(named, "k1", "left_semi"), "wanted")
+    sets = materialise(candidate_sets(docs, rule, rarity, wanted), "sets")
+    return verified(pairs_left, sets, rule)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, c: each vertex of the edges (r1, r2) with the smallest vertex it reaches, by alternating large and small stars."""
 
@@ -396,8 +408,9 @@ def components(edges: DataFrame) -> DataFrame:
     return current.select(F.col("r1").alias("v"), F.col("r2").alias("c")).union(current.select(F.col("r2"), F.col("r2"))).distinct()
 
 
-def begin(docs: DataFrame, rule: Rule, orders: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """What both joins start from: records, classes, index entries with bitmaps, and candidate sets."""
+def begin(docs: DataFrame, rule: Rule, orders: int = 0) -> tuple:
+    """What both joins start from: records, classes, index entries, candidate sets (without tokens where further
+    orders are to be intersected first), and the rarity table."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     rarity = spark.sparkContext.broadcast(rarity_table(docs, rule))  # SLOTS bytes whatever the input
@@ -405,5 +418,5 @@ def begin(docs: DataFrame, rule: Rule, orders: int = 0) -> tuple[DataFrame, Data
     index = materialise(entries(found), "index")
     first = found.where("d IS NOT NULL AND n > 0").groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("f"), F.any_value("n").alias("n"), F.count(F.lit(1)).alias("members")).selectExpr("k1", "k2", "f.d AS d", "f.l AS l", "n", "members")
     wanted = materialise(first.join(index.select(F.col("r").alias("k1")).distinct(), "k1", "left_semi"), "wanted")
-    sets = materialise(candidate_sets(docs, rule, rarity, wanted, orders), "sets")
-    return found, first, index, sets
+    sets = materialise(candidate_sets(docs, rule, rarity, wanted, orders, tokens=not orders), "sets")
+    return found, first, index, sets, rarity

@@ -28,7 +28,7 @@ TRIES = 2
 
 def repeated_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """d, th and the sorted numbers of the lines that go, for each text that has any."""
-    found, first, index, sets = _sets.begin(docs, rule)
+    found, first, index, sets, _ = _sets.begin(docs, rule)
     rows = index.join(sets.selectExpr("k1 AS r", "bitmap", "d AS at", "l AS at2"), "r")
     rows = materialise(rows.withColumn("g", F.col("r")), "rows")
     tried = materialise(_sets.verified(_sets.stars(rows, rule, TRIES), sets, rule), "links").selectExpr("r1 AS r").distinct()

@@ -26,14 +26,14 @@ ORDERS, TRIES = 2, 2
 
 def linked(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
-    found, first, index, sets = _sets.begin(docs, rule, ORDERS)
+    found, first, index, sets, rarity = _sets.begin(docs, rule, ORDERS)
     rows = index.join(sets.selectExpr("k1 AS r", "bitmap", "d AS at", "l AS at2"), "r").withColumn("open", F.lit(True))
     rows = materialise(rows, "rows")
-    links = materialise(_sets.verified(_sets.stars(rows, rule, TRIES), sets, rule, ORDERS), "links")
+    links = materialise(_sets.verified_by_orders(_sets.stars(rows, rule, TRIES), sets, docs, rule, rarity, ORDERS), "links")
     known = _sets.components(links)
     apart = rows.join(known.selectExpr("v AS r", "c"), "r", "left").withColumn("g", F.coalesce("c", "r")).drop("c")
     apart = apart.selectExpr("*", "min(g) OVER (PARTITION BY tok) AS g1", "max(g) OVER (PARTITION BY tok) AS g2").where("g1 <> g2").drop("g1", "g2")
-    more = materialise(_sets.verified(_sets.pairs(apart, rule, ordered=False), sets, rule, ORDERS), "links")
+    more = materialise(_sets.verified_by_orders(_sets.pairs(apart, rule, ordered=False), sets, docs, rule, rarity, ORDERS), "links")
     reach = _sets.components(links.union(more))
     # a component's name is its smallest document, which may be in any of its classes
     members = reach.join(first.select(F.col("k1").alias("v"), "k2", "d"), "v")

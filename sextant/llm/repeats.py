@@ -39,25 +39,30 @@ LENGTH, ANCHOR = 100, 40
 #: An anchor of more pieces is cut into stretches of so many starts; bytes of one collection.
 HOT, STRETCH, COLLECTION = 2000, 16, 4 << 20
 SHARD_ANCHORS = 1 << 20
+#: A longer text is read in segments of so many starts; what an anchor is depends on the string alone.
+SEGMENT = 1 << 22
 NONE = 0xFF  # stands before a piece in the transform; UTF-8 never has it
-_PLACE = 26
 
 
-def runs(texts: list[bytes], hashes: bool = True) -> tuple[np.ndarray, ...]:
+def segments(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts and parts of long ones, with the text and the offset of each."""
+    cut = [(t[o : o + SEGMENT + LENGTH - 1], i, o) for i, t in enumerate(texts) for o in range(0, max(1, len(t)), SEGMENT)]
+    parts, of, offset = zip(*cut, strict=True)
+    return list(parts), np.array(of), np.array(offset)
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """The pieces of the texts: text, first and last start in it, anchor's place in it, anchor's hash; and the joined bytes."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     n = len(data) - LENGTH + 1
-    if n <= 0 or len(data) >= 1 << _PLACE:
-        if len(data) >= 1 << _PLACE and len(texts) > 1:
-            raise ValueError("a run of texts is too long")
-        if n <= 0:
-            return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), data, begin
+    if n <= 0:
+        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), data, begin
     sums = prefix_sums(data, TABLE)
     at = np.arange(len(data) - ANCHOR + 1)
     grams = range_hashes(sums, at, at + ANCHOR)
-    bits = max(_PLACE, int(len(data)).bit_length())
+    bits = len(data).bit_length()  # a hash's low bits give way to the place
     least = (grams & ~np.uint64((1 << bits) - 1)) | at.astype(np.uint64)
     width, reach = LENGTH - ANCHOR + 1, 1
     while reach * 2 <= width:
@@ -163,12 +168,18 @@ def covered(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for at, texts in chunks(batch.column("text").cast(pa.binary()).to_pylist()):
-                yield batch, at, *runs(texts)
+                parts, part_of, offset = segments(texts)
+                # a few segments at a time, so that a long text doesn't make long arrays
+                last = 0
+                for end in [*(np.flatnonzero(np.diff(np.cumsum(list(map(len, parts))) // SEGMENT)) + 1).tolist(), len(parts)]:
+                    if end > last:
+                        yield batch, at + part_of[last:end], offset[last:end], *runs(parts[last:end])
+                    last = end
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held(bits, shard_of)
         for found in each(batches):
-            yield from held.add(found[6], np.ones(len(found[6]), np.uint64))
+            yield from held.add(found[7], np.ones(len(found[7]), np.uint64))
         yield from held.flush()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +194,8 @@ def covered(docs: DataFrame) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {s: (map_array(f"{folder}/hash-{s}", np.uint64), map_array(f"{folder}/hot-{s}", bool)) for s in there}
         seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        for batch, at, of, first, last, spot, anchor, data, begin in each(batches):
-            d, th = (batch.column(c).to_numpy()[at + of] for c in ("d", "th"))
+        for batch, row, offset, of, first, last, spot, anchor, data, begin in each(batches):
+            d, th = (batch.column(c).to_numpy()[row[of]] for c in ("d", "th"))
             shard = shard_of(anchor)
             twice, hot = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
             order = np.argsort(anchor)
@@ -202,16 +213,16 @@ def covered(docs: DataFrame) -> DataFrame:
             def put(key: int, i: int, a: int, b: int) -> None:
                 """The starts a to b of the text of run i, once a task for equal bytes."""
                 base = int(begin[of[i]])
-                piece = raw[base + a : base + b + LENGTH]
-                known, mine = seen.get((key, piece)), (int(d[i]), a, int(th[i]))
+                piece, s = raw[base + a : base + b + LENGTH], int(offset[of[i]]) + a
+                known, mine = seen.get((key, piece)), (int(d[i]), s, int(th[i]))
                 if known is None:
                     seen[key, piece] = mine
                 elif mine[:2] > known[:2]:
-                    rows.append((key, mine[0], mine[2], a, b - a + 1, 0, None))
+                    rows.append((key, mine[0], mine[2], s, b - a + 1, 0, None))
                     return
                 elif mine[:2] < known[:2]:  # what was sent before is covered by this one where it arrives
                     seen[key, piece] = mine
-                rows.append((key, mine[0], mine[2], a, b - a + 1, int(spot[i]) - a, piece))
+                rows.append((key, mine[0], mine[2], s, b - a + 1, int(spot[i]) - a, piece))
 
             for i in np.flatnonzero(twice).tolist():
                 a, b, p = int(first[i]), int(last[i]), int(spot[i])

@@ -82,6 +82,13 @@ def test_hot_anchor_is_cut(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_long_texts_are_read_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 150)
+    r = random.Random(11)
+    passage = prose(r, 70)
+    check(spark, [(i, prose(r, r.randint(0, 90)) + passage[r.randint(0, 9) :] + "q" * r.randint(0, 400)) for i in range(12)])
+
+
 def test_nulls_short_repeated_and_clashing(spark):
     text = "x" * 99
     check(spark, [(1, None), (2, ""), (3, text), (4, text + "x"), (5, text + "xx"), (6, "é" * 49 + "e"), (7, "é" * 50), (8, "é" * 51)])

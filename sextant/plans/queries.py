@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fts
+from ..functions.embed import embed, embedded, hashed
 from ..functions.text import column, search_keywords, tokens
 from ..operators import export, ingest, lifecycle
 from ..operators.answer import extractive_answer
@@ -331,3 +332,32 @@ def answer(spark, d):
 def vec_by_label(spark, d):
     rows = table(spark, d, "embeddings").where("vec_id <> 0").select("label", cosine_distance(F.col("embedding"), _query_vector(spark, d)).alias("x"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 9).alias("nearest"))
+
+
+@query(
+    "WITH "
+    + _SQL_FTS.format(hit=_OR)
+    + "SELECT chunk_id, fts_score, text ILIKE '%that%' AS has_text, left(text, 220) AS preview FROM fts JOIN documents ON doc_id = chunk_id ORDER BY fts_score DESC, chunk_id LIMIT 10"
+)
+def fts_debug(spark, d):
+    """The best hits with a plain substring test beside them."""
+    docs = table(spark, d, "documents")
+    best = _term_top(docs, False).select("chunk_id", "fts_score").orderBy(F.desc("fts_score"), "chunk_id").limit(10)
+    texts = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").ilike("%that%").alias("has_text"), F.left("text", F.lit(220)).alias("preview"))
+    return texts.join(F.broadcast(best), "chunk_id").select("chunk_id", "fts_score", "has_text", "preview")
+
+
+@query()
+def embedded_search(spark, d):
+    """Chunks embedded by the hashed provider and searched by an embedded question."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    vectors = embedded(docs, hashed, "hashed@1").select("chunk_id", "embedding")
+    return vector_top(vectors, embed([QUESTION], hashed(), "query")[0], N2, 6)
+
+
+@query("SELECT 'repeated doc_id' AS rule, count(*)::BIGINT AS n FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'repeated text', count(*)::BIGINT FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1) HAVING count(*) > 0")
+def repeated_keys(spark, d):
+    """Uniqueness rules as counts of repeated keys."""
+    docs = table(spark, d, "documents")
+    rule = lambda c: docs.groupBy(c).count().where("count > 1").agg(F.lit(f"repeated {c}").alias("rule"), F.count(F.lit(1)).alias("n"))
+    return rule("doc_id").unionByName(rule("text")).where("n > 0")

@@ -144,3 +144,35 @@ def test_queries_equal_their_sql(spark, sf_small):
         columns = [c[0] for c in cursor.description]
         want = sorted(tuple(plain(r[columns.index(c)]) for c in order) for r in cursor.fetchall())
         assert got == want, name
+
+
+def test_embeddings():
+    import numpy as np
+
+    from sextant.functions.embed import embed, hashed, model_name
+
+    got = np.array(embed(["um dois", "", "um dois"] * 20, hashed(16), "passage"))
+    assert np.allclose(np.linalg.norm(got, axis=1), 1) and (got[0] == got[2]).all()
+    assert model_name("a/b@rev") == "a/b"
+    with pytest.raises(ValueError, match="role"):
+        embed(["x"], hashed(), "other")
+
+
+def test_warehouse(spark, tmp_path):
+    from sextant.operators.warehouse import Warehouse
+
+    home = Warehouse(spark, str(tmp_path / "kb"))
+    home.bootstrap()
+    home.bootstrap()
+    jobs = lifecycle.enqueue(home.read("jobs"), spark.createDataFrame([("a",)], "payload string"), "index", NOW)
+    home.append("jobs", jobs)
+    home.replace("jobs", lifecycle.settled(home.read("jobs"), 1, "done", NOW))
+    assert [r["status"] for r in home.read("jobs").collect()] == ["done"]
+    with pytest.raises(ValueError, match="confirmed"):
+        home.reset("elsewhere")
+    home.reset(home.path)
+    assert home.read("jobs").count() == 0
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("x")
+    with pytest.raises(ValueError, match="other files"):
+        Warehouse(spark, str(tmp_path / "other")).bootstrap()

@@ -4,7 +4,7 @@ A record is a text (or a line) as the set of its word shingles, each a 64-bit ha
 a class, known by two 64-bit sums over its tokens (k1, k2); classes, not records, are joined. Tokens
 stand in one global order: by how often their slot of a count table over the whole corpus was hit,
 then by hash. Two sets of the asked similarity share a token among their first (prefix) tokens, at
-places that leave enough tokens behind it. The table has SLOTS bytes, whatever the corpus; a coarser
+places that leave enough tokens behind it. The table has Rule.slots bytes, whatever the corpus; a coarser
 table only makes the order less good, never the join less exact.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ._bytes import Words, chunks, mix
 from ._runtime import materialise, prepare
 
-SLOTS, SLICES = 1 << 22, 64
+SLICES = 64
 #: Bits of the parity bitmaps, and the largest group of records compared in one task.
 BITMAP_WORDS, BLOCK = 4, 2048
 
@@ -35,6 +35,7 @@ class Rule:
     a: int
     b: int
     lines: bool
+    slots: int = 1 << 22
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - (self.a * n + self.b - 1) // self.b + 1
@@ -82,7 +83,7 @@ def occurrences(words: Words, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.nd
 def records(words: Words, rule: Rule, rarity: np.ndarray) -> Records:
     """The records with at least one word; rarity: the table's bytes."""
     text, line, tokens, of = occurrences(words, rule)
-    place = (rarity[tokens & np.uint64(SLOTS - 1)].astype(np.uint64) << np.uint64(56)) | (mix(tokens) >> np.uint64(8))
+    place = (rarity[tokens & np.uint64(rule.slots - 1)].astype(np.uint64) << np.uint64(56)) | (mix(tokens) >> np.uint64(8))
     order = np.argsort(place)
     own = of[order].astype(np.uint16 if len(text) < 65536 else np.int64)
     order = order[np.argsort(own, kind="stable")]
@@ -109,8 +110,8 @@ def each_run(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
             yield batch, first, Words(run)
 
 
-def reduce_slices(parts: DataFrame, how: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> dict[int, np.ndarray]:
-    """Fold the (slice, packed 32-bit numbers) rows of all tasks; the result has a fixed size."""
+def reduce_slices(parts: DataFrame, how: Callable[[np.ndarray, np.ndarray], np.ndarray], last: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> dict[int, bytes]:
+    """Fold the (slice, packed 32-bit numbers) rows of all tasks, last of all by last; the result has a fixed size."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -119,10 +120,10 @@ def reduce_slices(parts: DataFrame, how: Callable[[np.ndarray, np.ndarray], np.n
                 part = np.frombuffer(pa.decompress(blob, size, "zstd"), np.uint32)
                 held[s] = how(held[s], part) if s in held else part
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["slice", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([last(v).tobytes() for v in held.values()], pa.binary())], names=["slice", "blob"])
 
     found = parts.repartition("slice").mapInArrow(fold, "slice int, blob binary")
-    return {r["slice"]: np.frombuffer(r["blob"], np.uint32) for r in found.collect()}
+    return {r["slice"]: bytes(r["blob"]) for r in found.collect()}
 
 
 def packed(slices: np.ndarray) -> pa.RecordBatch:
@@ -137,20 +138,22 @@ PACKED = "slice int, size long, blob binary"
 
 
 def rarity_table(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """SLOTS bytes: sixteen times the logarithm of each slot's hits over all texts."""
+    """rule.slots bytes: eight times the logarithm of each slot's hits over all texts."""
+    slots = rule.slots
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = np.zeros(SLOTS, np.uint32)
+        hits = np.zeros(slots, np.uint32)
         for _, _, words in each_run(batches):
-            tokens = occurrences(words, rule)[2]
-            hits += np.bincount((tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            slot, n = np.unique(occurrences(words, rule)[2] & np.uint64(slots - 1), return_counts=True)
+            hits[slot.astype(np.int64)] += n.astype(np.uint32)
         yield packed(hits)
 
     add = lambda x, y: np.minimum(x.astype(np.uint64) + y, 0xFFFFFFFF).astype(np.uint32)
-    table = np.zeros((SLICES, SLOTS // SLICES), np.uint32)
-    for s, part in reduce_slices(docs.select("text").mapInArrow(count, PACKED), add).items():
-        table[s] = part
-    return np.minimum(255, np.rint(np.log2(table.ravel() + 1.0) * 8)).astype(np.uint8)
+    scaled = lambda x: np.minimum(255, np.rint(np.log2(x + 1.0) * 8)).astype(np.uint8)
+    table = np.zeros((SLICES, slots // SLICES), np.uint8)
+    for s, part in reduce_slices(docs.select("text").mapInArrow(count, PACKED), add, scaled).items():
+        table[s] = np.frombuffer(part, np.uint8)
+    return table.ravel()
 
 
 #: A filter has 16 bits an id up to this size, 16 MB.
@@ -174,7 +177,7 @@ def bloom(ids: DataFrame, count: int) -> np.ndarray:
 
     table = np.zeros((SLICES, bits // 32 // SLICES), np.uint32)
     for s, part in reduce_slices(ids.mapInArrow(mark, PACKED), np.bitwise_or).items():
-        table[s] = part
+        table[s] = np.frombuffer(part, np.uint32)
     return table.ravel()
 
 
@@ -279,7 +282,7 @@ def candidate_sets(docs: DataFrame, rule: Rule, rarity, wanted: DataFrame, order
 def pairs(rows: DataFrame, rule: Rule, ordered: bool) -> DataFrame:
     """r1, r2: pairs of classes that share a token and pass the length, place and bitmap filters.
 
-    rows: tok, r, n, pos, df, bitmap, g, at, at2, open. Rows of equal g are not paired; where ordered, at
+    rows: tok, r, n, pos, df, bitmap, g, and where ordered at, at2, open. Rows of equal g are not paired; at
     and at2 rank the classes, the later must be open, and comes first in the pair. A token of many rows is
     cut into blocks, and each pair of blocks is compared in a task of its own.
     """
@@ -305,7 +308,8 @@ def pairs(rows: DataFrame, rule: Rule, ordered: bool) -> DataFrame:
             yield from group(rest)
 
     def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        tok, r, n, pos, g, at, at2, is_open, b, b1, b2 = (table[c].to_numpy() for c in ("tok", "r", "n", "pos", "g", "at", "at2", "open", "b", "b1", "b2"))
+        tok, r, n, pos, g, b, b1, b2 = (table[c].to_numpy() for c in ("tok", "r", "n", "pos", "g", "b", "b1", "b2"))
+        at, at2, is_open = (table[c].to_numpy() for c in ("at", "at2", "open")) if ordered else (None, None, None)
         bitmap = pc.list_flatten(table["bitmap"]).to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS)
         change = np.concatenate([[True], (tok[1:] != tok[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])])
         run_of = np.cumsum(change) - 1
@@ -349,7 +353,7 @@ def stars(rows: DataFrame, rule: Rule, best: int) -> DataFrame:
 
     Only a first try that spares most comparisons: pairs() finds whatever this leaves out.
     """
-    spec = "OVER (PARTITION BY tok ORDER BY at, at2, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    spec = f"OVER (PARTITION BY tok ORDER BY {", ".join(c for c in ("at", "at2", "r") if c in rows.columns)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     led = rows.selectExpr("r AS r1", "n", "pos", "bitmap", f"first(struct(r, n, pos, bitmap)) {spec} AS f").where("r1 <> f.r")
     apart = sum((F.bit_count(F.get("bitmap", F.lit(i)).bitwiseXOR(F.get("f.bitmap", F.lit(i)))) for i in range(BITMAP_WORDS)), F.lit(0))
     led = led.withColumn("apart", apart)
@@ -413,7 +417,7 @@ def begin(docs: DataFrame, rule: Rule, orders: int = 0) -> tuple:
     orders are to be intersected first), and the rarity table."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
-    rarity = spark.sparkContext.broadcast(rarity_table(docs, rule))  # SLOTS bytes whatever the input
+    rarity = spark.sparkContext.broadcast(rarity_table(docs, rule))  # rule.slots bytes whatever the input
     found = materialise(scan(docs, rule, rarity), "records")
     index = materialise(entries(found), "index")
     first = found.where("d IS NOT NULL AND n > 0").groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("f"), F.any_value("n").alias("n"), F.count(F.lit(1)).alias("members")).selectExpr("k1", "k2", "f.d AS d", "f.l AS l", "n", "members")

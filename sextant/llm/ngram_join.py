@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from . import _sets
 from ._runtime import materialise
 
-RULE = _sets.Rule(k=3, a=9, b=10, lines=False)
+RULE = _sets.Rule(k=3, a=9, b=10, lines=False, slots=1 << 24)
 ORDERS, TRIES = 2, 2
 
 
 def linked(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     found, first, index, sets, rarity = _sets.begin(docs, rule, ORDERS)
-    rows = index.join(sets.selectExpr("k1 AS r", "bitmap", "d AS at", "l AS at2"), "r").withColumn("open", F.lit(True))
+    rows = index.join(sets.selectExpr("k1 AS r", "bitmap"), "r")
     rows = materialise(rows, "rows")
     links = materialise(_sets.verified_by_orders(_sets.stars(rows, rule, TRIES), sets, docs, rule, rarity, ORDERS), "links")
     known = _sets.components(links)

@@ -1,14 +1,19 @@
 """Benchmark decontamination, with DataFrame operations only (operator 8).
 
 Words are lower-cased (A-Z) runs without white space; shingles are five words, and an item or window
-is the multiset of its shingles. A document's windows have an item's number of words and are placed
-so that a shingle they share stands where the item has it (cut off at the text's ends). A window
-and its item get 64-bit SimHashes; these are cut into RADIUS + 1 blocks, so any two fingerprints
-within RADIUS agree in a block and meet in an equi-join on it. Those within RADIUS are compared
-exactly: weighted Jaccard, each shingle weighing its number of occurrences, of at least 4/5.
+is the multiset of its shingles. A document's windows have an item's number of words (cut off at the
+text's ends) and start anywhere; those that hold as many of an item's shingles as the similarity
+asks for, in any order, are found by an equi-join on shingles. Such a window and its item get 64-bit
+SimHashes; these are cut into RADIUS + 1 blocks, so any two fingerprints within RADIUS agree in a block
+and meet in an equi-join on it. Those within RADIUS are compared exactly: weighted Jaccard, each
+shingle weighing its number of occurrences, of at least 4/5.
 Fingerprints of such a pair differ in 10 bits on average (deviation 3), so RADIUS, five deviations
 more, loses none in practice.
 
+Windows beside a leak are leaks as well. Rows are the leaks that have a shingle where the item has it, as
+OP8_SQL defines them; of windows that reach the similarity without such a shingle (an item with parts
+swapped), OP8_SQL has none, and one row, the most similar, stands for each run of starts.
+
 Items of fewer than five words, null texts and null item ids match nothing. Null doc_ids take part
 as their own document; rows that repeat an id and text count once, as do repeated items. Item
 shingles are broadcast only while there are at most BROADCAST_SHINGLES of them; beyond, they are
@@ -17,7 +22,7 @@ joined by shuffle. Columns other than ids and texts are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K, RADIUS, BITS = 5, 24, 64
@@ -66,40 +71,73 @@ def prepared_items(benchmark: DataFrame) -> DataFrame:
     return rows.withColumns({"item_hash": simhash(F.col("h")), "item_set": F.array_sort("h")}).withColumn("item_set", counted(F.col("item_set")))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, th, item_id, m, start and the sorted shingles of each window placed by a shared shingle.
+def starts(places: Column, size: Column, least: float) -> Column:
+    """All starts whose window of size shingles holds at least least * size of the sorted places, each once.
+
+    A window with n of them in common is at most n / size similar to its item, so no other start reaches
+    least. Those at places i to i + need - 1 fit windows from the last one's end to the first one's start;
+    what lies before place i - 1 is left to it.
+    """
+    need = F.greatest(F.ceil(size * F.lit(least) - F.lit(1e-6)), F.lit(1)).cast("int")
+
+    def span(i: Column) -> Column:
+        low = F.greatest(F.get(places, i + need - 1) - size + 1, F.coalesce(F.get(places, i - 1) + 1, F.lit(-(1 << 31)).cast("int")))
+        return F.when(low <= F.get(places, i), F.sequence(low, F.get(places, i))).otherwise(F.array().cast("array<int>"))
+
+    last = F.size(places) - need
+    return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), span))).otherwise(F.array().cast("array<int>"))
+
+
+def windows(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, th, item_id, m, start, the sorted shingles of each window with enough of the item's, and
+    whether one of them stands as in the item.
 
     The outer form of posexplode keeps the optimizer from inferring a filter on the array's size,
     which would split the text again for every word; the null row it adds joins nothing.
     """
     places = items.select("item_id", "m", F.posexplode_outer("h").alias("q", "s"))
+    if places.count() <= BROADCAST_SHINGLES:
+        places = F.broadcast(places)
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).select("doc_id", "th", shingles(F.col("w")).alias("h"))
+    hits = rows.select("doc_id", "th", F.posexplode_outer("h").alias("pos", "s")).join(places, "s")
+    held = hits.groupBy("doc_id", "th", "item_id", "m").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.collect_set(F.col("pos") - F.col("q")).alias("inplace"))
+    held = held.withColumn("starts", starts(F.col("places"), F.col("m") - K + 1, least)).where(F.size("starts") > 0)
+    found = held.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.collect_list(F.struct("item_id", "m", "starts", "inplace")).alias("held"))
+    # the few texts left are split again, each once
+    left = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h")))
+    left = left.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "held", words(F.col("text")).alias("w")).select("doc_id", "th", "held", shingles(F.col("w")).alias("h"))
+    left = left.select("doc_id", "th", "h", F.inline_outer("held")).select("doc_id", "th", "h", "item_id", "m", "inplace", F.explode_outer("starts").alias("start"))
     cut = F.slice("h", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("m") - K + 1 + F.least(F.col("start"), F.lit(0)))
-    start = (F.col("pos") - F.col("q")).alias("start")
-    key = ["doc_id", "th", "item_id", "m", "start"]
-    if places.count() <= BROADCAST_SHINGLES:
-        hits = rows.select("*", F.posexplode_outer("h").alias("pos", "s")).join(F.broadcast(places), "s").select("doc_id", "th", "item_id", "m", start, "h")
-    else:
-        found = rows.select("doc_id", "th", F.posexplode_outer("h").alias("pos", "s")).join(places, "s").select("doc_id", "th", "item_id", "m", start).distinct()
-        found = found.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "item_id", "m", "start")
-        hits = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h"))).drop("__d", "__h")
-    return hits.groupBy(key).agg(F.array_sort(F.any_value(cut)).alias("win"))
+    return left.select("doc_id", "th", "item_id", "m", "start", F.array_contains("inplace", F.col("start")).alias("aligned"), F.array_sort(cut).alias("win"))
+
+
+def distinct_places(found: DataFrame) -> DataFrame:
+    """The aligned windows, and of each run of starts without one the most similar, the first of equals,
+    unless it overlaps an aligned one."""
+    key = ["doc_id", "th", "item_id", "m"]
+    by = Window.partitionBy(key).orderBy("start")
+    inplace = F.when(F.col("aligned"), F.col("start"))
+    found = found.withColumns({"run": F.col("start") - F.dense_rank().over(by), "before": F.max(inplace).over(by.rowsBetween(Window.unboundedPreceding, 0)), "after": F.min(inplace).over(by.rowsBetween(0, Window.unboundedFollowing))})
+    best = F.max(F.struct(F.col("similarity"), -F.col("start"))).over(Window.partitionBy(*key, "run"))
+    clear = F.coalesce(F.col("start") - F.col("before") >= F.col("m"), F.lit(True)) & F.coalesce(F.col("after") - F.col("start") >= F.col("m"), F.lit(True))
+    found = found.withColumn("best", F.struct(F.col("similarity"), -F.col("start")) == best)
+    return found.where(F.col("aligned") | (F.col("best") & clear))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, th (hash of the text), item_id, start (word number), n_words, hamming and similarity of each leak."""
     items = prepared_items(benchmark)
-    found = windows(docs.where("text IS NOT NULL"), items).where(F.size("win") > 0)
+    found = windows(docs.where("text IS NOT NULL"), items, least).where(F.size("win") > 0)
     prints = found.withColumn("print", simhash(F.col("win")))
     key = ["item_id", "block", "value"]
     left = prints.select("*", F.inline(blocks(F.col("print"))))
     right = items.select("item_id", "item_hash", F.inline(blocks(F.col("item_hash"))))
     near = left.join(right, key).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_hash")))).where(F.col("hamming") <= RADIUS)
-    near = near.groupBy("doc_id", "th", "item_id", "m", "start").agg(F.any_value("win").alias("win"), F.any_value("hamming").alias("hamming"))
+    near = near.groupBy("doc_id", "th", "item_id", "m", "start", "aligned").agg(F.any_value("win").alias("win"), F.any_value("hamming").alias("hamming"))
     out = near.join(items.select("item_id", "m", "item_set"), ["item_id", "m"])
     common = F.size(F.array_intersect(counted(F.col("win")), "item_set"))
     similarity = common / (F.size("win") + F.size("item_set") - common)
-    out = out.withColumn("similarity", similarity.cast("double")).where(F.col("similarity") >= least)
+    out = distinct_places(out.withColumn("similarity", similarity.cast("double")).where(F.col("similarity") >= least))
     return out.select("doc_id", "th", "item_id", F.col("start").cast("int").alias("start"), F.col("m").alias("n_words"), F.col("hamming").cast("int").alias("hamming"), "similarity")
 
 

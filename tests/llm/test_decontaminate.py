@@ -1,6 +1,7 @@
 """Decontamination: planted items, the guarantee of the blocks, odd rows, the plan."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +64,39 @@ def test_plan_is_native(spark):
     docs, items = (spark.createDataFrame([(1, "a b c d e f")], f"{c} long, text string") for c in ("doc_id", "item_id"))
     plan = dc.leaks(docs, items)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def all_starts(text, item):
+    """Similarity of every start, cut off at the text's ends, that reaches 0.8; by brute force."""
+    w, v = text.lower().split(), item.lower().split()
+    h, b = ([tuple(x[i : i + 5]) for i in range(len(x) - 4)] for x in (w, v))
+    found = {}
+    for s in range(1 - len(b), len(h)):
+        win, want = Counter(h[max(s, 0) : max(s + len(b), 0)]), Counter(b)
+        common = (win & want).total()
+        if b and common / (win.total() + len(b) - common) >= 0.8:
+            found[s] = common / (win.total() + len(b) - common)
+    return found
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_displaced_parts(spark, monkeypatch, limit):
+    monkeypatch.setattr(dc, "BROADCAST_SHINGLES", limit)
+    r = random.Random(11)
+    items = [(i, prose(r, n)) for i, n in enumerate((59, 59, 120, 30, 6, 200))] + [(6, "a b " * 20)]
+    docs = []
+    for i in range(80):
+        body = items[i % 7][1].split()
+        cut = 12 if i < 7 else r.randint(0, len(body) // 3)
+        body = body[cut:] + body[:cut]  # the first words at the end
+        if i % 5 == 4:
+            del body[len(body) // 2]
+        docs.append((i, f"{prose(r, r.randint(0, 70))} {' '.join(body)} {prose(r, r.randint(0, 70))}"))
+    docs.append((80, f"{items[0][1]} {docs[0][1]}"))  # in place, and with parts swapped
+    want = {(i, j): f for i, t in docs for j, b in items if (f := all_starts(t, b))}
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == set(want) and (0, 0) in want
+    assert all(abs(want[x["doc_id"], x["item_id"]][x["start"]] - x["similarity"]) < 1e-12 for x in got)
+    swapped = [x for x in got if x["doc_id"] == 0]
+    assert len(swapped) == 1 and swapped[0]["similarity"] == max(want[0, 0].values()) and swapped[0]["similarity"] == pytest.approx(0.864, abs=5e-4)
+    assert len([x for x in got if x["doc_id"] == 80]) == 2

@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm import bpe, decontaminate, line_dedup, ngram_join, quality
+from sextant.llm import _sets, bpe, decontaminate, line_dedup, ngram_join, quality
 from sextant.llm._runtime import materialise
 
+#: Near copies: Jaccard similarity of at least 4/5 over five-word shingles. Operator 1 has its own rule.
+COPIES = _sets.Rule(k=5, a=4, b=5, lines=False, slots=1 << 24)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.linked(docs.select("doc_id", "text"))
+    groups = ngram_join.linked(docs.select("doc_id", "text"), COPIES)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -30,3 +30,23 @@ def test_stages_keep_the_columns(spark, sf_small):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(40)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_small).columns == docs.columns
+
+
+def test_copies_by_five_words(spark):
+    """Near copies of 5 to 13 % other words, in a block or scattered, against brute force over five-word shingles at 0.8."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(6))
+    rows = []
+    for block, edits in ((60, 0), (80, 0), (100, 0), (130, 0), (0, 18), (0, 22), (0, 26)):
+        one = [word() for _ in range(1000)]
+        two = [word() for _ in range(block)] + one[block:]
+        for i in r.sample(range(5, 995), edits):
+            two[i] = word()
+        rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    want = {i for i in shingles if not any(5 * len(shingles[i] & shingles[j]) >= 4 * len(shingles[i] | shingles[j]) for j in range(i))}
+    assert {1, 3, 5, 9} & want == set() and {7, 13} <= want
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.copies_stage(spark, docs, "").collect()} == want

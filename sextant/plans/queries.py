@@ -315,9 +315,9 @@ def kw_extract(spark, d):
 
 @query()
 def slugs(spark, d):
-    """Slug and accent-free form of each document's first line."""
+    """Slug of each document's first line and SHA-256 of its whole text without accents."""
     line = F.split("text", "\n", 2)[0]
-    return table(spark, d, "documents").select("doc_id", column("slug")(line).alias("slug"), column("strip_accents")(line).alias("plain"))
+    return table(spark, d, "documents").select("doc_id", column("slug")(line).alias("slug"), F.sha2(column("strip_accents")(F.col("text")), 256).alias("plain_sha256"))
 
 
 @query()

@@ -176,3 +176,13 @@ def test_warehouse(spark, tmp_path):
     (tmp_path / "other" / "file").write_text("x")
     with pytest.raises(ValueError, match="other files"):
         Warehouse(spark, str(tmp_path / "other")).bootstrap()
+
+
+def test_slugs_read_whole_texts(spark, tmp_path):
+    import hashlib
+
+    texts = [(1, "Título\ncorpo único"), (2, "Título\ncorpo outro"), (3, "a\n"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["slug"], r["plain_sha256"]) for r in entry.queries()["slugs"](spark, str(tmp_path)).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: ("titulo", digest("Titulo\ncorpo unico")), 2: ("titulo", digest("Titulo\ncorpo outro")), 3: ("a", digest("a\n")), 4: ("secao", None)}

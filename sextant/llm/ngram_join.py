@@ -4,9 +4,9 @@ A document is the set of its distinct shingles of RULE.k words, lower-cased A-Z;
 whole sequence is one shingle; without words the set is empty and links with nothing. Two link when
 the Jaccard similarity is at least RULE.a / RULE.b. Candidates share a prefix token under the rarity
 order (filtered by length, place and a parity bitmap), and must share one under each of ORDERS
-further hash orders before their sets are compared exactly. First each class of equal sets tries the
-first documents of its groups; then every pair that is not yet connected is compared, so no link
-between different texts that joins two components is lost.
+further hash orders before their sets are compared exactly. Every such pair of classes of
+equal sets is compared, block by block, so no link between different texts is lost. Links are counted
+by classes, copies are not paired.
 
 Null ids take part in nothing and get a null component; rows that repeat an id are rows of the
 result. Columns other than doc_id and text are ignored.
@@ -21,30 +21,29 @@ from . import _sets
 from ._runtime import materialise
 
 RULE = _sets.Rule(k=3, a=9, b=10, lines=False, slots=1 << 24)
-ORDERS, TRIES = 2, 2
+ORDERS = 2
 
 
 def linked(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs."""
+    """doc_id, n_shingles, component_id and n_links (other rows it links with) of every row of docs."""
     found, first, index, sets, rarity = _sets.begin(docs, rule, ORDERS)
     rows = index.join(sets.selectExpr("k1 AS r", "bitmap"), "r")
     rows = materialise(rows, "rows")
-    links = materialise(_sets.verified_by_orders(_sets.stars(rows, rule, TRIES), sets, docs, rule, rarity, ORDERS), "links")
-    known = _sets.components(links)
-    apart = rows.join(known.selectExpr("v AS r", "c"), "r", "left").withColumn("g", F.coalesce("c", "r")).drop("c")
-    apart = apart.selectExpr("*", "min(g) OVER (PARTITION BY tok) AS g1", "max(g) OVER (PARTITION BY tok) AS g2").where("g1 <> g2").drop("g1", "g2")
-    more = materialise(_sets.verified_by_orders(_sets.pairs(apart, rule, ordered=False), sets, docs, rule, rarity, ORDERS), "links")
-    reach = _sets.components(links.union(more))
+    links = materialise(_sets.verified_by_orders(_sets.pairs(rows.withColumn("g", F.col("r")), rule, ordered=False), sets, docs, rule, rarity, ORDERS), "links")
+    reach = _sets.components(links)
+    # a link of two classes is one of each two of their members
+    both = links.select(F.col("r1").alias("v"), F.col("r2").alias("w")).union(links.select("r2", "r1"))
+    others = both.join(first.select(F.col("k1").alias("w"), "members"), "w").groupBy("v").agg(F.sum("members").alias("others"))
     # a component's name is its smallest document, which may be in any of its classes
-    members = reach.join(first.select(F.col("k1").alias("v"), "k2", "d"), "v")
-    named = members.join(members.groupBy("c").agg(F.min("d").alias("component")), "c").select(F.col("v").alias("k1"), "k2", "component")
-    alone = first.join(named.select("k1", "k2"), ["k1", "k2"], "left_anti").where("members > 1").selectExpr("k1", "k2", "d AS component")
+    members = reach.join(first.select(F.col("k1").alias("v"), "k2", "d", "members"), "v").join(others, "v")
+    named = members.join(members.groupBy("c").agg(F.min("d").alias("component")), "c").select(F.col("v").alias("k1"), "k2", "component", F.expr("members - 1 + others AS n_links"))
+    alone = first.join(named.select("k1", "k2"), ["k1", "k2"], "left_anti").where("members > 1").selectExpr("k1", "k2", "d AS component", "members - 1 AS n_links")
     out = found.join(named.union(alone), ["k1", "k2"], "left")
-    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component", "d")).alias("component_id"))
+    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component", "d")).alias("component_id"), F.when(F.col("d").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
 
 
 _SETS_SQL = r"""

@@ -97,3 +97,19 @@ def test_prefix_and_overlap_bounds(n):
     need = -(-9 * n // 10)
     assert int(rule.prefix(n)) == n - need + 1
     assert rule.overlap(2 * n) == -(-18 * n // 19)
+
+
+def test_number_of_links(spark, monkeypatch):
+    monkeypatch.setattr(_sets, "BLOCK", 4)
+    base = [f"t{i}" for i in range(120)]
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 120, 8)]  # all pairs link
+    rows = list(enumerate([*near, *near[:3], *corpus_texts(random.Random(4), 60)]))
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {i: sum(bool(s) and j != i and 10 * len(s & t) >= 9 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+    assert want[0] == 17
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.linked(df).collect()} == want
+
+
+def corpus_texts(r, n):
+    return [t for _, t in corpus(r, n)]

@@ -63,7 +63,7 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def chunks(texts: Iterable[bytes | None], size: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[bytes | None], size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about size bytes, each with the index of its first; null is empty."""
     first, held, total = 0, [], 0
     for i, text in enumerate(texts):

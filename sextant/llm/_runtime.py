@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch: texts can be long, and a batch must fit a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: texts can be long, and a batch must fit a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 4096, 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches for tables of texts."""
+    """Bound the Arrow batches for tables of texts. The session keeps the bounds: results are worked out later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,7 +55,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df._scratch)
 
 
 def with_columns(schema: T.StructType, new: list[tuple[str, T.DataType]]) -> T.StructType:
@@ -68,3 +77,15 @@ def replaced(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     names = {n.lower() for n in new}
     kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n.lower() not in names]
     return pa.RecordBatch.from_arrays([c for _, c in kept] + list(new.values()), names=[n for n, _ in kept] + list(new))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df has not, whatever their case."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        there.add(name.lower())
+        out.append(name)
+    return out

@@ -1,14 +1,18 @@
 """Line dedup by an exact set-similarity join (operator 10).
 
-A line's tokens are its distinct shingles of five words, lower-cased A-Z; a line of fewer words is
-one token; a line without words is never removed. Tokens are ordered by rarity, candidates pass the
-prefix, length and place filters, and Jaccard similarity of at least 4/5 is verified on whole sets. A
-line goes when any earlier line (smaller doc_id, or the same text and a smaller line number) matches
-it; lines are judged on the input, not on what is left.
+A line's tokens are its distinct words, lower-cased A-Z; a line without words is never removed. Tokens are
+ordered by rarity; candidates share a prefix token (a frequent one of a line of up to RULE.double words: two
+of them) and pass the length, place and parity-bitmap filters; Jaccard similarity of at least 4/5 is verified on
+whole sets. A line goes when any earlier line (smaller doc_id, or the same id and a smaller line number)
+matches it; lines are judged on the input, not on what is left.
+
+Equal sets are one class, of which the first line stays. Each class is first compared with the nearest earlier
+ones of its index keys; only classes that this leaves are compared with all their candidates.
 
 Null texts stay null; null ids take part in nothing and keep their text. Rows that repeat an id and
-text count once; lines of different texts with one id are earlier or later by their line number.
-Extra columns pass through; n_lines, n_removed and kept of the input are replaced.
+text count once; lines of different texts with one id are earlier or later by their line number. A task's
+memory follows the longest text (about 50 bytes a byte). Extra columns pass through; n_lines, n_removed
+and kept of the input are replaced.
 """
 
 from __future__ import annotations
@@ -18,55 +22,94 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _sets
-from ._runtime import materialise
+from ._runtime import materialise, prepare, release, replaced, unused, with_columns
 
-RULE = _sets.Rule(k=5, a=4, b=5, lines=True)
+RULE = _sets.Rule(k=1, a=4, b=5, lines=True, slots=1 << 24, words=1, double=64)
 TRIES = 2
 
 
 def repeated_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """d, th and the sorted numbers of the lines that go, for each text that has any."""
-    found, first, index, sets, _ = _sets.begin(docs, rule)
-    rows = index.join(sets.selectExpr("k1 AS r", "bitmap", "d AS at", "l AS at2"), "r")
-    rows = materialise(rows.withColumn("g", F.col("r")), "rows")
-    tried = materialise(_sets.verified(_sets.stars(rows, rule, TRIES), sets, rule), "links").selectExpr("r1 AS r").distinct()
-    left = rows.join(tried.withColumn("closed", F.lit(True)), "r", "left").withColumn("open", F.col("closed").isNull()).drop("closed")
-    left = left.selectExpr("*", "bool_or(open) OVER (PARTITION BY tok) AS any").where("any").drop("any")
-    more = materialise(_sets.verified(_sets.pairs(left, rule, ordered=True), sets, rule), "links").selectExpr("r1 AS r")
-    gone = tried.union(more).distinct().selectExpr("r AS k1", "true AS near")
-    known = first.selectExpr("k1", "k2", "d AS d0", "l AS l0", "members").join(gone, "k1", "left").where("members > 1 OR near")
-    hit = found.where("d IS NOT NULL").join(known, ["k1", "k2"]).where("near OR d <> d0 OR l <> l0")
+    docs = docs.select("doc_id", "text")
+    rarity, found, first = _sets.begin(docs, rule)
+    near = materialise(_sets.nearest_earlier(found, rule), "near")
+    tries = near.where("r2 IS NOT NULL").groupBy("r1", "r2").agg(F.min("apart").alias("apart"), F.count(F.lit(1)).alias("hits"))
+    tries = tries.selectExpr("r1", "r2", "row_number() OVER (PARTITION BY r1 ORDER BY apart, hits DESC, r2) AS place").where(F.col("place") <= TRIES).select("r1", "r2")
+    gone = materialise(_later(docs, rule, rarity, first, materialise(tries, "tries")), "gone")
+    left = near.groupBy("r1").agg(F.bool_or("more").alias("more"), F.count_distinct("r2").alias("tried")).where(f"more OR tried > {TRIES}")
+    left = materialise(left.select(F.col("r1").alias("r")).join(gone.select(F.col("v.k1").alias("r")), "r", "left_anti"), "left")
+    release(near)
+    if left.take(1):
+        gone = gone.union(materialise(_later(docs, rule, rarity, first, materialise(_all_pairs(found, left, rule), "pairs")), "gone"))
+    near = gone.select("v.k1", "v.k2", F.lit(True).alias("near")).distinct()
+    known = first.selectExpr("k1", "k2", "d AS d0", "l AS l0", "members").join(near, ["k1", "k2"], "left").where("members > 1 OR near")
+    hit = found.where("d IS NOT NULL").select("d", "th", "l", "k1", "k2").join(known, ["k1", "k2"]).where("near OR d <> d0 OR l <> l0")
     return hit.groupBy("d", "th").agg(F.array_sort(F.collect_set("l")).alias("lines"))
 
 
+def _later(docs: DataFrame, rule: _sets.Rule, rarity, first: DataFrame, candidates: DataFrame) -> DataFrame:
+    """v: the later class of each candidate pair whose sets match."""
+    named = candidates.select(F.col("r1").alias("k1")).union(candidates.select("r2")).distinct()
+    wanted = materialise(first.join(named, "k1", "left_semi").select("d", "l", "k1", "k2"), "wanted")
+    sets = materialise(_sets.candidate_sets(docs, rule, rarity, wanted).dropDuplicates(["k1", "k2"]), "sets")
+    links = _sets.verified(candidates, sets, rule)
+    at = sets.select(_sets.key().alias("v"), F.struct("d", "l").alias("at"))
+    links = links.join(at, "v").join(at.select(F.col("v").alias("w"), F.col("at").alias("at2")), "w")
+    return links.where("at <> at2").select(F.when(F.col("at") > F.col("at2"), F.col("v")).otherwise(F.col("w")).alias("v")).distinct()
+
+
+def _all_pairs(found: DataFrame, left: DataFrame, rule: _sets.Rule) -> DataFrame:
+    """The candidate pairs of the classes in left with all others."""
+    own = found.where(F.size("keys") > 0).join(left, F.col("k1") == F.col("r"), "left_semi")
+    toks = materialise(own.select(F.explode("keys").alias("tok")).distinct(), "toks")
+    wanted = found.sparkSession.sparkContext.broadcast(_sets.bloom(toks, toks.count()))  # at most BLOOM_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_sets.in_bloom(wanted.value, batch.column("tok"))))
+
+    rows = _sets.entries(found)
+    rows = rows.mapInArrow(run, rows.schema).join(toks, "tok", "left_semi").groupBy("tok", "r", "n", "place", "bits").agg(F.min(F.struct("d", "l")).alias("at"))
+    rows = rows.join(left.withColumn("open", F.lit(True)), "r", "left").select("tok", "r", "n", "place", "at.d", "at.l", F.array("bits").alias("bitmap"), F.coalesce("open", F.lit(False)).alias("open"), F.col("r").alias("g"))
+    return _sets.pairs(rows.selectExpr("*", "count(*) OVER (PARTITION BY tok) AS df"), rule, ordered=True)
+
+
 def without_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """docs with n_lines, n_removed and kept: the text without its repeated lines."""
-    docs = docs.drop("n_lines", "n_removed", "kept")
+    new = [("n_lines", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]
+    docs = docs.drop(*(n for n, _ in new))
+    prepare(docs.sparkSession)
     gone = materialise(repeated_lines(docs, rule), "gone")
     touched = docs.sparkSession.sparkContext.broadcast(_sets.bloom(gone.select("d"), gone.count()))  # at most BLOOM_BITS
+    own_id, d, th, lines = unused(docs, "id", "d", "th", "lines")
+    keyed = docs.withColumn(own_id, F.col("doc_id").cast("long"))
 
     def some(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(_sets.in_bloom(touched.value, batch.column(batch.num_columns - 1)) == wanted))
+                yield batch.filter(pa.array(_sets.in_bloom(touched.value, batch.column(own_id)) == wanted))
 
-        id_column = "__id"
-        return docs.withColumn(id_column, F.col("doc_id").cast("long")).mapInArrow(run, docs.withColumn(id_column, F.col("doc_id").cast("long")).schema).drop(id_column)
+        return keyed.mapInArrow(run, keyed.schema)
 
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     # texts that surely lose nothing are not shuffled
-    whole = some(False).withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long"), "kept": F.col("text")})
-    cut = _cut(some(True), gone)
-    return whole.unionByName(cut.withColumn("n_lines", n_lines).select(whole.columns))
+    whole = some(False).drop(own_id).withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long"), "kept": F.col("text")})
+    lists = gone.select(F.col("d").alias(d), F.col("th").alias(th), F.col("lines").alias(lines))
+    joined = some(True).join(lists, (F.col(own_id) == F.col(d)) & (F.xxhash64("text") == F.col(th)), "left").drop(d, th, own_id)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, numbers in zip(batch.column("text").to_pylist(), batch.column(lines).to_pylist(), strict=True):
+                split, out = ([] if text is None else text.split("\n")), set(numbers or ())
+                rows.append((len(split), len(out), text if not out else "\n".join(x for i, x in enumerate(split) if i not in out)))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield replaced(batch.drop_columns([lines]), {n: pa.array(x, k) for (n, _), x, k in zip(new, columns, (pa.int64(), pa.int64(), pa.string()), strict=True)})
 
-def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    lists = gone.select(F.col("d").alias("__d"), F.col("th").alias("__h"), F.col("lines").alias("__lines"))
-    out = docs.join(lists, (F.col("doc_id").cast("long") == F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("__lines", i)), "\n")
-    return out.withColumns({"n_removed": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"), "kept": F.when(F.col("__lines").isNull(), F.col("text")).otherwise(kept)}).drop("__d", "__h", "__lines")
+    return whole.unionByName(joined.mapInArrow(cut, with_columns(docs.schema, new)))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +121,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = r"""
 lines AS MATERIALIZED (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {docs})),
 lw AS MATERIALIZED (SELECT doc_id, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines),
-ls AS MATERIALIZED (
-  SELECT doc_id, i, list_sort(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct([w[j] || ' ' || w[j + 1] || ' ' || w[j + 2] || ' ' || w[j + 3] || ' ' || w[j + 4] for j in range(1, len(w) - 3)]) END) AS s FROM lw WHERE len(w) > 0),
+ls AS MATERIALIZED (SELECT doc_id, i, list_sort(list_distinct(w)) AS s FROM lw WHERE len(w) > 0),
 lc AS MATERIALIZED (SELECT s, min((doc_id, i)) AS f, row_number() OVER () AS c FROM ls GROUP BY s),
-lt AS MATERIALIZED (SELECT c, unnest(s) AS t FROM lc),
-lsh AS MATERIALIZED (SELECT c, t FROM lt WHERE t IN (SELECT t FROM lt GROUP BY t HAVING count(*) > 1)),
-li AS (SELECT a.c AS x, b.c AS y, count(*) AS n FROM lsh a JOIN lsh b ON a.t = b.t AND a.c <> b.c GROUP BY ALL),
-lnear AS (SELECT DISTINCT x FROM li JOIN lc a ON a.c = x JOIN lc b ON b.c = y WHERE b.f < a.f AND 5 * n >= 4 * (len(a.s) + len(b.s) - n)),
+lt AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS t FROM lc),
+lf AS MATERIALIZED (SELECT t, count(*) AS df FROM lt GROUP BY t),
+lp AS MATERIALIZED (SELECT c, n, t FROM (SELECT c, n, t, df, row_number() OVER (PARTITION BY c ORDER BY df, t) AS pos FROM lt JOIN lf USING (t)) WHERE df > 1 AND pos <= n - ceil(4 * n / 5) + 1),
+li AS MATERIALIZED (SELECT DISTINCT a.c AS x, b.c AS y FROM lp a JOIN lp b ON a.t = b.t AND a.c < b.c AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+lnear AS (SELECT DISTINCT CASE WHEN a.f > b.f THEN x ELSE y END AS x FROM li JOIN lc a ON a.c = x JOIN lc b ON b.c = y
+  WHERE a.f <> b.f AND 9 * len(list_intersect(a.s, b.s)) >= 4 * (len(a.s) + len(b.s))),
 lgone AS MATERIALIZED (SELECT doc_id, i FROM ls JOIN lc USING (s) WHERE (doc_id, i) <> f OR c IN (SELECT x FROM lnear))
 """
 OP10_SQL = (

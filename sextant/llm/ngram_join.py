@@ -3,13 +3,17 @@
 A document is the set of its distinct shingles of RULE.k words, lower-cased A-Z; with fewer words the
 whole sequence is one shingle; without words the set is empty and links with nothing. Two link when
 the Jaccard similarity is at least RULE.a / RULE.b. Candidates share a prefix token under the rarity
-order (filtered by length, place and a parity bitmap), and must share one under each of ORDERS
-further hash orders before their sets are compared exactly. Every such pair of classes of
-equal sets is compared, block by block, so no link between different texts is lost. Links are counted
-by classes, copies are not paired.
+order, at sizes and places that allow a link, and must share one under each of ORDERS further hash
+orders before their sets are compared exactly.
+
+Equal sets are one class. Classes that share most of their prefix tokens with one other class form a
+cluster, whose sets meet in one task (large clusters: each two blocks in one); pairs are filtered, compared
+and counted there, and a task gives a row a class, not a row a pair. Pairs across clusters are found in
+the index and joined with their sets. No link between different texts is lost; copies are not paired.
 
 Null ids take part in nothing and get a null component; rows that repeat an id are rows of the
-result. Columns other than doc_id and text are ignored.
+result. Texts are hashed whole, so a task's memory follows the longest text (about 50 bytes a byte).
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _sets
-from ._runtime import materialise
+from ._runtime import materialise, release
 
 RULE = _sets.Rule(k=3, a=9, b=10, lines=False, slots=1 << 24)
 ORDERS = 2
@@ -26,22 +30,49 @@ ORDERS = 2
 
 def linked(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows it links with) of every row of docs."""
-    found, first, index, sets, rarity = _sets.begin(docs, rule, ORDERS)
-    rows = index.join(sets.selectExpr("k1 AS r", "bitmap"), "r")
-    rows = materialise(rows, "rows")
-    links = materialise(_sets.verified_by_orders(_sets.pairs(rows.withColumn("g", F.col("r")), rule, ordered=False), sets, docs, rule, rarity, ORDERS), "links")
-    reach = _sets.components(links)
+    docs = docs.select("doc_id", "text")
+    rarity, found, first = _sets.begin(docs, rule)
+    index = materialise(_sets.shared(found, rule), "index")
+    clusters = materialise(_sets.clusters(index), "clusters")
+    near = materialise(_near(docs, rule, rarity, first, clusters), "near")
+    across = materialise(_across(docs, rule, rarity, found, first, index, clusters), "across")
+    release(index, clusters)
+    edges = near.where("p IS NOT NULL").select("v", F.col("p").alias("w")).union(across)
+    reach = _sets.components(edges)
     # a link of two classes is one of each two of their members
-    both = links.select(F.col("r1").alias("v"), F.col("r2").alias("w")).union(links.select("r2", "r1"))
-    others = both.join(first.select(F.col("k1").alias("w"), "members"), "w").groupBy("v").agg(F.sum("members").alias("others"))
+    sizes = first.select(_sets.key().alias("v"), "d", "members")
+    both = across.union(across.select("w", "v"))
+    others = near.select("v", "others").union(both.join(sizes.select(F.col("v").alias("w"), "members"), "w").select("v", "members")).groupBy("v").agg(F.sum("others").alias("others"))
     # a component's name is its smallest document, which may be in any of its classes
-    members = reach.join(first.select(F.col("k1").alias("v"), "k2", "d", "members"), "v").join(others, "v")
-    named = members.join(members.groupBy("c").agg(F.min("d").alias("component")), "c").select(F.col("v").alias("k1"), "k2", "component", F.expr("members - 1 + others AS n_links"))
+    members = reach.join(sizes, "v").join(others, "v")
+    names = members.groupBy("c").agg(F.min("d").alias("component"))
+    named = members.join(names, "c").select("v.k1", "v.k2", "component", F.expr("members - 1 + others AS n_links"))
     alone = first.join(named.select("k1", "k2"), ["k1", "k2"], "left_anti").where("members > 1").selectExpr("k1", "k2", "d AS component", "members - 1 AS n_links")
-    out = found.join(named.union(alone), ["k1", "k2"], "left")
+    out = found.select("k1", "k2", "d", "n").join(named.union(alone), ["k1", "k2"], "left")
     return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component", "d")).alias("component_id"), F.when(F.col("d").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
 
 
+def _near(docs: DataFrame, rule: _sets.Rule, rarity, first: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links inside the clusters, as _sets.within gives them."""
+    classes = first.join(clusters.withColumnRenamed("r", "k1"), "k1")
+    sizes = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("tokens")).where("classes > 1")
+    blocks = F.greatest(F.ceil(F.col("classes") / (_sets.BLOCK // 2)), F.ceil(F.col("tokens") / _sets.BLOCK_TOKENS)).cast("int")
+    wanted = materialise(classes.join(sizes.select("g", blocks.alias("blocks")), "g"), "wanted")
+    return _sets.within(_sets.candidate_sets(docs, rule, rarity, wanted), rule, ORDERS)
+
+
+def _across(docs: DataFrame, rule: _sets.Rule, rarity, found: DataFrame, first: DataFrame, index: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links (v, w) between classes of different clusters."""
+    rows = index.join(clusters, "r", "left").withColumn("g", F.coalesce("g", "r")).drop("lead")
+    rows = rows.selectExpr("*", "count(*) OVER (PARTITION BY tok) AS df", "min(g) OVER (PARTITION BY tok) AS g1", "max(g) OVER (PARTITION BY tok) AS g2").where("g1 <> g2").drop("g1", "g2")
+    bitmaps = found.where(F.size("bitmap") > 0).select(F.col("k1").alias("r"), "bitmap").dropDuplicates(["r"])
+    candidates = materialise(_sets.pairs(rows.join(bitmaps, "r"), rule, ordered=False), "pairs")
+    named = candidates.select(F.col("r1").alias("k1")).union(candidates.select("r2")).distinct()
+    wanted = materialise(first.join(named, "k1", "left_semi").select("d", "l", "k1", "k2"), "wanted")
+    sets = materialise(_sets.candidate_sets(docs, rule, rarity, wanted, ORDERS).dropDuplicates(["k1", "k2"]), "sets")
+    return _sets.verified(candidates, sets, rule, ORDERS)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
 

@@ -6,9 +6,8 @@ import re
 from sextant.llm import line_dedup
 
 
-def shingle_set(line):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else (frozenset([tuple(w)]) if w else frozenset())
+def word_set(line):
+    return frozenset(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
 
 
 def brute(rows):
@@ -16,7 +15,7 @@ def brute(rows):
     for i, text in sorted(rows, key=lambda r: r[0]):
         kept = []
         for line in (text or "").split("\n"):
-            s = shingle_set(line)
+            s = word_set(line)
             if not s or not any(5 * len(s & t) >= 4 * len(s | t) for t in seen):
                 kept.append(line)
             if s:

@@ -10,13 +10,19 @@ import numpy as np
 from pyarrow import fs
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+#: Names that Hadoop has for stores, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store and the path in it of a URI as Spark has it, or of an absolute path."""
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{mark}{rest}")
 
 
 def write_array(uri: str, array: np.ndarray) -> None:
     """A repeated or speculative task writes the same bytes; the last rename wins."""
-    store, path = _open(uri)
+    store, path = opened(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     own = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(own) as out:
@@ -26,7 +32,7 @@ def write_array(uri: str, array: np.ndarray) -> None:
 
 def map_array(uri: str, dtype) -> np.ndarray:
     """Read-only pages of the file; one in a remote store is copied to a local file that goes at once."""
-    store, path = _open(uri)
+    store, path = opened(uri)
     if store.get_file_info(path).size == 0:
         return np.zeros(0, dtype)
     if isinstance(store, fs.LocalFileSystem):

@@ -33,7 +33,7 @@ from ._store import map_array, write_array
 FOLDS, HELD_OUT = 7, 2
 END, START = np.uint64(0x0123456789ABCDEF), 0xFFFFFFFF
 #: Tokens that one shard of a table gets on average, and those a task holds before it passes them on.
-SHARD_TOKENS, HELD = 2_000_000, 6_000_000
+SHARD_TOKENS, HELD = 1_000_000, 2_000_000
 BLOB = "shard int, n long, keys binary, counts binary"
 
 

@@ -5,22 +5,24 @@ smaller id, or earlier in the same one. Strings are judged on the input and neve
 
 Each string of LENGTH bytes names an anchor, the ANCHOR bytes in it of the least hash (the leftmost
 of equals), so equal strings have the same anchor at the same place. Strings of one anchor that start
-next to each other form a piece. Only pieces whose anchor occurs twice are moved, to the task of their
-anchor, equal pieces once. There pieces that differ are cut into stretches around bytes that all
-their strings share; cuts of equal shared bytes that still differ are a collection whose Burrows-Wheeler
-transform is built column by column: each round inserts one symbol of every piece, and the transform
-goes through a file from round to round; further passes over it find which neighbours share LENGTH
-symbols. An anchor of very many pieces is cut by the bytes that all strings of one stretch share, so
-no anchor gathers in one task.
+next to each other form a piece. This only picks what is compared: pieces whose anchor occurs twice move to the
+task of their anchor, equal ones as one. There the different pieces of an anchor are documents of a
+collection whose Burrows-Wheeler transform is built column by column: each round inserts one symbol of every
+piece and updates the transform and the common prefixes of neighbours, both read and written from front
+to back in files of the shared folder. Neighbours of LENGTH common symbols begin with equal strings.
+
+Pieces of an anchor that occurs more than HOT times are cut by the bytes that all strings of one
+stretch share; what is still more than a collection can hold is dealt out string by string, so no anchor
+gathers in one task.
 
 Null texts are empty; null ids take no part and keep their text; of rows that repeat an id, equal
-starts do not count as earlier. Extra columns pass through, clashing ones are replaced.
+starts do not count as earlier. Long texts are read in segments; what is removed of one text is gathered
+where it is cut. Extra columns pass through, clashing ones are replaced.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +32,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import TABLE, chunks, mix, prefix_sums, range_hashes
-from ._runtime import materialise, prepare, replaced, scratch_path, with_columns
+from ._runtime import materialise, prepare, replaced, scratch_path, unused, with_columns
 from ._sets import bloom, in_bloom
-from ._store import map_array, write_array
+from ._store import map_array, opened, write_array
 from .kneser_ney import BLOB, Held, blob_rows, by_shard
 
 LENGTH, ANCHOR = 100, 40
 #: An anchor of more pieces is cut into stretches of so many starts; bytes of one collection.
 HOT, STRETCH, COLLECTION = 2000, 16, 4 << 20
 SHARD_ANCHORS = 1 << 20
+#: Symbols of the transform that are in memory at once; pieces that a task remembers.
+FILE_BLOCK, SEEN = 1 << 20, 60_000
 #: A longer text is read in segments of so many starts; what an anchor is depends on the string alone.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 19
 NONE = 0xFF  # stands before a piece in the transform; UTF-8 never has it
 
 
@@ -82,6 +86,35 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return of, first - begin[of], last - begin[of], spot - begin[of], grams[spot], data, begin
 
 
+class Order:
+    """The transform's symbols and the common prefixes of neighbours (at most LENGTH), in a file that is read and
+    written from front to back, block by block: a block's symbols, then its prefixes."""
+
+    def __init__(self, uri: str):
+        self.store, self.path = opened(uri)
+        self.size = 0
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        with self.store.open_input_stream(self.path) as source:
+            for at in range(0, self.size, FILE_BLOCK):
+                n = min(FILE_BLOCK, self.size - at)
+                both = np.frombuffer(source.read(2 * n), np.uint8)
+                yield both[:n], both[n:]
+
+    def write(self, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Another file takes this one's place when it is whole."""
+        new, size = f"{self.path}.{uuid.uuid4().hex}", 0
+        with self.store.open_output_stream(new) as out:
+            for symbols, common in parts:
+                out.write(np.concatenate([symbols, common]).data)
+                size += len(symbols)
+        self.store.move(new, self.path)
+        self.size = size
+
+    def delete(self) -> None:
+        self.store.delete_file(self.path)
+
+
 def suffix_classes(pieces: list[bytes], folder: str) -> list[np.ndarray]:
     """For each piece, the class of each start that has LENGTH bytes; equal strings have equal classes."""
     m = len(pieces)
@@ -90,70 +123,128 @@ def suffix_classes(pieces: list[bytes], folder: str) -> list[np.ndarray]:
     columns = np.full((longest + 1, m), NONE, np.uint8)  # column j: the symbol before the suffix of length j
     for i, piece in enumerate(pieces):
         columns[: len(piece), i] = np.frombuffer(piece, np.uint8)[::-1]
-    path = os.path.join(folder, "transform")
-    columns[0].tofile(path)
+    order = Order(f"{folder}/transform-{uuid.uuid4().hex}")
+    order.write((columns[0, i : i + FILE_BLOCK], np.zeros(min(FILE_BLOCK, m - i), np.uint8)) for i in range(0, m, FILE_BLOCK))
+    totals = np.bincount(columns[0], minlength=256)
     active, place = np.arange(m), np.arange(m)
     for j in range(1, longest + 1):
-        transform = np.fromfile(path, np.uint8)
         going = size[active] >= j
         active, place = active[going], place[going]
-        image = m + last_to_first(transform, place)
-        after = np.empty(len(transform) + len(active), np.uint8)
-        old = np.ones(len(after), bool)
-        old[image] = False
-        after[image] = columns[j][active]
-        after[old] = transform
-        after.tofile(path)
+        first = m + np.concatenate([[0], np.cumsum(totals)[:-1]])
+        image, common, fixes = inserted(order, place, first)
+        symbols = columns[j][active]
+        order.write(merged(order, image, symbols, common, *fixes))
+        totals += np.bincount(symbols, minlength=256)
         place = image
-    transform = np.fromfile(path, np.uint8)
-    order = np.argsort(transform, kind="stable").astype(np.int32)
-    symbols = transform[order]
-    used = int(np.searchsorted(symbols, NONE))  # the marks before whole pieces lead nowhere
-    order, symbols = order[:used], symbols[:used]
-    changed = np.ones(used, bool)
-    changed[1:] = symbols[1:] != symbols[:-1]
-    # neighbours that share one symbol more than last time: the same first symbol before suffixes of one group
-    group = np.arange(len(transform), dtype=np.int32)
-    group[m:] = m + np.cumsum(changed, dtype=np.int32)
-    for _ in range(LENGTH - 1):
-        before = group[order]
-        edge = changed.copy()
-        edge[1:] |= before[1:] != before[:-1]
-        np.cumsum(edge, dtype=np.int32, out=group[m:])
-        group[m:] += m
-    image = np.zeros(len(transform), np.int64)
-    image[order] = m + np.arange(used)
-    out = [np.zeros(max(0, s - LENGTH + 1), np.int64) for s in size.tolist()]
-    matrix = np.full((m, max(1, longest - LENGTH + 1)), -1, np.int64)
+    symbols, common = (np.concatenate(x) for x in zip(*order.blocks(), strict=True))
+    order.delete()
+    group = np.cumsum(common < LENGTH)
+    back = np.argsort(symbols, kind="stable")
+    back = back[: int(np.searchsorted(symbols[back], NONE))]  # the marks before whole pieces lead nowhere
+    image = np.zeros(len(symbols), np.int64)
+    image[back] = m + np.arange(len(back))
+    out = np.full((m, max(1, longest - LENGTH + 1)), -1, np.int64)
     active, place = np.arange(m), np.arange(m)
     for j in range(1, longest + 1):
         going = size[active] >= j
         active, place = active[going], image[place[going]]
         if j >= LENGTH:
-            matrix[active, size[active] - j] = group[place]
-    for i, own in enumerate(out):
-        own[:] = matrix[i, : len(own)]
-    return out
+            out[active, size[active] - j] = group[place]
+    return [out[i, : max(0, n - LENGTH + 1)] for i, n in enumerate(size.tolist())]
 
 
-def last_to_first(transform: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Where the symbols at the given places come among all symbols in order, equal ones by place."""
-    order = np.argsort(transform, kind="stable")
-    begin = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=256))])
-    symbol = transform[place]
-    out = np.empty(len(place), np.int64)
-    by = np.argsort(symbol, kind="stable")
-    cut = np.searchsorted(symbol[by], np.arange(257))
-    for c in np.flatnonzero(np.diff(cut)).tolist():
-        own = by[cut[c] : cut[c + 1]]
-        out[own] = begin[c] + np.searchsorted(order[begin[c] : begin[c + 1]], place[own])
+def inserted(order: Order, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Where the suffixes come that begin with the symbols at the given places, what each shares with the one
+    before it, and the places and common prefixes of those that a new one comes before.
+
+    first: where the suffixes of each first symbol begin. Two that follow each other there share one symbol
+    more than the least common prefix between the places of their first symbols.
+    """
+    by = np.argsort(place)
+    asked = place[by]
+    image, common = np.empty(len(place), np.int64), np.empty(len(place), np.uint8)
+    fixes: list[tuple[np.ndarray, np.ndarray]] = []
+    done, least = np.zeros(256, np.int64), np.full(256, 255, np.uint8)  # of each symbol: how often so far, least prefix since
+    was_new, at = np.zeros(256, bool), 0
+    for symbols, prefixes in order.blocks():
+        low, high = np.searchsorted(asked, [at, at + len(symbols)])
+        own = asked[low:high] - at
+        new = np.zeros(len(symbols), bool)
+        new[own] = True
+        where = np.argsort(symbols, kind="stable")
+        ordered = symbols[where]
+        used = int(np.searchsorted(ordered, NONE))
+        where, ordered = where[:used], ordered[:used]
+        start = np.searchsorted(ordered, np.arange(257))
+        leads = np.zeros(used, bool)  # the first of its symbol in this block
+        leads[start[:-1][np.diff(start) > 0]] = True
+        is_new = new[where]
+        after_new = np.concatenate([[False], is_new[:-1]])[:used]
+        after_new[leads] = was_new[ordered[leads]]
+        ask = np.flatnonzero(is_new | after_new)
+        symbol, spot = ordered[ask], where[ask]
+        share = np.empty(len(ask), np.uint8)
+        inside = ~leads[ask]
+        share[inside] = least_between(prefixes, where[ask[inside] - 1] + 1, spot[inside] + 1)
+        before = np.minimum.accumulate(prefixes)
+        edge = np.flatnonzero(~inside)
+        share[edge] = np.minimum(least[symbol[edge]], before[spot[edge]])
+        share = np.minimum(share, LENGTH - 1) + np.uint8(1)
+        share[edge[done[symbol[edge]] == 0]] = 0
+        come = first[symbol] + done[symbol] + ask - start[symbol]
+        mine = is_new[ask]
+        which = by[low + np.searchsorted(own, spot[mine])]
+        image[which], common[which] = come[mine], share[mine]
+        fixes.append((come[~mine], share[~mine]))
+        # what later blocks need to know
+        there = np.flatnonzero(np.diff(start[:NONE + 1]) > 0)
+        last = start[there + 1] - 1
+        behind = np.append(np.minimum.accumulate(prefixes[::-1])[::-1], np.uint8(255))
+        least = np.minimum(least, before[-1])
+        least[there] = behind[where[last] + 1]
+        was_new[there] = is_new[last]
+        done += np.bincount(symbols, minlength=256)
+        at += len(symbols)
+    return image, common, tuple(map(np.concatenate, zip(*fixes, strict=True)))
+
+
+def least_between(numbers: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least of numbers[begin:end] of each, none of them empty."""
+    by = np.argsort(-begin)  # so that the gaps between ranges cost nothing
+    out = np.empty(len(begin), numbers.dtype)
+    if len(by):
+        out[by] = np.minimum.reduceat(np.append(numbers, numbers[-1]), np.stack([begin[by], end[by]], axis=1).ravel())[::2]
     return out
 
 
+def merged(order: Order, image: np.ndarray, symbols: np.ndarray, common: np.ndarray, fixed: np.ndarray, fix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The blocks of the order with the new symbols and prefixes at their places, and corrected prefixes."""
+    by, by_fix, total = np.argsort(image), np.argsort(fixed), order.size + len(image)
+    image, symbols, common, fixed, fix = image[by], symbols[by], common[by], fixed[by_fix], fix[by_fix]
+    source = order.blocks()
+    held = [np.zeros(0, np.uint8)] * 2
+    for at in range(0, total, FILE_BLOCK):
+        n = min(FILE_BLOCK, total - at)
+        low, high = np.searchsorted(image, [at, at + n])
+        while len(held[0]) < n - (high - low):
+            held = [np.concatenate(x) for x in zip(held, next(source), strict=True)]
+        old = np.ones(n, bool)
+        old[image[low:high] - at] = False
+        out = []
+        for was, new in zip(held, (symbols, common), strict=True):
+            block = np.empty(n, np.uint8)
+            block[old], block[~old] = was[: n - (high - low)], new[low:high]
+            out.append(block)
+        held = [x[n - (high - low) :] for x in held]
+        low, high = np.searchsorted(fixed, [at, at + n])
+        out[1][fixed[low:high] - at] = fix[low:high]
+        yield out[0], out[1]
+
+
 #: off: how far the anchor lies behind the first start.
 ROW = "key long, d long, th long, s long, n int, off int, piece binary"
-#: Starts from s on, n of them, all repeated.
-COVERED = "d long, th long, s long, n int"
+#: Starts from s on, n of them, all repeated; or a string that is still to be compared.
+COVERED = "d long, th long, s long, n int, string binary"
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -236,13 +327,18 @@ def covered(docs: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 keys = np.array(columns[0], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c, pa.int64()) for c in columns[1:4]), *(pa.array(c, pa.int32()) for c in columns[4:6]), pa.array(columns[6], pa.binary())], names=["key", "d", "th", "s", "n", "off", "piece"])
-            if len(seen) > 200_000:
+            if len(seen) > SEEN:
                 seen.clear()
 
     found = docs.mapInArrow(pieces, ROW)
     # rows without bytes are settled; they only pass through
-    dealt = found.repartition(F.when(F.col("piece").isNull(), F.xxhash64("d", "s")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    return dealt.mapInArrow(compare, COVERED)
+    dealt = found.repartition(F.when(F.col("piece").isNull(), F.xxhash64("d", "s")).otherwise(F.col("key"))).sortWithinPartitions("key", "piece", "d", "s")
+    seen = materialise(dealt.mapInArrow(lambda batches: compare(batches, folder), COVERED), "covered")
+    out, rest = seen.where("string IS NULL").drop("string"), seen.where("string IS NOT NULL")
+    if rest.take(1):
+        rest = rest.repartition("string").sortWithinPartitions("string", "d", "s").mapInArrow(later, COVERED)
+        out = out.unionByName(materialise(rest.drop("string"), "covered"))
+    return out
 
 
 def stretches(off: int, n: int, piece: bytes) -> Iterator[tuple[int, int, int, bytes]]:
@@ -262,70 +358,78 @@ def _salted(key: int, g: int, core: bytes) -> int:
     return xxhash.xxh3_64_intdigest(core, (key + g * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated starts among the pieces of each key."""
-    out: list[tuple[int, int, int, int]] = []
-    waiting: list[list[tuple[bytes, tuple[int, int, int]]]] = []
-    waits = 0
-    key, group = None, {}
-
-    def made() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        out.clear()
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.int32())], names=["d", "th", "s", "n"])
-
-    def close() -> None:
-        """Cut the pieces that differ by stretch and shared bytes; of equal cuts the first stands for all."""
-        nonlocal waits
-        if len(group) > 1:
-            cuts: dict[tuple[int, bytes], dict[bytes, tuple[int, int, int]]] = {}
-            for piece, (d, s, th, off) in group.items():
-                for g, low, high, core in stretches(off, len(piece) - LENGTH + 1, piece):
-                    own, cut, mine = cuts.setdefault((g, core), {}), piece[low : high + LENGTH], (d, s + low, th)
-                    known = own.get(cut)
-                    if known is None or mine[:2] < known[:2]:
-                        own[cut], mine = mine, known
-                    if mine is not None and mine[:2] != own[cut][:2]:
-                        out.append((mine[0], mine[2], mine[1], high - low + 1))
-            for own in cuts.values():
-                if len(own) > 1:  # these share strings, if at all, in part
-                    waiting.append(list(own.items()))
-                    waits += sum(map(len, own))
-        group.clear()
+def spans_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary())], names=["d", "th", "s", "n", "string"])
+
+
+def compare(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """The repeated starts among the pieces of each key; rows come by key, piece, document and start."""
+    out: list[tuple] = []
+    waiting: list[tuple[bytes, tuple[int, int, int]]] = []  # different pieces of keys that have several
+    group: list[tuple[bytes, tuple[int, int, int]]] = []
+    key, size, waits, last = None, 0, 0, (None, None)
+
+    def strings(piece: bytes, at: tuple[int, int, int]) -> None:
+        out.extend((at[0], at[2], at[1] + i, 1, piece[i : i + LENGTH]) for i in range(len(piece) - LENGTH + 1))
 
     for batch in batches:
-        for k, d, th, s, n, off, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "th", "s", "n", "off", "piece")), strict=True):
+        for k, d, th, s, n, piece in zip(*(batch.column(c).to_pylist() for c in ("key", "d", "th", "s", "n", "piece")), strict=True):
             if piece is None:
-                out.append((d, th, s, n))
+                out.append((d, th, s, n, None))
                 continue
             if k != key:
-                close()
-                key = k
+                if len(group) > 1:
+                    waiting += group
+                    waits += size
+                key, group, size, last = k, [], 0, (None, None)
                 if waits > COLLECTION:
-                    out += _compared(waiting)
+                    out += _compared(waiting, folder)
                     waiting, waits = [], 0
-            known = group.get(piece)
-            if known is None:
-                group[piece] = (d, s, th, off)
-            elif (d, s) < known[:2]:
-                out.append((known[0], known[2], known[1], n))
-                group[piece] = (d, s, th, off)
-            elif (d, s) > known[:2]:
-                out.append((d, th, s, n))
+            if piece == last[0]:
+                if (d, s) > last[1][:2]:
+                    out.append((d, th, s, n, None))
+                continue
+            last = (piece, (d, s, th))
+            size += len(piece)
+            if size <= COLLECTION:
+                group.append(last)
+                continue
+            for x in (*group, last):  # too many for one collection
+                strings(*x)
+            group = []
+            if len(out) > 1 << 16:
+                yield spans_of(out)
+                out.clear()
         if len(out) > 1 << 16:
-            yield made()
-    close()
+            yield spans_of(out)
+            out.clear()
+    if len(group) > 1:
+        waiting += group
     if waiting:
-        out += _compared(waiting)
+        out += _compared(waiting, folder)
     if out:
-        yield made()
+        yield spans_of(out)
 
 
-def _compared(groups: list[list[tuple[bytes, tuple[int, int, int]]]]) -> list[tuple[int, int, int, int]]:
-    pieces = [p for g in groups for p, _ in g]
-    d, s, th = np.array([x for g in groups for _, x in g], np.int64).T
-    with tempfile.TemporaryDirectory() as folder:
-        classes = suffix_classes(pieces, folder)
+def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows by string, document and start, all but the first start of each string."""
+    string, first = None, (0, 0)
+    for batch in batches:
+        out = []
+        for d, th, s, own in zip(*(batch.column(c).to_pylist() for c in ("d", "th", "s", "string")), strict=True):
+            if own != string:
+                string, first = own, (d, s)
+            elif (d, s) > first:
+                out.append((d, th, s, 1, None))
+        if out:
+            yield spans_of(out)
+
+
+def _compared(pieces: list[tuple[bytes, tuple[int, int, int]]], folder: str) -> list[tuple]:
+    """The starts of pieces whose strings start earlier in another."""
+    d, s, th = np.array([x for _, x in pieces], np.int64).T
+    classes = suffix_classes([p for p, _ in pieces], folder)
     size = np.fromiter(map(len, classes), np.int64, len(classes))
     of = np.repeat(np.arange(len(classes)), size)
     start = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
@@ -340,35 +444,36 @@ def _compared(groups: list[list[tuple[bytes, tuple[int, int, int]]]]) -> list[tu
     edge[np.cumsum(size)[:-1]] = np.where(late[np.cumsum(size)[:-1]], 1, 0)  # a piece's stretch doesn't go on in the next
     begin = np.flatnonzero(edge == 1)
     end = np.array([i for i in np.flatnonzero(late) if i + 1 == len(late) or not late[i + 1] or of[i + 1] != of[i]], np.int64)
-    return list(zip(doc[begin].tolist(), th[of[begin]].tolist(), at[begin].tolist(), (end - begin + 1).tolist(), strict=True))
+    return [(*x, None) for x in zip(doc[begin].tolist(), th[of[begin]].tolist(), at[begin].tolist(), (end - begin + 1).tolist(), strict=True)]
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the bytes left)."""
     prepare(docs.sparkSession)
-    found = materialise(covered(docs), "covered")
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())]
-    ids = found.select("d").distinct()
+    docs = docs.drop(*(n for n, _ in new))
+    found = covered(docs)
+    ids = materialise(found.select("d").distinct(), "ids")
     touched = docs.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))  # at most BLOOM_BITS
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    own_id, d, th, covering = unused(docs, "id", "d", "th", "spans")
+    keyed = docs.withColumn(own_id, F.col("doc_id").cast("long"))
 
     def some(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(in_bloom(touched.value, batch.column("__id")) == wanted))
+                yield batch.filter(pa.array(in_bloom(touched.value, batch.column(own_id)) == wanted))
 
-        return keyed.mapInArrow(run, keyed.schema).drop("__id")
+        return keyed.mapInArrow(run, keyed.schema)
 
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b"").cast("binary"))
-    whole = some(False).withColumns({"n_bytes": F.length(body).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": body})
-    spans = found.groupBy(F.col("d").alias("__d"), F.col("th").alias("__h")).agg(F.collect_list(F.struct("s", "n")).alias("__spans"))
-    joined = some(True).join(spans, (F.col("doc_id").cast("long") == F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left").drop("__d", "__h")
+    whole = some(False).drop(own_id).withColumns({"n_bytes": F.length(body).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": body})
+    spans = found.groupBy(F.col("d").alias(d), F.col("th").alias(th)).agg(F.collect_list(F.struct("s", "n")).alias(covering))
+    joined = some(True).join(spans, (F.col(own_id) == F.col(d)) & (F.xxhash64("text") == F.col(th)), "left").drop(d, th, own_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, own in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column(covering).to_pylist(), strict=True):
                 data = np.frombuffer(text or b"", np.uint8)
                 depth = np.zeros(len(data) + 1, np.int64)
                 for x in own or ():
@@ -377,7 +482,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 gone = np.cumsum(depth[:-1]) > 0
                 rows.append((len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes()))
             n, removed, runs_, kept = zip(*rows, strict=True) if rows else ((), (), (), ())
-            rest = batch.drop_columns(["__spans"])
+            rest = batch.drop_columns([covering])
             yield replaced(rest, {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs_, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     return whole.unionByName(joined.mapInArrow(cut, with_columns(docs.schema, new)))

@@ -4,6 +4,8 @@ import hashlib
 import random
 import tempfile
 
+import pytest
+
 from sextant.llm import repeats
 
 L = repeats.LENGTH
@@ -38,7 +40,9 @@ def prose(r, n):
     return " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) for _ in range(n))
 
 
-def test_suffix_classes_equal_windows():
+@pytest.mark.parametrize("block", [1 << 20, 997, 61])
+def test_suffix_classes_equal_windows(monkeypatch, block):
+    monkeypatch.setattr(repeats, "FILE_BLOCK", block)  # blocks of the sequential file
     r = random.Random(2)
     base = prose(r, 80).encode()
     pieces = sorted({base[a : a + r.randint(60, 160)] for a in [r.randint(0, 120) for _ in range(60)]} | {b"a" * 150, b"a" * 130, b"ab" * 70})
@@ -82,6 +86,15 @@ def test_hot_anchor_is_cut(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_more_surroundings_than_a_collection_holds(spark, monkeypatch):
+    """A passage in very many different surroundings: cut by stretch, then dealt out string by string."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "COLLECTION", 1000)
+    r = random.Random(9)
+    passage = prose(r, 30)[:110]
+    check(spark, [(i, prose(r, 9) + passage + prose(r, 9)) for i in range(120)])
+
+
 def test_long_texts_are_read_in_segments(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 150)
     r = random.Random(11)

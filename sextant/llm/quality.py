@@ -1,15 +1,19 @@
 """Quality classifier by positive-unlabelled learning (operator 2).
 
 A logistic model over statistics of the whole text minimises the non-negative unbiased risk
-prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)): trusted positives are documents labelled of quality
-1, the unlabelled are web texts without a label. The class prior is the share of quality 1 among the
-labelled rows that may be learnt from. Only the text makes a score.
-
-The fit uses at most SAMPLE positives and SAMPLE unlabelled texts, those of the smallest hash of the
-id; every text is scored. Rows with crc32(doc_id as text) mod 5 = 0 are held out. A null or empty text
-is scored as the empty one; null ids are never learnt from and count as not held out; without any
-positive or unlabelled text the score is the prior (1/2 without labels). Repeated labels of one id:
-the smallest quality counts. Extra columns pass through, clashing ones are replaced.
+prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)): trusted positives are all documents labelled of quality
+1, the unlabelled are all texts without a label; documents labelled 0 teach nothing. With the logistic
+loss the risk without its bound is convex in the weights, so a few Newton steps find its minimum, each a pass
+over the stored statistics; a step that would make the negatives' risk negative is halved until it
+doesn't. The class prior is estimated from both samples: a first model tells positives from unlabelled
+texts, and no set of its scores may hold a smaller share of the unlabelled than prior times that of
+the positives. Only the text makes a score; nothing is sampled, tasks send sums.
+
+Rows with crc32(doc_id as text) mod 5 = 0 are held out. A null or empty text is scored as the empty
+one; null ids are never learnt from and count as not held out; without any positive or unlabelled text
+the score is 1/2. Repeated labels of one id: the smallest quality counts; repeated rows count as often
+as they occur. A task's memory follows the longest text (about 300 bytes a byte). Extra columns pass
+through, clashing ones are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import Words, chunks
-from ._runtime import prepare, replaced, with_columns
+from ._runtime import materialise, prepare, release, replaced, with_columns
 
-FOLDS, SAMPLE, THRESHOLD = 5, 20_000, 0.3
+FOLDS, THRESHOLD = 5, 0.3
+#: Passes over the statistics for one model, and weight of the squared weights in the risk: at least, and times the rows.
+STEPS, DECAY, SPREAD = 16, 1e-4, 10
+#: The prior is read off sets that hold this share of the positives at least, so that chance doesn't make it.
+POSITIVES = 0.5
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -86,59 +94,133 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weight + self.bias, -50, 50)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, decay: float = 1e-4) -> Model:
-    """Adam on the non-negative risk with logistic loss; deterministic."""
-    none = np.zeros(0)
-    if not len(positive) or not len(unlabelled):
-        return Model(none, none, none, prior)
-    both = np.concatenate([positive, unlabelled])
-    model = Model(both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6), none, 0.0)
-    p, u = model.design(positive), model.design(unlabelled)
-    w, m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
-    p, u = np.column_stack([p, np.ones(len(p))]), np.column_stack([u, np.ones(len(u))])
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for step in range(1, steps + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        negative = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
-        if negative >= 0:
-            grad = prior * ((sp - 1) @ p) / len(p) + (su @ u) / len(u) - prior * (sp @ p) / len(p)
-        else:  # the negatives' risk can't be below 0: step back from overfitting it
-            grad = -((su @ u) / len(u) - prior * (sp @ p) / len(p))
-        grad[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    model.weight, model.bias = w[:-1], float(w[-1])
-    return model
+def softplus(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, z)
+
+
+def minimised(sums, width: int, prior: float) -> np.ndarray:
+    """The weights (the last the bias) of least prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)).
+
+    sums(w): the number of positives and of unlabelled, of the positives the sums of x and of the loss as
+    negatives, and of the unlabelled those of the loss, its gradient and its Hessian, at w. As the losses of
+    a positive as negative and as positive differ by its score, the risk is mean_u(loss) - prior * mean_p(score).
+    """
+    w, best, before = np.zeros(width), np.zeros(width), np.inf
+    for _ in range(STEPS):
+        n_p, n_u, x_p, loss_p, loss_u, grad, hess = sums(w)
+        weight = DECAY + SPREAD / (n_p + n_u)
+        penalty = weight / 2 * (w[:-1] ** 2).sum()
+        risk = loss_u / n_u - prior * (x_p @ w) / n_p + penalty
+        if risk > before or loss_u / n_u < prior * loss_p / n_p:
+            if np.abs(w - best).max() < 1e-7:
+                break
+            w = (w + best) / 2
+            continue
+        if before - risk < 1e-9:
+            return w
+        best, before = w, risk
+        decay = np.append(np.full(width - 1, weight), 1e-9)
+        w = w - np.linalg.solve(hess / n_u + np.diag(decay), grad / n_u - prior * x_p / n_p + decay * w)
+    return best
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The largest share of the unlabelled that can be positives, from both histograms of one score."""
+    p, u = (np.cumsum(x[::-1]) / max(x.sum(), 1) for x in (positive, unlabelled))
+    some = p >= POSITIVES
+    return float(np.clip((u[some] / p[some]).min(), 0.01, 0.99)) if some.any() else 0.5
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def _features_of(docs: DataFrame) -> np.ndarray:
+WIDTH = features([b""]).shape[1]
+#: Tasks that add up the sums of all others before the driver does.
+ADDERS = 16
+
+
+def statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """x (the features) and positive of every text that may be learnt from."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column("text").cast(pa.binary()).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(list(features(texts)), pa.list_(pa.float64()))], names=["x"])
+            for at, texts in chunks(batch.column("text").cast(pa.binary()).to_pylist()):
+                x = features(texts).astype(np.float32)
+                rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), rows], names=["id", "x"])
+
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").where(~held_out(F.col("id")))
+    found = own.mapInArrow(run, "id long, x array<float>").join(known, "id", "left")
+    return found.where("quality IS NULL OR quality = 1").select("x", F.col("quality").isNotNull().alias("positive"))
 
-    rows = docs.select("text").mapInArrow(run, "x array<double>").toArrow()["x"].combine_chunks()
-    width = features([b""]).shape[1]
-    return rows.flatten().to_numpy().reshape(-1, width) if len(rows) else np.zeros((0, width))
 
+def total(rows: DataFrame, part, size: int) -> np.ndarray:
+    """The sum of part(x, positive) over all tasks, as size numbers."""
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, float]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                out += part(batch.column("x").flatten().to_numpy().reshape(-1, WIDTH).astype(float), batch.column("positive").to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for batch in batches:
+            for blob in batch.column("sums").to_pylist():
+                out += np.frombuffer(blob)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+    added = rows.mapInArrow(run, "sums binary").repartition(ADDERS).mapInArrow(add, "sums binary")
+    return sum((np.frombuffer(bytes(r["sums"])) for r in added.collect()), np.zeros(size))
+
+
+def fit(rows: DataFrame) -> tuple[Model, float]:
+    """The model and the class prior from x and positive of all rows."""
+    none = np.zeros(0)
+    moments = total(rows, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(axis=0), (x**2).sum(axis=0)]), 2 + 2 * WIDTH)
+    n, n_p = moments[:2]
+    if not 0 < n_p < n:
+        return Model(none, none, none, 0.5), 0.5
+    center = moments[2 : 2 + WIDTH] / n
+    model = Model(center, np.maximum(np.sqrt(np.maximum(moments[2 + WIDTH :] / n - center**2, 0)), 1e-4), none, 0.0)
+    width = 2 * WIDTH + 1
+
+    def sums(w: np.ndarray) -> tuple:
+        def part(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+            x = np.column_stack([model.design(x), np.ones(len(x))])
+            z = x @ w
+            chance = 1 / (1 + np.exp(-np.clip(z[~p], -500, 500)))
+            u = x[~p]
+            hess = (u * (chance * (1 - chance))[:, None]).T @ u
+            return np.concatenate([[p.sum(), (~p).sum(), softplus(z[p]).sum(), softplus(z[~p]).sum()], x[p].sum(axis=0), chance @ u, hess.ravel()])
+
+        out = total(rows, part, 4 + 2 * width + width * width)
+        return out[0], out[1], out[4 : 4 + width], out[2], out[3], out[4 + width : 4 + 2 * width], out[4 + 2 * width :].reshape(width, width)
+
+    # the positives as half of all: a model that only tells them from the unlabelled
+    w = minimised(sums, width, 0.5)
+
+    def histograms(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        chance = 1 / (1 + np.exp(-np.clip(model.design(x) @ w[:-1] + w[-1], -500, 500)))
+        place = np.minimum((chance * 1000).astype(int), 999)
+        return np.concatenate([np.bincount(place[p], minlength=1000), np.bincount(place[~p], minlength=1000)])
+
+    prior = estimated_prior(*total(rows, histograms, 2000).reshape(2, 1000))
+    w = minimised(sums, width, prior)
+    model.weight, model.bias = w[:-1], float(w[-1])
+    return model, prior
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model, float]:
     """The model and the class prior; docs: doc_id, text; labels: doc_id, quality."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    usable = known.where(~held_out(F.col("id")))
-    n, good = usable.select(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
-    prior = min(0.999, good / n) if n else 0.5
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").where(~held_out(F.col("id")))
-    smallest = lambda ids: ids.orderBy(F.xxhash64("id"), "id").limit(sample)
-    positives = smallest(usable.where("quality = 1").select("id"))
-    others = smallest(own.select("id").join(known.select("id"), "id", "left_anti").distinct())
-    # both lists hold at most sample ids
-    picked = [_features_of(own.join(F.broadcast(ids), "id", "left_semi")) for ids in (positives, others)]
-    return fit(*picked, prior), prior
+    prepare(docs.sparkSession)
+    rows = materialise(statistics(docs, labels), "statistics")
+    found = fit(rows)
+    release(rows)
+    return found
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -8,7 +8,9 @@ double precision from the original vectors; heaps merge the tiles' best. The res
 Vectors that are null, zero, or hold a null or non-finite component take no part, nor do null ids.
 Rows repeated with one id count once. Of equal vectors a tile keeps the k + 1 smallest ids: no query,
 itself possibly one of them, can use more. Vectors of another length than the query's are no
-candidates. With fewer than k candidates all are returned. Ties go to the smaller id.
+candidates. With fewer than k candidates all are returned. Ties go to the smaller id. Vectors are scaled
+by powers of two before anything is squared, so very large and very small ones have their cosines, too.
+Columns other than the id and the vector are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERY_ROWS, CANDIDATE_ROWS, TILE_ROWS = 8192, 65536, 1024
+#: Numbers of a tile's queries and candidates, and rows and candidates that are multiplied at once.
+QUERY_NUMBERS, CANDIDATE_NUMBERS, TILE_ROWS = 1 << 19, 1 << 22, 1024
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that the largest component is between a half and one."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
 def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +41,7 @@ def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of rows of doubles; equal rows always give equal numbers."""
+    """Cosines of scaled rows of doubles; equal rows always give equal numbers."""
     dot = np.einsum("ij,ij->i", a, b)
     return dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
@@ -48,7 +57,7 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     first = np.flatnonzero(np.concatenate([[True], same[by][1:] != same[by][:-1]]))
     place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
     kept = np.sort(by[place <= k])
-    ids, vectors = ids[kept], np.ascontiguousarray(vectors[kept])
+    ids, vectors, queries = ids[kept], scaled(vectors[kept]), scaled(queries)
     unit = lambda v: v / np.sqrt((v**2).sum(axis=1))[:, None]
     codes, scale, miss = _codes(unit(vectors))
     codes = codes.astype(np.float32)  # products of int8 codes are whole numbers that float32 holds exactly
@@ -78,8 +87,9 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     usable = F.col(vec_id).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(usable).withColumn("dim", F.size("v"))
     is_query = F.pmod("id", F.lit(every)) == 0
-    total, n_queries = df.select(F.count(F.lit(1)), F.count_if(F.pmod(F.col(vec_id).cast("long"), F.lit(every)) == 0)).first()
-    down, across = max(1, -(-n_queries // QUERY_ROWS)), max(1, -(-total // CANDIDATE_ROWS))
+    numbers = F.coalesce(F.size(F.col(vector)), F.lit(0)).cast("long")
+    total, all_numbers, query_numbers = df.select(F.count(F.lit(1)), F.coalesce(F.sum(numbers), F.lit(0)), F.coalesce(F.sum(F.when(F.pmod(F.col(vec_id).cast("long"), F.lit(every)) == 0, numbers)), F.lit(0))).first()
+    down, across = max(1, -(-query_numbers // QUERY_NUMBERS)), max(1, -(-all_numbers // CANDIDATE_NUMBERS))
     # more tasks than tiles of full size, as long as tiles stay worth their copies
     spread = df.sparkSession.sparkContext.defaultParallelism
     across = max(across, min(spread, -(-total // 2048)))
@@ -100,16 +110,35 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
 
     best = tiles.groupBy("dim", "i", "j").applyInPandas(run, "query_id long, vec_id long, score double")
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        heap: list[tuple[float, int]] = []
-        for score, i in zip(group["score"], group["vec_id"], strict=True):
-            heapq.heappush(heap, (score, -i))
-            if len(heap) > k:
-                heapq.heappop(heap)
-        top = sorted(heap, reverse=True)
-        return pd.DataFrame({"query_id": group["query_id"].iloc[0], "rank": range(1, len(top) + 1), "vec_id": [-i for _, i in top], "score": [s for s, _ in top]}).astype({"rank": "int32"})
-
-    return best.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by query; a heap holds the best of one."""
+        query, heap, out = None, [], []
+
+        def close() -> None:
+            out.extend((query, rank, -i, score) for rank, (score, i) in enumerate(sorted(heap, reverse=True), 1))
+            heap.clear()
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            for q, i, score in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vec_id", "score")), strict=True):
+                if q != query:
+                    close()
+                    query = q
+                heapq.heappush(heap, (score, -i))
+                if len(heap) > k:
+                    heapq.heappop(heap)
+            if len(out) > 1 << 14:
+                yield made()
+        close()
+        if out:
+            yield made()
+
+    return best.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

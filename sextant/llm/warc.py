@@ -7,7 +7,8 @@ its header, and gives back the original records.
 
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the largest id is the
 response and the others revisit it; all smaller ones are responses. A null payload is empty. A null
-id never is the largest; repeated ids with one payload are alike. A null address line is left out
+id never is the largest; rows that repeat an id are records of their own, alike if their payloads are. A payload
+may be as long as Spark's binary values (2 GB less a few bytes). A null address line is left out
 and line ends inside an address become %0D and %0A. Extra columns of the input are not archived.
 """
 
@@ -103,15 +104,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return out.select("record_id", "record_type", "uri", "refers_to", "n_bytes", "sha1", F.col("body").alias("payload"), F.concat(F.col("header"), block, F.lit(b"\r\n\r\n").cast("binary")).alias("record"))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """As read_records without the bytes: each payload is checked once, then only its digest is joined."""
-    return _joined(read_headers(spark, path), read_payloads(spark, path).drop("body")).drop("header", "declared", "address")
-
-
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return read_index(spark, path).select(F.col("record_id").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to")
+    # length and digest are those of the payload that the record was rebuilt with
+    return read_records(spark, path).select(F.col("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
 
 
 OP9_SQL = """

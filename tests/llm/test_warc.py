@@ -29,18 +29,18 @@ def test_rule_and_round_trip(spark):
         assert head.startswith(b"WARC/1.1\r\n") and block == (b"" if got[i]["record_type"] == "revisit" else body) + b"\r\n\r\n"
         assert f"Content-Length: {len(block) - 4}".encode() in head.split(b"\r\n")
         assert got[i]["uri"] == (url.replace("\r", "%0D").replace("\n", "%0A") if url else None)
-    assert spark.read.parquet(f"{path}/payloads").count() == 5
+    assert spark.read.parquet(f"{path}/payloads").count() == 4
 
 
 def test_null_and_repeated_ids(spark):
     path = rows_of(spark, [(None, "a", BIG), (4, "b", BIG), (4, "b", BIG)])
-    got = sorted((str(r["record_id"]), r["record_type"], r["refers_to"]) for r in warc.read_index(spark, path).collect())
+    got = sorted((str(r["record_id"]), r["record_type"], r["refers_to"]) for r in warc.read_records(spark, path).collect())
     assert got == [("4", "response", None), ("4", "response", None), ("None", "revisit", 4)]
 
 
 def test_empty_table_and_extra_columns(spark):
     path = rows_of(spark, [], "page_id long, url string, html string, address string, body string, header string")
-    assert warc.read_index(spark, path).collect() == []
+    assert warc.read_records(spark, path).collect() == []
     path = rows_of(spark, [(1, "a", BIG, "k", "k", "k")], "page_id long, url string, html string, address string, body string, header string")
     assert warc.read_records(spark, path).count() == 1
 
@@ -51,4 +51,4 @@ def test_a_changed_payload_is_an_error(spark):
     spark.read.parquet(f"{path}/payloads").selectExpr("address", "cast('other' as binary) AS body").write.parquet(f"{bad}/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{bad}/headers")
     with pytest.raises(Exception, match="differs from its digest"):
-        warc.read_index(spark, bad).collect()
+        warc.read_records(spark, bad).collect()

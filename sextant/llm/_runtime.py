@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,7 +55,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it again: cuts the lineage, outlives executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # hashes and texts repeat too little for dictionaries
+    df.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._scratch = path
     return found
@@ -66,6 +68,12 @@ def release(*tables: DataFrame) -> None:
         delete_path(df.sparkSession, df._scratch)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver drop plans that are done with: Spark then deletes their shuffle files, now and not at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_columns(schema: T.StructType, new: list[tuple[str, T.DataType]]) -> T.StructType:
     """schema with the new columns; those of the same name (whatever its case) are replaced."""
     names = {n.lower() for n, _ in new}

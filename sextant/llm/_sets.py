@@ -30,8 +30,8 @@ SLICES = 64
 BLOCK = 2048
 #: Rows that a task gathers before it compares groups, and tokens of the sets of one block of a cluster.
 GATHER, BLOCK_TOKENS = 1 << 16, 1 << 21
-#: Rank (eight times the logarithm of the hits) of a token that occurs once, and of a frequent one (512 times).
-ONCE, OFTEN = 8, 72
+#: Rank (eight times the logarithm of the hits) of a frequent token (512 times).
+OFTEN = 72
 
 
 @dataclass(frozen=True)
@@ -121,14 +121,14 @@ def only(rec: Records, which: Callable[[Records], np.ndarray]) -> Records:
 def keys(rec: Records, rule: Rule, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What the chosen records stand under in the index: the record, the key, and its token's place.
 
-    Tokens that occur once in the corpus can't be shared. Sets a little smaller than rule.double stand
-    under frequent tokens both alone and in twos, as they may match larger ones.
+    Sets a little smaller than rule.double stand under frequent tokens both alone and in twos, as they may
+    match larger ones.
     """
     count = np.where(which, rule.prefix(rec.n), 0)
     own, at = np.repeat(np.arange(len(count)), count), spans(rec.start, count)
     place, token, rank, n = at - rec.start[own], rec.tokens[at], rec.rank[at], rec.n[own]
     two = (rank >= OFTEN) & (n > 1) & (n <= rule.double)
-    one = (rank > ONCE) & (~two | (n * rule.b > rule.double * rule.a))
+    one = ~two | (n * rule.b > rule.double * rule.a)
     i = np.flatnonzero(two)
     behind = np.minimum(count[own[i]], n[i] - 1) - place[i]
     i, second = np.repeat(i, behind), spans(at[i] + 1, behind)
@@ -294,9 +294,9 @@ def scan(docs: DataFrame, rule: Rule, rarity) -> DataFrame:
 
 
 def entries(found: DataFrame) -> DataFrame:
-    """tok, place, r (k1), n, d, l and the first word of the bitmap: a row for each index key."""
-    rows = found.where(F.size("keys") > 0).select(F.col("k1").alias("r"), "n", "d", "l", F.get("bitmap", F.lit(0)).alias("bits"), F.arrays_zip("keys", "places").alias("e"))
-    return rows.select("*", F.inline("e")).withColumnsRenamed({"keys": "tok", "places": "place"}).drop("e")
+    """tok, place, r (k1), n: a row for each index key."""
+    rows = found.where(F.size("keys") > 0).select(F.col("k1").alias("r"), "n", F.arrays_zip("keys", "places").alias("e"))
+    return rows.select("r", "n", F.inline("e")).withColumnsRenamed({"keys": "tok", "places": "place"})
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int | None = None) -> Iterator[pa.Table]:
@@ -421,8 +421,8 @@ def by_order(tokens: np.ndarray, own: np.ndarray, i: int) -> tuple[np.ndarray, n
 
 def compared(last: np.ndarray, n: np.ndarray, place: np.ndarray, bitmap: np.ndarray, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """x, y, and in how many bits they differ: the pairs of each group (up to last) that pass the length, place
-    and bitmap filters. Sizes ascend in a group."""
-    left, shift = np.arange(len(n)), 0
+    and bitmap filters. Sizes ascend in a group, and the smaller set of a pair has the token near its begin."""
+    left, shift = np.flatnonzero(n - place >= rule.overlap(2 * n)), 0
     while True:
         shift += 1
         left = left[left + shift < last[left]]
@@ -449,50 +449,114 @@ def group_ends(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begin, size), np.repeat(begin + size, size)
 
 
-def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
-    """r1, r2, apart, more: for each key of a class, the earlier class of the nearest bitmap, and whether there
-    are more earlier ones. Groups beyond BLOCK are cut; their classes say so by a null r2."""
+#: Index entries of one shard on average, and those at which a task looks for groups to cut.
+SHARD, SHARD_MOST = 500_000, 3_000_000
+#: Nearest earlier classes that are kept of each key.
+KEPT = 4
+
+
+def packed_entries(found: DataFrame, rule: Rule, bits: int) -> DataFrame:
+    """shard, n, blob: the index entries of each task, by the key's first bits, column by column and compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        cut_before = None
         for table in gathered(batches):
-            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            tok = table["tok"].to_numpy()
-            cut = int(np.searchsorted(tok, tok[-1])) or (len(tok) if len(tok) >= GATHER else 0)
-            rest = table.slice(cut)
-            if cut:
-                yield kernel(table.slice(0, cut), cut_before)
-            if cut == len(tok):
-                cut_before = tok[-1]  # the next rows may be of this group, too
-        if rest is not None and rest.num_rows:
-            yield kernel(rest, cut_before)
-
-    def kernel(table: pa.Table, cut_before) -> pa.RecordBatch:
-        tok, n, r, d, line = (table[c].to_numpy() for c in ("tok", "n", "r", "d", "l"))
-        new = np.ones(len(tok), bool)  # a class comes once from each window that met it; the earliest counts
-        new[1:] = (tok[1:] != tok[:-1]) | (r[1:] != r[:-1]) | (n[1:] != n[:-1])
-        tok, n, r, d, line, place = (x[new] for x in (tok, n, r, d, line, table["place"].to_numpy()))
-        bitmap = table["bits"].to_numpy()[new].view(np.uint64).reshape(-1, 1)
+            count = pc.list_value_length(table["keys"]).to_numpy()
+            flat = lambda c: pc.list_flatten(table[c]).to_numpy()  # noqa: B023, E731
+            tok, place, words = flat("keys"), flat("places"), flat("bitmap").reshape(-1, rule.words)
+            own = np.repeat(np.arange(len(count)), count)
+            shard = (tok.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tok), np.int64)
+            order = np.argsort(shard.astype(np.uint16) if bits <= 16 else shard, kind="stable")
+            columns = [tok, *(table[c].to_numpy()[own] for c in ("k1", "n")), place, *(table[c].to_numpy()[own] for c in ("d", "l")), *(words[own, i] for i in range(rule.words))]
+            columns = [c[order].astype(np.int64) for c in columns]
+            cut = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
+            some = np.flatnonzero(np.diff(cut))
+            blobs = [planes([c[cut[i] : cut[i + 1]] for c in columns]) for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.diff(cut)[some]), pa.array(blobs, pa.binary())], names=["shard", "n", "blob"])
+
+    rows = found.where(F.size("keys") > 0).select("d", "l", "k1", "n", "bitmap", "keys", "places")
+    rows = rows.mapInArrow(run, "shard int, n long, blob binary")
+    return rows.repartition(min(1 << bits, 1 << 15), "shard").sortWithinPartitions("shard")
+
+
+def planes(columns: list[np.ndarray]) -> bytes:
+    """Numbers column by column, first bytes first."""
+    return pa.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), "zstd", asbytes=True)
+
+
+def numbers(blob: bytes, n: int, columns: int) -> list[np.ndarray]:
+    found = np.frombuffer(pa.decompress(blob, n * columns * 8, "zstd"), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in found]
+
+
+def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
+    """r1, r2, apart, more: for each key of a class, the KEPT earlier classes of the nearest bitmaps, and whether there
+    are more. Groups beyond BLOCK are cut; their classes say so by a null r2."""
+    size = found.agg(F.coalesce(F.sum(F.when(F.size("keys") > 0, F.col("n") * (rule.b - rule.a) / rule.b + 1)), F.lit(0.0))).first()[0]
+    bits = max(0, int(np.ceil(np.log2(max(1, size / SHARD)))))
+    width = 6 + rule.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, held, cut = None, [], 0, np.zeros(0, np.int64)
+        for batch in batches:
+            for s, n, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "n", "blob")), strict=True):
+                if s != shard:
+                    if parts:
+                        yield nearest(once(parts), cut)
+                    shard, parts, held, cut = s, [], 0, np.zeros(0, np.int64)
+                parts.append(numbers(blob, n, width))
+                held += n
+                if held > SHARD_MOST:
+                    rows = once(parts)
+                    begin, end = group_ends(rows[0])
+                    large = (end - begin > BLOCK) | np.isin(rows[0], cut)
+                    if large.any():
+                        some = [c[large] for c in rows]
+                        cut = np.union1d(cut, some[0])
+                        yield nearest(some, cut)
+                    parts = [[c[~large] for c in rows]]
+                    held = len(parts[0][0])
+        if parts:
+            yield nearest(once(parts), cut)
+
+    def once(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """All entries by key and size; a class comes once from each window that met it, and its earliest line counts."""
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((rows[1], rows[2], rows[0]))
+        rows = [c[order] for c in rows]
+        new = np.ones(len(order), bool)
+        new[1:] = np.logical_or.reduce([rows[i][1:] != rows[i][:-1] for i in (0, 1, 2)])
+        if not new.all():
+            group = np.cumsum(new) - 1
+            order = np.lexsort((rows[5], rows[4], group))
+            rows = [c[order][new] for c in rows]  # groups keep their places
+        return rows
+
+    def nearest(rows: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
+        tok, r, n, place, d, line = rows[:6]
+        bitmap = np.stack(rows[6:], axis=1).view(np.uint64)
         begin, end = group_ends(tok)
-        large = (end - begin > BLOCK) | (tok == cut_before if cut_before is not None else False)
+        large = (end - begin > BLOCK) | np.isin(tok, cut)
         end = np.minimum(end, begin + ((np.arange(len(tok)) - begin) // BLOCK + 1) * BLOCK)
-        best, partner, seen = np.full(len(tok), 1 << 30), np.full(len(tok), -1), np.zeros(len(tok), np.int64)
+        best, partner, seen = np.full((KEPT, len(tok)), 1 << 30), np.full((KEPT, len(tok)), -1), np.zeros(len(tok), np.int64)
         for x, y, apart in compared(end, n, place, bitmap, rule):
             later = (d[x] > d[y]) | ((d[x] == d[y]) & (line[x] > line[y]))
             earlier = (d[x] < d[y]) | ((d[x] == d[y]) & (line[x] < line[y]))
             for one, two, some in ((x, y, later), (y, x, earlier)):
                 i, j, a = one[some], two[some], apart[some]
                 seen[i] += 1
-                better = a < best[i]
-                best[i[better]], partner[i[better]] = a[better], j[better]
-        hit = np.flatnonzero(partner >= 0)
+                for k in range(KEPT):  # each goes in where it is nearer; the farther one goes on to the next place
+                    old, old_j = best[k, i], partner[k, i]
+                    nearer = a < old
+                    best[k, i], partner[k, i] = np.where(nearer, a, old), np.where(nearer, j, old_j)
+                    a, j = np.where(nearer, old, a), np.where(nearer, old_j, j)
+        hits = [np.flatnonzero(partner[k] >= 0) for k in range(KEPT)]
         big = np.flatnonzero(large)
-        r2 = pa.concat_arrays([pa.array(r[partner[hit]]), pa.nulls(len(big), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[hit], r[big]])), r2, pa.array(np.concatenate([best[hit], best[big]]).astype(np.int32)), pa.array(np.concatenate([seen[hit] > 1, large[big]]))], names=["r1", "r2", "apart", "more"])
+        r1 = np.concatenate([*(r[h] for h in hits), r[big]])
+        r2 = pa.concat_arrays([*(pa.array(r[partner[k, h]]) for k, h in enumerate(hits)), pa.nulls(len(big), pa.int64())])
+        apart = np.concatenate([*(best[k, h] for k, h in enumerate(hits)), best[0, big]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(r1), r2, pa.array(apart), pa.array(np.concatenate([*(seen[h] > KEPT for h in hits), large[big]]))], names=["r1", "r2", "apart", "more"])
 
-    rows = entries(found).repartition("tok").sortWithinPartitions("tok", "n", "r", "d", "l")
-    return rows.mapInArrow(run, "r1 long, r2 long, apart int, more boolean")
+    return packed_entries(found, rule, bits).mapInArrow(run, "r1 long, r2 long, apart int, more boolean")
 
 
 def pairs(rows: DataFrame, rule: Rule, ordered: bool) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _sets
-from ._runtime import materialise, release
+from ._runtime import materialise, release, unused
 
 RULE = _sets.Rule(k=3, a=9, b=10, lines=False, slots=1 << 24)
 ORDERS = 2
@@ -30,6 +30,33 @@ ORDERS = 2
 
 def linked(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other rows it links with) of every row of docs."""
+    out = grouped(docs, rule)
+    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component", "d")).alias("component_id"), F.when(F.col("d").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+
+
+def without_copies(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
+    """docs with one row of each group that links connect: that of the smallest id, then of the smallest hash of its text.
+
+    Rows of one id are rows of their own, so an id stays with a text that is no copy even where another of
+    its texts goes; of equal rows (id and text) one stays. Rows without an id or without words stay.
+    """
+    rows = grouped(docs, rule).where("d IS NOT NULL").select("d", "th", "c")
+    stays = rows.groupBy("c").agg(F.min(F.struct("d", "th")).alias("stays"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND c IS NOT NULL")
+    gone = materialise(rows.join(stays, "c").where(F.struct("d", "th") != F.col("stays")).select("d", "th").distinct(), "gone")
+    twice = materialise(rows.groupBy("d", "th").count().where("count > 1").select("d", "th").join(gone, ["d", "th"], "left_anti"), "twice")
+
+    def only(found: DataFrame, kind: str) -> DataFrame:
+        return docs.join(found.withColumnsRenamed({"d": d, "th": th}), (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(th)), kind)
+
+    d, th = unused(docs, "d", "th")
+    if not twice.take(1):
+        return only(gone, "left_anti")
+    return only(gone.union(twice), "left_anti").unionByName(only(twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def grouped(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
+    """d, th (hash of the text), n, and of rows with words c (names the group that links connect), component (its
+    smallest id) and n_links, of every row of docs; the last two null where a row has no link and no copy."""
     docs = docs.select("doc_id", "text")
     rarity, found, first = _sets.begin(docs, rule)
     index = materialise(_sets.shared(found, rule), "index")
@@ -46,10 +73,10 @@ def linked(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     # a component's name is its smallest document, which may be in any of its classes
     members = reach.join(sizes, "v").join(others, "v")
     names = members.groupBy("c").agg(F.min("d").alias("component"))
-    named = members.join(names, "c").select("v.k1", "v.k2", "component", F.expr("members - 1 + others AS n_links"))
-    alone = first.join(named.select("k1", "k2"), ["k1", "k2"], "left_anti").where("members > 1").selectExpr("k1", "k2", "d AS component", "members - 1 AS n_links")
-    out = found.select("k1", "k2", "d", "n").join(named.union(alone), ["k1", "k2"], "left")
-    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("d").isNotNull(), F.coalesce("component", "d")).alias("component_id"), F.when(F.col("d").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    named = members.join(names, "c").select("v.k1", "v.k2", "c", "component", F.expr("members - 1 + others AS n_links"))
+    alone = first.join(named.select("k1", "k2"), ["k1", "k2"], "left_anti").where("members > 1").select("k1", "k2", _sets.key().alias("c"), F.col("d").alias("component"), F.expr("members - 1 AS n_links"))
+    out = found.select("k1", "k2", "d", "th", "n").join(named.union(alone), ["k1", "k2"], "left")
+    return out.select("d", "th", "n", F.when(F.col("n") > 0, F.coalesce("c", _sets.key())).alias("c"), "component", "n_links")
 
 
 def _near(docs: DataFrame, rule: _sets.Rule, rarity, first: DataFrame, clusters: DataFrame) -> DataFrame:

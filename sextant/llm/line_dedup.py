@@ -6,8 +6,8 @@ of them) and pass the length, place and parity-bitmap filters; Jaccard similarit
 whole sets. A line goes when any earlier line (smaller doc_id, or the same id and a smaller line number)
 matches it; lines are judged on the input, not on what is left.
 
-Equal sets are one class, of which the first line stays. Each class is first compared with the nearest earlier
-ones of its index keys; only classes that this leaves are compared with all their candidates.
+Equal sets are one class, of which the first line stays. Each class is first compared with the earlier ones of
+its index keys that are nearest by bitmap; only classes that this leaves are compared with all their candidates.
 
 Null texts stay null; null ids take part in nothing and keep their text. Rows that repeat an id and
 text count once; lines of different texts with one id are earlier or later by their line number. A task's
@@ -19,31 +19,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _sets
-from ._runtime import materialise, prepare, release, replaced, unused, with_columns
-
-RULE = _sets.Rule(k=1, a=4, b=5, lines=True, slots=1 << 24, words=1, double=64)
-TRIES = 2
+from ._runtime import forget, materialise, prepare, replaced, unused, with_columns
 
+RULE = _sets.Rule(k=1, a=4, b=5, lines=True, slots=1 << 24, words=2, double=64)
+#: Candidates of each class that are compared first.
+TRIES = 3
 
 def repeated_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     """d, th and the sorted numbers of the lines that go, for each text that has any."""
     docs = docs.select("doc_id", "text")
     rarity, found, first = _sets.begin(docs, rule)
     near = materialise(_sets.nearest_earlier(found, rule), "near")
+    forget(docs.sparkSession)
     tries = near.where("r2 IS NOT NULL").groupBy("r1", "r2").agg(F.min("apart").alias("apart"), F.count(F.lit(1)).alias("hits"))
-    tries = tries.selectExpr("r1", "r2", "row_number() OVER (PARTITION BY r1 ORDER BY apart, hits DESC, r2) AS place").where(F.col("place") <= TRIES).select("r1", "r2")
-    gone = materialise(_later(docs, rule, rarity, first, materialise(tries, "tries")), "gone")
-    left = near.groupBy("r1").agg(F.bool_or("more").alias("more"), F.count_distinct("r2").alias("tried")).where(f"more OR tried > {TRIES}")
-    left = materialise(left.select(F.col("r1").alias("r")).join(gone.select(F.col("v.k1").alias("r")), "r", "left_anti"), "left")
-    release(near)
+    tries = tries.selectExpr("r1", "r2", "row_number() OVER (PARTITION BY r1 ORDER BY apart, hits DESC, r2) AS place")
+    tries = materialise(tries.where(F.col("place") <= TRIES).select("r1", "r2"), "tries")
+    first = materialise(first, "first")
+    # the nearest ones of all, then all candidates of what that leaves
+    gone = materialise(_later(docs, rule, rarity, first, tries), "gone")
+    left = near.groupBy("r1").agg(F.bool_or("more").alias("more"), F.count_distinct("r2").alias("tried")).where(f"more OR tried > {TRIES}").select(F.col("r1").alias("r"))
+    left = materialise(left.join(gone.select(F.col("v.k1").alias("r")), "r", "left_anti"), "left")
     if left.take(1):
-        gone = gone.union(materialise(_later(docs, rule, rarity, first, materialise(_all_pairs(found, left, rule), "pairs")), "gone"))
+        rest = materialise(_all_pairs(found, left, rule), "pairs")
+        gone = materialise(gone.union(_later(docs, rule, rarity, first, rest)), "gone")
     near = gone.select("v.k1", "v.k2", F.lit(True).alias("near")).distinct()
     known = first.selectExpr("k1", "k2", "d AS d0", "l AS l0", "members").join(near, ["k1", "k2"], "left").where("members > 1 OR near")
     hit = found.where("d IS NOT NULL").select("d", "th", "l", "k1", "k2").join(known, ["k1", "k2"]).where("near OR d <> d0 OR l <> l0")
@@ -69,11 +75,16 @@ def _all_pairs(found: DataFrame, left: DataFrame, rule: _sets.Rule) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_sets.in_bloom(wanted.value, batch.column("tok"))))
-
-    rows = _sets.entries(found)
-    rows = rows.mapInArrow(run, rows.schema).join(toks, "tok", "left_semi").groupBy("tok", "r", "n", "place", "bits").agg(F.min(F.struct("d", "l")).alias("at"))
-    rows = rows.join(left.withColumn("open", F.lit(True)), "r", "left").select("tok", "r", "n", "place", "at.d", "at.l", F.array("bits").alias("bitmap"), F.coalesce("open", F.lit(False)).alias("open"), F.col("r").alias("g"))
+            tok, count = pc.list_flatten(batch.column("keys")), pc.list_value_length(batch.column("keys")).to_numpy()
+            some = np.flatnonzero(_sets.in_bloom(wanted.value, tok))
+            own = pa.array(np.repeat(np.arange(len(count)), count)[some])
+            rest = [batch.column(c).take(own) for c in ("k1", "n", "d", "l", "bitmap")]
+            yield pa.RecordBatch.from_arrays([tok.take(pa.array(some)), pc.list_flatten(batch.column("places")).take(pa.array(some)), *rest], names=["tok", "place", "r", "n", "d", "l", "bitmap"])
+
+    rows = found.where(F.size("keys") > 0).select("k1", "n", "d", "l", "bitmap", "keys", "places")
+    rows = rows.mapInArrow(run, "tok long, place int, r long, n long, d long, l int, bitmap array<long>")
+    rows = rows.join(toks, "tok", "left_semi").groupBy("tok", "r", "n", "place").agg(F.min(F.struct("d", "l", "bitmap")).alias("at"))
+    rows = rows.join(left.withColumn("open", F.lit(True)), "r", "left").select("tok", "r", "n", "place", "at.*", F.coalesce("open", F.lit(False)).alias("open"), F.col("r").alias("g"))
     return _sets.pairs(rows.selectExpr("*", "count(*) OVER (PARTITION BY tok) AS df"), rule, ordered=True)
 
 

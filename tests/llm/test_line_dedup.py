@@ -3,7 +3,9 @@
 import random
 import re
 
-from sextant.llm import line_dedup
+import pytest
+
+from sextant.llm import _sets, line_dedup
 
 
 def word_set(line):
@@ -29,7 +31,12 @@ def run(spark, rows):
     return {r["doc_id"]: r for r in line_dedup.without_lines(df).collect()}
 
 
-def test_random_lines(spark):
+@pytest.mark.parametrize("block, most", [(2048, 3_000_000), (3, 40)])
+def test_random_lines(spark, monkeypatch, block, most):
+    monkeypatch.setattr(_sets, "BLOCK", block)  # groups are cut
+    monkeypatch.setattr(_sets, "SHARD_MOST", most)
+    monkeypatch.setattr(_sets, "SHARD", most)
+    monkeypatch.setattr(_sets, "OFTEN", 20 if block == 3 else 72)  # words stand in twos
     r = random.Random(6)
     words = [f"w{i}" for i in range(60)]
     pool, rows = [], []
@@ -63,3 +70,19 @@ def test_odd_rows(spark):
     rows = sorted((str(r["doc_id"]), r["kept"]) for r in line_dedup.without_lines(df).collect())
     assert rows == [("1", "x y"), ("1", "x y"), ("1", "z"), ("None", "x y")]
     assert line_dedup.without_lines(df.limit(0)).collect() == []
+
+
+def test_a_changed_word_and_very_long_lines(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5)))
+    base = [[word() for _ in range(n)] for n in (10, 12, 30, 63, 64, 66, 300, 6000)]
+    lines = [" ".join(b) for b in base]
+    for b in base:
+        for share in (0.04, 0.09, 0.15):
+            w = list(b)
+            for i in r.sample(range(len(w)), max(1, int(len(w) * share))):
+                w[i] = word()
+            lines.append(" ".join(w))
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[i::5])) for i in range(5)]
+    assert {i: x["kept"] for i, x in run(spark, rows).items()} == brute(rows)

@@ -3,6 +3,13 @@
 quality: documents that the classifier rejects go. lines: lines that match an earlier line go, and
 documents of which nothing is left. copies: one document of each group of near copies stays, that of
 the smallest id. leaks: documents that hold a benchmark item go. tokens: ids of what is left.
+
+Rows are judged one by one: a null or empty text is scored as an empty one, has no lines to lose, is no copy
+and no leak, and has no tokens. A null id is never learnt from, has no earlier lines and is no copy, but may be
+a leak. Of rows that repeat an id, each is scored and searched for leaks by its own text; equal rows become
+one in copies, different texts of one id stay unless they are copies. An empty table stays empty. Columns
+of any name besides doc_id and text pass through all stages but the last; n_chars, where there is one, follows
+the text. Very long texts are read whole, by one task each.
 """
 
 from __future__ import annotations
@@ -32,9 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.linked(docs.select("doc_id", "text"), COPIES)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return ngram_join.without_copies(docs, COPIES).select(docs.columns)
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

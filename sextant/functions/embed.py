@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,12 +53,18 @@ def embed(texts: list[str], provider: Provider, role: str, batch: int = BATCH) -
     return out
 
 
+@lru_cache(4)
+def provider_of(make: Callable[[], Provider]) -> Provider:
+    """The provider that make builds, kept for the next batch: a worker holds four at most."""
+    return make()
+
+
 def embedded(chunks: DataFrame, make: Callable[[], Provider], model_id: str, text: str = "text") -> DataFrame:
     """chunks with embedding and embedding_model_id; make builds the provider once a worker."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        provider = make()
+        provider = provider_of(make)
         for batch in batches:
             yield pd.Series(embed(batch.tolist(), provider, "passage"))
 

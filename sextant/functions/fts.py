@@ -1,86 +1,160 @@
 """Full-text search over postings: lexemes with positions, query trees, matching and cover density.
 
-Lexemes are accent-folded tokens without stop words; stemming is a hook (identity by default). Match
-and score are column expressions over a map from lexeme to positions, so they run inside the scan of
-the chunks that hold any of the query's lexemes.
+Lexemes are accent-folded tokens without stop words, stemmed in a language; their positions count the
+stop words. Postings are made once, when chunks are indexed, and stored; a search reads those of the
+query's lexemes alone, and matches and scores are column expressions over a chunk's positions.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import TOKEN, strip_accents
+from .stem import portuguese
+from .text import strip_accents
 
-# The accented letters that token patterns admit, and what they fold to.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-FOLDED = "aaaaaaeeeeiiiiooooouuuucnyy"
-# Function words that are no lexemes.
-STOP = frozenset("a ao aos as com como da das de do dos e em entre na nas no nos o os ou para pela pelas pelo pelos por que se sem um uma".split())
+
+def _folds() -> tuple[str, str]:
+    """Accented lower-case Latin letters, and the plain letters that they decompose to."""
+    pairs = [(chr(c), strip_accents(chr(c))) for c in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
+    pairs = [(a, b) for a, b in pairs if a != b and re.fullmatch("[a-z]", b) and unicodedata.normalize("NFC", a) == a]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, FOLDED = _folds()
+# Portuguese function words that are no lexemes, as the Snowball project lists them, accents folded.
+STOP = frozenset(
+    """de a o que e do da em um para com nao uma os no se na por mais as dos como mas ao ele das seu sua ou quando muito nos ja eu
+tambem so pelo pela ate isso ela entre depois sem mesmo aos seus quem nas me esse eles voce essa num nem suas meu minha numa
+pelos elas qual lhe deles essas esses pelas este dele tu te voces vos lhes meus minhas teu tua teus tuas nosso nossa nossos
+nossas dela delas esta estes estas aquele aquela aqueles aquelas isto aquilo estou estamos estao estive esteve estivemos
+estiveram estava estavamos estavam estivera estiveramos esteja estejamos estejam estivesse estivessemos estivessem estiver
+estivermos estiverem hei ha havemos hao houve houvemos houveram houvera houveramos haja hajamos hajam houvesse houvessemos
+houvessem houver houvermos houverem houverei houvera houveremos houverao houveria houveriamos houveriam sou somos sao era
+eramos eram fui foi fomos foram fora foramos seja sejamos sejam fosse fossemos fossem for formos forem serei sera seremos
+serao seria seriamos seriam tenho tem temos tinha tinhamos tinham tive teve tivemos tiveram tivera tiveramos tenha tenhamos
+tenham tivesse tivessemos tivessem tiver tivermos tiverem terei tera teremos terao teria teriamos teriam""".split()
+)
+#: Languages: how a token becomes a lexeme.
+LANGUAGES: dict[str, Callable[[str], str]] = {"portuguese": portuguese, "simple": str}
 
 
 def lexemes(text: Column) -> Column:
-    """The tokens in order, folded; stop words keep their place so that positions stay true."""
+    """The tokens in order, folded, not yet stemmed, with the stop words."""
     return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, FOLDED), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """chunk_id, lexeme, positions (from 1, in order)."""
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.posexplode(lexemes(F.col(text))).alias("p", "lexeme")).where(~F.col("lexeme").isin(*STOP))
-    return rows.groupBy("chunk_id", "lexeme").agg(F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"))
+def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", language: str = "portuguese", only: list[str] | None = None) -> DataFrame:
+    """chunk_id, lexeme, positions (from 1, in order); only: of these lexemes.
+
+    A chunk's postings are complete within its row, so nothing is shuffled.
+    """
+    stem, wanted = LANGUAGES[language], None if only is None else set(only)
+    kind = chunks.schema[chunk_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        names: list[str] = []
+
+        def number(word: str) -> int:
+            lexeme = "" if word in STOP else stem(word)
+            if not lexeme or (wanted is not None and lexeme not in wanted):
+                return -1
+            if lexeme not in known:
+                known[lexeme] = len(names)
+                names.append(lexeme)
+            return known[lexeme]
+
+        for batch in batches:
+            lists = batch.column("lex")
+            words = pc.list_flatten(lists).dictionary_encode()
+            own = pc.list_parent_indices(lists).to_numpy()
+            if not len(own):
+                continue
+            start = np.searchsorted(own, own)
+            what = np.fromiter(map(number, words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
+            at = np.flatnonzero(what >= 0)
+            at = at[np.lexsort((at, what[at], own[at]))]
+            new = np.ones(len(at), bool)
+            new[1:] = (own[at][1:] != own[at][:-1]) | (what[at][1:] != what[at][:-1])
+            first = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((at - start[at] + 1).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(own[at[first]])), pa.array([names[i] for i in what[at[first]].tolist()], pa.string()), places], names=["chunk_id", "lexeme", "positions"])
+            if len(names) > 1 << 20:
+                known, names = {}, []
+
+    return chunks.select(F.col(chunk_id).alias("chunk_id"), lexemes(F.col(text)).alias("lex")).where(F.size("lex") > 0).mapInArrow(run, f"chunk_id {kind}, lexeme string, positions array<int>")
 
 
 @dataclass(frozen=True)
 class Query:
-    """kind: term, phrase, and, or, not; terms of a phrase follow each other."""
+    """kind: term (one lexeme), phrase (lexemes with their distance from the first), and, or, not."""
 
     kind: str
     parts: tuple = ()
 
     def terms(self) -> list[str]:
         """Lexemes that can make a chunk match."""
+        return self._terms(False)
+
+    def all_terms(self) -> list[str]:
+        return self._terms(True)
+
+    def _terms(self, negated: bool) -> list[str]:
+        if self.kind == "term":
+            return list(self.parts)
+        if self.kind == "phrase":
+            return list(dict.fromkeys(t for t, _ in self.parts))
+        return list(dict.fromkeys(t for p in self.parts if negated or p.kind != "not" for t in p._terms(negated)))
+
+    def needs_term(self) -> bool:
+        """Whether only chunks that hold one of terms() can match."""
         if self.kind in ("term", "phrase"):
-            return list(dict.fromkeys(self.parts))
-        return list(dict.fromkeys(t for p in self.parts if p.kind != "not" for t in p.terms()))
+            return True
+        needs = [p.needs_term() for p in self.parts]
+        return any(needs) if self.kind == "and" else self.kind == "or" and all(needs)
 
 
-def _words(text: str, fold: bool) -> list[str]:
-    found = re.findall(TOKEN, text.casefold())
-    found = [strip_accents(t) for t in found] if fold else found
-    return [t for t in found if t not in STOP]
+def _words(text: str, fold: bool, language: str) -> list[tuple[str, int]]:
+    """The lexemes with their places; stop words keep theirs."""
+    found = re.findall(r"[^\W_]+", strip_accents(text.lower()) if fold else text.lower())
+    return [(LANGUAGES[language](t), i) for i, t in enumerate(found) if t not in STOP]
 
 
-def _joined(kind: str, parts: list[Query]) -> Query | None:
-    parts = list(dict.fromkeys(p for p in parts if p is not None))
-    return None if not parts else parts[0] if len(parts) == 1 else Query(kind, tuple(parts))
+def _joined(kind: str, parts: list[Query | None]) -> Query | None:
+    some = list(dict.fromkeys(p for p in parts if p is not None))
+    return None if not some else some[0] if len(some) == 1 else Query(kind, tuple(some))
 
 
-def plain(text: str, fold: bool = True) -> Query | None:
+def plain(text: str, fold: bool = True, language: str = "portuguese") -> Query | None:
     """All terms."""
-    return _joined("and", [Query("term", (t,)) for t in _words(text, fold)])
+    return _joined("and", [Query("term", (t,)) for t, _ in _words(text, fold, language)])
 
 
-def any_of(text: str, fold: bool = True) -> Query | None:
+def any_of(text: str, fold: bool = True, language: str = "portuguese") -> Query | None:
     """Any term."""
-    return _joined("or", [Query("term", (t,)) for t in _words(text, fold)])
+    return _joined("or", [Query("term", (t,)) for t, _ in _words(text, fold, language)])
 
 
-def websearch(text: str, fold: bool = True) -> Query | None:
-    """All terms; "..." is a phrase, or makes alternatives, a leading - excludes."""
+def websearch(text: str, fold: bool = True, language: str = "portuguese") -> Query | None:
+    """All terms; "..." is a phrase (stop words in it are gaps), or makes alternatives, a leading - excludes."""
     branches: list[list[Query]] = [[]]
     for minus, phrase, bare in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
         if not minus and bare.casefold() == "or":
             branches.append([])
             continue
-        words = _words(phrase or bare, fold)
+        words = _words(phrase or bare, fold, language)
         if not words:
             continue
-        one = Query("term", tuple(words)) if len(words) == 1 else Query("phrase", tuple(words))
+        one = Query("term", (words[0][0],)) if len(words) == 1 else Query("phrase", tuple((t, i - words[0][1]) for t, i in words))
         branches[-1].append(Query("not", (one,)) if minus else one)
     return _joined("or", [_joined("and", b) for b in branches])
 
@@ -93,10 +167,9 @@ def matches(query: Query, places: Column) -> Column:
     if query.kind == "term":
         return F.map_contains_key(places, query.parts[0])
     if query.kind == "phrase":
-        first, *rest = query.parts
+        (first, _), *rest = query.parts
         at = lambda t: F.coalesce(F.try_element_at(places, F.lit(t)), F.array().cast("array<int>"))
-        follow = lambda p: F.expr("true") if not rest else _all([F.array_contains(at(t), p + i) for i, t in enumerate(rest, 1)])
-        return F.exists(at(first), follow)
+        return F.exists(at(first), lambda p: _all([F.array_contains(at(t), p + i) for t, i in rest]))
     if query.kind == "not":
         return ~matches(query.parts[0], places)
     every = [matches(p, places) for p in query.parts]
@@ -110,61 +183,46 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def cover_density(places: list[list[int]]) -> float:
-    """Sum over the shortest stretches that hold every term of 1 / (1 + words in between beyond the terms)."""
-    if not places or any(not p for p in places):
-        return 0.0
-    stream = sorted((p, t) for t, own in enumerate(places) for p in own)
-    last, held, left, score = {}, {}, 0, 0.0
-    n = len(places)
-    for p, t in stream:
-        held[t] = held.get(t, 0) + 1
-        last[t] = p
-        while len(held) == n:
-            start, term = stream[left]
-            held[term] -= 1
-            if not held[term]:
-                del held[term]
-                score += 1.0 / (1 + max(0, p - start + 1 - n))
-            left += 1
-    return score
-
+def cover_density(places: Column) -> Column:
+    """Of an array of position arrays: the sum over the shortest stretches that hold every term of
+    1 / (1 + words in between beyond the terms); 0 without terms."""
+    n = F.size(places)
+    stream = F.array_sort(F.flatten(F.transform(places, lambda own, t: F.transform(own, lambda p: F.struct(p.alias("p"), t.alias("t"))))))
+    start = F.struct(F.array_repeat(F.lit(0), n).alias("last"), F.lit(0).alias("begin"), F.lit(0.0).alias("score"))
 
-@F.pandas_udf(T.DoubleType())
-def cover_density_column(places: pd.Series) -> pd.Series:
-    """cover_density of an array of position arrays."""
-    return places.map(lambda x: cover_density([list(map(int, p)) if p is not None else [] for p in x]))
+    def step(state: Column, x: Column) -> Column:
+        # the latest place of each term; the earliest of these begins the shortest stretch that ends here
+        moved = F.struct(F.transform(state["last"], lambda p, i: F.when(i == x["t"], x["p"]).otherwise(p)).alias("last"), state["begin"].alias("old"), state["score"].alias("score"), x["p"].alias("end"))
+        return F.get(F.transform(F.array(moved), lambda m: _grown(m, F.array_min(m["last"]), n)), F.lit(0))
 
+    return F.aggregate(stream, start, step, lambda s: s["score"])
 
-def places_of(lex: Column, terms: list[str]) -> Column:
-    """Map from each of the terms that an array of lexemes holds to its positions, from 1."""
 
-    def at(term: str) -> Column:
-        return F.filter(F.transform(lex, lambda x, i: F.when(x == F.lit(term), i + 1)), lambda x: x.isNotNull())
+def _grown(moved: Column, begin: Column, n: Column) -> Column:
+    new = begin > moved["old"]
+    worth = F.lit(1.0) / (F.lit(1) + F.greatest(F.lit(0), moved["end"] - begin + 1 - n))
+    return F.struct(moved["last"].alias("last"), F.greatest(begin, moved["old"]).alias("begin"), (moved["score"] + F.when(new, worth).otherwise(0.0)).alias("score"))
 
-    entries = F.array(*(F.struct(F.lit(t).alias("key"), at(t).alias("value")) for t in terms))
-    return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
 
+def found_places(chunks: DataFrame, terms: list[str], every: bool, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """chunk_id, places (map from those of terms that the chunk holds to their positions) of the chunks that hold
+    any, or of every chunk. stored: postings, of which only those of the terms are read."""
+    rows = (stored if stored is not None else postings(chunks, language=language, only=terms)).where(F.col("lexeme").isin(*terms))
+    rows = rows.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("places"))
+    if every:
+        none = F.map_from_entries(F.array().cast("array<struct<lexeme: string, positions: array<int>>>"))
+        return chunks.select("chunk_id").join(rows, "chunk_id", "left").withColumn("places", F.coalesce("places", none))
+    return rows if stored is None else rows.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 
-def search(chunks: DataFrame, query: Query | None, top: int, chunk_id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """chunk_id, fts_score, fts_rank of the best chunks; ties go to the smaller id.
 
-    The scan keeps only chunks that hold a query term before positions are gathered, and ranks are
-    numbered on the top rows alone.
-    """
-    spark = chunks.sparkSession
+def search(chunks: DataFrame, query: Query | None, top: int, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """chunk_id, fts_score, fts_rank of the best chunks; ties go to the smaller id. Scores have
+    nine digits, so that ranks don't hang on the order of a sum; ranks are numbered on the top rows alone."""
     if query is None:
-        kind = chunks.schema[chunk_id].dataType.simpleString()
-        return spark.createDataFrame([], f"chunk_id {kind}, fts_score double, fts_rank int")
-    terms = query.terms()
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), lexemes(F.col(text)).alias("lex"))
-    wanted = list(dict.fromkeys([*terms, *all_terms(query)]))
-    rows = rows.where(F.arrays_overlap("lex", F.array(*map(F.lit, terms))) if terms else F.lit(False)).withColumn("places", places_of(F.col("lex"), wanted))
-    hits = rows.where(matches(query, F.col("places")))
-    own = F.filter(F.array(*(F.try_element_at("places", F.lit(t)) for t in terms)), lambda p: p.isNotNull())
-    best = hits.select("chunk_id", cover_density_column(own).alias("fts_score")).orderBy(F.desc("fts_score"), "chunk_id").limit(top)
+        kind = chunks.schema["chunk_id"].dataType.simpleString()
+        return chunks.sparkSession.createDataFrame([], f"chunk_id {kind}, fts_score double, fts_rank int")
+    rows = found_places(chunks, query.all_terms(), not query.needs_term(), stored, language)
+    own = F.filter(F.array(*(F.try_element_at("places", F.lit(t)) for t in query.terms())) if query.terms() else F.array().cast("array<array<int>>"), lambda p: p.isNotNull())
+    hits = rows.where(matches(query, F.col("places"))).select("chunk_id", F.round(cover_density(own), 9).alias("fts_score"))
+    best = hits.orderBy(F.desc("fts_score"), "chunk_id").limit(top)
     return best.selectExpr("chunk_id", "fts_score", "cast(row_number() OVER (ORDER BY fts_score DESC, chunk_id) AS int) AS fts_rank")
-
-
-def all_terms(query: Query) -> list[str]:
-    return list(query.parts) if query.kind in ("term", "phrase") else [t for p in query.parts for t in all_terms(p)]

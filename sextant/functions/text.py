@@ -124,13 +124,13 @@ def _series(function):
 
 def column(name: str):
     """One of the functions above as a column function (Arrow batches)."""
-    kinds = {"normalize": normalize, "normalize_lines": normalize_lines, "hash_form": hash_form, "chunk_form": chunk_form, "slug": slug, "search_keywords": search_keywords, "strip_accents": lambda s: None if s is None else strip_accents(s)}
+    kinds = {"normalize": normalize, "normalize_lines": normalize_lines, "hash_form": hash_form, "chunk_form": chunk_form, "slug": slug, "search_keywords": search_keywords, "answer_keywords": lambda q: " ".join(answer_keywords(q)), "strip_accents": lambda s: None if s is None else strip_accents(s)}
     return _series(kinds[name])
 
 
 def register(spark: SparkSession) -> None:
     """Make them callable from SQL."""
-    for name in ("normalize", "normalize_lines", "hash_form", "chunk_form", "slug", "search_keywords", "strip_accents"):
+    for name in ("normalize", "normalize_lines", "hash_form", "chunk_form", "slug", "search_keywords", "answer_keywords", "strip_accents"):
         spark.udf.register(f"text_{name}", column(name))
 
 

@@ -1,7 +1,7 @@
 """Packing a version's nodes into overlapping chunks with the place of each node in the text.
 
 Sequential within a version (what is kept for the next chunk depends on what was packed), parallel
-across versions: one group of applyInPandas is one version's nodes.
+across versions.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_form, chunk_hash
+from ..functions.text import chunk_hash
 from ..schemas import NODE_REF
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -160,17 +160,32 @@ CHUNK = f"version_id string, pipeline_version string, chunk_index int, chunk_has
 
 
 def chunks_of(nodes: DataFrame, pipeline_version: str, sizes: Sizes = Sizes()) -> DataFrame:
-    """Chunks of every version of nodes, with deterministic ids."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("node_index").rename(columns={"text_normalized": "text"}).astype(object).where(lambda d: d.notna(), None)
-        made = pd.DataFrame(build_chunks(rows.to_dict("records"), pipeline_version, sizes), columns=["chunk_index", "chunk_hash", "text", "node_refs", "tokens_count"])
-        made.insert(0, "version_id", group["version_id"].iloc[0])
-        made.insert(1, "pipeline_version", pipeline_version)
-        return made
-
-    made = nodes.select("version_id", "node_id", "node_index", "path", "heading_text", "text_normalized").groupBy("version_id").applyInPandas(run, CHUNK)
-    return made.withColumn("chunk_id", F.sha2(F.concat_ws("|", "version_id", "pipeline_version", "chunk_hash"), 256))
-
-
-__all__ = ["Sizes", "build_chunks", "chunk_form", "chunks_of", "split_segment"]
+    """Chunks of every version of nodes, with deterministic ids. A task holds the nodes of one version at a time."""
+    names = ("chunk_index", "chunk_hash", "text", "node_refs", "tokens_count")
+    refs = pa.list_(pa.struct([(n, pa.string()) for n in ("node_id", "path", "heading")] + [(n, pa.int32()) for n in ("char_start", "char_end")]))
+    kinds = (pa.int32(), pa.string(), pa.string(), refs, pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        version, rows, out = None, [], []
+
+        def made() -> pa.RecordBatch:
+            columns = [pa.array([v for v, _ in out], pa.string()), pa.array([pipeline_version] * len(out), pa.string()), *(pa.array([c[n] for _, c in out], k) for n, k in zip(names, kinds, strict=True))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["version_id", "pipeline_version", *names])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and row["version_id"] != version:
+                    out += [(version, c) for c in build_chunks(rows, pipeline_version, sizes)]
+                    rows = []
+                version = row["version_id"]
+                rows.append(row)
+            if len(out) > 256:
+                yield made()
+        if rows:
+            out += [(version, c) for c in build_chunks(rows, pipeline_version, sizes)]
+        if out:
+            yield made()
+
+    ordered = nodes.select("version_id", "node_id", "node_index", "path", "heading_text", F.col("text_normalized").alias("text")).repartition("version_id").sortWithinPartitions("version_id", "node_index")
+    return ordered.mapInArrow(run, CHUNK).withColumn("chunk_id", F.sha2(F.concat_ws("|", "version_id", "pipeline_version", "chunk_hash"), 256))

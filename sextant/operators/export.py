@@ -27,12 +27,32 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.mode("errorifexists").option("compression", "gzip").text(path)
 
 
-def prompt(question: str, results: list[dict]) -> str:
-    """The text for a manual run of a language model: sources by rank, then the headings they cite."""
-    ordered = sorted(results, key=lambda r: r["rank"])
-    headings = sorted({n["heading"] for r in ordered for n in r.get("node_refs") or () if n.get("heading")})
-    parts = [f"Question: {question}", *(f"[S{i}] {r['document']['title']}\n{r['text']}" for i, r in enumerate(ordered, 1)), "Headings: " + "; ".join(headings)]
-    return "\n\n---\n\n".join(parts)
+# The instructions and marks of the manual prompt.
+INSTRUCTIONS = """Você é um assistente de inteligência regulatória especializado em normas da Anvisa.
+
+INSTRUÇÕES:
+- Responda exclusivamente com base nos trechos fornecidos abaixo.
+- Não utilize conhecimento externo.
+- Organize a resposta nos seguintes blocos:
+  1) Composição e elegibilidade (≤ 0,2% THC)
+  2) Condições de prescrição e uso
+  3) Restrições regulatórias do produto
+  4) Rotulagem, embalagem e rastreabilidade
+  5) Requisitos da empresa e Autorização Sanitária
+- Cite sempre o artigo correspondente no formato: (RDC 327/2019, Art. X).
+- Se alguma informação não constar nos trechos, declare explicitamente: "Não consta nos trechos fornecidos."
+"""
+RULE = "\n----------------------------------------\n\n"
+
+
+def prompt(result: dict) -> str:
+    """The text for a manual run of a language model: instructions, question, and the results by rank with their headings."""
+
+    def part(r: dict) -> str:
+        headings = ", ".join(sorted({c["heading"] for c in r["citations"] if c.get("heading")})) or "sem_heading"
+        return f"### TRECHO {r['rank']}\nDocumento: {r['document'].get('title') or 'sem_titulo'}\nArtigos/Nós: {headings}\n\n{r['chunk']['text']}\n"
+
+    return f"{INSTRUCTIONS}\nPERGUNTA:\n{result['query']}\n\nCONTEXTO REGULATÓRIO:\n\n" + RULE.join(part(r) for r in sorted(result["results"], key=lambda r: r["rank"]))
 
 
 def status_counts(versions: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import word_count
+
 
 def digest(*columns):
     return F.sha2(F.concat_ws("|", *columns), 256)
@@ -20,6 +22,11 @@ class Landing:
     nodes: DataFrame
     refreshed: DataFrame
     rejected: DataFrame
+    parsed: DataFrame
+
+    def done(self) -> None:
+        """All has been written."""
+        self.parsed.unpersist()
 
 
 def node_rows(parsed: DataFrame) -> DataFrame:
@@ -37,15 +44,21 @@ def node_rows(parsed: DataFrame) -> DataFrame:
 def repeated_paths(parsed: DataFrame) -> DataFrame:
     """version_id, n, sample (10 paths at most) of the versions in which a path repeats."""
     own = parsed.select("version_id", F.inline("sections")).groupBy("version_id", "path").count().where("count > 1")
-    return own.groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, 10).alias("sample"))
+    first = own.withColumn("r", F.row_number().over(Window.partitionBy("version_id").orderBy("path")))
+    return first.groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= 10, F.col("path")))).alias("sample"))
 
 
 def size_report(nodes: DataFrame) -> DataFrame:
-    """version_id, longest and p95 size in words of the nodes that aren't blank (0 if none): element floor(0.95 (n-1))."""
-    words = F.size(F.filter(F.split("text_normalized", r"(?U)\s+"), lambda w: w != ""))
-    sizes = nodes.select("version_id", words.alias("n")).groupBy("version_id").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("n")))).alias("s"))
-    at = F.floor(F.lit(0.95) * (F.size("s") - 1)).cast("int")
-    return sizes.select("version_id", F.coalesce(F.try_element_at("s", F.lit(-1)), F.lit(0)).alias("longest"), F.coalesce(F.get("s", at), F.lit(0)).alias("p95"))
+    """version_id, longest and p95 size in words of the nodes that aren't blank (0 if none): element floor(0.95 (n-1)).
+
+    Sizes are counted first, so a version is as many rows as it has different sizes.
+    """
+    sizes = nodes.select("version_id", word_count(F.col("text_normalized")).alias("size"))
+    counts = sizes.groupBy("version_id", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("n", F.when(F.coalesce("size", F.lit(0)) > 0, F.col("n")).otherwise(0))
+    own = Window.partitionBy("version_id")
+    counts = counts.withColumns({"upto": F.sum("n").over(own.orderBy("size")), "total": F.sum("n").over(own)})
+    reached = (F.col("n") > 0) & (F.col("upto") > F.floor(F.lit(0.95) * (F.col("total") - 1)))
+    return counts.groupBy("version_id").agg(F.coalesce(F.max(F.when(F.col("n") > 0, F.col("size"))), F.lit(0)).alias("longest"), F.coalesce(F.min(F.when(reached, F.col("size"))), F.lit(0)).alias("p95"))
 
 
 def land(parsed: DataFrame, documents: DataFrame, versions: DataFrame, source_org: str, doc_type: str, now: str) -> Landing:
@@ -53,14 +66,16 @@ def land(parsed: DataFrame, documents: DataFrame, versions: DataFrame, source_or
 
     parsed: url, title, content_hash, sections, and optionally final_url, http_status, captured_at. A content
     known under any URL only refreshes capture data; of equal contents in the batch the smallest URL
-    wins; a version with repeated paths is rejected alone.
+    wins; a version with repeated paths is rejected alone; a new document has the least title of its versions.
+    parsed is kept while its results are in use, so that pages are parsed once: see Landing.done.
     """
     stamp = F.lit(now).cast("timestamp")
     for name, kind in (("final_url", "string"), ("http_status", "int"), ("captured_at", "timestamp")):
         if name not in parsed.columns:
             parsed = parsed.withColumn(name, F.lit(None).cast(kind))
+    parsed = parsed.persist()
     batch = parsed.withColumn("version_id", digest(F.lit("version"), "content_hash"))
-    first = Window.partitionBy("content_hash").orderBy("url")
+    first = Window.partitionBy("content_hash").orderBy("url", F.col("captured_at").desc())
     batch = batch.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     known = versions.select("content_hash", F.col("version_id").alias("known_version"))
     seen = batch.join(known, "content_hash")
@@ -71,10 +86,10 @@ def land(parsed: DataFrame, documents: DataFrame, versions: DataFrame, source_or
     # a document is known by either of its URLs: two equi-joins' worth of keys instead of an OR
     keys = versions.select("document_id", F.explode(F.array_distinct(F.array("source_url", F.coalesce("final_url", "source_url")))).alias("url")).groupBy("url").agg(F.min("document_id").alias("known_document"))
     owned = fresh.join(keys, "url", "left").withColumn("document_id", F.coalesce("known_document", digest(F.lit("document"), "url")))
-    new_documents = owned.where("known_document IS NULL").select("document_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("Documento")).alias("title"), F.lit(source_org).alias("source_org"), F.lit(doc_type).alias("doc_type"), stamp.alias("created_at"))
-    new_documents = new_documents.join(documents.select("document_id"), "document_id", "left_anti").dropDuplicates(["document_id"])
+    titles = owned.where("known_document IS NULL").groupBy("document_id").agg(F.coalesce(F.min(F.nullif("title", F.lit(""))), F.lit("Documento")).alias("title"))
+    new_documents = titles.join(documents.select("document_id"), "document_id", "left_anti").select("document_id", "title", F.lit(source_org).alias("source_org"), F.lit(doc_type).alias("doc_type"), stamp.alias("created_at"))
     new_versions = owned.select("version_id", "document_id", F.lit("READY_FOR_INDEX").alias("status"), F.col("url").alias("source_url"), "final_url", "http_status", "captured_at", "content_hash", stamp.alias("created_at"))
-    return Landing(new_documents, new_versions, node_rows(owned), refreshed, rejected)
+    return Landing(new_documents, new_versions, node_rows(owned), refreshed, rejected, parsed)
 
 
 def refresh(versions: DataFrame, refreshed: DataFrame) -> DataFrame:

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fts
+from ..functions.embed import embedded
 from ..functions.text import canonical_json
 from .chunk import Sizes, chunks_of
 
 LEASE_S, RETRY_S = 900, 15
+#: Payloads that one task numbers, and jobs that a drain leases at once.
+SLICE_ROWS, BATCH = 1_000_000, 64
 
 
 def _now(now: str) -> Column:
@@ -27,16 +33,12 @@ def _after(now: str, seconds: int) -> Column:
 def enqueue(jobs: DataFrame, payloads: DataFrame, kind: str, now: str) -> DataFrame:
     """jobs with a queued job for each row of payloads (payload), numbered on from the largest id."""
     top = jobs.agg(F.coalesce(F.max("job_id"), F.lit(0))).first()[0]
-    # ids are dealt by rank of the payload within its hash slice, so no task sorts them all
-    slices = payloads.select("payload", F.pmod(F.xxhash64("payload"), F.lit(64)).alias("s"))
-    sizes = {r["s"]: r["count"] for r in slices.groupBy("s").count().collect()}  # 64 rows
-    begin, at = {}, top
-    for s in range(64):
-        begin[s] = at
-        at += sizes.get(s, 0)
-    base = F.create_map(*(F.lit(x) for s in range(64) for x in (s, begin[s])))
-    rows = slices.selectExpr("payload", "s", "row_number() OVER (PARTITION BY s ORDER BY payload) AS n")
-    new = rows.select((base[F.col("s").cast("int")] + F.col("n")).cast("long").alias("job_id"), F.lit(kind).alias("type"), "payload", F.lit("queued").alias("status"), F.lit(0).alias("attempts"), _now(now).alias("run_after"), F.lit(None).cast("timestamp").alias("locked_at"), F.lit(None).cast("string").alias("locked_by"), F.lit(None).cast("string").alias("last_error"), _now(now).alias("created_at"), _now(now).alias("updated_at"))
+    # ids are dealt by rank of the payload within its hash slice; slices follow the number of payloads, so no task sorts many
+    slices = max(64, -(-payloads.count() // SLICE_ROWS))
+    rows = payloads.select("payload", F.pmod(F.xxhash64("payload"), F.lit(slices)).alias("s"))
+    begin = rows.groupBy("s").count().selectExpr("s", "sum(count) OVER (ORDER BY s) - count AS begin")  # a row a slice
+    rows = rows.selectExpr("payload", "s", "row_number() OVER (PARTITION BY s ORDER BY payload) AS n").join(begin, "s")
+    new = rows.select((F.lit(top) + F.col("begin") + F.col("n")).cast("long").alias("job_id"), F.lit(kind).alias("type"), "payload", F.lit("queued").alias("status"), F.lit(0).alias("attempts"), _now(now).alias("run_after"), F.lit(None).cast("timestamp").alias("locked_at"), F.lit(None).cast("string").alias("locked_by"), F.lit(None).cast("string").alias("last_error"), _now(now).alias("created_at"), _now(now).alias("updated_at"))
     return jobs.unionByName(new)
 
 
@@ -78,25 +80,57 @@ class PermanentError(Exception):
     """A job that no retry can mend."""
 
 
-def drain(jobs: DataFrame, work: Callable[[dict], None], worker: str, now: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Work off queued jobs one by one; failed ones aren't waited for. cut ends the lineage of a state."""
-    while not jobs.where("status = 'queued'").isEmpty():
-        taken, jobs = lease(jobs, worker, now)
-        rows = taken.collect()  # one row
-        if not rows:
-            break
-        jobs = cut(jobs)
+def settle_all(jobs: DataFrame, outcomes: list[tuple[int, str, str | None]], now: str, retry_s: int = RETRY_S) -> DataFrame:
+    """jobs after a batch of outcomes (job_id, status, error), by one join."""
+    known = jobs.sparkSession.createDataFrame(outcomes, "job_id long, _status string, _error string")
+    out = jobs.join(F.broadcast(known), "job_id", "left")  # a batch of rows
+    mine, failed = F.col("_status").isNotNull(), F.col("_status") == "failed"
+    free = lambda c: F.when(mine, F.lit(None)).otherwise(F.col(c))
+    new = {"attempts": (F.col("attempts") + F.when(failed, 1).otherwise(0)).cast("int"), "status": F.coalesce("_status", "status"), "last_error": F.when(F.col("_error").isNotNull(), F.concat_ws("\n", "last_error", "_error")).otherwise(F.col("last_error")), "run_after": F.when(failed, _after(now, retry_s)).otherwise(F.col("run_after")), "updated_at": F.when(mine, _now(now)).otherwise(F.col("updated_at")), "locked_at": free("locked_at"), "locked_by": free("locked_by")}
+    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns))
+
+
+def work_off(jobs: DataFrame, work: Callable[[dict], None], worker: str, now: str, cut: Callable[[DataFrame], DataFrame], batch: int = BATCH) -> tuple[DataFrame, int]:
+    """Lease a batch of eligible jobs, work them off, and settle them together; the jobs and how many there were."""
+    taken, jobs = lease(jobs, worker, now, n=batch)
+    rows = taken.collect()  # a batch
+    if not rows:
+        return jobs, 0
+    jobs, outcomes = cut(jobs), []
+    for row in rows:
         try:
-            work(rows[0].asDict(recursive=True))
-            status, error = "done", None
+            work(row.asDict(recursive=True))
+            outcomes.append((row["job_id"], "done", None))
         except PermanentError as e:
-            status, error = "dead", str(e)
+            outcomes.append((row["job_id"], "dead", str(e)))
         except Exception as e:  # noqa: BLE001  any other failure is tried again
-            status, error = "failed", f"{type(e).__name__}: {e}"
-        jobs = cut(settled(jobs, rows[0]["job_id"], status, now, error))
+            outcomes.append((row["job_id"], "failed", f"{type(e).__name__}: {e}"))
+    return cut(settle_all(jobs, outcomes, now)), len(rows)
+
+
+def drain(jobs: DataFrame, work: Callable[[dict], None], worker: str, now: str, cut: Callable[[DataFrame], DataFrame], batch: int = BATCH) -> DataFrame:
+    """Work off all queued jobs, a batch at a time; failed ones aren't waited for. cut ends the lineage of a state."""
+    while not jobs.where("status = 'queued'").isEmpty():
+        jobs, n = work_off(jobs, work, worker, now, cut, batch)
+        if not n:
+            break
     return jobs
 
 
+def poll(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], work: Callable[[dict], None], worker: str, clock: Callable[[], str], cut: Callable[[DataFrame], DataFrame], once: bool = False, sleep_s: float = 5.0, wait: Callable[[float], None] = time.sleep) -> int:
+    """The worker's loop: one job (once), or jobs for ever with a pause where there is none; how many were done."""
+    total = 0
+    while True:
+        jobs, n = work_off(read(), work, worker, clock(), cut, 1 if once else BATCH)
+        if n:
+            write(jobs)
+        total += n
+        if once:
+            return total
+        if not n:
+            wait(sleep_s)
+
+
 def index_versions(versions: DataFrame, nodes: DataFrame, pipeline_version: str, sizes: Sizes = Sizes(), version_ids: list[str] | None = None, force: bool = False) -> DataFrame:
     """Chunks of all versions that wait for it (with force also of indexed ones)."""
     ready = versions if force else versions.where("status = 'READY_FOR_INDEX'")
@@ -110,6 +144,35 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+@dataclass
+class Indexed:
+    """The whole tables after an indexing run; status is written last."""
+
+    chunks: DataFrame
+    embeddings: DataFrame
+    postings: DataFrame
+    versions: DataFrame
+
+
+def reindex(versions: DataFrame, nodes: DataFrame, chunks: DataFrame, embeddings: DataFrame, postings: DataFrame, pipeline_version: str, model_id: str, make: Callable, now: str, sizes: Sizes = Sizes(), version_ids: list[str] | None = None, force: bool = False, language: str = "portuguese") -> Indexed:
+    """Chunk, embed and post all versions that wait for it, in place of what they had under this pipeline.
+
+    A version without nodes is left waiting. Embeddings and postings of chunks that go, go with them.
+    """
+    new = index_versions(versions, nodes, pipeline_version, sizes, version_ids, force).withColumn("created_at", _now(now))
+    done = new.select("version_id").distinct()
+    old = chunks.join(done.withColumn("pipeline_version", F.lit(pipeline_version)), ["version_id", "pipeline_version"], "left_semi").select("chunk_id")
+    vectors = embedded(new.select("chunk_id", "pipeline_version", "text", "created_at"), make, model_id).drop("text")
+    without = lambda df: df.join(old, "chunk_id", "left_anti")
+    return Indexed(without(chunks).unionByName(new.select(chunks.columns)), without(embeddings).unionByName(vectors.select(embeddings.columns)), without(postings).unionByName(fts.postings(new, language=language)), mark_indexed(versions, done))
+
+
+def absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """Of new, one row (the least id) of each key that old has not: insert, and do nothing on conflict."""
+    first = new.groupBy(*keys).agg(F.min("chunk_id").alias("chunk_id"))
+    return new.join(first, [*keys, "chunk_id"], "left_semi").join(old.select(keys), keys, "left_anti").select(old.columns)
+
+
 def mark_indexed(versions: DataFrame, done: DataFrame) -> DataFrame:
     """versions with those in done (version_id) INDEXED: the last write of an indexing run."""
     flag = done.select("version_id").distinct().withColumn("_done", F.lit(True))
@@ -127,7 +190,7 @@ def audit_row(spark: SparkSession, result: dict, now: str, model: str, pipeline_
 
     asked = result["run_type"] == "ask_rag"
     answer = result.get("answer") or {}
-    picked = answer.get("cited_sources", []) if asked else [r["chunk_id"] for r in result["results"]]
+    picked = answer.get("cited_sources", []) if asked else [r["chunk"]["chunk_id"] for r in result["results"]]
     rows = result.get("sources") if asked else result["results"]
     row = {"run_id": result["run_id"], "question": result["query"], "filters": canonical_json(result["filters"]), "retrieval_params": canonical_json(result["params"]), "embedding_model_id": model, "llm_model_id": "extractive" if asked else "none", "pipeline_version": pipeline_version, "selected": canonical_json(picked), "answer_text": answer.get("text", ""), "insufficient_evidence": not rows, "result_json": canonical_json(result), "result_hash": stable_hash(result)}
     frame = spark.createDataFrame([json.loads(json.dumps(row))], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'string'}" for k, v in row.items()))

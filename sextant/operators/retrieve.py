@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fts
+from ..functions.embed import Provider, embed
 from ..functions.text import search_keywords
 
 
@@ -61,7 +62,7 @@ def fuse(text: DataFrame | None, vectors: DataFrame | None, rrf_k: int, top_k: i
     if text is None or vectors is None:
         both = (vectors if text is None else text).select("*", *(F.lit(None).cast(k).alias(c) for c, k in ((("fts_score", "double"), ("fts_rank", "int")) if text is None else (("vec_distance", "double"), ("vec_rank", "int")))))
     else:
-        both = text.coalesce(1).join(vectors.coalesce(1), "chunk_id", "full_outer")
+        both = text.join(vectors, "chunk_id", "full_outer")  # n1 and n2 rows at most
     part = lambda c: F.when(F.col(c).isNotNull(), F.lit(1.0) / (F.lit(float(rrf_k)) + F.col(c))).otherwise(0.0)
     score = part("fts_rank") + part("vec_rank")
     score = F.round(score, digits) if digits is not None else score
@@ -77,34 +78,56 @@ def indexed_chunks(chunks: DataFrame, versions: DataFrame, pipeline_version: str
     return chunks.join(good, "version_id", "left_semi")
 
 
-def ladder(chunks: DataFrame, question: str, fold: bool = True) -> tuple[str, fts.Query | None]:
-    """The first of websearch(question), plain(keywords), or(keywords) with a hit, counted in one pass; websearch if none has."""
+def forms(question: str, fold: bool = True, language: str = "portuguese") -> list[tuple[str, fts.Query | None]]:
+    """The query forms of a question, in the order in which they are tried."""
     words = search_keywords(question)
-    tries = [("websearch", fts.websearch(question, fold)), ("plain", fts.plain(words, fold)), ("or", fts.any_of(words, fold))]
-    live = [(name, q) for name, q in tries if q is not None]
-    if live:
-        lex = fts.lexemes(F.col("text"))
-        every = list(dict.fromkeys(t for _, q in live for t in fts.all_terms(q)))
-        seen = chunks.select(lex.alias("lex")).where(F.arrays_overlap("lex", F.array(*map(F.lit, every)))).select(fts.places_of(F.col("lex"), every).alias("places"))
-        hits = seen.agg(*(F.count_if(fts.matches(q, F.col("places"))).alias(name) for name, q in live)).first()
-        for name, q in live:
-            if hits[name]:
-                return name, q
-    return tries[0]
-
-
-def hybrid(chunks: DataFrame, embeddings: DataFrame | None, question: str, vector: list[float] | None, params: Params = API_QUERY, model: str | None = None, fold: bool = True) -> DataFrame:
-    """The fused best of chunks (see indexed_chunks); embeddings: chunk_id, embedding, embedding_model_id."""
+    return [("websearch", fts.websearch(question, fold, language)), ("plain", fts.plain(words, fold, language)), ("or", fts.any_of(words, fold, language))]
+
+
+def hits(chunks: DataFrame, queries: list[tuple[str, fts.Query | None]], stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """One row: how many chunks each named query matches, in one pass; 0 where there is no query."""
+    live = [q for _, q in queries if q is not None]
+    if not live:
+        return chunks.sparkSession.range(1).select(*(F.lit(0).cast("long").alias(name) for name, _ in queries))
+    terms = list(dict.fromkeys(t for q in live for t in q.all_terms()))
+    rows = fts.found_places(chunks, terms, not all(q.needs_term() for q in live), stored, language)
+    return rows.agg(*((F.count_if(fts.matches(q, F.col("places"))) if q is not None else F.lit(0).cast("long")).alias(name) for name, q in queries))
+
+
+def fts_hits(chunks: DataFrame, form: str, text: str, stored: DataFrame | None = None, language: str = "portuguese") -> int:
+    """How many chunks a text matches under one form; an empty text matches none."""
+    if form not in fts.PARSERS:
+        raise ValueError(f"no query form {form!r}")
+    return hits(chunks, [("n", fts.PARSERS[form](text, language=language))], stored, language).first()["n"]
+
+
+def ladder(chunks: DataFrame, question: str, fold: bool = True, stored: DataFrame | None = None, language: str = "portuguese") -> tuple[str, fts.Query | None]:
+    """The first of websearch(question), plain(keywords), or(keywords) with a hit; websearch if none has."""
+    tries = forms(question, fold, language)
+    counts = hits(chunks, tries, stored, language).first()
+    return next(((name, q) for name, q in tries if counts[name]), tries[0])
+
+
+def hybrid(chunks: DataFrame, embeddings: DataFrame | None, question: str, vector: list[float] | None, params: Params = API_QUERY, model: str | None = None, fold: bool = True, pipeline_version: str | None = None, provider: Provider | None = None, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """The fused best of chunks (see indexed_chunks); embeddings: chunk_id, embedding, embedding_model_id, pipeline_version.
+
+    provider embeds the question where a vector is needed and none is given; stored: postings.
+    """
     params.check()
     text = vectors = None
     if params.n1_fts > 0:
-        _, query = ladder(chunks, question, fold)
-        text = fts.search(chunks, query, params.n1_fts)
+        _, query = ladder(chunks, question, fold, stored, language)
+        text = fts.search(chunks, query, params.n1_fts, stored, language)
     if params.n2_vec > 0:
+        if vector is None and provider is not None:
+            vector = embed([question], provider, "query")[0]
         if vector is None or embeddings is None:
             raise RuntimeError("vector search needs a query vector")
-        own = embeddings if model is None else embeddings.where(F.col("embedding_model_id") == model)
-        vectors = vector_top(own.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "embedding"), vector, params.n2_vec)
+        for column, value in (("embedding_model_id", model), ("pipeline_version", pipeline_version)):
+            if value is not None:
+                embeddings = embeddings.where(F.col(column) == value)
+        keys = [c for c in ("chunk_id", "pipeline_version") if c in embeddings.columns and c in chunks.columns]  # a chunk's own vector
+        vectors = vector_top(embeddings.join(chunks.select(keys), keys, "left_semi").select("chunk_id", "embedding"), vector, params.n2_vec)
     return fuse(text, vectors, params.rrf_k, params.top_k)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import TABLES, checked
+from ..schemas import TABLES, UNIQUE, checked
 
 MARKER = "_sextant_warehouse"
 
@@ -48,16 +48,33 @@ class Warehouse:
         self._fs.delete(self._path(self.path), True)
         self.bootstrap()
 
+    def _current(self, name: str) -> str:
+        """A swap that broke off leaves the table under its old name: that is read, until the next write settles it."""
+        here = self._fs.exists(self._at(name)) or not self._fs.exists(self._at(f"{name}.old"))
+        return f"{self.path}/{name}" if here else f"{self.path}/{name}.old"
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(self._current(name))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        checked(rows, name).write.mode("append").parquet(f"{self.path}/{name}")
+        """Add rows that break no rule, also together with those that are there."""
+        new = checked(rows, name)
+        for key in UNIQUE[name]:
+            if not new.join(self.read(name).select(key), key, "left_semi").isEmpty():
+                raise ValueError(f"{name}: repeated {', '.join(key)}")
+        self._settle(name)
+        new.write.mode("append").parquet(f"{self.path}/{name}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Write the new state beside the old, then swap."""
         checked(rows, name).write.mode("overwrite").parquet(f"{self.path}/{name}.next")
-        self._fs.delete(self._at(f"{name}.old"), True)
+        self._settle(name)
         self._fs.rename(self._at(name), self._at(f"{name}.old"))
         self._fs.rename(self._at(f"{name}.next"), self._at(name))
         self._fs.delete(self._at(f"{name}.old"), True)
+
+    def _settle(self, name: str) -> None:
+        if self._fs.exists(self._at(name)):
+            self._fs.delete(self._at(f"{name}.old"), True)
+        elif self._fs.exists(self._at(f"{name}.old")):
+            self._fs.rename(self._at(f"{name}.old"), self._at(name))

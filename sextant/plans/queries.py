@@ -1,7 +1,8 @@
 """Queries of the engine over the driver's tables, each with SQL where SQL can say it.
 
-documents stand for chunks, embeddings for their vectors, labels for the state of versions
-(quality 1: indexed), pages for the landing table and events for the job queue.
+documents stand for chunks (a version and a document each), embeddings for their vectors, labels for the
+state of versions (quality 1: indexed), pages for the landing table and events for the job queue. The
+test texts are not Portuguese, so lexemes are compared without stems here (the language "simple").
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import fts
 from ..functions.embed import embed, embedded, hashed
-from ..functions.text import column, search_keywords, tokens
-from ..operators import export, ingest, lifecycle
-from ..operators.answer import extractive_answer
+from ..functions.text import STOP_ANSWER, STOP_SEARCH, ACT_TYPES, DOMAIN_TERMS, answer_keywords, column, truncated, word_count
+from ..operators import export, ingest, lifecycle, retrieve
 from ..operators.chunk import Sizes, chunks_of
-from ..operators.retrieve import cosine_distance, fuse, vector_top
-from ..sources.pages import parsed
+from ..operators.retrieve import Params, cosine_distance, vector_top
+from ..schemas import TABLES
+from ..sources.pages import lines_report, parsed
 
-TERMS = ["that", "with", "from"]
-QUESTION = "Quais regras para that with from 0,2 da RDC 327?"
+QUESTION, ASKED = "that with", "that with from 0,2"
+LADDER = "Quais regras para that with from 0,2 da RDC 327?"
 N1, N2, RRF_K, TOP_K = 30, 30, 60, 12
+LANGUAGE, MODEL, PIPELINE = "simple", "m@1", "p1"
 NOW = "2024-01-15 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,132 +54,223 @@ def _query_vector(spark: SparkSession, d: str) -> list[float]:
     return [float(x) for x in rows[0][0]]
 
 
-def _equal(word: str):
-    return lambda x: x == F.lit(word)
-
-
-def _term_top(docs: DataFrame, every: bool) -> DataFrame:
-    """Chunks with any or all of TERMS by how often they hold them."""
-    lex = docs.select(F.col("doc_id").alias("chunk_id"), tokens(F.col("text")).alias("t"))
-    counts = [F.size(F.filter("t", _equal(w))) for w in TERMS]
-    rows = lex.select("chunk_id", *(c.alias(f"c{i}") for i, c in enumerate(counts)))
-    score = sum((F.col(f"c{i}") for i in range(1, len(TERMS))), F.col("c0"))
-    hit = score > 0
-    if every:
-        for i in range(len(TERMS)):
-            hit = hit & (F.col(f"c{i}") > 0)
-    best = rows.where(hit).select("chunk_id", score.cast("double").alias("fts_score")).orderBy(F.desc("fts_score"), "chunk_id").limit(N1)
-    return best.selectExpr("chunk_id", "fts_score", "cast(row_number() OVER (ORDER BY fts_score DESC, chunk_id) AS int) AS fts_rank")
+def knowledge(spark: SparkSession, d: str) -> api.KnowledgeBase:
+    """The tables of the engine made of the driver's: a chunk, a version and a document for each text."""
+    docs = table(spark, d, "documents")
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    name = lambda c: F.concat(F.lit(c), F.col("doc_id"))
+    stamp = F.lit(NOW).cast("timestamp")
+    pipeline = lambda c: F.when(F.col(c) % 10 == 9, "p2").otherwise(PIPELINE)
+    ref = F.struct(name("n").alias("node_id"), F.lit("text").alias("path"), F.col("lang").alias("heading"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"))
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), name("v").alias("version_id"), pipeline("doc_id").alias("pipeline_version"), F.lit(0).alias("chunk_index"), F.sha2("text", 256).alias("chunk_hash"), "text", F.array(ref).alias("node_refs"), word_count(F.col("text")).alias("tokens_count"), stamp.alias("created_at"))
+    versions = docs.join(good, "doc_id", "left").select(name("v").alias("version_id"), name("d").alias("document_id"), F.when(F.col("good"), "INDEXED").otherwise("READY_FOR_INDEX").alias("status"), F.concat(F.lit("http://"), "source").alias("source_url"), F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("http_status"), stamp.alias("captured_at"), F.sha2("text", 256).alias("content_hash"), stamp.alias("created_at"))
+    documents = docs.select(name("d").alias("document_id"), F.concat_ws(" ", "lang", "doc_id").alias("title"), F.col("source").alias("source_org"), F.col("lang").alias("doc_type"), stamp.alias("created_at"))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.when(F.col("vec_id") % 7 == 6, "other@1").otherwise(MODEL).alias("embedding_model_id"), pipeline("vec_id").alias("pipeline_version"), "embedding")
+    return api.KnowledgeBase(documents, versions, chunks, vectors, language=LANGUAGE)
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+
+
+# The same in SQL: chunks of all texts, and those that may be found (indexed, of the pipeline).
+_ALL = "SELECT doc_id::VARCHAR AS chunk_id, doc_id, text, lang, source FROM documents"
+_GOOD = _ALL + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id % 10 <> 9"
+
+
+def _sql_fts(source: str, terms: list[str], hit: str, top: int, negated: tuple[str, ...] = (), phrase: tuple[str, str, int] | None = None, every: bool = False) -> str:
+    """CTEs up to fts (chunk_id, fts_score, fts_rank); in hit, h0, h1 ... say whether a chunk holds each of terms and then
+    of negated, and ph whether it holds the phrase."""
+    words = [*terms, *negated]
+    held = ", ".join(f"coalesce(bool_or(w = '{w}'), FALSE) AS h{i}" for i, w in enumerate(words))
+    last = ", ".join(f"max(CASE WHEN w = '{w}' THEN p END) OVER (PARTITION BY chunk_id ORDER BY p) AS l{i}" for i, w in enumerate(terms))
+    lacks = " OR ".join(f"(h{i} AND l{i} IS NULL)" for i in range(len(terms)))
+    ph = f"SELECT DISTINCT a.chunk_id FROM pl a JOIN pl b ON a.chunk_id = b.chunk_id AND b.p = a.p + {phrase[2]} WHERE a.w = '{phrase[0]}' AND b.w = '{phrase[1]}'" if phrase else "SELECT NULL::VARCHAR AS chunk_id WHERE FALSE"
+    return f"""
+src AS (SELECT chunk_id, text FROM ({source})),
+tok AS (SELECT chunk_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT chunk_id, regexp_extract_all(translate(lower(text), '{fts.ACCENTED}', '{fts.FOLDED}'), '[a-z0-9]+') AS t FROM src)),
+pl AS MATERIALIZED (SELECT chunk_id, w, p FROM tok WHERE w IN ({", ".join(f"'{w}'" for w in words)})),
+phr AS ({ph}),
+hs AS (SELECT chunk_id, {held}, chunk_id IN (SELECT chunk_id FROM phr) AS ph FROM {"src LEFT JOIN pl USING (chunk_id)" if every else "pl"} GROUP BY chunk_id),
+hit AS MATERIALIZED (SELECT * FROM hs WHERE {hit}),
+ls AS (SELECT chunk_id, p, {last} FROM pl),
+cv AS (SELECT chunk_id, s, min(p) AS e, any_value(k) AS k FROM (SELECT chunk_id, p, CASE WHEN {lacks} THEN NULL ELSE least({", ".join(f"l{i}" for i in range(len(terms)))}) END AS s,
+  {" + ".join(f"h{i}::INT" for i in range(len(terms)))} AS k FROM ls JOIN hit USING (chunk_id)) WHERE s IS NOT NULL GROUP BY chunk_id, s),
+sc AS (SELECT chunk_id, round(coalesce(sum(CASE WHEN s IS NOT NULL THEN 1.0::DOUBLE / (1 + greatest(0, e - s + 1 - k)) END), 0), 9) AS fts_score FROM hit LEFT JOIN cv USING (chunk_id) GROUP BY chunk_id),
+fts AS (SELECT chunk_id, fts_score, row_number() OVER (ORDER BY fts_score DESC, chunk_id)::INT AS fts_rank FROM (SELECT * FROM sc ORDER BY fts_score DESC, chunk_id LIMIT {top}))
+"""
 
 
-_SQL_FTS = """
-t AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(text), '[a-zA-ZÀ-ÿ0-9]+') AS t FROM documents),
-c AS (SELECT chunk_id, len(list_filter(t, lambda x: x = 'that')) AS c0, len(list_filter(t, lambda x: x = 'with')) AS c1, len(list_filter(t, lambda x: x = 'from')) AS c2 FROM t),
-fts AS (SELECT chunk_id, fts_score, row_number() OVER (ORDER BY fts_score DESC, chunk_id)::INT AS fts_rank FROM
-  (SELECT chunk_id, (c0 + c1 + c2)::DOUBLE AS fts_score FROM c WHERE {hit} ORDER BY fts_score DESC, chunk_id LIMIT 30))
-"""
 _SQL_VEC = """
 q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 vec AS (SELECT chunk_id, vec_distance, row_number() OVER (ORDER BY vec_distance, chunk_id)::INT AS vec_rank FROM
-  (SELECT vec_id AS chunk_id, round(list_cosine_distance(embedding::DOUBLE[], q), 9) AS vec_distance FROM embeddings, q {where} ORDER BY vec_distance, chunk_id LIMIT 30))
+  (SELECT vec_id::VARCHAR AS chunk_id, round(list_cosine_distance(embedding::DOUBLE[], q), 9) AS vec_distance FROM embeddings, q {where} ORDER BY vec_distance, chunk_id LIMIT 30))
 """
-_OR, _AND = "c0 + c1 + c2 > 0", "c0 > 0 AND c1 > 0 AND c2 > 0"
+_SQL_VEC_GOOD = _SQL_VEC.format(where=f"WHERE vec_id::VARCHAR IN (SELECT chunk_id FROM ({_GOOD})) AND vec_id % 7 <> 6 AND vec_id % 10 <> 9")
+_NO_FTS = "fts AS (SELECT NULL::VARCHAR AS chunk_id, NULL::DOUBLE AS fts_score, NULL::INT AS fts_rank WHERE FALSE)"
+_NO_VEC = "vec AS (SELECT NULL::VARCHAR AS chunk_id, NULL::DOUBLE AS vec_distance, NULL::INT AS vec_rank WHERE FALSE)"
+_SQL_QUESTION = _sql_fts(_GOOD, ["that", "with"], "h0 AND h1", N1)
+
+
+def _sql_rrf(fts_part: str, vec_part: str, top: int = TOP_K) -> str:
+    return f"""{fts_part}, {vec_part}, s AS (SELECT chunk_id, round(coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0), 10) AS rrf_score,
+ fts_rank, fts_score, vec_rank, vec_distance FROM fts FULL OUTER JOIN vec USING (chunk_id) ORDER BY rrf_score DESC, chunk_id LIMIT {top})"""
+
 
+_RRF_COLUMNS = "SELECT chunk_id, rrf_score, fts_rank, fts_score, vec_rank, vec_distance FROM s"
 
-@query("WITH " + _SQL_FTS.format(hit=_OR) + "SELECT * FROM fts")
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({"rrf_score": F.round("rrf_score", 10), "vec_distance": F.round("vec_distance", 9)})
+
+
+def _hybrid(spark: SparkSession, d: str, n1: int, n2: int) -> DataFrame:
+    """The library's hybrid search over the chunks that may be found."""
+    kb = knowledge(spark, d)
+    chunks = retrieve.indexed_chunks(kb.chunks, kb.versions, PIPELINE)
+    return retrieve.hybrid(chunks, kb.embeddings, QUESTION, _query_vector(spark, d) if n2 else None, Params(n1, n2, RRF_K, TOP_K), MODEL, pipeline_version=PIPELINE, language=LANGUAGE)
+
+
+@query("WITH " + _sql_fts(_ALL, ["that", "with", "from"], "h0 OR h1 OR h2", N1) + "SELECT * FROM fts")
 def fts_or_topk(spark, d):
-    return _term_top(table(spark, d, "documents"), False)
+    return fts.search(_texts(spark, d), fts.any_of("that with from", language=LANGUAGE), N1, language=LANGUAGE)
 
 
-@query("WITH " + _SQL_FTS.format(hit=_AND) + "SELECT * FROM fts")
+@query("WITH " + _sql_fts(_ALL, ["that", "with", "from"], "h0 AND h1 AND h2", N1) + "SELECT * FROM fts")
 def fts_and_topk(spark, d):
-    return _term_top(table(spark, d, "documents"), True)
+    return fts.search(_texts(spark, d), fts.plain("that with from", language=LANGUAGE), N1, language=LANGUAGE)
 
 
-@query("WITH " + _SQL_VEC.format(where="") + "SELECT * FROM vec")
-def vec_topk(spark, d):
-    return vector_top(_vectors(spark, d), _query_vector(spark, d), N2, 9)
+@query("WITH " + _sql_fts(_ALL, ["that", "with", "of", "the"], "(h0 AND h1) OR (ph AND NOT h4)", N1, ("from",), ("of", "the", 2)) + "SELECT * FROM fts")
+def fts_cover_density(spark, d):
+    """All terms, or a phrase over a stop word without another term; by cover density."""
+    return fts.search(_texts(spark, d), fts.websearch('that with OR "of a the" -from', language=LANGUAGE), N1, language=LANGUAGE)
 
 
-def _rrf_sql(left: str, right: str, join: str) -> str:
-    return f"""SELECT chunk_id, round(coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0), 10) AS rrf_score,
- fts_rank, fts_score, vec_rank, vec_distance FROM {left} {join} {right} ORDER BY rrf_score DESC, chunk_id LIMIT 12"""
+@query("WITH " + _sql_fts(_ALL, ["from"], "h0 OR NOT h1", 1000, ("that",), every=True) + "SELECT * FROM fts")
+def fts_negation(spark, d):
+    """A branch that no term is needed for: chunks without any lexeme of the query match."""
+    return fts.search(_texts(spark, d), fts.websearch("from OR -that", language=LANGUAGE), 1000, language=LANGUAGE)
 
 
-@query("WITH " + _SQL_FTS.format(hit=_OR) + "," + _SQL_VEC.format(where="") + _rrf_sql("fts", "vec USING (chunk_id)", "FULL OUTER JOIN"))
+@query("WITH " + _sql_fts(_ALL, ["that", "with", "from"], "h0 AND h1 AND h2", N1) + "SELECT * FROM fts")
+def fts_stored_postings(spark, d):
+    """The same search over postings that were written before."""
+    docs = _texts(spark, d)
+    return fts.search(docs, fts.plain("that with from", language=LANGUAGE), N1, fts.postings(docs, language=LANGUAGE), LANGUAGE)
+
+
+@query("WITH " + _SQL_VEC.format(where="") + "SELECT * FROM vec")
+def vec_topk(spark, d):
+    return vector_top(_vectors(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string")), _query_vector(spark, d), N2, 9)
+
+
+@query("WITH " + _sql_rrf(_SQL_QUESTION, _SQL_VEC_GOOD) + _RRF_COLUMNS)
 def rrf_hybrid(spark, d):
-    return fuse(_term_top(table(spark, d, "documents"), False), vector_top(_vectors(spark, d), _query_vector(spark, d), N2, 9), RRF_K, TOP_K, 10)
+    return _rounded(_hybrid(spark, d, N1, N2))
 
 
-@query("WITH " + _SQL_FTS.format(hit=_OR) + ", vec AS (SELECT NULL::INT AS vec_rank, NULL::DOUBLE AS vec_distance)" + _rrf_sql("fts", "vec", "CROSS JOIN"))
+@query("WITH " + _sql_rrf(_SQL_QUESTION, _NO_VEC) + _RRF_COLUMNS)
 def rrf_fts_only(spark, d):
-    return fuse(_term_top(table(spark, d, "documents"), False), None, RRF_K, TOP_K, 10)
+    return _rounded(_hybrid(spark, d, N1, 0))
 
 
-@query("WITH " + _SQL_VEC.format(where="") + ", fts AS (SELECT NULL::INT AS fts_rank, NULL::DOUBLE AS fts_score)" + _rrf_sql("vec", "fts", "CROSS JOIN"))
+@query("WITH " + _sql_rrf(_NO_FTS, _SQL_VEC_GOOD) + _RRF_COLUMNS)
 def rrf_vec_only(spark, d):
-    return fuse(None, vector_top(_vectors(spark, d), _query_vector(spark, d), N2, 9), RRF_K, TOP_K, 10)
+    return _rounded(_hybrid(spark, d, 0, N2))
+
+
+@query("WITH " + _sql_rrf(_sql_fts(_GOOD + " AND doc_id = 97", ["that", "with"], "h0 OR h1", N1), _SQL_VEC.format(where="WHERE vec_id = 97 AND vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)")) + _RRF_COLUMNS)
+def rrf_version(spark, d):
+    """The filter on one version, and the second rung of the ladder where the first finds nothing."""
+    kb = knowledge(spark, d)
+    chunks = retrieve.indexed_chunks(kb.chunks, kb.versions, None, "v97")
+    return _rounded(retrieve.hybrid(chunks, kb.embeddings, "that with absentword", _query_vector(spark, d), Params(N1, N2, RRF_K, TOP_K), language=LANGUAGE))
 
 
 @query(
-    "WITH good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),"
-    + _SQL_FTS.format(hit="(" + _OR + ") AND chunk_id IN (SELECT doc_id FROM good)")
-    + ","
-    + _SQL_VEC.format(where="WHERE vec_id IN (SELECT doc_id FROM good)")
-    + _rrf_sql("fts", "vec USING (chunk_id)", "FULL OUTER JOIN")
+    "WITH " + _sql_rrf(_SQL_QUESTION, _SQL_VEC_GOOD) + f"""SELECT row_number() OVER (ORDER BY rrf_score DESC, chunk_id)::INT AS rank, chunk_id, rrf_score, 'v' || chunk_id AS version_id, 'd' || chunk_id AS document_id, lang || ' ' || chunk_id AS title,
+ lang AS doc_type, source AS source_org, 'http://' || source AS source_url, '2024-01-15T00:00:00Z' AS captured_at, sha256(text) AS text_sha256 FROM s JOIN ({_ALL}) USING (chunk_id)"""
 )
-def rrf_status_filtered(spark, d):
-    good = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
-    docs = table(spark, d, "documents").join(good, "doc_id", "left_semi")
-    vectors = _vectors(spark, d).join(good.withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "left_semi")
-    return fuse(_term_top(docs, False), vector_top(vectors, _query_vector(spark, d), N2, 9), RRF_K, TOP_K, 10)
+def rrf_enriched(spark, d):
+    """Late materialisation: texts and documents of the fused rows alone."""
+    kb = knowledge(spark, d)
+    found = api.evidence(kb, QUESTION, _query_vector(spark, d), Params(N1, N2, RRF_K, TOP_K), api.Filters(None, PIPELINE, MODEL))
+    return found.select("rank", "chunk_id", F.round("rrf_score", 10).alias("rrf_score"), "version_id", "document.document_id", "document.title", "document.doc_type", "document.source_org", "document.source_url", "document.captured_at", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(
-    "WITH " + _SQL_FTS.format(hit=_OR) + "," + _SQL_VEC.format(where="") + ", s AS (" + _rrf_sql("fts", "vec USING (chunk_id)", "FULL OUTER JOIN") + ")"
-    "SELECT row_number() OVER (ORDER BY rrf_score DESC, chunk_id)::INT AS rank, chunk_id, rrf_score, lang AS doc_type, source AS source_org, left(text, 220) AS preview FROM s JOIN documents ON doc_id = chunk_id"
+    "WITH " + _sql_rrf(_SQL_QUESTION, _SQL_VEC_GOOD, 5) + f"""SELECT 'query_rag' AS run_type, row_number() OVER (ORDER BY rrf_score DESC, chunk_id)::INT AS rank, rrf_score, fts_rank, vec_rank, chunk_id, 'v' || chunk_id AS version_id, 0 AS chunk_index,
+ len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS tokens_count, sha256(text) AS text_sha256, lang || ' ' || chunk_id AS title, 'n' || chunk_id AS cited_node, length(text)::INT AS cited_to, 0 AS lacking FROM s JOIN ({_ALL}) USING (chunk_id)"""
 )
-def rrf_enriched(spark, d):
-    """Late materialisation: texts and metadata of the fused rows alone."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("doc_type"), F.col("source").alias("source_org"), F.left("text", F.lit(220)).alias("preview"))
-    scored = rrf_hybrid(spark, d).select("chunk_id", "rrf_score")
-    return docs.join(F.broadcast(scored), "chunk_id").selectExpr("cast(row_number() OVER (ORDER BY rrf_score DESC, chunk_id) AS int) AS rank", "chunk_id", "rrf_score", "doc_type", "source_org", "preview")
+def query_contract(spark, d):
+    """The results of a query as the JSON contract has them."""
+    kb = knowledge(spark, d)
+    result = api.query(kb, QUESTION, _query_vector(spark, d), Params(N1, N2, RRF_K, 5), PIPELINE, None, MODEL, NOW)
+    rows = [(result["run_type"], r["rank"], round(r["scores"]["rrf_score"], 10), r["scores"]["fts_rank"], r["scores"]["vec_rank"], r["chunk"]["chunk_id"], r["chunk"]["version_id"], r["chunk"]["chunk_index"], r["chunk"]["tokens_count"], r["chunk"]["text"], r["document"]["title"], r["citations"][0]["node_id"], r["citations"][0]["char_end"], len(api.contract_errors(result))) for r in result["results"]]
+    found = spark.createDataFrame(rows, "run_type string, rank int, rrf_score double, fts_rank int, vec_rank int, chunk_id string, version_id string, chunk_index int, tokens_count int, text string, title string, cited_node string, cited_to int, lacking int")
+    return found.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+@query("WITH " + _sql_rrf(_SQL_QUESTION, _SQL_VEC_GOOD, 5) + f"""SELECT '{QUESTION}' AS question, 'none' AS llm_model_id, '{MODEL}' AS embedding_model_id, '{PIPELINE}' AS pipeline_version, count(*) = 0 AS insufficient_evidence,
+ '[' || coalesce(string_agg('"' || chunk_id || '"', ',' ORDER BY rrf_score DESC, chunk_id), '') || ']' AS selected, '' AS answer_text FROM s""")
+def audit(spark, d):
+    """The audit row of a query."""
+    kb = knowledge(spark, d)
+    result = api.query(kb, QUESTION, _query_vector(spark, d), Params(N1, N2, RRF_K, 5), PIPELINE, None, MODEL, NOW)
+    return lifecycle.audit_row(spark, result, NOW, MODEL, PIPELINE).select("question", "llm_model_id", "embedding_model_id", "pipeline_version", "insufficient_evidence", "selected", "answer_text")
+
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# The form that the ladder takes: the question, else all keywords, else any.
+_FORMS = """CASE WHEN (SELECT bool_or(h0 AND h1 AND h2 AND ph) FROM hs) THEN h0 AND h1 AND h2 AND ph
+ WHEN (SELECT bool_or(h0 AND h1 AND h2 AND h3 AND h4) FROM hs) THEN h0 AND h1 AND h2 AND h3 AND h4 ELSE h0 OR h1 OR h2 OR h3 OR h4 END"""
+_WORTH = " + ".join(f"{2.0 if ',' in k or '.' in k else 1.0} * contains(line, '{k}')::INT" if not k.isdigit() else f"0.25 * regexp_matches(line, '\b{k}\b')::INT" for k in answer_keywords(ASKED))
 
 
 @query(
-    """WITH t AS (SELECT regexp_extract_all(lower(text), '[a-zA-ZÀ-ÿ0-9]+') AS t FROM documents),
-c AS (SELECT count(*) FILTER (list_has_all(t, ['quais', 'regras', 'that', 'with', 'from', '0', '2', 'rdc', '327']))::BIGINT AS websearch,
- count(*) FILTER (list_has_all(t, ['that', 'with', 'from', '0', '2']))::BIGINT AS plain, count(*) FILTER (list_has_any(t, ['that', 'with', 'from', '0', '2']))::BIGINT AS any FROM t)
-SELECT websearch AS n_websearch, plain AS n_plain, "any" AS n_or, CASE WHEN websearch > 0 THEN 'websearch' WHEN plain > 0 THEN 'plain' WHEN "any" > 0 THEN 'or' ELSE 'websearch' END AS mode FROM c"""
+    "WITH " + _sql_rrf(_sql_fts(_GOOD, ["that", "with", "from", "0", "2"], _FORMS, N1, phrase=("0", "2", 1)), _NO_VEC, 5)
+    + f""", r AS (SELECT row_number() OVER (ORDER BY rrf_score DESC, chunk_id)::INT AS rank, rrf_score, text FROM s JOIN ({_ALL}) USING (chunk_id)),
+l AS (SELECT rank, rrf_score, unnest(l) AS whole, unnest(range(len(l))) AS i FROM (SELECT rank, rrf_score, list_filter(list_transform(string_split(trim(text, {_SPACE}), chr(10)), lambda x: rtrim(x, {_SPACE})), lambda x: x <> '') AS l FROM r)),
+w AS (SELECT rank, rrf_score, i, whole, {_WORTH} AS worth FROM (SELECT *, lower(whole) AS line FROM l)),
+b AS (SELECT rank, i FROM w WHERE worth > 0 ORDER BY worth DESC, rrf_score DESC, rank, i LIMIT 1),
+a AS (SELECT 'S' || any_value(b.rank) AS cited, trim(string_agg(l.whole, chr(10) ORDER BY l.i), {_SPACE}) AS t FROM l JOIN b ON l.rank = b.rank AND l.i BETWEEN b.i - 1 AND b.i + 2)
+SELECT CASE WHEN length(t) > 1200 THEN rtrim(left(t, 1200), {_SPACE}) || '…' ELSE t END AS answer, cited FROM a WHERE cited IS NOT NULL"""
 )
-def fts_ladder(spark, d):
-    """Hits of the three query forms in one pass, and the form that is taken."""
-    words = search_keywords(QUESTION).split()
-    full = ["quais", "regras", "that", "with", "from", "0", "2", "rdc", "327"]
-    t = table(spark, d, "documents").select(F.array_distinct(tokens(F.col("text"))).alias("t"))
-    lit = lambda ws: F.array(*map(F.lit, ws))
-    has_all = lambda ws: F.size(F.array_intersect("t", lit(ws))) == len(ws)
-    hits = t.agg(F.count_if(has_all(full)).alias("n_websearch"), F.count_if(has_all(words)).alias("n_plain"), F.count_if(F.arrays_overlap("t", lit(words))).alias("n_or"))
-    return hits.withColumn("mode", F.expr("CASE WHEN n_websearch > 0 THEN 'websearch' WHEN n_plain > 0 THEN 'plain' WHEN n_or > 0 THEN 'or' ELSE 'websearch' END"))
+def answer(spark, d):
+    """The extractive answer to a question whose terms no chunk holds together."""
+    kb = knowledge(spark, d)
+    result = api.ask(kb, ASKED, None, Params(N1, 0, RRF_K, 5), PIPELINE, None, MODEL, NOW)
+    return spark.createDataFrame([(result["answer"]["text"], ",".join(result["answer"]["cited_sources"]))], "answer string, cited string")
 
 
-@query()
-def fts_cover_density(spark, d):
-    """The engine's own full-text search: folded lexemes, phrases, cover density."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return fts.search(docs, fts.websearch('that with OR "of the" -from'), N1)
+def _sql_holds(words: list[str]) -> list[str]:
+    return [f"list_contains(t, '{w}')" for w in words]
+
+
+@query(
+    f"""WITH t AS (SELECT regexp_extract_all(translate(lower(text), '{fts.ACCENTED}', '{fts.FOLDED}'), '[a-z0-9]+') AS t FROM documents),
+c AS (SELECT count(*) FILTER ({" AND ".join(_sql_holds(["quais", "regras", "that", "with", "from", "0", "2", "rdc", "327"]))})::BIGINT AS a,
+ count(*) FILTER ({" AND ".join(_sql_holds(["that", "with", "from", "0", "2"]))})::BIGINT AS b, count(*) FILTER ({" OR ".join(_sql_holds(["that", "with", "from", "0", "2"]))})::BIGINT AS c FROM t)
+SELECT a AS websearch, b AS plain, c AS "or", CASE WHEN a > 0 THEN 'websearch' WHEN b > 0 THEN 'plain' WHEN c > 0 THEN 'or' ELSE 'websearch' END AS mode FROM c"""
+)
+def fts_ladder(spark, d):
+    """Hits of the three query forms in one pass, and the form that is taken."""
+    docs = _texts(spark, d)
+    mode, _ = retrieve.ladder(docs, LADDER, language=LANGUAGE)
+    return retrieve.hits(docs, retrieve.forms(LADDER, language=LANGUAGE), language=LANGUAGE).withColumn("mode", F.lit(mode))
 
 
 @query(
-    """SELECT lexeme, count(DISTINCT doc_id)::BIGINT AS n_chunks, count(*)::BIGINT AS n_places, min(pos)::INT AS first_place FROM
-(SELECT doc_id, unnest(t) AS lexeme, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(translate(lower(text), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[a-z0-9]+') AS t FROM documents))
+    f"""SELECT lexeme, count(DISTINCT doc_id)::BIGINT AS n_chunks, count(*)::BIGINT AS n_places, min(pos)::INT AS first_place FROM
+(SELECT doc_id, unnest(t) AS lexeme, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(translate(lower(text), '{fts.ACCENTED}', '{fts.FOLDED}'), '[a-z0-9]+') AS t FROM documents))
 WHERE lexeme NOT IN ("""
     + ", ".join(f"'{w}'" for w in sorted(fts.STOP))
     + ") GROUP BY lexeme"
 )
 def postings_stats(spark, d):
     """The inverted index, summed by lexeme."""
-    rows = fts.postings(table(spark, d, "documents"), "doc_id")
+    rows = fts.postings(table(spark, d, "documents"), "doc_id", language=LANGUAGE)
     return rows.groupBy("lexeme").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.size("positions")).alias("n_places"), F.min(F.element_at("positions", 1)).cast("int").alias("first_place"))
 
 
@@ -185,16 +279,31 @@ def status_counts(spark, d):
     return export.status_counts(table(spark, d, "labels").select(F.when(F.col("quality") == 1, "INDEXED").otherwise("READY_FOR_INDEX").alias("status")))
 
 
+_SQL_ACT = """n AS (SELECT 'c' || conv_id AS version_id, CASE WHEN role = 'user' THEN 'Art. ' || (turn % 5 + 1) || 'º' ELSE 'Seção ' || turn END AS heading, text FROM conversations),
+v AS (SELECT DISTINCT version_id FROM n UNION SELECT 'l' || doc_id FROM labels)"""
+
+
+def _acts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """versions, documents and nodes: conversations as acts, their user turns as articles; labels as acts without nodes."""
+    turns = table(spark, d, "conversations")
+    heading = F.when(F.col("role") == "user", F.concat(F.lit("Art. "), (F.col("turn") % 5 + 1).cast("string"), F.lit("º"))).otherwise(F.concat(F.lit("Seção "), F.col("turn").cast("string")))
+    own = F.concat(F.lit("c"), "conv_id")
+    nodes = turns.select(own.alias("version_id"), F.concat_ws("-", F.lit("n"), "conv_id", "turn").alias("node_id"), F.col("turn").cast("int").alias("node_index"), F.lit("heading_section").alias("kind"), F.concat(F.lit("t"), "turn").alias("path"), F.lit(None).cast("string").alias("parent_id"), heading.alias("heading_text"), F.when(F.col("role") == "user", 5).otherwise(3).alias("heading_level"), F.col("text").alias("text_normalized"))
+    ids = nodes.select("version_id").union(table(spark, d, "labels").select(F.concat(F.lit("l"), "doc_id"))).distinct()
+    versions = ids.select("version_id", F.concat(F.lit("d"), "version_id").alias("document_id"))
+    documents = versions.select("document_id", F.concat(F.lit("title "), "version_id").alias("title"), F.lit("org").alias("source_org"), F.lit("act").alias("doc_type"))
+    return versions, documents, nodes
+
+
 @query(
-    """SELECT d.source, d.lang, count(l.doc_id)::BIGINT AS n_labelled, count(*) FILTER (regexp_matches(d.text, '^(the|a) ', 'i'))::BIGINT AS n_begin,
-count(DISTINCT d.text) FILTER (regexp_matches(d.text, '^(the|a) ', 'i'))::BIGINT AS n_distinct, coalesce(string_agg(DISTINCT l.quality::VARCHAR, ',' ORDER BY l.quality::VARCHAR), '') AS qualities
-FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source, d.lang"""
+    "WITH " + _SQL_ACT + """, k AS (SELECT version_id, heading, starts_with(heading, 'Art.') AS art, CASE WHEN starts_with(heading, 'Art.') THEN regexp_replace(heading, '[^0-9]', '', 'g') END AS label FROM n)
+SELECT 'title ' || v.version_id AS title, v.version_id, count(k.heading)::BIGINT AS n_nodes, count(*) FILTER (art)::BIGINT AS n_articles, count(DISTINCT label)::BIGINT AS n_numbers,
+ coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS numbers FROM v LEFT JOIN k USING (version_id) GROUP BY v.version_id"""
 )
 def article_report(spark, d):
-    """Conditional and distinct counts by group over a left join, with an ordered array."""
-    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("has")), "doc_id", "left")
-    begin = F.col("text").rlike("(?iu)^(the|a) ")
-    return rows.groupBy("source", "lang").agg(F.count("has").alias("n_labelled"), F.count_if(begin).alias("n_begin"), F.countDistinct(F.when(begin, F.col("text"))).alias("n_distinct"), F.array_join(F.array_sort(F.collect_set(F.col("quality").cast("string"))), ",").alias("qualities"))
+    """Conditional and distinct counts by version over a left join, with an ordered array."""
+    versions, documents, nodes = _acts(spark, d)
+    return export.article_report(versions, documents, nodes)
 
 
 @query(
@@ -206,10 +315,26 @@ def node_size_p95(spark, d):
     return ingest.size_report(nodes).select(F.col("version_id").alias("source"), F.col("longest").cast("int").alias("longest"), F.col("p95").cast("int").alias("p95"))
 
 
-@query("SELECT sha256(trim(lower(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')))) AS content_hash, min(doc_id) AS first_doc, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+# Normal forms; the test texts have no characters that NFKC changes.
+_NORMAL = "trim(regexp_replace(coalesce({}, ''), '\\s+', ' ', 'g'))"
+_FOLD = "replace(lower({}), 'ß', 'ss')"
+
+
+@query(f"SELECT sha256({_FOLD.format(_NORMAL.format('text'))}) AS content_hash, min(doc_id) AS first_doc, count(*)::BIGINT AS n FROM documents GROUP BY 1")
 def dup_content(spark, d):
-    form = F.trim(F.lower(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
-    return table(spark, d, "documents").groupBy(F.sha2(form, 256).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").groupBy(F.sha2(column("hash_form")(F.col("text")), 256).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""SELECT doc_id, sha256({_NORMAL.format('text')}) AS plain, sha256(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_NORMAL.format('x')}), lambda x: x <> ''), chr(10))) AS lines,
+ sha256({_FOLD.format(_NORMAL.format('text'))}) AS hash_form, sha256('{PIPELINE}|' || {_FOLD.format(_NORMAL.format('text'))}) AS chunk_hash,
+ len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS words, sha256(CASE WHEN length(text) > 1200 THEN rtrim(left(text, 1200)) || '…' ELSE text END) AS short FROM documents"""
+)
+def text_forms(spark, d):
+    """The normal forms of every text, as digests."""
+    text = F.col("text")
+    docs = table(spark, d, "documents").select("doc_id", "text", column("normalize")(text).alias("a"), column("normalize_lines")(text).alias("b"), column("hash_form")(text).alias("c"), column("chunk_form")(text).alias("e"))
+    return docs.select("doc_id", F.sha2("a", 256).alias("plain"), F.sha2("b", 256).alias("lines"), F.sha2("c", 256).alias("hash_form"), F.sha2(F.concat(F.lit(f"{PIPELINE}|"), "e"), 256).alias("chunk_hash"), word_count(text).alias("words"), F.sha2(truncated(text), 256).alias("short"))
 
 
 @query("SELECT url, arg_max(page_id, (len(html), page_id)) AS page_id, max(len(html))::INT AS chars FROM pages GROUP BY url")
@@ -250,18 +375,75 @@ def job_transitions(spark, d):
     return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").cast("long").alias("attempts"))
 
 
-@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (NOT json_valid(props))::BIGINT AS invalid FROM events")
+@query(
+    "WITH "
+    + _SQL_JOBS
+    + """ SELECT CASE WHEN job_id = 3 THEN 'done' WHEN job_id = 7 THEN 'failed' WHEN job_id = 11 THEN 'dead' ELSE status END AS status, count(*)::BIGINT AS n, sum((job_id = 7)::INT)::BIGINT AS attempts,
+count(*) FILTER (job_id IN (7, 11))::BIGINT AS n_errors, count(*) FILTER (job_id IN (3, 7, 11))::BIGINT AS n_free FROM jobs GROUP BY 1"""
+)
+def jobs_settled(spark, d):
+    """A batch of outcomes settled by one join."""
+    jobs = lifecycle.settle_all(_jobs(spark, d), [(3, "done", None), (7, "failed", "boom"), (11, "dead", "no such version")], NOW)
+    return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("attempts").cast("long").alias("attempts"), F.count_if(F.col("last_error").isNotNull()).alias("n_errors"), F.count_if(F.col("locked_by").isNull()).alias("n_free"))
+
+
+@query("WITH j AS (SELECT max(event_id) AS top, count(*) AS n FROM events), p AS (SELECT count(*) AS m FROM labels) SELECT 'queued' AS status, m::BIGINT AS n, (top + 1)::BIGINT AS first, (top + m)::BIGINT AS last, m::BIGINT AS n_ids FROM j, p")
+def jobs_enqueued(spark, d):
+    """A job for each label, numbered on from the queue's largest id."""
+    jobs = _jobs(spark, d)
+    payloads = table(spark, d, "labels").select(F.to_json(F.struct("doc_id")).alias("payload"))
+    new = lifecycle.enqueue(jobs, payloads, "index", NOW).join(jobs.select("job_id"), "job_id", "left_anti")
+    return new.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("job_id").alias("first"), F.max("job_id").alias("last"), F.countDistinct("job_id").alias("n_ids"))
+
+
+@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (trim(props) <> '' AND NOT json_valid(props))::BIGINT AS invalid, 0 AS n_errors FROM events")
 def jsonl_validate(spark, d):
-    bad = F.try_parse_json("props").isNull()
-    return table(spark, d, "events").agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("invalid"))
+    return lines_report(table(spark, d, "events").select(F.col("props").alias("value"))).select("total", "invalid", F.size("errors").alias("n_errors"))
+
+
+@query(
+    f"""SELECT to_json({{'chunk_id': doc_id::VARCHAR, 'version_id': 'v' || doc_id, 'pipeline_version': CASE WHEN doc_id % 10 = 9 THEN 'p2' ELSE '{PIPELINE}' END, 'chunk_index': 0, 'chunk_hash': sha256(text),
+ 'tokens_count': len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')), 'chars': length(text), 'preview': left(text, 220), 'node_refs': [{{'node_id': 'n' || doc_id, 'path': 'text', 'heading': lang, 'char_start': 0, 'char_end': length(text)}}]}})::VARCHAR AS value FROM documents"""
+)
+def export_chunks(spark, d):
+    return export.chunk_lines(knowledge(spark, d).chunks)
+
+
+@query(
+    "WITH n AS (SELECT *, 'c' || conv_id AS version_id, 'dc' || conv_id AS document_id FROM conversations) "
+    "SELECT to_json({'version_id': version_id, 'document_id': document_id, 'title': 'title ' || version_id, 'source_org': 'org', 'doc_type': 'act', 'node_id': 'n-' || conv_id || '-' || turn, 'parent_id': NULL, 'node_index': turn, 'path': 't' || turn, "
+    "'heading_level': CASE WHEN role = 'user' THEN 5 ELSE 3 END, 'heading_text': CASE WHEN role = 'user' THEN 'Art. ' || (turn % 5 + 1) || 'º' ELSE 'Seção ' || turn END, 'chars': length(text), 'text': text})::VARCHAR AS value FROM n"
+)
+def export_nodes(spark, d):
+    versions, documents, nodes = _acts(spark, d)
+    return export.node_lines(nodes, versions, documents)
 
 
 @query("SELECT doc_id, length(text)::INT AS chars, left(text, 220) AS preview, text ILIKE '%of the%' AS has_phrase FROM documents ORDER BY chars DESC, doc_id LIMIT 20")
-def export_preview(spark, d):
+def longest_chunks(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("chars"), F.left("text", F.lit(220)).alias("preview"), F.col("text").ilike("%of the%").alias("has_phrase"))
     return rows.orderBy(F.desc("chars"), "doc_id").limit(20)
 
 
+@query(
+    r"""SELECT 'v' || doc_id AS version_id, 0 AS node_index, 'p' AS path, left(t, 220) AS preview FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || ' CAPÍTULO IV' WHEN doc_id % 7 = 1 THEN 'secao 2 ' || text ELSE text END AS t FROM documents)
+WHERE regexp_matches(t, '(?i)(^|\n)\s*(cap[íi]tulo|se[cç][ãa]o|subse[cç][ãa]o|anexo)\s+[ivxlc0-9]+')"""
+)
+def heading_leaks(spark, d):
+    """Nodes whose text still holds a heading."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("\n CAPÍTULO IV"))).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("secao 2 "), "text")).otherwise(F.col("text"))
+    nodes = table(spark, d, "documents").select(F.concat(F.lit("v"), "doc_id").alias("version_id"), F.lit(0).alias("node_index"), F.lit("p").alias("path"), text.alias("text_normalized"))
+    return export.leaks(nodes)
+
+
+@query("SELECT 'c' || conv_id AS version_id, turn::INT AS node_index, 't' || turn AS path FROM conversations WHERE 't' || turn = 't0'")
+def nodes_at_path(spark, d):
+    """Nodes of one path over the join of nodes, versions and documents."""
+    versions, documents, nodes = _acts(spark, d)
+    rows = nodes.where(F.col("path") == "t0").join(versions, "version_id").join(documents, "document_id")
+    return rows.select("version_id", "node_index", "path")
+
+
 @query("SELECT doc_id, starts_with(text, 'The') AS begins FROM documents WHERE regexp_matches(text, '(^|\\n) *(über|él|the) ', 'i')")
 def regex_leak_check(spark, d):
     return table(spark, d, "documents").where(F.col("text").rlike(r"(?iu)(^|\n) *(über|él|the) ")).select("doc_id", F.col("text").startswith("The").alias("begins"))
@@ -281,22 +463,118 @@ def html_title(spark, d):
     return parsed(table(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
 
 
-@query()
+_DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+@query(
+    rf"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+b AS (SELECT page_id, trim({_DECODED.format("regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)")}) AS h, {_DECODED.format("regexp_replace(regexp_replace(a, '(?s)^.*?</h1>', ''), '<[^>]*>', ' ', 'g')")} AS t FROM a),
+c AS (SELECT page_id::VARCHAR AS version_id, regexp_replace(h, '\s+', ' ', 'g') AS heading_text, 'h1-' || coalesce(nullif(trim(left(array_to_string(regexp_extract_all(lower(strip_accents(h)), '[a-z0-9]+'), '-'), 80), '-'), ''), 'secao') AS path, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM b)
+SELECT sha256(version_id || '|' || path) AS node_id, version_id, 0 AS node_index, 'heading_section' AS kind, path, heading_text, 1 AS heading_level, NULL::VARCHAR AS parent_id, sha256(text) AS text_sha256 FROM c WHERE text <> ''"""
+)
 def html_nodes(spark, d):
     """Sections of every page with their parents."""
     pages = parsed(table(spark, d, "pages").select("page_id", "html")).withColumn("version_id", F.col("page_id").cast("string"))
-    return ingest.node_rows(pages)
+    return ingest.node_rows(pages).withColumn("text_sha256", F.sha2("text_normalized", 256)).drop("text_normalized")
 
 
-@query()
-def landed(spark, d):
-    """Documents, versions and nodes that the pages add to an empty knowledge base."""
-    from ..schemas import TABLES
+_SQL_LAND = """
+b0 AS (SELECT 'http://' || source || '/' || (doc_id % 300) AS url, CASE WHEN lang = 'en' THEN '' ELSE lang END AS title, sha256(text) AS content_hash, length(text) AS n, doc_id FROM documents),
+known AS (SELECT DISTINCT content_hash, 'old' || content_hash AS known_version FROM b0 WHERE n % 9 = 0),
+b AS (SELECT *, sha256('version|' || content_hash) AS version_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY url, title) AS r FROM b0) WHERE r = 1),
+fresh AS (SELECT * FROM b ANTI JOIN known USING (content_hash)),
+rejected AS (SELECT version_id FROM fresh WHERE n % 50 = 3),
+own AS (SELECT f.*, coalesce(k.d, sha256('document|' || url)) AS document_id, k.d AS known_document FROM fresh f ANTI JOIN rejected USING (version_id) LEFT JOIN (SELECT 'http://src1/' || i AS url, 'olddoc' || i AS d FROM range(50) t(i)) k USING (url))
+"""
+
+
+def _landing(spark: SparkSession, d: str) -> ingest.Landing:
+    """Every text as a parsed page of two sections; some contents and addresses are known, some pages repeat a path."""
+    docs = table(spark, d, "documents")
+    section = lambda i, level, head, path, parent, text: F.struct(F.lit(i).alias("node_index"), F.lit(level).alias("heading_level"), F.lit(head).alias("heading_text"), F.lit(path).alias("path"), F.lit(parent).cast("string").alias("parent_path"), text.alias("text"))
+    second = F.when(F.length("text") % 50 == 3, section(1, 2, "B", "h1-a", "h1-a", F.col("text"))).otherwise(section(1, 2, "B", "h1-a/h2-b", "h1-a", F.col("text")))
+    pages = docs.select(F.concat(F.lit("http://"), "source", F.lit("/"), (F.col("doc_id") % 300).cast("string")).alias("url"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("title"), F.sha2("text", 256).alias("content_hash"), F.array(section(0, 1, "A", "h1-a", None, F.lit("a")), second).alias("sections"), F.lit(NOW).cast("timestamp").alias("captured_at"))
+    stamp = F.lit(NOW).cast("timestamp")
+    known = docs.where(F.length("text") % 9 == 0).select(F.sha2("text", 256).alias("content_hash")).distinct()
+    by_content = known.select(F.concat(F.lit("old"), "content_hash").alias("version_id"), F.lit("olddoc").alias("document_id"), F.lit("http://nowhere").alias("source_url"), F.lit(None).cast("string").alias("final_url"), "content_hash")
+    by_url = spark.range(50).select(F.concat(F.lit("u"), "id").alias("version_id"), F.concat(F.lit("olddoc"), "id").alias("document_id"), F.lit("http://gone").alias("source_url"), F.concat(F.lit("http://src1/"), "id").alias("final_url"), F.concat(F.lit("u"), "id").alias("content_hash"))
+    versions = by_content.unionByName(by_url).withColumns({"status": F.lit("INDEXED"), "http_status": F.lit(200), "captured_at": stamp, "created_at": stamp})
+    return ingest.land(pages, spark.createDataFrame([], TABLES["documents"]), versions, "org", "page", NOW)
+
+
+@query("WITH " + _SQL_LAND + "SELECT document_id, coalesce(min(nullif(title, '')), 'Documento') AS title, 'org' AS source_org, 'page' AS doc_type FROM own WHERE known_document IS NULL GROUP BY document_id")
+def landed_documents(spark, d):
+    return _landing(spark, d).documents.drop("created_at")
+
+
+@query("WITH " + _SQL_LAND + "SELECT version_id, document_id, 'READY_FOR_INDEX' AS status, url AS source_url, content_hash FROM own")
+def landed_versions(spark, d):
+    return _landing(spark, d).versions.select("version_id", "document_id", "status", "source_url", "content_hash")
+
+
+@query("WITH " + _SQL_LAND + """, nodes AS (SELECT version_id, 0 AS node_index, 'h1-a' AS path, NULL AS parent, 1 AS heading_level FROM own UNION ALL SELECT version_id, 1, 'h1-a/h2-b', 'h1-a', 2 FROM own)
+SELECT sha256(version_id || '|' || path) AS node_id, version_id, node_index, path, sha256(version_id || '|' || parent) AS parent_id, heading_level FROM nodes""")
+def landed_nodes(spark, d):
+    return _landing(spark, d).nodes.select("node_id", "version_id", "node_index", "path", "parent_id", "heading_level")
+
+
+@query("WITH " + _SQL_LAND + "SELECT 'refreshed' AS kind, known_version AS version_id, NULL AS sample FROM b JOIN known USING (content_hash) UNION ALL SELECT 'rejected', version_id, 'h1-a' FROM rejected")
+def landed_else(spark, d):
+    """Known contents whose capture is refreshed, and pages rejected for a repeated path."""
+    got = _landing(spark, d)
+    return got.refreshed.select(F.lit("refreshed").alias("kind"), "version_id", F.lit(None).cast("string").alias("sample")).unionByName(got.rejected.select(F.lit("rejected").alias("kind"), "version_id", F.array_join("sample", ",").alias("sample")))
+
+
+@query("WITH " + _SQL_LAND + "SELECT count(*)::BIGINT AS n, count(*) FILTER (v.content_hash IN (SELECT content_hash FROM b))::BIGINT AS n_new FROM (SELECT content_hash FROM known) v")
+def captures_refreshed(spark, d):
+    """Versions after a known content was met again: only capture data change."""
+    got = _landing(spark, d)
+    old = got.refreshed.select("version_id", F.lit("x").alias("final_url"), F.lit(1).alias("http_status"), F.lit("2020-01-01 00:00:00").cast("timestamp").alias("captured_at"))
+    new = ingest.refresh(old, got.refreshed)
+    return new.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("captured_at") == F.lit(NOW).cast("timestamp")) & (F.col("final_url") == "x")).alias("n_new"))
+
 
-    empty = lambda t: spark.createDataFrame([], TABLES[t])
-    got = ingest.land(parsed(table(spark, d, "pages").select("url", "html")), empty("documents"), empty("document_versions"), "org", "page", NOW)
-    count = lambda df, name: df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
-    return count(got.documents, "documents").unionByName(count(got.versions, "document_versions")).unionByName(count(got.nodes, "nodes")).unionByName(count(got.rejected, "rejected"))
+_SQL_CHUNK = f"""
+c AS (SELECT 'v' || (item_id % 20) AS version_id, string_agg('Item ' || item_id || chr(10) || text, chr(10) || chr(10) ORDER BY item_id) AS text, count(*) AS n FROM benchmark GROUP BY 1),
+h AS (SELECT *, sha256('{PIPELINE}|' || {_FOLD.format(_NORMAL.format('text'))}) AS chunk_hash FROM c)"""
+
+
+def _indexed(spark: SparkSession, d: str) -> lifecycle.Indexed:
+    """benchmark items as nodes of twenty versions, of which every third is indexed already."""
+    items = table(spark, d, "benchmark").withColumn("version_id", F.concat(F.lit("v"), (F.col("item_id") % 20).cast("string")))
+    nodes = items.select("version_id", F.concat(F.lit("n"), "item_id").alias("node_id"), F.col("item_id").cast("int").alias("node_index"), F.lit("p").alias("path"), F.concat(F.lit("Item "), "item_id").alias("heading_text"), F.col("text").alias("text_normalized"))
+    versions = items.select("version_id").distinct().withColumn("status", F.when(F.substring("version_id", 2, 3).cast("int") % 3 == 0, "INDEXED").otherwise("READY_FOR_INDEX"))
+    old = spark.createDataFrame([("gone", "v1", PIPELINE, 0, "h", "t", [], 1), ("stays", "v1", "p2", 0, "h", "t", [], 1)], "chunk_id string, version_id string, pipeline_version string, chunk_index int, chunk_hash string, text string, node_refs array<struct<node_id:string,path:string,heading:string,char_start:int,char_end:int>>, tokens_count int").withColumn("created_at", F.lit(NOW).cast("timestamp"))
+    vectors = spark.createDataFrame([("gone", "hashed@1", PIPELINE, [0.0]), ("stays", "hashed@1", "p2", [0.0])], "chunk_id string, embedding_model_id string, pipeline_version string, embedding array<float>").withColumn("created_at", F.lit(NOW).cast("timestamp"))
+    posts = spark.createDataFrame([("gone", "t", [1]), ("stays", "t", [1])], "chunk_id string, lexeme string, positions array<int>")
+    return lifecycle.reindex(versions, nodes, old, vectors, posts, PIPELINE, "hashed@1", hashed, NOW, language=LANGUAGE)
+
+
+@query("WITH " + _SQL_CHUNK + f"""SELECT sha256(version_id || '|{PIPELINE}|' || chunk_hash) AS chunk_id, version_id, '{PIPELINE}' AS pipeline_version, 0 AS chunk_index, chunk_hash, sha256(text) AS text_sha256, n::INT AS n_refs,
+ length(text)::INT AS last_end, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS tokens_count FROM h WHERE substr(version_id, 2)::INT % 3 <> 0
+UNION ALL SELECT 'stays', 'v1', 'p2', 0, 'h', sha256('t'), 0, NULL, 1""")
+def indexed_chunks(spark, d):
+    """Chunks after an indexing run: new ones beside those of another pipeline."""
+    return _indexed(spark, d).chunks.select("chunk_id", "version_id", "pipeline_version", "chunk_index", "chunk_hash", F.sha2("text", 256).alias("text_sha256"), F.size("node_refs").alias("n_refs"), F.try_element_at("node_refs", F.lit(-1))["char_end"].alias("last_end"), "tokens_count")
+
+
+@query("WITH " + _SQL_CHUNK + f"""SELECT CASE WHEN v.version_id IN (SELECT version_id FROM h WHERE substr(version_id, 2)::INT % 3 = 0) THEN 'was indexed' ELSE 'indexed' END AS kind, count(*)::BIGINT AS n FROM h v GROUP BY 1
+UNION ALL SELECT 'vectors', count(*) FILTER (substr(version_id, 2)::INT % 3 <> 0)::BIGINT + 1 FROM h UNION ALL SELECT 'posted chunks', count(*) FILTER (substr(version_id, 2)::INT % 3 <> 0)::BIGINT + 1 FROM h""")
+def indexed_rest(spark, d):
+    """Versions, vectors and postings after an indexing run: those of chunks that went, went with them."""
+    got = _indexed(spark, d)
+    was = F.when(F.substring("version_id", 2, 3).cast("int") % 3 == 0, "was indexed").otherwise("indexed")
+    versions = got.versions.where("status = 'INDEXED'").groupBy(was.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return versions.unionByName(got.embeddings.where(F.size("embedding") > 0).agg(F.lit("vectors").alias("kind"), F.count(F.lit(1)).alias("n"))).unionByName(got.postings.agg(F.lit("posted chunks").alias("kind"), F.countDistinct("chunk_id").alias("n")))
+
+
+@query("SELECT doc_id::VARCHAR AS chunk_id, 'v' || doc_id AS version_id FROM documents d WHERE doc_id % 2 = 1 AND doc_id = (SELECT min(doc_id) FROM documents e WHERE e.text = d.text AND e.doc_id % 2 = 1) AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+def chunks_absent(spark, d):
+    """Insert, and do nothing on conflict: odd chunks whose content neither an even one nor a smaller odd one has."""
+    chunks = knowledge(spark, d).chunks.withColumn("chunk_id", F.lpad("chunk_id", 12, "0"))
+    even = F.col("chunk_id").cast("long") % 2 == 0
+    new = lifecycle.absent(chunks.where(~even), chunks.where(even), ["chunk_hash"])
+    return new.select(F.col("chunk_id").cast("long").cast("string").alias("chunk_id"), "version_id")
 
 
 @query()
@@ -306,45 +584,58 @@ def chunks(spark, d):
     return chunks_of(nodes, "v1", Sizes()).select("chunk_id", "version_id", "chunk_index", "tokens_count", F.size("node_refs").alias("n_refs"), "chunk_hash")
 
 
-@query()
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+_SQL_TURNS = f"t AS (SELECT conv_id, turn, regexp_extract_all({_FOLD.format('text')}, '[a-zA-ZÀ-ÿ0-9]+') AS t FROM conversations WHERE role = 'user')"
+_ACTS = _quoted(ACT_TYPES)
+_KEPT = f"""list_filter(t, lambda x, i: NOT (x IN ({_ACTS}) AND regexp_full_match(coalesce(t[i + 1], ''), '[0-9]+')) AND NOT (regexp_full_match(x, '[0-9]+') AND i > 1 AND coalesce(t[i - 1], '') IN ({_ACTS}))
+ AND x NOT IN ({_quoted(STOP_SEARCH)}) AND CASE WHEN regexp_full_match(x, '[0-9]+') THEN length(x) <= 2 ELSE length(x) >= 3 END)"""
+_FIRST = "list_filter(k, lambda x, i: list_position(k, x) = i)"
+
+
+@query(
+    f"""WITH {_SQL_TURNS}, a AS (SELECT conv_id, turn, {_KEPT} AS k FROM t), b AS (SELECT conv_id, turn, list_concat(list_filter({list(DOMAIN_TERMS)}, lambda x: list_contains(k, x)), k) AS k FROM a)
+SELECT conv_id, turn, coalesce(array_to_string({_FIRST}[1:8], ' '), '') AS keywords FROM b"""
+)
 def kw_extract(spark, d):
     """Search keywords of every user turn."""
     asked = table(spark, d, "conversations").where("role = 'user'")
     return asked.select("conv_id", "turn", column("search_keywords")(F.col("text")).alias("keywords"))
 
 
-@query()
+@query(
+    f"""WITH {_SQL_TURNS}, a AS (SELECT conv_id, turn, list_filter(t, lambda x: x NOT IN ({_quoted(STOP_ANSWER)}) AND CASE WHEN regexp_full_match(x, '[0-9]+') THEN length(x) <= 2 ELSE length(x) >= 3 END) AS k FROM t)
+SELECT conv_id, turn, coalesce(array_to_string({_FIRST}[1:12], ' '), '') AS keywords FROM a"""
+)
+def answer_terms(spark, d):
+    """Answer keywords of every user turn."""
+    asked = table(spark, d, "conversations").where("role = 'user'")
+    return asked.select("conv_id", "turn", column("answer_keywords")(F.col("text")).alias("keywords"))
+
+
+@query(
+    """SELECT doc_id, coalesce(nullif(trim(left(array_to_string(regexp_extract_all(lower(strip_accents(string_split(text, chr(10))[1])), '[a-z0-9]+'), '-'), 80), '-'), ''), 'secao') AS slug, sha256(strip_accents(text)) AS plain_sha256 FROM documents"""
+)
 def slugs(spark, d):
     """Slug of each document's first line and SHA-256 of its whole text without accents."""
     line = F.split("text", "\n", 2)[0]
     return table(spark, d, "documents").select("doc_id", column("slug")(line).alias("slug"), F.sha2(column("strip_accents")(F.col("text")), 256).alias("plain_sha256"))
 
 
-@query()
-def answer(spark, d):
-    """The extractive answer over the best chunks of the hybrid query."""
-    rows = rrf_enriched(spark, d).select("rank", "chunk_id", "rrf_score").join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").orderBy("rank").collect()  # TOP_K rows
-    text, cited = extractive_answer(QUESTION, [r.asDict() | {"sid": f"S{r['rank']}"} for r in rows])
-    return spark.createDataFrame([(text, ",".join(cited))], "answer string, cited string")
-
-
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT label, count(*)::BIGINT AS n, round(min(list_cosine_distance(embedding::DOUBLE[], q)), 9) AS nearest FROM embeddings, q WHERE vec_id <> 0 GROUP BY label")
 def vec_by_label(spark, d):
     rows = table(spark, d, "embeddings").where("vec_id <> 0").select("label", cosine_distance(F.col("embedding"), _query_vector(spark, d)).alias("x"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 9).alias("nearest"))
 
 
-@query(
-    "WITH "
-    + _SQL_FTS.format(hit=_OR)
-    + "SELECT chunk_id, fts_score, text ILIKE '%that%' AS has_text, left(text, 220) AS preview FROM fts JOIN documents ON doc_id = chunk_id ORDER BY fts_score DESC, chunk_id LIMIT 10"
-)
+@query("WITH " + _sql_fts(_ALL, ["that", "with", "from"], "h0 OR h1 OR h2", 10) + f"SELECT chunk_id, fts_score, text ILIKE '%that%' AS has_text, left(text, 220) AS preview FROM fts JOIN ({_ALL}) USING (chunk_id)")
 def fts_debug(spark, d):
     """The best hits with a plain substring test beside them."""
-    docs = table(spark, d, "documents")
-    best = _term_top(docs, False).select("chunk_id", "fts_score").orderBy(F.desc("fts_score"), "chunk_id").limit(10)
-    texts = docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").ilike("%that%").alias("has_text"), F.left("text", F.lit(220)).alias("preview"))
-    return texts.join(F.broadcast(best), "chunk_id").select("chunk_id", "fts_score", "has_text", "preview")
+    docs = _texts(spark, d)
+    best = fts.search(docs, fts.any_of("that with from", language=LANGUAGE), 10, language=LANGUAGE).select("chunk_id", "fts_score")
+    return docs.join(F.broadcast(best), "chunk_id").select("chunk_id", "fts_score", F.col("text").ilike("%that%").alias("has_text"), F.left("text", F.lit(220)).alias("preview"))
 
 
 @query()
@@ -352,7 +643,7 @@ def embedded_search(spark, d):
     """Chunks embedded by the hashed provider and searched by an embedded question."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     vectors = embedded(docs, hashed, "hashed@1").select("chunk_id", "embedding")
-    return vector_top(vectors, embed([QUESTION], hashed(), "query")[0], N2, 6)
+    return vector_top(vectors, embed([LADDER], hashed(), "query")[0], N2, 6)
 
 
 @query("SELECT 'repeated doc_id' AS rule, count(*)::BIGINT AS n FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) HAVING count(*) > 0 UNION ALL SELECT 'repeated text', count(*)::BIGINT FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1) HAVING count(*) > 0")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-from ..functions.text import hash_form, normalize, normalize_lines, sha256, slug
+from ..functions.text import hash_form, normalize, sha256, slug
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NOISE = frozenset("script style noscript nav header footer aside".split())
@@ -32,24 +32,25 @@ class Element:
         return next((e for e in self.walk() if e.tag in tags), None)
 
     def text(self, breaks: bool = False) -> str:
-        """All text below; with breaks each br is a line end."""
+        """All strings below, trimmed, a space between them; with breaks each br is a line end."""
         out, stack = [], list(reversed(self.children))
         while stack:
             one = stack.pop()
             if isinstance(one, str):
-                out.append(one)
+                out.append(one.strip())
             elif breaks and one.tag == "br":
                 out.append("\n")
             else:
                 stack += reversed(one.children)
-        return "".join(out)
+        return " ".join(filter(None, out))
 
     def prune(self) -> Element:
         """Without navigation, scripts and the like."""
-        self.children = [c for c in self.children if isinstance(c, str) or c.tag not in NOISE]
-        for c in self.children:
-            if isinstance(c, Element):
-                c.prune()
+        stack = [self]
+        while stack:
+            one = stack.pop()
+            one.children = [c for c in one.children if isinstance(c, str) or c.tag not in NOISE]
+            stack += [c for c in one.children if isinstance(c, Element)]
         return self
 
 
@@ -65,7 +66,7 @@ class _Builder(HTMLParser):
             self.open.pop()
         one = Element(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(one)
-        if tag not in VOID and len(self.open) < 200:
+        if tag not in VOID:
             self.open.append(one)
 
     def handle_endtag(self, tag):
@@ -107,7 +108,11 @@ def content_hash(sections: list[Section]) -> str:
 
 
 def sections_by_headings(root: Element, title: str, deepest: int = 3) -> list[Section]:
-    """Sections under h1 to h(deepest); those without text are left out; without any the body is one."""
+    """Sections under h1 to h(deepest); those without text are left out; without any the body is one.
+
+    A section's text is what stands in its paragraphs and list items. A string counts once, also where an
+    element that was never closed holds the next one.
+    """
     body = (root.find("body") or root).prune()
     levels = {f"h{i}": i for i in range(1, deepest + 1)}
     out: list[Section] = []
@@ -115,7 +120,7 @@ def sections_by_headings(root: Element, title: str, deepest: int = 3) -> list[Se
     level, heading, texts = 0, "", []
 
     def close() -> None:
-        text = "\n".join(filter(None, texts))
+        text = normalize(" ".join(texts))
         if not level or not text:
             return
         while above and above[-1][0] >= level:
@@ -126,16 +131,22 @@ def sections_by_headings(root: Element, title: str, deepest: int = 3) -> list[Se
         above.append((level, path))
         out.append(Section(level, heading, path, parent, text))
 
-    for e in body.walk():
-        if e.tag in levels:
+    stack: list[tuple[Element | str, bool]] = [(body, False)]
+    while stack:
+        one, inside = stack.pop()
+        if isinstance(one, str):
+            if inside:
+                texts.append(one)
+        elif one.tag in levels:
             close()
-            level, heading, texts = levels[e.tag], normalize(e.text()), []
-        elif e.tag in ("p", "li"):
-            texts.append(normalize(e.text()))
+            level, heading, texts = levels[one.tag], normalize(one.text()), []
+        else:
+            inside = inside or one.tag in ("p", "li")
+            stack += [(c, inside) for c in reversed(one.children)]
     close()
     if out:
         return out
-    whole = normalize_lines(body.text(breaks=True))
+    whole = normalize(body.text())
     return [Section(1, title, f"h1-{slug(title)}", None, whole)] if whole else []
 
 

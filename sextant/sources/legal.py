@@ -21,12 +21,17 @@ SECTION = re.compile(rf"SE[CÇ][ÃA]O\s+{ROMAN}", re.I)
 SUBSECTION = re.compile(rf"SUBSE[CÇ][ÃA]O\s+{ROMAN}", re.I)
 ANNEX = re.compile(r"ANEXO(?:\s+[IVXLC\d]+)?(?:\s*[-–—:]\s*.*)?$", re.I)
 #: The ordinal sign must stand at the number; a letter after a hyphen is part of it.
-ARTICLE = re.compile(r"A(?:rt|RT)\.\s*(\d+(?:-[A-Z])?)([º°]|[oO](?![^\W\d_]))?\.?\s*(.*)$", re.S)
+ARTICLE = re.compile(r"(?:Art\.|ART\.)\s*(\d+(?:-[A-Z])?)([º°]|[oO](?![^\W\d_]))?\.?\s*(.*)$", re.S)
 NOTICE = re.compile(r"Este texto n[aã]o substitui a Publica[cç][aã]o Oficial\.?$", re.I)
-#: A heading glued to the sentence before it, and an article in the middle of a line.
-GLUED = re.compile(rf"(?<=[.;:)])\s+(?=(?:CAP[ÍI]TULO|SE[CÇ][ÃA]O|SUBSE[CÇ][ÃA]O)\s+{ROMAN}|ANEXO(?:\s+[IVXLC\d]+)?\b|A(?:rt|RT)\.\s*\d)")
-CHAINED = re.compile(r"(?<=[IVXLC\d])\s+(?=(?:SE[CÇ][ÃA]O|SUBSE[CÇ][ÃA]O)\s+[IVXLC\d]+\b)", re.I)
-BARE = re.compile(r"A(?:rt|RT)\.$")
+# Headings and articles in the middle of a line.
+GLUED = re.compile(rf"(?<=\S)\s*\b(?=(?:CAP[ÍI]TULO|Se[cç]ão|Subse[cç]ão)\s+{ROMAN}|ANEXO(?:\s+[IVXLC\d]+)?\b)", re.I)
+EACH_ARTICLE = re.compile(r"(?<=\S)\s*\b(?=(?:Art\.|ART\.)\s*\d)")
+BARE = re.compile(r"(?:Art\.|ART\.)$")
+STRUCTURE_WORD = re.compile(r"\b(?:CAP[ÍI]TULO|Se[cç]ão|Subse[cç]ão|ANEXO)\b", re.I)
+# How the head of an act begins; in capitals.
+HEADERS = ("MINISTÉRIO DA SAÚDE", "MINISTERIO DA SAUDE", "AGÊNCIA NACIONAL DE VIGILÂNCIA SANITÁRIA", "AGENCIA NACIONAL DE VIGILANCIA SANITARIA", "DIRETORIA COLEGIADA", "RESOLUÇÃO DA DIRETORIA COLEGIADA", "RESOLUCAO DA DIRETORIA COLEGIADA")
+#: Pieces that one line is cut into at most by headings; characters of an article's end that are looked at.
+PIECES, TAIL = 10, 220
 
 
 def table_text(table: Element) -> str:
@@ -45,16 +50,22 @@ def blocks(root: Element):
 
 
 def lines_of(block: Element, carried: str) -> tuple[list[str], str]:
-    """The lines of a paragraph, glued headings apart; an "Art." at the end waits for its number."""
+    """The lines of a paragraph; headings and articles in mid-line begin lines of their own, and an "Art." at the
+    end waits for its number."""
     raw = [normalize(x) for x in block.text(breaks=True).split("\n")]
-    lines = [p.strip() for line in raw if line for g in GLUED.sub("\n", line).split("\n") for p in CHAINED.sub("\n", g).split("\n") if p.strip()]
+    parts = [p for line in raw if line for p in GLUED.sub("\n", line, count=PIECES - 1).split("\n")]
+    lines = [q.strip() for p in parts for q in EACH_ARTICLE.sub("\n", p).split("\n") if q.strip()]
     out: list[str] = []
     for line in lines:
         if carried:
-            line, carried = (f"{carried} {line}", "") if line[:1].isdigit() else (line, "")
+            if line[:1].isdigit():
+                line = f"{carried} {line}"
+            else:
+                out.append(carried)
+            carried = ""
         if BARE.match(line):
             carried = line
-        elif re.search(r"\sA(?:rt|RT)\.$", line):
+        elif re.search(r"\s(?:Art\.|ART\.)$", line):
             head, _, carried = line.rpartition(" ")
             out.append(head)
         else:
@@ -68,8 +79,14 @@ def centred(block: Element, line: str) -> bool:
 
 
 def article_worth(s: Section) -> tuple[int, int, int]:
-    """Deeper, not cut off at its end, longer."""
-    return s.path.count("/"), -bool(re.search(r"(?:[,;]|\b(?:e|ou|de|da|do))$", s.text)), len(s.text)
+    """Deeper, no heading stuck to its end, longer."""
+    last = s.text.splitlines()[-1] if s.text else ""
+    return s.path.count("/"), -bool(STRUCTURE_WORD.search(normalize(last)[-TAIL:])), len(s.text)
+
+
+def header_of(line: str) -> str | None:
+    """The head of an act that a line begins with."""
+    return next((h for h in HEADERS if line.upper().startswith(h)), None)
 
 
 @dataclass
@@ -83,6 +100,7 @@ class _Act:
     number: str = ""
     text: list[str] = field(default_factory=list)
     over: bool = False
+    headers: set[str] = field(default_factory=set)
 
     def unique(self, path: str) -> str:
         n, own = 2, path
@@ -140,6 +158,12 @@ class _Act:
     def line(self, line: str, block: Element) -> None:
         if NOTICE.match(line):
             return
+        head = header_of(line)
+        if head and (self.kind == "annex" and head in HEADERS[:4] or self.kind != "preamble" and head in self.headers and centred(block, line)):
+            self.over = True  # the page holds the act twice
+            return
+        if head:
+            self.headers.add(head)
         article = ARTICLE.match(line)
         if article:
             if self.kind == "annex":
@@ -186,12 +210,15 @@ def sections_of_act(root: Element) -> list[Section]:
                 break
         if act.over:
             break
+    if carried and not act.over:
+        act.text.append(carried)
     act.flush()
     return act.sections
 
 
-def article_warning(html_text: str, sections: list[Section]) -> bool:
-    """Whether suspiciously few articles were found for those the raw text names."""
-    hint = len(set(re.findall(r"\bA(?:rt|RT)\.\s*(\d+)", html_text)))
+def article_warning(root: Element, sections: list[Section]) -> bool:
+    """Whether suspiciously few articles were found for those that paragraphs which begin with one name."""
+    texts = [normalize(p.text()) for p in root.walk() if p.tag == "p"]
+    hint = sum(max(1, len(re.findall(r"\b(?:Art\.|ART\.)\s*\d+", t))) for t in texts if t.startswith(("Art.", "ART.")))
     got = sum(s.heading_level == 5 for s in sections)
     return hint >= 10 and got < max(5, int(0.4 * hint))

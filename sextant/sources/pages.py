@@ -54,16 +54,27 @@ def parsed(pages: DataFrame, deepest: int = 3) -> DataFrame:
     return pages.mapInPandas(run, f"{schema}, title string, content_hash string, sections {SECTIONS}")
 
 
-def latest_run(spark: SparkSession, folder: str, suffix: str = "_query.json") -> DataFrame:
-    """The newest run file by modification time, ties by name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
-    return files.orderBy(F.desc("modificationTime"), F.desc("path")).limit(1).select("path", F.col("content").cast("string").alias("json"))
-
-
-def json_lines_report(spark: SparkSession, path: str) -> DataFrame:
-    """total, invalid and the first five errors (line text to 220 characters); blank lines count but aren't invalid."""
-    lines = spark.read.text(path)
+def latest_run(spark: SparkSession, folder: str, suffix: str = "_query.json", by_name: bool = False) -> DataFrame:
+    """path and json of the newest run file: by modification time (ties by name), or by name with its numbers in order.
+
+    Only the listing is read to find it.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "modificationTime")
+    name = F.transform(F.regexp_extract_all(F.substring_index("path", "/", -1), F.lit(r"\d+|\D+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 20, "0")).otherwise(x))
+    order = [F.array_join(name, "").desc()] if by_name else [F.desc("modificationTime"), F.desc("path")]
+    found = files.orderBy(*order).limit(1).select("path").collect()  # one row
+    if not found:
+        return spark.createDataFrame([], "path string, json string")
+    return spark.read.text(found[0]["path"], wholetext=True).select(F.lit(found[0]["path"]).alias("path"), F.col("value").alias("json"))
+
+
+def lines_report(lines: DataFrame) -> DataFrame:
+    """total, invalid and the first five errors (line text to 220 characters) of value; blank lines count but aren't invalid."""
     bad = (F.trim("value") != "") & F.try_parse_json("value").isNull()
     errors = lines.where(bad).select(F.left("value", F.lit(220)).alias("value")).limit(5)
     totals = lines.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("invalid"))
-    return totals.crossJoin(F.broadcast(errors.agg(F.collect_list("value").alias("errors"))))
+    return totals.crossJoin(F.broadcast(errors.agg(F.collect_list("value").alias("errors"))))  # one row each
+
+
+def json_lines_report(spark: SparkSession, path: str) -> DataFrame:
+    return lines_report(spark.read.text(path))

@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -57,7 +58,7 @@ def test_query_ask_and_audit(spark, tmp_path):
     kb = api.KnowledgeBase(got.documents, versions, chunks, None, str(tmp_path / "audit"))
     params = Params(30, 0, 60, 5)
     result = api.query(kb, "prazo do registro", params=params, now=NOW)
-    assert not api.contract_errors(result) and result["results"][0]["rank"] == 1 and "prazo" in result["results"][0]["text"]
+    assert not api.contract_errors(result) and result["results"][0]["rank"] == 1 and "prazo" in result["results"][0]["chunk"]["text"]
     reply = api.ask(kb, "qual o prazo?", now=NOW)
     assert "prazo" in reply["answer"]["text"] and reply["answer"]["cited_sources"] == ["S1"]
     again = api.query(kb, "prazo do registro", params=params, now="2025-01-01 00:00:00")
@@ -103,7 +104,10 @@ def test_exports_and_reports(spark, tmp_path):
     report = json_lines_report(spark, str(tmp_path / "bad.jsonl")).first()
     assert (report["total"], report["invalid"], report["errors"]) == (3, 1, ["not json"])
     assert export.article_report(got.versions, got.documents, got.nodes).count() == 2
-    assert "[S1] T" in export.prompt("q", [{"rank": 1, "text": "x", "document": {"title": "T"}, "node_refs": [{"heading": "H"}]}])
+    row = lambda i, t: {"rank": i, "chunk": {"text": t}, "document": {"title": "T"}, "citations": [{"heading": "H2"}, {"heading": "H1"}, {"heading": "H2"}]}
+    text = export.prompt({"query": "q?", "results": [row(2, "second"), row(1, "first")]})
+    assert text.startswith("Você é um assistente") and "PERGUNTA:\nq?\n" in text
+    assert "### TRECHO 1\nDocumento: T\nArtigos/Nós: H1, H2\n\nfirst\n\n----------------------------------------\n\n### TRECHO 2" in text
     broken = got.versions.withColumn("status", __import__("pyspark").sql.functions.lit("odd"))
     with pytest.raises(ValueError, match="status"):
         schemas.checked(broken, "document_versions")
@@ -133,7 +137,7 @@ def test_queries_equal_their_sql(spark, sf_small):
     from sextant.plans.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in "documents embeddings pages labels events conversations".split():
+    for t in "documents embeddings pages labels events conversations benchmark".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     plain = lambda v: f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     for name, sql in ORACLE_SQL.items():
@@ -186,3 +190,120 @@ def test_slugs_read_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: (r["slug"], r["plain_sha256"]) for r in entry.queries()["slugs"](spark, str(tmp_path)).collect()}
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got == {1: ("titulo", digest("Titulo\ncorpo unico")), 2: ("titulo", digest("Titulo\ncorpo outro")), 3: ("a", digest("a\n")), 4: ("secao", None)}
+
+
+def small_base(spark):
+    """Three chunks of two indexed versions and one that waits, with vectors of two pipelines."""
+    stamp = datetime.datetime(2024, 1, 1)
+    documents = spark.createDataFrame([("d1", "T1", "org", "law", stamp), ("d2", "T2", "org", "law", stamp)], schemas.TABLES["documents"])
+    versions = spark.createDataFrame([(f"v{i}", f"d{i % 2 + 1}", "READY_FOR_INDEX" if i == 3 else "INDEXED", "http://x", None, 200, stamp, f"h{i}", stamp) for i in (1, 2, 3)], schemas.TABLES["document_versions"])
+    texts = {1: "O prazo de registro do produto", 2: "Os registros vencem", 3: "prazo registro"}
+    chunks = spark.createDataFrame([(f"c{i}", f"v{i}", "p1", 0, f"k{i}", t, [(f"n{i}", "p", "H", 0, len(t))], 3, stamp) for i, t in texts.items()], schemas.TABLES["embedding_chunks"])
+    vectors = spark.createDataFrame([("c1", "m@1", "p1", [1.0, 0.0], stamp), ("c2", "m@1", "p1", [0.0, 1.0], stamp), ("c1", "m@1", "p0", [0.0, 1.0], stamp), ("c3", "m@1", "p1", [1.0, 0.0], stamp)], schemas.TABLES["chunk_embeddings"])
+    return api.KnowledgeBase(documents, versions, chunks, vectors, provider=lambda texts: [[1.0, 0.0] if t == "query: prazo" else [0.0, 1.0] for t in texts])
+
+
+def test_contract_and_filters(spark):
+    kb = small_base(spark)
+    result = api.query(kb, "prazo", params=Params(10, 10, 60, 5), pipeline_version="p1", model="m@1", now=NOW)
+    assert api.contract_errors(result) == [] and result["retrieval"] == {"version_id": None, "pipeline_version": "p1", "embedding_model_id": "m@1", "n1_fts": 10, "n2_vec": 10, "rrf_k": 60, "top_k": 5}
+    first, second = result["results"]  # the vector of another pipeline and the chunk of a waiting version take no part
+    assert first["chunk"] == {"chunk_id": "c1", "version_id": "v1", "chunk_index": 0, "tokens_count": 3, "text": "O prazo de registro do produto"}
+    assert first["scores"] == {"rrf_score": 2 / 61, "fts_rank": 1, "fts_score": 1.0, "vec_rank": 1, "vec_distance": 0.0} and first["scores"]["rrf_score"] == first["rrf_score"]
+    assert first["citations"] == [{"node_id": "n1", "path": "p", "heading": "H", "char_start": 0, "char_end": 30}] and first["document"]["title"] == "T2"
+    assert second["chunk"]["chunk_id"] == "c2" and second["fts_rank"] is None and second["vec_rank"] == 2
+    broken = result | {"results": [{k: v for k, v in first.items() if k != "scores"}]}
+    assert api.contract_errors(broken) == ["result 1 lacks scores"] and api.contract_errors({"schema_version": 1})
+    assert "retrieval lacks n1_fts" in api.contract_errors(result | {"retrieval": {}})
+
+
+def test_parameter_matrix(spark):
+    kb = small_base(spark)
+    for n1, n2, k, top, want in ((30, 30, 60, 5, 2), (80, 0, 60, 5, 1), (0, 80, 60, 5, 2), (30, 30, 60, 1, 1), (30, 30, 10, 10, 2), (30, 30, 120, 10, 2)):
+        result = api.query(kb, "prazo", params=Params(n1, n2, k, top))
+        assert len(result["results"]) == want and not api.contract_errors(result)
+    assert [r["chunk"]["chunk_id"] for r in api.query(kb, "prazo", params=Params(0, 9, 60, 9), version_id="v2")["results"]] == ["c2"]
+    request_id, result = api.call(api.query, kb, {"question": "registro", "n2_vec": 0}, "own")
+    assert request_id == "own" and [r["chunk"]["chunk_id"] for r in result["results"]] == ["c1", "c2"]  # registros has the stem of registro
+    assert len(api.call(api.ask, kb, {"question": "prazo"})[0]) == 32 and api.health("p1")["ok"]
+    with pytest.raises(api.Unauthorized):
+        api.call(api.query, kb, {"question": "prazo"}, key="wrong", configured_key="right")
+    with pytest.raises(ValueError, match="empty"):
+        api.call(api.query, kb, {"question": ""})
+
+
+def test_audit_of_a_query_must_be_written(spark, tmp_path):
+    kb = small_base(spark)
+    (tmp_path / "file").write_text("no folder")
+    kb.audit_path = str(tmp_path / "file")
+    with pytest.raises(Exception):
+        api.query(kb, "prazo", params=Params(5, 0, 60, 5))
+    with pytest.warns(UserWarning, match="audit"):
+        assert api.ask(kb, "prazo")["answer"]["cited_sources"] == ["S1"]
+
+
+def test_stored_postings_and_ladder(spark):
+    from sextant.functions import fts
+    from sextant.operators import retrieve
+
+    kb = small_base(spark)
+    stored = fts.postings(kb.chunks).cache()
+    for text in ("prazo registro", '"prazo de registro"', "-vencem", "absent or -prazo"):
+        query = fts.websearch(text)
+        assert fts.search(kb.chunks, query, 9, stored).collect() == fts.search(kb.chunks, query, 9).collect()
+    assert retrieve.ladder(kb.chunks, "prazo vencem", stored=stored)[0] == "or"
+    assert retrieve.ladder(kb.chunks, "prazo do registro")[0] == "websearch"
+    assert retrieve.ladder(kb.chunks, "nada disso")[0] == "websearch"
+    assert retrieve.fts_hits(kb.chunks, "or", "prazo vencem") == 3 and retrieve.fts_hits(kb.chunks, "plain", "") == 0
+    with pytest.raises(ValueError, match="form"):
+        retrieve.fts_hits(kb.chunks, "odd", "prazo")
+
+
+def test_worker_loop(spark):
+    jobs = spark.createDataFrame([], schemas.TABLES["jobs"])
+    payloads = spark.createDataFrame([(f"p{i}",) for i in range(5)], "payload string")
+    state = [lifecycle.enqueue(jobs, payloads, "index", NOW).cache()]
+    seen = []
+
+    def work(job):
+        seen.append(job["payload"])
+        if job["payload"] == "p1":
+            raise lifecycle.PermanentError("no such version")
+        if job["payload"] == "p2":
+            raise OSError("later")
+
+    run = lambda **more: lifecycle.poll(lambda: state[0], lambda df: state.__setitem__(0, df), work, "w", lambda: NOW, lambda df: df.cache(), **more)
+    assert run(once=True) == 1 and len(seen) == 1
+    with pytest.raises(KeyboardInterrupt):
+        run(wait=lambda s: (_ for _ in ()).throw(KeyboardInterrupt))
+    assert sorted(seen) == ["p0", "p1", "p2", "p3", "p4"]
+    assert {r["payload"]: (r["status"], r["attempts"]) for r in state[0].collect()} == {"p0": ("done", 0), "p1": ("dead", 0), "p2": ("failed", 1), "p3": ("done", 0), "p4": ("done", 0)}
+
+
+def test_swap_that_breaks_off(spark, tmp_path):
+    from sextant.operators.warehouse import Warehouse
+
+    house = Warehouse(spark, str(tmp_path / "house"))
+    house.bootstrap()
+    stamp = datetime.datetime(2024, 1, 1)
+    row = lambda i: spark.createDataFrame([(f"d{i}", "T", "org", "law", stamp)], schemas.TABLES["documents"])
+    house.append("documents", row(1))
+    with pytest.raises(ValueError, match="repeated"):
+        house.append("documents", row(1))
+    (tmp_path / "house" / "documents").rename(tmp_path / "house" / "documents.old")  # the crash
+    assert house.read("documents").count() == 1
+    house.replace("documents", row(2))
+    assert [r["document_id"] for r in house.read("documents").collect()] == ["d2"]
+
+
+def test_latest_run(spark, tmp_path):
+    import os
+
+    from sextant.sources.pages import latest_run
+
+    for i, name in enumerate(["20240101_9_query.json", "20240101_10_query.json", "20240101_11_ask.json"]):
+        (tmp_path / name).write_text('{"n": %d}' % i)
+        os.utime(tmp_path / name, (1000 - i, 1000 - i))
+    assert latest_run(spark, str(tmp_path)).first()["json"] == '{"n": 0}'
+    assert latest_run(spark, str(tmp_path), by_name=True).first()["json"] == '{"n": 1}'
+    assert latest_run(spark, str(tmp_path), "_none.json").collect() == []

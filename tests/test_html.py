@@ -1,5 +1,5 @@
-from sextant.sources.html import extract
-from sextant.sources.legal import article_warning
+from sextant.sources.html import Section, extract, parse
+from sextant.sources.legal import article_warning, article_worth
 
 
 def paths(sections):
@@ -14,7 +14,7 @@ def test_page_without_headings():
 def test_heading_stack_and_empty_section():
     _, got = extract("<body><h1>Top</h1><p>a<p>b<h2>Empty</h2><h2>Sub</h2><li>c</li><h3>Deep</h3><p>d</p><h1>Next</h1><p>e</p></body>")
     assert paths(got) == [(1, "h1-top", None), (2, "h1-top/h2-sub", "h1-top"), (3, "h1-top/h2-sub/h3-deep", "h1-top/h2-sub"), (1, "h1-next", None)]
-    assert got[0].text == "a\nb"
+    assert got[0].text == "a b"
 
 
 def test_empty_page():
@@ -47,5 +47,37 @@ def test_repeated_document_is_cut():
 
 
 def test_article_warning():
-    assert article_warning(" ".join(f"Art. {i}" for i in range(1, 13)), [])
-    assert not article_warning("Art. 1", [])
+    page = lambda n: parse("".join(f"<p>Art. {i} texto e Art. {i} de novo</p>" for i in range(n)) + "<p>ver Art. 9</p>")
+    assert article_warning(page(6), []) and not article_warning(page(4), [])
+
+
+def act(*paragraphs):
+    return extract('<div class="ato">' + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>")[1]
+
+
+def test_articles_in_mid_line():
+    got = {s.heading_text: s.text for s in act("Art. 1 Texto Art. 2 Outro; e Art. 3 Mais", "prefixo Art. 4 Quarto")}
+    assert got == {"Art. 1": "Art. 1 Texto", "Art. 2": "Art. 2 Outro; e", "Art. 3": "Art. 3 Mais\nprefixo", "Art. 4": "Art. 4 Quarto"}
+
+
+def test_glued_headings():
+    got = act("Publicação. CAPÍTULO I Das regras Seção II Do prazo", "Art. 1 Um")
+    assert [s.heading_text for s in got][:3] == ["Preâmbulo", "CAPÍTULO I Das regras", "Seção II Do prazo"] and got[-1].parent_path == got[2].path
+
+
+def test_article_number_in_the_next_block():
+    assert {s.heading_text: s.text for s in act("Art. 1 Um Art.", "2. Dois", "Art.")} == {"Art. 1": "Art. 1 Um", "Art. 2": "Art. 2. Dois\nArt."}
+
+
+def test_better_copy_of_an_article():
+    got = {s.heading_text: s.text for s in act("Art. 1 Curto", "Art. 2 Dois", "Art. 1 Texto bem mais longo")}
+    assert got["Art. 1"] == "Art. 1 Texto bem mais longo"
+    assert article_worth(Section(5, "Art. 1", "a", None, "longo texto e ANEXO")) < article_worth(Section(5, "Art. 1", "a", None, "curto"))
+
+
+def test_act_that_is_there_twice():
+    head = '<p style="text-align:center">DIRETORIA COLEGIADA</p>'
+    page = f'<div class="ato">{head}<p>Art. 1 Um</p><p>Art. 2 Dois</p>{head}<p>Art. 3 fora</p></div>'
+    assert [s.heading_text for s in extract(page)[1]] == ["Preâmbulo", "Art. 1", "Art. 2"]
+    again = act("Art. 1 Um", "ANEXO I", "conteudo", "MINISTÉRIO DA SAÚDE", "Art. 2 fora")
+    assert [s.heading_text for s in again] == ["Art. 1", "ANEXO I", "ANEXO I"] and "fora" not in again[-1].text

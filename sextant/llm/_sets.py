@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bytes import Words, chunks, mix
-from ._runtime import materialise, prepare, release
+from ._runtime import materialise, prepare, release, trim
 
 SLICES = 64
 #: The largest group of records compared in one task.
@@ -148,6 +148,7 @@ def each_run(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[
     for batch in batches:
         for first, run in chunks(batch.column(text).cast(pa.binary()).to_pylist()):
             yield batch, first, Words(run)
+    trim()
 
 
 def reduce_slices(parts: DataFrame, how: Callable[[np.ndarray, np.ndarray], np.ndarray], last: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> dict[int, bytes]:
@@ -517,6 +518,7 @@ def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
                     held = len(parts[0][0])
         if parts:
             yield nearest(once(parts), cut)
+        trim()
 
     def once(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
         """All entries by key and size; a class comes once from each window that met it, and its earliest line counts."""
@@ -592,6 +594,7 @@ def pairs(rows: DataFrame, rule: Rule, ordered: bool) -> DataFrame:
                     found = []
             if found:
                 yield made(found)
+        trim()
 
     def made(found: list[np.ndarray]) -> pa.RecordBatch:
         both = np.concatenate(found, axis=1)
@@ -658,6 +661,7 @@ def within(sets: DataFrame, rule: Rule, orders: int) -> DataFrame:
                 own, others, up = map(np.concatenate, zip(*out, strict=True))
                 keys = [pa.StructArray.from_arrays([pa.array(k1[x]), pa.array(k2[x])], ["k1", "k2"], mask=pa.array(m)) for x, m in ((own, np.zeros(len(own), bool)), (up, up == own))]
                 yield pa.RecordBatch.from_arrays([keys[0], pa.array(others), keys[1]], names=["v", "others", "p"])
+        trim()
 
     return dealt.mapInArrow(run, "v struct<k1: long, k2: long>, others long, p struct<k1: long, k2: long>")
 

@@ -17,8 +17,9 @@ swapped), OP8_SQL has none, and one row, the most similar, stands for each run o
 
 Items of fewer than five words, null texts and null item ids match nothing. Null doc_ids take part
 as their own document; rows that repeat an id and text count once, as do repeated items. Item
-shingles are broadcast only while there are at most BROADCAST_SHINGLES of them; beyond, they are
-joined by shuffle. Columns other than ids and texts are ignored.
+shingles are broadcast only while there are at most BROADCAST_SHINGLES of them, texts' hits only while these are
+of BROADCAST_TEXTS texts; beyond, they are joined by shuffle. Very long texts are split as a whole, in one row's
+memory. Columns other than ids and texts pass through clean() and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -26,9 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._runtime import materialise, unused
+
 K, RADIUS, BITS = 5, 32, 64
 LEAST = 0.8
-BROADCAST_SHINGLES = 200_000
+#: Shingles of items, and texts with hits, that are broadcast at most.
+BROADCAST_SHINGLES, BROADCAST_TEXTS = 200_000, 20_000
 #: Bytes between words.
 GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,6 +93,11 @@ def starts(places: Column, size: Column, least: float) -> Column:
     return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), span))).otherwise(F.array().cast("array<int>"))
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """rows of texts, broadcast if they are few: texts are not shuffled for them; more are joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TEXTS else rows
+
+
 def windows(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, th, item_id, m, start, the sorted shingles of each window with enough of the item's, and
     whether one of them stands as in the item.
@@ -103,9 +112,9 @@ def windows(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
     hits = rows.select("doc_id", "th", F.posexplode_outer("h").alias("pos", "s")).join(places, "s")
     held = hits.groupBy("doc_id", "th", "item_id", "m").agg(F.array_sort(F.collect_set("pos")).alias("places"), F.collect_set(F.col("pos") - F.col("q")).alias("inplace"))
     held = held.withColumn("starts", starts(F.col("places"), F.col("m") - K + 1, least)).where(F.size("starts") > 0)
-    found = held.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).agg(F.collect_list(F.struct("item_id", "m", "starts", "inplace")).alias("held"))
+    found = held.groupBy(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).agg(F.collect_list(F.struct("item_id", "m", "starts", "inplace")).alias("held"))
     # the few texts left are split again, each once
-    left = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__h")))
+    left = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(sized(materialise(found, "held")), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")))
     left = left.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "held", words(F.col("text")).alias("w")).select("doc_id", "th", "held", shingles(F.col("w")).alias("h"))
     left = left.select("doc_id", "th", "h", F.inline_outer("held")).select("doc_id", "th", "h", "item_id", "m", "inplace", F.explode_outer("starts").alias("start"))
     cut = F.slice("h", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("m") - K + 1 + F.least(F.col("start"), F.lit(0)))
@@ -144,8 +153,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a leak; other columns pass through, null ids and texts are kept by their own text."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
+    d, th = unused(docs, "d", "th")
+    bad = materialise(leaks(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias(d), F.col("th").alias(th)).distinct(), "leaks")
+    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(th)), "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

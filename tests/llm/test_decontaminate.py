@@ -16,6 +16,7 @@ def prose(r, n):
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_planted_items(spark, monkeypatch, limit):
     monkeypatch.setattr(dc, "BROADCAST_SHINGLES", limit)
+    monkeypatch.setattr(dc, "BROADCAST_TEXTS", limit)
     r = random.Random(7)
     items = [(i, prose(r, r.randint(15, 60))) for i in range(20)]
     docs, want = [], set()
@@ -82,6 +83,7 @@ def all_starts(text, item):
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_displaced_parts(spark, monkeypatch, limit):
     monkeypatch.setattr(dc, "BROADCAST_SHINGLES", limit)
+    monkeypatch.setattr(dc, "BROADCAST_TEXTS", limit)
     r = random.Random(11)
     items = [(i, prose(r, n)) for i, n in enumerate((59, 59, 120, 30, 6, 200))] + [(6, "a b " * 20)]
     docs = []

@@ -92,6 +92,13 @@ def land(parsed: DataFrame, documents: DataFrame, versions: DataFrame, source_or
     return Landing(new_documents, new_versions, node_rows(owned), refreshed, rejected, parsed)
 
 
+def index_requests(landing: Landing, pipeline_version: str, model_id: str, reindex_existing: bool = False) -> DataFrame:
+    """payload: a job for each new version; with reindex_existing also for known contents that were met again, by force."""
+    body = lambda *more: F.to_json(F.struct("version_id", F.lit(pipeline_version).alias("pipeline_version"), F.lit(model_id).alias("embedding_model_id"), *more)).alias("payload")
+    new = landing.versions.select(body())
+    return new.unionByName(landing.refreshed.select("version_id").distinct().select(body(F.lit(True).alias("force")))) if reindex_existing else new
+
+
 def refresh(versions: DataFrame, refreshed: DataFrame) -> DataFrame:
     """versions with newer capture data where a known content was met again."""
     new = refreshed.groupBy("version_id").agg(*(F.max_by(c, F.struct("captured_at", "final_url")).alias(f"_{c}") for c in ("final_url", "http_status", "captured_at")))

@@ -131,10 +131,12 @@ def poll(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], work
             wait(sleep_s)
 
 
-def index_versions(versions: DataFrame, nodes: DataFrame, pipeline_version: str, sizes: Sizes = Sizes(), version_ids: list[str] | None = None, force: bool = False) -> DataFrame:
+def index_versions(versions: DataFrame, nodes: DataFrame, pipeline_version: str, sizes: Sizes = Sizes(), version_ids: list[str] | DataFrame | None = None, force: bool = False) -> DataFrame:
     """Chunks of all versions that wait for it (with force also of indexed ones)."""
     ready = versions if force else versions.where("status = 'READY_FOR_INDEX'")
-    if version_ids is not None:
+    if isinstance(version_ids, DataFrame):
+        ready = ready.join(version_ids.select("version_id"), "version_id", "left_semi")
+    elif version_ids is not None:
         ready = ready.where(F.col("version_id").isin(version_ids))
     return chunks_of(nodes.join(ready.select("version_id"), "version_id", "left_semi"), pipeline_version, sizes)
 
@@ -154,7 +156,7 @@ class Indexed:
     versions: DataFrame
 
 
-def reindex(versions: DataFrame, nodes: DataFrame, chunks: DataFrame, embeddings: DataFrame, postings: DataFrame, pipeline_version: str, model_id: str, make: Callable, now: str, sizes: Sizes = Sizes(), version_ids: list[str] | None = None, force: bool = False, language: str = "portuguese") -> Indexed:
+def reindex(versions: DataFrame, nodes: DataFrame, chunks: DataFrame, embeddings: DataFrame, postings: DataFrame, pipeline_version: str, model_id: str, make: Callable, now: str, sizes: Sizes = Sizes(), version_ids: list[str] | DataFrame | None = None, force: bool = False, language: str = "portuguese") -> Indexed:
     """Chunk, embed and post all versions that wait for it, in place of what they had under this pipeline.
 
     A version without nodes is left waiting. Embeddings and postings of chunks that go, go with them.

@@ -525,6 +525,15 @@ def landed_else(spark, d):
     return got.refreshed.select(F.lit("refreshed").alias("kind"), "version_id", F.lit(None).cast("string").alias("sample")).unionByName(got.rejected.select(F.lit("rejected").alias("kind"), "version_id", F.array_join("sample", ",").alias("sample")))
 
 
+@query(
+    "WITH " + _SQL_LAND + f"""SELECT '{{"version_id":"' || version_id || '","pipeline_version":"{PIPELINE}","embedding_model_id":"{MODEL}"}}' AS payload FROM own
+UNION ALL SELECT '{{"version_id":"' || known_version || '","pipeline_version":"{PIPELINE}","embedding_model_id":"{MODEL}","force":true}}' FROM b JOIN known USING (content_hash)"""
+)
+def index_requests(spark, d):
+    """Jobs for what landed, also for known contents that are to be indexed again."""
+    return ingest.index_requests(_landing(spark, d), PIPELINE, MODEL, True)
+
+
 @query("WITH " + _SQL_LAND + "SELECT count(*)::BIGINT AS n, count(*) FILTER (v.content_hash IN (SELECT content_hash FROM b))::BIGINT AS n_new FROM (SELECT content_hash FROM known) v")
 def captures_refreshed(spark, d):
     """Versions after a known content was met again: only capture data change."""

@@ -9,6 +9,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .html import content_hash, extract
 
@@ -37,6 +38,35 @@ def fetch(urls: list[str], timeout: int = 30) -> Iterator[dict]:
             yield {"url": url, "html": body, "final_url": reply.geturl(), "http_status": reply.status, "captured_at": datetime.datetime.now(datetime.timezone.utc)}
 
 
+class PageSource(DataSource):
+    """Pages by HTTP as a batch source: spark.dataSource.register(PageSource), then
+    spark.read.format("pages").option("urls", "one a line").load(). A task fetches PER_TASK pages."""
+
+    PER_TASK = 16
+
+    @classmethod
+    def name(cls) -> str:
+        return "pages"
+
+    def schema(self) -> str:
+        return "url string, html string, final_url string, http_status int, captured_at timestamp"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PageReader(self.options.get("urls", "").split(), int(self.options.get("timeout", "30")), self.PER_TASK)
+
+
+class _PageReader(DataSourceReader):
+    def __init__(self, urls: list[str], timeout: int, per_task: int):
+        self.urls, self.timeout, self.per_task = urls, timeout, per_task
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(self.urls[i : i + self.per_task]) for i in range(0, len(self.urls), self.per_task)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for page in fetch(partition.value, self.timeout):
+            yield page["url"], page["html"], page["final_url"], page["http_status"], page["captured_at"]
+
+
 def parsed(pages: DataFrame, deepest: int = 3) -> DataFrame:
     """pages (url, html, other columns) with title, content_hash and sections."""
     keep = [c for c in pages.columns if c not in ("html", "title", "content_hash", "sections")]

@@ -307,3 +307,35 @@ def test_latest_run(spark, tmp_path):
     assert latest_run(spark, str(tmp_path)).first()["json"] == '{"n": 0}'
     assert latest_run(spark, str(tmp_path), by_name=True).first()["json"] == '{"n": 1}'
     assert latest_run(spark, str(tmp_path), "_none.json").collect() == []
+
+
+def test_page_source(spark):
+    import http.server
+    import threading
+
+    from sextant.sources.pages import PageSource, parsed
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/old":
+                self.send_response(302)
+                self.send_header("Location", "/new")
+                self.end_headers()
+                return
+            self.send_response(200 if self.path != "/none" else 404)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write("<title>Prática</title><h1>A</h1><p>b</p>".encode())
+
+        def log_message(self, *args):
+            return
+
+    site = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=site.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{site.server_port}"
+    spark.dataSource.register(PageSource)
+    pages = spark.read.format("pages").option("urls", f"{at}/old {at}/new").load()
+    assert sorted((r["url"], r["final_url"], r["http_status"], r["title"]) for r in parsed(pages).collect()) == [(f"{at}/new", f"{at}/new", 200, "Prática"), (f"{at}/old", f"{at}/new", 200, "Prática")]
+    with pytest.raises(Exception, match="404"):
+        spark.read.format("pages").option("urls", f"{at}/none").load().collect()
+    site.shutdown()

@@ -9,7 +9,8 @@ next to each other form a piece. This only picks what is compared: pieces whose
 task of their anchor, equal ones as one. There the different pieces of an anchor are documents of a
 collection whose Burrows-Wheeler transform is built column by column: each round inserts one symbol of every
 piece and updates the transform and the common prefixes of neighbours, both read and written from front
-to back in files of the shared folder. Neighbours of LENGTH common symbols begin with equal strings.
+to back in files of the shared folder. Neighbours of LENGTH common symbols begin with equal strings. As
+every byte costs a pass a round, ends of pieces whose strings' hashes occur once are cut off before that.
 
 Pieces of an anchor that occurs more than HOT times are cut by the bytes that all strings of one
 stretch share; what is still more than a collection can hold is dealt out string by string, so no anchor
@@ -38,8 +39,8 @@ from ._store import map_array, opened, write_array
 from .kneser_ney import BLOB, Held, blob_rows, by_shard
 
 LENGTH, ANCHOR = 100, 40
-#: An anchor of more pieces is cut into stretches of so many starts; bytes of one collection.
-HOT, STRETCH, COLLECTION = 2000, 16, 4 << 20
+#: An anchor of more pieces is cut into stretches of so many starts; bytes of one key's pieces, or of a collection.
+HOT, STRETCH, COLLECTION = 2000, 16, 1 << 20
 SHARD_ANCHORS = 1 << 20
 #: Symbols of the transform that are in memory at once; pieces that a task remembers.
 FILE_BLOCK, SEEN = 1 << 20, 60_000
@@ -367,8 +368,21 @@ def compare(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
     """The repeated starts among the pieces of each key; rows come by key, piece, document and start."""
     out: list[tuple] = []
     waiting: list[tuple[bytes, tuple[int, int, int]]] = []  # different pieces of keys that have several
+    ready: list[tuple[bytes, tuple[int, int, int]]] = []  # what is left of them
     group: list[tuple[bytes, tuple[int, int, int]]] = []
-    key, size, waits, last = None, 0, 0, (None, None)
+    key, size, waits, readies, last = None, 0, 0, 0, (None, None)
+
+    def settle(end: bool) -> None:
+        """Cut waiting pieces; build a collection of what is ready."""
+        nonlocal waiting, ready, waits, readies
+        if waits > COLLECTION or (end and waiting):
+            some = shortened(waiting, out)
+            ready += some
+            readies += sum(len(p) for p, _ in some)
+            waiting, waits = [], 0
+        if readies > COLLECTION or (end and ready):
+            out.extend(_compared(ready, folder))
+            ready, readies = [], 0
 
     def strings(piece: bytes, at: tuple[int, int, int]) -> None:
         out.extend((at[0], at[2], at[1] + i, 1, piece[i : i + LENGTH]) for i in range(len(piece) - LENGTH + 1))
@@ -383,9 +397,7 @@ def compare(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
                     waiting += group
                     waits += size
                 key, group, size, last = k, [], 0, (None, None)
-                if waits > COLLECTION:
-                    out += _compared(waiting, folder)
-                    waiting, waits = [], 0
+                settle(False)
             if piece == last[0]:
                 if (d, s) > last[1][:2]:
                     out.append((d, th, s, n, None))
@@ -406,12 +418,44 @@ def compare(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
             out.clear()
     if len(group) > 1:
         waiting += group
-    if waiting:
-        out += _compared(waiting, folder)
+    settle(True)
     if out:
         yield spans_of(out)
 
 
+def shortened(pieces: list[tuple[bytes, tuple[int, int, int]]], out: list[tuple]) -> list[tuple[bytes, tuple[int, int, int]]]:
+    """The stretches of pieces whose strings' hashes occur more than once. Stretches that become equal are one, that of
+    the earliest start; the others' starts go to out."""
+    for _ in range(2):
+        if not pieces:
+            break
+        size = np.fromiter((len(p) for p, _ in pieces), np.int64, len(pieces))
+        begin = np.cumsum(size) - size
+        starts = size - LENGTH + 1
+        of = np.repeat(np.arange(len(pieces)), starts)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+        spot = begin[of] + at
+        hashes = range_hashes(prefix_sums(np.frombuffer(b"".join(p for p, _ in pieces), np.uint8), TABLE), spot, spot + LENGTH)
+        _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = times[which] > 1
+        edge = np.ones(len(of), bool)
+        edge[1:] = (again[1:] != again[:-1]) | (of[1:] != of[:-1])
+        first = np.flatnonzero(edge)
+        last = np.append(first[1:], len(of)) - 1
+        some = again[first]
+        known: dict[bytes, tuple[int, int, int]] = {}
+        for i, a, b in zip(of[first[some]].tolist(), at[first[some]].tolist(), at[last[some]].tolist(), strict=True):
+            piece, (d, s, th) = pieces[i]
+            cut, mine = piece[a : b + LENGTH], (d, s + a, th)
+            other = known.get(cut)
+            if other is None or mine[:2] < other[:2]:
+                known[cut], mine = mine, other
+            if mine is not None and mine[:2] != known[cut][:2]:
+                out.append((mine[0], mine[2], mine[1], b - a + 1, None))
+        pieces = list(known.items())
+    return pieces
+
+
 def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows by string, document and start, all but the first start of each string."""
     string, first = None, (0, 0)

@@ -586,6 +586,59 @@ def chunks_absent(spark, d):
     return new.select(F.col("chunk_id").cast("long").cast("string").alias("chunk_id"), "version_id")
 
 
+_SQL_UNITS = f"""u AS (SELECT 'n' || item_id AS node_id, 'Item ' || item_id || chr(10) || text AS t, row_number() OVER (ORDER BY item_id) AS i,
+ len(list_filter(regexp_split_to_array('Item ' || item_id || ' ' || text, '\\s+'), lambda x: x <> '')) AS w FROM benchmark),
+c AS (SELECT *, sum(w) OVER (ORDER BY i) AS upto FROM u),
+-- a chunk is the units a to b; it is full at 450 words, and the next one begins with the last units of 80 words
+chunk(k, a, b) AS (
+  SELECT 0, 1::BIGINT, (SELECT coalesce(min(i) FILTER (upto >= 450), max(i)) FROM c)
+  UNION ALL SELECT k + 1, na, (SELECT coalesce(min(i) FILTER (i > p.b AND upto - (p.before) >= 450), max(i)) FROM c)
+  FROM (SELECT k, m.b, m.na, (SELECT upto - w FROM c WHERE i = m.na) AS before FROM
+    (SELECT k, chunk.b, (SELECT max(x.i) FROM c x WHERE x.i <= chunk.b AND (SELECT upto FROM c WHERE i = chunk.b) - x.upto + x.w >= 80) AS na FROM chunk WHERE chunk.b < (SELECT max(i) FROM c)) m) p)"""
+
+
+@query(
+    "WITH RECURSIVE " + _SQL_UNITS + f""", r AS (SELECT k, a, b, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text, count(*) AS n, any_value(node_id ORDER BY i) AS first_node FROM chunk JOIN c ON i BETWEEN a AND b GROUP BY k, a, b),
+h AS (SELECT *, sha256('{PIPELINE}|' || {_FOLD.format(_NORMAL.format('text'))}) AS chunk_hash FROM r)
+SELECT sha256('v|{PIPELINE}|' || chunk_hash) AS chunk_id, k::INT AS chunk_index, chunk_hash, n::INT AS n_refs, first_node, length(text)::INT AS last_end, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS tokens_count FROM h"""
+)
+def chunks_packed(spark, d):
+    """All benchmark items as the nodes of one version: full chunks that overlap, with the place of each node."""
+    nodes = table(spark, d, "benchmark").select(F.lit("v").alias("version_id"), F.concat(F.lit("n"), "item_id").alias("node_id"), F.col("item_id").cast("int").alias("node_index"), F.lit("p").alias("path"), F.concat(F.lit("Item "), "item_id").alias("heading_text"), F.col("text").alias("text_normalized"))
+    return chunks_of(nodes, PIPELINE).select("chunk_id", "chunk_index", "chunk_hash", F.size("node_refs").alias("n_refs"), F.element_at("node_refs", 1)["node_id"].alias("first_node"), F.element_at("node_refs", -1)["char_end"].alias("last_end"), "tokens_count")
+
+
+@query(
+    f"""WITH d AS (SELECT 'v' || doc_id AS v, doc_id, lang, source, array_to_string(list_filter(list_transform(string_split('Art. 1o ' || text, chr(10)), lambda x: {_NORMAL.format('x')}), lambda x: x <> ''), chr(10)) AS t FROM documents),
+n AS (SELECT v, unnest([
+ {{'i': 0, 'level': 1, 'heading': 'Preâmbulo', 'path': 'preambulo', 'parent': NULL, 'text': 'Resolve ' || lang || ':'}},
+ {{'i': 1, 'level': 1, 'heading': 'CAPÍTULO I', 'path': 'capitulo-i', 'parent': NULL, 'text': ''}},
+ {{'i': 2, 'level': 2, 'heading': 'DAS REGRAS', 'path': 'capitulo-i/das-regras', 'parent': 'capitulo-i', 'text': ''}},
+ {{'i': 3, 'level': 3, 'heading': 'Seção I', 'path': 'capitulo-i/das-regras/secao-i', 'parent': 'capitulo-i/das-regras', 'text': ''}},
+ {{'i': 4, 'level': 5, 'heading': 'Art. 1', 'path': 'capitulo-i/das-regras/secao-i/art-1', 'parent': 'capitulo-i/das-regras/secao-i', 'text': t || chr(10) || 'Curto'}},
+ {{'i': 5, 'level': 5, 'heading': 'Art. 2', 'path': 'capitulo-i/das-regras/secao-i/art-2', 'parent': 'capitulo-i/das-regras/secao-i', 'text': 'Art. 2 Dois ' || source || ' mais longo'}},
+ {{'i': 6, 'level': 5, 'heading': 'Art. 3', 'path': 'capitulo-i/das-regras/secao-i/art-3', 'parent': 'capitulo-i/das-regras/secao-i', 'text': 'Art. 3. Tres'}},
+ {{'i': 7, 'level': 1, 'heading': 'CAPÍTULO II', 'path': 'capitulo-ii', 'parent': NULL, 'text': ''}},
+ {{'i': 8, 'level': 2, 'heading': 'Notas finais', 'path': 'capitulo-ii/notas-finais', 'parent': 'capitulo-ii', 'text': 'sem artigo'}},
+ {{'i': 9, 'level': 1, 'heading': 'ANEXO I', 'path': 'anexo-i', 'parent': NULL, 'text': ''}},
+ {{'i': 10, 'level': 1, 'heading': 'ANEXO I', 'path': 'anexo-i/conteudo', 'parent': NULL, 'text': lang || ' | ' || doc_id}}]) AS x FROM d)
+SELECT v AS version_id, x.i::INT AS node_index, x.level::INT AS heading_level, x.heading AS heading_text, x.path, sha256(v || '|' || x.path) AS node_id, sha256(v || '|' || x.parent) AS parent_id, sha256(x.text) AS text_sha256 FROM n"""
+)
+def legal_nodes(spark, d):
+    """Every text as the first article of a legal act: centred titles, glued headings, articles in mid-line and over
+    blocks, a better copy of one, closing notes, an annex with a table, and the act once more."""
+    page = """<title>T</title><div class="ato"><p>Resolve {lang}:</p><p>CAPÍTULO I</p><p style="text-align: center">DAS REGRAS</p><p>Seção I</p><p>Art. 1º {text}</p>
+<p>Curto Art. 2 Dois {source} Art.</p><p>3. Tres</p><p>Art. 2 Dois {source} mais longo CAPÍTULO II</p><p>sem artigo</p><p>Este texto não substitui a Publicação Oficial.</p>
+<p>ANEXO I</p><table><tr><td>{lang}</td><td>{doc_id}</td></tr></table><p>CAPÍTULO I</p><p>Art. 1 Outra vez</p></div>"""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.lit(page)
+    for name in ("lang", "source", "doc_id"):
+        html = F.replace(html, F.lit("{" + name + "}"), F.col(name).cast("string"))
+    html = F.replace(html, F.lit("{text}"), safe)
+    pages = table(spark, d, "documents").select(F.concat(F.lit("v"), "doc_id").alias("version_id"), html.alias("html"))
+    return ingest.node_rows(parsed(pages)).select("version_id", "node_index", "heading_level", "heading_text", "path", "node_id", "parent_id", F.sha2("text_normalized", 256).alias("text_sha256"))
+
+
 @query()
 def chunks(spark, d):
     """Every document as one node, packed into chunks."""

@@ -339,3 +339,21 @@ def test_page_source(spark):
     with pytest.raises(Exception, match="404"):
         spark.read.format("pages").option("urls", f"{at}/none").load().collect()
     site.shutdown()
+
+
+def test_landing_stream(spark, tmp_path):
+    """Each content lands once, also when a later file brings it again; a rerun has nothing to do."""
+    from sextant.streaming.landing import PAGE, hourly, into, landing
+
+    stamp = datetime.datetime(2024, 1, 1, 10)
+    page = lambda i: (f"http://{i}", f"<h1>A{i}</h1><p>text {i}</p>", stamp + datetime.timedelta(minutes=40 * i))
+    write = lambda rows, name: spark.createDataFrame(rows, PAGE).write.parquet(str(tmp_path / "in" / name))
+    write([page(0), page(1)], "a")
+    got = []
+    run = lambda: into(landing(spark, str(tmp_path / "in" / "*")), str(tmp_path / "checkpoint"), lambda df, n: got.extend(r["url"] for r in df.collect())).awaitTermination(60)
+    assert run() and sorted(got) == ["http://0", "http://1"]
+    write([("http://again", *page(1)[1:]), page(2)], "b")
+    assert run() and sorted(got) == ["http://0", "http://1", "http://2"]
+    assert run() and len(got) == 3
+    batch = spark.read.schema(PAGE).parquet(str(tmp_path / "in" / "*"))
+    assert sorted((r["window"]["start"].hour, r["n"]) for r in hourly(batch).collect()) == [(10, 3), (11, 1)]

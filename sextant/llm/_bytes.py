@@ -1,7 +1,7 @@
 """Vectorised hashing of words and windows over the bytes of many texts at once.
 
-A prefix sum of table[byte] * BASE**position (modulo 2**64) gives the hash of any byte range in
-constant time: (sum[end] - sum[start]) * BASE**-start, mixed afterwards.
+Words are hashed eight bytes at a time. A prefix sum of table[byte] * BASE**position (modulo 2**64) gives
+the hash of any byte range in constant time: (sum[end] - sum[start]) * BASE**-start, mixed afterwards.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
@@ -29,7 +30,6 @@ LOWER[65:91] += 32
 #: Bytes between words: 0x20 and 0x09 to 0x0D.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-LOWER_TABLE = TABLE[LOWER]
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -76,6 +76,28 @@ def chunks(texts: Iterable[bytes | None], size: int = 1 << 19) -> Iterator[tuple
         yield first, held
 
 
+#: A longer word is hashed by itself; others eight bytes at a time, all together.
+LONGEST = 256
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word, its length included."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each byte on
+    some, at = np.flatnonzero(size <= LONGEST), 0
+    while len(some):
+        part = eight[start[some] + at] & _LOW[np.minimum(size[some] - at, 8)]
+        out[some] = mix(out[some] ^ part) * np.uint64(0x9FB21C651E98DF25)
+        at += 8
+        some = some[size[some] > at]
+    for i in np.flatnonzero(size > LONGEST).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
 class Words:
     """The words of a run of texts: hashes, and where each text's (or line's) words begin."""
 
@@ -83,12 +105,10 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.text_start = np.concatenate([[0], np.cumsum(lengths + 1)])
-        inside = ~separator[self.data]
-        edges = np.diff(inside.view(np.int8), prepend=np.int8(0))
-        self.start = np.flatnonzero(edges == 1)
-        self.end = np.flatnonzero(edges == -1)
-        sums = prefix_sums(self.data, LOWER_TABLE)
-        self.hash = range_hashes(sums, self.start, self.end)
+        inside = np.concatenate([[False], ~separator[self.data]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        self.start, self.end = edges[::2], edges[1::2]  # the last byte is a separator
+        self.hash = word_hashes(LOWER[self.data], self.start, self.end)
         self.first = np.searchsorted(self.start, self.text_start)
 
     def shingles(self, k: int) -> np.ndarray:

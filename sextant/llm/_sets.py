@@ -96,20 +96,39 @@ def occurrences(words: Words, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.nd
 def records(words: Words, rule: Rule, rarity: np.ndarray) -> Records:
     """The records with at least one word; rarity: the table's bytes."""
     text, line, tokens, of = occurrences(words, rule)
-    place = (rarity[tokens & np.uint64(rule.slots - 1)].astype(np.uint64) << np.uint64(56)) | (mix(tokens) >> np.uint64(8))
-    order = np.argsort(place)
-    own = of[order].astype(np.uint16 if len(text) < 65536 else np.int64)
-    order = order[np.argsort(own, kind="stable")]
-    tokens, of = tokens[order], of[order]
+    rank, mixed = rarity[tokens & np.uint64(rule.slots - 1)], mix(tokens)
+    order = sorted_tokens(of, rank, mixed, len(text))
+    tokens, mixed, of, rank = tokens[order], mixed[order], of[order], rank[order]
     keep = np.ones(len(tokens), bool)
     keep[1:] = (tokens[1:] != tokens[:-1]) | (of[1:] != of[:-1])
-    tokens, of, rank = tokens[keep], of[keep], (place[order] >> np.uint64(56)).astype(np.uint8)[keep]
+    tokens, mixed, of, rank = tokens[keep], mixed[keep], of[keep], rank[keep]
     start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
     rec = of[start]
-    sums = [np.add.reduceat(mix(tokens ^ np.uint64(c)), start) if len(start) else np.zeros(0, np.uint64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    sums = [np.add.reduceat(x, start) if len(start) else np.zeros(0, np.uint64) for x in (mixed, mix(mixed ^ np.uint64(0x5851F42D4C957F2D)))]
     return Records(text[rec], line[rec], np.diff(np.append(start, len(tokens))), sums[0].view(np.int64), sums[1].view(np.int64), tokens, rank, start)
 
 
+def sorted_tokens(of: np.ndarray, rank: np.ndarray, mixed: np.ndarray, n: int) -> np.ndarray:
+    """The order of tokens by record (of n), rank and hash: one sort of numbers that hold these, as far as
+    the bits go, and the place; runs that they can't tell apart are sorted again."""
+    record_bits, place_bits = max(1, (n - 1).bit_length()), max(1, (len(of) - 1).bit_length())
+    hash_bits = 64 - 8 - record_bits - place_bits
+    if hash_bits < 8:
+        return np.lexsort((mixed, rank, of))
+    front = (of.astype(np.uint64) << np.uint64(64 - record_bits)) | (rank.astype(np.uint64) << np.uint64(56 - record_bits))
+    packed_keys = np.sort(front | (mixed >> np.uint64(64 - hash_bits) << np.uint64(place_bits)) | np.arange(len(of), dtype=np.uint64))
+    order = (packed_keys & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+    packed_keys >>= np.uint64(place_bits)
+    found = mixed[order]
+    same = packed_keys[1:] == packed_keys[:-1]
+    unclear = same & (found[1:] != found[:-1])
+    if unclear.any():
+        run = np.concatenate([[0], np.cumsum(~same)])
+        at = np.flatnonzero(np.isin(run, run[1:][unclear]))
+        order[at] = order[at][np.lexsort((found[at], run[at]))]
+    return order
+
+
 def only(rec: Records, which: Callable[[Records], np.ndarray]) -> Records:
     """The chosen records."""
     some = which(rec)
@@ -387,6 +406,10 @@ def sized(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= SMALL else df
 
 
+#: Rows and list elements of a table of lists that is broadcast at most.
+SMALL_LISTS = 2_000_000
+
+
 def candidate_sets(docs: DataFrame, rule: Rule, rarity, wanted: DataFrame, orders: int = 0) -> DataFrame:
     """For the classes in wanted (d, l, k1, k2 and more, which is kept): the set's tokens by rarity, and its
     prefixes under further token orders (32-bit hashes, which may only let more pairs through)."""
@@ -452,8 +475,10 @@ def group_ends(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Index entries of one shard on average, and those at which a task looks for groups to cut.
 SHARD, SHARD_MOST = 500_000, 3_000_000
-#: Nearest earlier classes that are kept of each key.
-KEPT = 4
+#: Nearest earlier classes that are kept of each key, and the largest group in which they are looked for.
+KEPT, NEAR = 4, 512
+#: Of a key, bits that come first in an entry's sort key; the size takes what is left beside 8 bits of the class.
+TOK_BITS, MOST_N = 43, (1 << 13) - 1
 
 
 def packed_entries(found: DataFrame, rule: Rule, bits: int) -> DataFrame:
@@ -490,8 +515,12 @@ def numbers(blob: bytes, n: int, columns: int) -> list[np.ndarray]:
 
 
 def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
-    """r1, r2, apart, more: for each key of a class, the KEPT earlier classes of the nearest bitmaps, and whether there
-    are more. Groups beyond BLOCK are cut; their classes say so by a null r2."""
+    """Candidates and groups that hold more of them.
+
+    r1, r2, apart: for each key of a class, the KEPT earlier classes of the nearest bitmaps. Where a class of a
+    key has more earlier ones, or a group is beyond NEAR and was cut, r2 is null and there is a row for each entry of the
+    key: tok, r1, n, place, d, l, bitmap, and whether this class has more.
+    """
     size = found.agg(F.coalesce(F.sum(F.when(F.size("keys") > 0, F.col("n") * (rule.b - rule.a) / rule.b + 1)), F.lit(0.0))).first()[0]
     bits = max(0, int(np.ceil(np.log2(max(1, size / SHARD)))))
     width = 6 + rule.words
@@ -509,7 +538,7 @@ def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
                 if held > SHARD_MOST:
                     rows = once(parts)
                     begin, end = group_ends(rows[0])
-                    large = (end - begin > BLOCK) | np.isin(rows[0], cut)
+                    large = (end - begin > NEAR) | np.isin(rows[0], cut)
                     if large.any():
                         some = [c[large] for c in rows]
                         cut = np.union1d(cut, some[0])
@@ -523,7 +552,14 @@ def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
     def once(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
         """All entries by key and size; a class comes once from each window that met it, and its earliest line counts."""
         rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort((rows[1], rows[2], rows[0]))
+        tok, r, n = (x.view(np.uint64) for x in rows[:3])
+        # one sort by the first bits of the key, the size, and some of the class; by all of each where that doesn't do
+        near = (tok >> np.uint64(64 - TOK_BITS) << np.uint64(64 - TOK_BITS)) | (np.minimum(n, np.uint64(MOST_N)) << np.uint64(8)) | (r & np.uint64(255))
+        order = np.argsort(near)
+        found = tok[order]
+        mixed = (found[1:] != found[:-1]) & (found[1:] >> np.uint64(64 - TOK_BITS) == found[:-1] >> np.uint64(64 - TOK_BITS))
+        if mixed.any() or (len(n) and n.max() > MOST_N):
+            order = np.lexsort((rows[1], rows[2], rows[0]))
         rows = [c[order] for c in rows]
         new = np.ones(len(order), bool)
         new[1:] = np.logical_or.reduce([rows[i][1:] != rows[i][:-1] for i in (0, 1, 2)])
@@ -537,8 +573,8 @@ def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
         tok, r, n, place, d, line = rows[:6]
         bitmap = np.stack(rows[6:], axis=1).view(np.uint64)
         begin, end = group_ends(tok)
-        large = (end - begin > BLOCK) | np.isin(tok, cut)
-        end = np.minimum(end, begin + ((np.arange(len(tok)) - begin) // BLOCK + 1) * BLOCK)
+        large = (end - begin > NEAR) | np.isin(tok, cut)
+        end = np.minimum(end, begin + ((np.arange(len(tok)) - begin) // NEAR + 1) * NEAR)
         best, partner, seen = np.full((KEPT, len(tok)), 1 << 30), np.full((KEPT, len(tok)), -1), np.zeros(len(tok), np.int64)
         for x, y, apart in compared(end, n, place, bitmap, rule):
             later = (d[x] > d[y]) | ((d[x] == d[y]) & (line[x] > line[y]))
@@ -552,13 +588,18 @@ def nearest_earlier(found: DataFrame, rule: Rule) -> DataFrame:
                     best[k, i], partner[k, i] = np.where(nearer, a, old), np.where(nearer, j, old_j)
                     a, j = np.where(nearer, old, a), np.where(nearer, old_j, j)
         hits = [np.flatnonzero(partner[k] >= 0) for k in range(KEPT)]
-        big = np.flatnonzero(large)
-        r1 = np.concatenate([*(r[h] for h in hits), r[big]])
-        r2 = pa.concat_arrays([*(pa.array(r[partner[k, h]]) for k, h in enumerate(hits)), pa.nulls(len(big), pa.int64())])
-        apart = np.concatenate([*(best[k, h] for k, h in enumerate(hits)), best[0, big]]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(r1), r2, pa.array(apart), pa.array(np.concatenate([*(seen[h] > KEPT for h in hits), large[big]]))], names=["r1", "r2", "apart", "more"])
-
-    return packed_entries(found, rule, bits).mapInArrow(run, "r1 long, r2 long, apart int, more boolean")
+        one, two = (np.concatenate([x[h] for x, h in zip(c, hits, strict=True)]) for c in ([r] * KEPT, [r[p] for p in partner]))
+        more = large | (seen > KEPT)
+        whole = np.flatnonzero(np.repeat(np.logical_or.reduceat(more, np.unique(begin)), np.diff(np.append(np.unique(begin), len(tok))))) if len(tok) else np.zeros(0, np.int64)
+        empty = lambda kind, n: pa.nulls(n, kind)
+        some, rest = len(one), len(whole)
+        both = lambda first, second, kind: pa.concat_arrays([pa.array(first, kind) if first is not None else empty(kind, some), pa.array(second, kind) if second is not None else empty(kind, rest)])
+        near = np.concatenate([best[k, h] for k, h in enumerate(hits)])
+        words = pa.concat_arrays([empty(pa.list_(pa.int64()), some), lists(bitmap[whole].view(np.int64).ravel(), np.full(rest, rule.words))])
+        columns = [both(one, r[whole], pa.int64()), both(two, None, pa.int64()), both(near.astype(np.int32), None, pa.int32()), both(None, more[whole], pa.bool_()), *(both(None, c[whole], pa.int64()) for c in (tok, n)), *(both(None, c[whole].astype(np.int32), pa.int32()) for c in (place, line)), both(None, d[whole], pa.int64()), words]
+        return pa.RecordBatch.from_arrays(columns, names=["r1", "r2", "apart", "more", "tok", "n", "place", "l", "d", "bitmap"])
+
+    return packed_entries(found, rule, bits).mapInArrow(run, "r1 long, r2 long, apart int, more boolean, tok long, n long, place int, l int, d long, bitmap array<long>")
 
 
 def pairs(rows: DataFrame, rule: Rule, ordered: bool) -> DataFrame:

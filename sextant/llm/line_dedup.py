@@ -19,9 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,15 +38,18 @@ def repeated_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     near = materialise(_sets.nearest_earlier(found, rule), "near")
     forget(docs.sparkSession)
     tries = near.where("r2 IS NOT NULL").groupBy("r1", "r2").agg(F.min("apart").alias("apart"), F.count(F.lit(1)).alias("hits"))
-    tries = tries.selectExpr("r1", "r2", "row_number() OVER (PARTITION BY r1 ORDER BY apart, hits DESC, r2) AS place")
-    tries = materialise(tries.where(F.col("place") <= TRIES).select("r1", "r2"), "tries")
+    tries = materialise(tries.selectExpr("r1", "r2", "row_number() OVER (PARTITION BY r1 ORDER BY apart, hits DESC, r2) AS place"), "tries")
     first = materialise(first, "first")
-    # the nearest ones of all, then all candidates of what that leaves
-    gone = materialise(_later(docs, rule, rarity, first, tries), "gone")
-    left = near.groupBy("r1").agg(F.bool_or("more").alias("more"), F.count_distinct("r2").alias("tried")).where(f"more OR tried > {TRIES}").select(F.col("r1").alias("r"))
-    left = materialise(left.join(gone.select(F.col("v.k1").alias("r")), "r", "left_anti"), "left")
-    if left.take(1):
-        rest = materialise(_all_pairs(found, left, rule), "pairs")
+    # the nearest ones of all, then all candidates of what that leaves: those found, and of keys that have more all pairs
+    gone = materialise(_later(docs, rule, rarity, first, tries.where(F.col("place") <= TRIES).select("r1", "r2")), "gone")
+    closed = gone.select(F.col("v.k1").alias("r1"))
+    rest = tries.where(F.col("place") > TRIES).select("r1", "r2").join(closed, "r1", "left_anti")
+    entries = near.where("r2 IS NULL").drop("r2", "apart").withColumnRenamed("r1", "r")
+    more = materialise(entries.where("more").select("tok", "r").join(closed.withColumnRenamed("r1", "r"), "r", "left_anti"), "more")
+    if more.take(1):
+        rest = rest.union(_all_pairs(entries, more, rule))
+    rest = materialise(rest.distinct(), "rest")
+    if rest.take(1):
         gone = materialise(gone.union(_later(docs, rule, rarity, first, rest)), "gone")
     near = gone.select("v.k1", "v.k2", F.lit(True).alias("near")).distinct()
     known = first.selectExpr("k1", "k2", "d AS d0", "l AS l0", "members").join(near, ["k1", "k2"], "left").where("members > 1 OR near")
@@ -67,24 +68,10 @@ def _later(docs: DataFrame, rule: _sets.Rule, rarity, first: DataFrame, candidat
     return links.where("at <> at2").select(F.when(F.col("at") > F.col("at2"), F.col("v")).otherwise(F.col("w")).alias("v")).distinct()
 
 
-def _all_pairs(found: DataFrame, left: DataFrame, rule: _sets.Rule) -> DataFrame:
-    """The candidate pairs of the classes in left with all others."""
-    own = found.where(F.size("keys") > 0).join(left, F.col("k1") == F.col("r"), "left_semi")
-    toks = materialise(own.select(F.explode("keys").alias("tok")).distinct(), "toks")
-    wanted = found.sparkSession.sparkContext.broadcast(_sets.bloom(toks, toks.count()))  # at most BLOOM_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tok, count = pc.list_flatten(batch.column("keys")), pc.list_value_length(batch.column("keys")).to_numpy()
-            some = np.flatnonzero(_sets.in_bloom(wanted.value, tok))
-            own = pa.array(np.repeat(np.arange(len(count)), count)[some])
-            rest = [batch.column(c).take(own) for c in ("k1", "n", "d", "l", "bitmap")]
-            yield pa.RecordBatch.from_arrays([tok.take(pa.array(some)), pc.list_flatten(batch.column("places")).take(pa.array(some)), *rest], names=["tok", "place", "r", "n", "d", "l", "bitmap"])
-
-    rows = found.where(F.size("keys") > 0).select("k1", "n", "d", "l", "bitmap", "keys", "places")
-    rows = rows.mapInArrow(run, "tok long, place int, r long, n long, d long, l int, bitmap array<long>")
-    rows = rows.join(toks, "tok", "left_semi").groupBy("tok", "r", "n", "place").agg(F.min(F.struct("d", "l", "bitmap")).alias("at"))
-    rows = rows.join(left.withColumn("open", F.lit(True)), "r", "left").select("tok", "r", "n", "place", "at.*", F.coalesce("open", F.lit(False)).alias("open"), F.col("r").alias("g"))
+def _all_pairs(entries: DataFrame, more: DataFrame, rule: _sets.Rule) -> DataFrame:
+    """The candidate pairs under the keys in more (tok, r) with at least one class of more."""
+    rows = entries.drop("more").join(more.select("tok").distinct(), "tok", "left_semi")
+    rows = rows.join(more.select("r").distinct().withColumn("open", F.lit(True)), "r", "left").withColumns({"open": F.coalesce("open", F.lit(False)), "g": F.col("r")})
     return _sets.pairs(rows.selectExpr("*", "count(*) OVER (PARTITION BY tok) AS df"), rule, ordered=True)
 
 
@@ -94,33 +81,39 @@ def without_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     docs = docs.drop(*(n for n, _ in new))
     prepare(docs.sparkSession)
     gone = materialise(repeated_lines(docs, rule), "gone")
-    touched = docs.sparkSession.sparkContext.broadcast(_sets.bloom(gone.select("d"), gone.count()))  # at most BLOOM_BITS
+    rows, elements = gone.select(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()
     own_id, d, th, lines = unused(docs, "id", "d", "th", "lines")
+    lists = gone.select(F.col("d").alias(d), F.col("th").alias(th), F.col("lines").alias(lines))
     keyed = docs.withColumn(own_id, F.col("doc_id").cast("long"))
-
-    def some(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(_sets.in_bloom(touched.value, batch.column(own_id)) == wanted))
-
-        return keyed.mapInArrow(run, keyed.schema)
-
+    if rows <= _sets.SMALL and elements <= _sets.SMALL_LISTS:
+        lists, sure, may = F.broadcast(lists), None, keyed
+    else:  # texts that surely lose nothing are not shuffled
+        touched = docs.sparkSession.sparkContext.broadcast(_sets.bloom(gone.select("d"), rows))  # at most BLOOM_BITS
+
+        def some(wanted: bool) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    yield batch.filter(pa.array(_sets.in_bloom(touched.value, batch.column(own_id)) == wanted))
+
+            return keyed.mapInArrow(run, keyed.schema)
+
+        sure, may = some(False).drop(own_id), some(True)
+    joined = may.join(lists, (F.col(own_id) == F.col(d)) & (F.xxhash64("text") == F.col(th)), "left").drop(d, th, own_id)
+    whole = joined.where(F.col(lines).isNull()).drop(lines)
+    whole = whole if sure is None else sure.unionByName(whole)
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    # texts that surely lose nothing are not shuffled
-    whole = some(False).drop(own_id).withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long"), "kept": F.col("text")})
-    lists = gone.select(F.col("d").alias(d), F.col("th").alias(th), F.col("lines").alias(lines))
-    joined = some(True).join(lists, (F.col(own_id) == F.col(d)) & (F.xxhash64("text") == F.col(th)), "left").drop(d, th, own_id)
+    whole = whole.withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long"), "kept": F.col("text")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, numbers in zip(batch.column("text").to_pylist(), batch.column(lines).to_pylist(), strict=True):
-                split, out = ([] if text is None else text.split("\n")), set(numbers or ())
-                rows.append((len(split), len(out), text if not out else "\n".join(x for i, x in enumerate(split) if i not in out)))
+                split, out = text.split("\n"), set(numbers)
+                rows.append((len(split), len(out), "\n".join(x for i, x in enumerate(split) if i not in out)))
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield replaced(batch.drop_columns([lines]), {n: pa.array(x, k) for (n, _), x, k in zip(new, columns, (pa.int64(), pa.int64(), pa.string()), strict=True)})
 
-    return whole.unionByName(joined.mapInArrow(cut, with_columns(docs.schema, new)))
+    return whole.unionByName(joined.where(F.col(lines).isNotNull()).mapInArrow(cut, with_columns(docs.schema, new)))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

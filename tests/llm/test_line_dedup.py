@@ -36,6 +36,9 @@ def test_random_lines(spark, monkeypatch, block, most):
     monkeypatch.setattr(_sets, "BLOCK", block)  # groups are cut
     monkeypatch.setattr(_sets, "SHARD_MOST", most)
     monkeypatch.setattr(_sets, "SHARD", most)
+    monkeypatch.setattr(_sets, "NEAR", block)
+    monkeypatch.setattr(_sets, "SMALL_LISTS", most)
+    monkeypatch.setattr(_sets, "TOK_BITS", 43 if block > 3 else 4)
     monkeypatch.setattr(_sets, "OFTEN", 20 if block == 3 else 72)  # words stand in twos
     r = random.Random(6)
     words = [f"w{i}" for i in range(60)]

@@ -12,7 +12,8 @@ Goodman from the counts of counts. A word never seen has t = 0; a context never
 
 Null and empty texts are one end token. Null ids are scored, not learnt from, and not held out.
 Repeated rows count as often as they occur. The base score is an add-one unigram model's. Extra
-columns pass through, clashing ones are replaced. More than 2**32 - 2 distinct tokens are an error.
+columns pass through, clashing ones are replaced. More than 2**32 - 2 distinct tokens are an error. Texts
+are counted and scored whole, so a task's memory follows the longest one (about 100 bytes a byte).
 """
 
 from __future__ import annotations

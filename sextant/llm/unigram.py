@@ -9,7 +9,8 @@ or one token a byte where the vocabulary has byte pieces.
 
 Spaces become the word mark, and one is put in front. Where no piece holds a mark after another
 character, words with their leading marks are independent and are counted once per worker.
-Null and empty texts count 0 tokens; extra columns pass through, clashing ones are replaced.
+Null and empty texts count 0 tokens; rows that repeat an id are counted each; a text is read as a whole, so a
+task's memory follows the longest one. Extra columns pass through, clashing ones are replaced.
 """
 
 from __future__ import annotations

@@ -102,3 +102,20 @@ def test_displaced_parts(spark, monkeypatch, limit):
     swapped = [x for x in got if x["doc_id"] == 0]
     assert len(swapped) == 1 and swapped[0]["similarity"] == max(want[0, 0].values()) and swapped[0]["similarity"] == pytest.approx(0.864, abs=5e-4)
     assert len([x for x in got if x["doc_id"] == 80]) == 2
+
+
+def test_windows_cut_off_at_the_ends(spark):
+    """Items of which a text holds only the begin, the end or the middle: every length that still is a leak, by brute force."""
+    r = random.Random(21)
+    items = [(i, prose(r, n)) for i, n in enumerate((9, 13, 25, 60, 150))]
+    docs = []
+    for i, body in items:
+        w = body.split()
+        for gone in range(0, len(w) // 3 + 1):
+            for part in (w[gone:], w[: len(w) - gone], w[gone // 2 : len(w) - (gone + 1) // 2]):
+                docs.append((len(docs), " ".join(part)))
+                docs.append((len(docs), " ".join(part if part is not w else w) + " " + prose(r, 30)))
+    want = {(i, j): f for i, t in docs for j, b in items if set(t.split()) & set(b.split()) and (f := all_starts(t, b))}
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == set(want) and len(want) > 40
+    assert all(abs(want[x["doc_id"], x["item_id"]][x["start"]] - x["similarity"]) < 1e-12 for x in got)

@@ -29,7 +29,7 @@ SLICES = 64
 #: The largest group of records compared in one task.
 BLOCK = 2048
 #: Rows that a task gathers before it compares groups, and tokens of the sets of one block of a cluster.
-GATHER, BLOCK_TOKENS = 1 << 16, 1 << 21
+GATHER, BLOCK_TOKENS = 1 << 16, 1 << 20
 #: Rank (eight times the logarithm of the hits) of a frequent token (512 times).
 OFTEN = 72
 
@@ -474,7 +474,7 @@ def group_ends(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Index entries of one shard on average, and those at which a task looks for groups to cut.
-SHARD, SHARD_MOST = 500_000, 3_000_000
+SHARD, SHARD_MOST = 250_000, 2_000_000
 #: Nearest earlier classes that are kept of each key, and the largest group in which they are looked for.
 KEPT, NEAR = 4, 512
 #: Of a key, bits that come first in an entry's sort key; the size takes what is left beside 8 bits of the class.

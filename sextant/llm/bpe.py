@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import mix
-from ._runtime import prepare, replaced, with_columns
+from ._runtime import prepare, replaced, trim, with_columns
 
 #: Pre-tokens whose ids a worker remembers, and the longest of them; beyond, it forgets all.
-CACHE_ENTRIES, CACHE_LENGTH = 600_000, 64
+CACHE_ENTRIES, CACHE_LENGTH = 250_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,36 +172,49 @@ class Codec:
         return b"".join(self.bytes_of[np.asarray(ids, np.int32)].tolist())
 
 
-def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids of each text as array<int>."""
+def _with_columns(df: DataFrame, codec: Codec, work, new: list[tuple[str, T.DataType]]) -> DataFrame:
+    """df with the columns that work(coder, batch) gives; a worker's tables have the vocabulary's size."""
     prepare(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(codec)  # its size is that of the vocabulary
+    shared = df.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value
         for batch in batches:
-            rows = coder.encode_all(batch.column(text).to_pylist())
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) for r in rows], out=offsets[1:])
-            flat = np.concatenate([np.zeros(0, np.int32), *rows])
-            yield replaced(batch, {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
+            yield replaced(batch, dict(zip([n for n, _ in new], work(shared.value, batch), strict=True)))
+        trim()
+
+    return df.mapInArrow(run, with_columns(df.schema, new))
+
 
-    return df.mapInArrow(run, with_columns(df.schema, [(ids, T.ArrayType(T.IntegerType()))]))
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
+def encode(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
+    """df with the ids of each text as array<int>."""
+    work = lambda coder, batch: [_lists(coder.encode_all(batch.column(text).to_pylist()))]
+    return _with_columns(df, codec, work, [(ids, T.ArrayType(T.IntegerType()))])
 
 
 def decode(df: DataFrame, codec: Codec, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the bytes that each array of ids stands for; a null array gives no bytes."""
-    prepare(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(codec)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value
-        for batch in batches:
-            arrays = (batch.column(ids)[i].values for i in range(batch.num_rows))
-            out = [coder.decode(a.to_numpy()) if a is not None else b"" for a in arrays]
-            yield replaced(batch, {decoded: pa.array(out, pa.binary())})
+    def work(coder: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
+        arrays = (batch.column(ids)[i].values for i in range(batch.num_rows))
+        return [pa.array([coder.decode(a.to_numpy()) if a is not None else b"" for a in arrays], pa.binary())]
+
+    return _with_columns(df, codec, work, [(decoded, T.BinaryType())])
+
+
+def round_trip(df: DataFrame, codec: Codec, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with the ids of each text and the bytes decoded from them, in one pass."""
+
+    def work(coder: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = coder.encode_all(batch.column(text).to_pylist())
+        return [_lists(rows), pa.array([coder.decode(r) for r in rows], pa.binary())]
 
-    return df.mapInArrow(run, with_columns(df.schema, [(decoded, T.BinaryType())]))
+    return _with_columns(df, codec, work, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.BinaryType())])
 
 
 def joined(ids: Column) -> Column:
@@ -224,7 +237,7 @@ def public_codec(name: str = "byte_bpe_50k.tiktoken") -> Codec:
 def digests(docs: DataFrame, codec: Codec | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
     codec = codec or public_codec()
-    out = decode(encode(docs.select("doc_id", "text"), codec).drop("text"), codec)
+    out = round_trip(docs.select("doc_id", "text"), codec).drop("text")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _sets
-from ._runtime import forget, materialise, prepare, replaced, unused, with_columns
+from ._runtime import forget, materialise, prepare, release, replaced, unused, with_columns
 
 RULE = _sets.Rule(k=1, a=4, b=5, lines=True, slots=1 << 24, words=2, double=64)
 #: Candidates of each class that are compared first.
@@ -51,6 +51,7 @@ def repeated_lines(docs: DataFrame, rule: _sets.Rule = RULE) -> DataFrame:
     rest = materialise(rest.distinct(), "rest")
     if rest.take(1):
         gone = materialise(gone.union(_later(docs, rule, rarity, first, rest)), "gone")
+    release(near, tries, more, rest)
     near = gone.select("v.k1", "v.k2", F.lit(True).alias("near")).distinct()
     known = first.selectExpr("k1", "k2", "d AS d0", "l AS l0", "members").join(near, ["k1", "k2"], "left").where("members > 1 OR near")
     hit = found.where("d IS NOT NULL").select("d", "th", "l", "k1", "k2").join(known, ["k1", "k2"]).where("near OR d <> d0 OR l <> l0")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import Words, chunks
-from ._runtime import materialise, prepare, release, replaced, with_columns
+from ._runtime import materialise, prepare, release, replaced, trim, with_columns
 
 FOLDS, THRESHOLD = 5, 0.3
 #: Passes over the statistics for one model, and weight of the squared weights in the risk: at least, and times the rows.
@@ -150,6 +150,7 @@ def statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 x = features(texts).astype(np.float32)
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(texts)), rows], names=["id", "x"])
+        trim()
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").where(~held_out(F.col("id")))
     found = own.mapInArrow(run, "id long, x array<float>").join(known, "id", "left")
@@ -231,6 +232,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for batch in batches:
             runs = [shared.value.score(features(t)) for _, t in chunks(batch.column("text").cast(pa.binary()).to_pylist())]
             yield replaced(batch, {name: pa.array(np.concatenate([np.zeros(0), *runs]))})
+        trim()
 
     return docs.mapInArrow(run, with_columns(docs.schema, [(name, T.DoubleType())]))
 

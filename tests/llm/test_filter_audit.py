@@ -44,11 +44,9 @@ def brute(docs, labels):
     return {k: tuple(v) for k, v in out.items()}
 
 
-def run(spark, docs, labels, more=""):
+def run(spark, docs, labels, more=()):
     frame = spark.createDataFrame(docs, DOCS)
-    if more:
-        frame = frame.selectExpr("*", more)
-    got = filter_audit.audit(frame.repartition(3), spark.createDataFrame(labels, LABELS))
+    got = filter_audit.audit(frame.selectExpr("*", *more).repartition(3), spark.createDataFrame(labels, LABELS))
     return {(r["part"], r["filter_order"], r["step"]): (r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["good_lost"], r["toxic_lost"], r["shapley"]) for r in got.collect()}
 
 
@@ -73,7 +71,7 @@ def test_one_text_in_most_rows(spark):
 def test_empty_tables_and_clashing_columns(spark):
     assert run(spark, [], [(1, 1, 1)]) == {}
     docs = [(1, "a", "en"), (2, "a", None)]
-    assert run(spark, docs, [], "'z' AS address, 7 AS mask, 8 AS n, true AS part, 1 AS quality") == brute(docs, [])
+    assert run(spark, docs, [], ["'z' AS address", "7 AS mask", "8 AS n", "true AS part", "1 AS quality", "'q' AS label_id"]) == brute(docs, [])
 
 
 def test_a_very_long_text(spark):

@@ -135,6 +135,16 @@ def by_shard(rows: DataFrame, bits: int) -> DataFrame:
     return rows.repartition(min(1 << bits, 1 << 15), "shard").sortWithinPartitions("shard")
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each where all fit, else in eight."""
+    return counts.astype(np.uint32 if not len(counts) or counts.max() <= 0xFFFFFFFF else np.uint64)
+
+
+def widened(data: np.ndarray, n: int) -> np.ndarray:
+    """The n counts that narrow() made bytes of."""
+    return data.view(np.uint64 if len(data) == 8 * n else np.uint32) if n else np.zeros(0, np.uint32)
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the numbers that hold for the whole corpus."""
@@ -199,7 +209,7 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         for s, own, place, found in self.find("pair", self.pair_bits, hashes[order]):
             some = np.zeros(len(place), np.int64)
-            some[found] = self.array("times", s, np.uint32)[place[found]]
+            some[found] = widened(self.array("times", s, np.uint8), len(self.array("pair", s, np.uint64)))[place[found]]
             out[order[own]] = some
         return out
 
@@ -297,7 +307,7 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
             hashes = mix(keys)
             order = np.argsort(hashes)
             write_array(f"{folder}/pair-{s}", hashes[order])
-            write_array(f"{folder}/times-{s}", np.minimum(counts[order], 0xFFFFFFFF).astype(np.uint32))
+            write_array(f"{folder}/times-{s}", narrow(counts[order]))
             context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
             kind = np.minimum(counts, 3).astype(np.int64)
             of_counts = np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:6]

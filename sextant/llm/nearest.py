@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Dimensions whose products of codes add up to whole numbers that float32 holds exactly (127 * 127 * 1024 < 2^24).
+EXACT = 1024
 #: Numbers of a tile's queries and candidates, and rows and candidates that are multiplied at once.
 QUERY_NUMBERS, CANDIDATE_NUMBERS, TILE_ROWS = 1 << 19, 1 << 22, 1024
 
@@ -60,12 +62,17 @@ def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
     ids, vectors, queries = ids[kept], scaled(vectors[kept]), scaled(queries)
     unit = lambda v: v / np.sqrt((v**2).sum(axis=1))[:, None]
     codes, scale, miss = _codes(unit(vectors))
-    codes = codes.astype(np.float32)  # products of int8 codes are whole numbers that float32 holds exactly
+    codes = codes.astype(np.float32)
     q_codes, q_scale, q_miss = _codes(unit(queries))
+    rounding = 1e-9 + (vectors.shape[1] + 16) * 2.0**-50  # of unit vectors and their products in doubles
     for at in range(0, len(queries), TILE_ROWS):
         own = slice(at, at + TILE_ROWS)
-        near = (q_codes[own].astype(np.float32) @ codes.T).astype(np.float64) * q_scale[own, None] * scale[None, :]
-        error = q_miss[own, None] + (1 + q_miss[own, None]) * miss[None, :] + 1e-9
+        asked = q_codes[own].astype(np.float32)
+        near = np.zeros((len(asked), len(codes)))
+        for d in range(0, codes.shape[1], EXACT):
+            near += asked[:, d : d + EXACT] @ codes[:, d : d + EXACT].T
+        near *= q_scale[own, None] * scale[None, :]
+        error = q_miss[own, None] + (1 + q_miss[own, None]) * miss[None, :] + rounding
         low = near - error
         low[query_ids[own, None] == ids[None, :]] = -np.inf
         least = np.partition(low, max(0, low.shape[1] - k), axis=1)[:, max(0, low.shape[1] - k)] if low.shape[1] >= k else np.full(len(low), -np.inf)

@@ -85,3 +85,12 @@ def test_empty_training_and_clashing_columns(spark):
     rows = kn.score(df, model).collect()
     assert all(math.isfinite(r["score"]) and r["n_known"] == 0 for r in rows)
     assert kn.score(df.limit(0), model).collect() == []
+
+
+def test_counts_beyond_32_bits_are_kept():
+    for top in (0xFFFFFFFF, 0x100000000, 5 << 40):
+        counts = np.array([1, 7, top, 3], np.uint64)
+        data = kn.narrow(counts)
+        assert data.itemsize == (4 if top <= 0xFFFFFFFF else 8)
+        assert kn.widened(data.view(np.uint8), 4).tolist() == counts.tolist()
+    assert len(kn.widened(kn.narrow(np.zeros(0, np.uint64)).view(np.uint8), 0)) == 0

@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from sextant.llm.nearest import nearest
+from sextant.llm.nearest import nearest, tile
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -55,3 +56,31 @@ def test_unusable_vectors_few_candidates_and_lengths(spark):
 
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("dim", [1024, 1536, 4096])
+@pytest.mark.parametrize("values", [(-1, 0, 1), (-1, 1)])
+def test_vectors_without_quantisation_error_and_ties(dim, values):
+    """Their intervals are as narrow as the rounding bound: products of codes must be exact at any dimension."""
+    r = np.random.default_rng(dim)
+    base = r.choice(values, size=(40, dim)).astype(float)
+    near = np.repeat(base, 20, axis=0)
+    for row in near:  # few components differ, so cosines are close or equal
+        row[r.integers(0, dim, r.integers(1, 4))] *= -1
+    vectors = np.concatenate([base, near])
+    ids = r.permutation(len(vectors))
+    got = {}
+    for q, i, s in tile(ids[:40], vectors[:40], ids, vectors, 5):
+        got.setdefault(q, []).append((-s, i))
+    norm = (vectors**2).sum(axis=1)
+    for k in range(40):
+        cosine = (vectors @ vectors[k]) / (np.sqrt(norm) * np.sqrt(norm[k]))
+        want = sorted((-c, int(i)) for c, i in zip(cosine, ids, strict=True) if i != ids[k])[:5]
+        assert [i for _, i in sorted(got[int(ids[k])])] == [i for _, i in want]
+
+
+def test_extra_columns_are_ignored(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    plain = sorted(map(tuple, nearest(frame).collect()))
+    assert sorted(map(tuple, nearest(frame.selectExpr("*", "7 AS id", "'x' AS v", "8 AS dim", "9 AS i", "9 AS j", "true AS q", "1 AS rank", "2 AS score")).collect())) == plain

@@ -1,13 +1,14 @@
 """Full-text search over postings: lexemes with positions, query trees, matching and cover density.
 
-Lexemes are accent-folded tokens without stop words, stemmed in a language; their positions count the
-stop words. Postings are made once, when chunks are indexed, and stored; a search reads those of the
-query's lexemes alone, and matches and scores are column expressions over a chunk's positions.
+Text and question go through one tokenizer: folding (case, accents, letters that stand for two), tokens of the classes that
+TOKEN lists, and what each token counts as. Words are stemmed in a language and stop words left out; their
+positions count. Numbers, addresses and mixed tokens stay as they are. Postings are made once, when chunks are
+indexed, and stored; a search reads those of the query's lexemes alone, and matches and scores are column
+expressions over a chunk's positions.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -15,21 +16,50 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stem import portuguese
-from .text import strip_accents
+
+# Letters that have no decomposition, as plain letters, and those that stand for two.
+PLAIN = {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ŋ": "n", "ŧ": "t", "ſ": "s", "ƒ": "f", "ƀ": "b", "ɨ": "i", "ς": "σ", "º": "o", "ª": "a"}
+DOUBLE = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+#: Combining marks that are accents (vowel signs of other scripts are not).
+ACCENTS = [(0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)]
+#: The same as a regular expression, for Java and SQL.
+MARKS = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ACCENTS) + "]+"
 
 
 def _folds() -> tuple[str, str]:
-    """Accented lower-case Latin letters, and the plain letters that they decompose to."""
-    pairs = [(chr(c), strip_accents(chr(c))) for c in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
-    pairs = [(a, b) for a, b in pairs if a != b and re.fullmatch("[a-z]", b) and unicodedata.normalize("NFC", a) == a]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Lower-case letters that are a letter with accents, and that letter; with those of PLAIN."""
+    found = dict(PLAIN)
+    for c in map(chr, range(0xDF, 0x2000)):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not 0x300 <= ord(x) < 0x370)
+        if c.isalpha() and c.lower() == c and len(base) == 1 and base != c:
+            found[c] = PLAIN.get(base, base)
+    return "".join(found), "".join(found.values())
 
 
 ACCENTED, FOLDED = _folds()
+_TRANSLATED = str.maketrans(ACCENTED, FOLDED)
+_MARKS = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ACCENTS) + "]+")
+# Tokens, of a folded text, the first that fits: mail addresses; addresses with a protocol; hosts, with a path or not;
+# numbers with points; words with hyphens; words and numbers. The bounds are those of addresses (64, 63) or keep matching linear.
+_HOST = r"(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}(?::[0-9]{1,5})?"
+_PATH = r"/[^\s<>\"'()]{0,500}"
+_LETTER, _INNER = r"[\p{L}]", r"[\p{L}\p{M}\p{N}]"
+TOKEN = "|".join(
+    [
+        r"[a-z0-9][a-z0-9._+-]{0,63}@(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}",
+        rf"[a-z]{{2,10}}://{_HOST}(?:{_PATH})?",
+        rf"{_HOST}(?:{_PATH})?",
+        r"[0-9]+(?:\.[0-9]+){1,16}(?:e[+-]?[0-9]+)?",
+        rf"{_LETTER}{_INNER}*(?:-{_INNER}+){{1,16}}",
+        rf"{_INNER}+",
+    ]
+)
+_TOKEN = regex.compile(TOKEN)
 # Portuguese function words that are no lexemes, as the Snowball project lists them, accents folded.
 STOP = frozenset(
     """de a o que e do da em um para com nao uma os no se na por mais as dos como mas ao ele das seu sua ou quando muito nos ja eu
@@ -47,9 +77,95 @@ tenham tivesse tivessemos tivessem tiver tivermos tiverem terei tera teremos ter
 LANGUAGES: dict[str, Callable[[str], str]] = {"portuguese": portuguese, "simple": str}
 
 
-def lexemes(text: Column) -> Column:
-    """The tokens in order, folded, not yet stemmed, with the stop words."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, FOLDED), F.lit("[a-z0-9]+"), F.lit(0))
+def fold(text: str) -> str:
+    """Lower case, accents off, double letters written out."""
+    out = _MARKS.sub("", text.lower().translate(_TRANSLATED))
+    for one, two in DOUBLE.items():
+        out = out.replace(one, two)
+    return out
+
+
+def folded(text: Column) -> Column:
+    """fold() as a column."""
+    out = F.regexp_replace(F.translate(F.lower(text), ACCENTED, FOLDED), MARKS, "")
+    for one, two in DOUBLE.items():
+        out = F.replace(out, F.lit(one), F.lit(two))
+    return out
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of a text in order."""
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
+
+
+def counted_as(token: str) -> list[str]:
+    """What a token counts as, at places one after another: an address also as its host and path, a word with hyphens also as its parts."""
+    if "@" in token:
+        return [token]
+    if "/" in token:
+        address = token.split("://", 1)[-1]
+        host, slash, path = address.partition("/")
+        return [address, host, slash + path] if slash else [address]
+    if "-" in token and "." not in token:
+        return [token, *token.split("-")]
+    return [token]
+
+
+def lexeme(word: str, language: str) -> str:
+    """A word's stem, nothing for a stop word; what isn't all letters (and hyphens) stays as it is."""
+    if word in STOP:
+        return ""
+    return LANGUAGES[language](word) if word.replace("-", "").isalpha() else word
+
+
+def _posted(batch: pa.RecordBatch, number: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the batch, lexeme number and place (from 1) of what the tokens (column lex) count as; by row, lexeme, place."""
+    lists = batch.column("lex")
+    words = pc.list_flatten(lists).dictionary_encode()
+    meant = [number(w) for w in words.dictionary.to_pylist()]
+    size = np.fromiter(map(len, meant), np.int64, len(meant))
+    flat = np.fromiter((x for m in meant for x in m), np.int64, int(size.sum()))
+    begin = np.cumsum(size) - size
+    which = words.indices.to_numpy()
+    token = np.repeat(np.arange(len(which)), size[which])
+    within = np.arange(len(token)) - np.repeat(np.cumsum(size[which]) - size[which], size[which])
+    what, own = flat[begin[which][token] + within], pc.list_parent_indices(lists).to_numpy()[token]
+    place = np.arange(len(own)) - np.searchsorted(own, own) + 1
+    at = np.flatnonzero(what >= 0)
+    at = at[np.lexsort((at, what[at], own[at]))]
+    return own[at], what[at], place[at]
+
+
+class _Numbers:
+    """Numbers of lexemes, for as long as they are few."""
+
+    def __init__(self, language: str, only: set[str] | None):
+        self.language, self.only = language, only
+        self.known: dict[str, int] = {}
+
+    def __call__(self, token: str) -> list[int]:
+        found = [lexeme(w, self.language) for w in counted_as(token)]
+        return [-1 if not x or (self.only is not None and x not in self.only) else self.known.setdefault(x, len(self.known)) for x in found]
+
+    def names(self) -> pa.Array:
+        return pa.array(list(self.known), pa.string())
+
+
+def _lists(begin: np.ndarray, n: int, values) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(begin, n).astype(np.int32)), values)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any column."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _tokenised(chunks: DataFrame, chunk_id: str, text: str) -> DataFrame:
+    return chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text)).alias("lex")).where(F.size("lex") > 0)
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", language: str = "portuguese", only: list[str] | None = None) -> DataFrame:
@@ -57,41 +173,36 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
 
     A chunk's postings are complete within its row, so nothing is shuffled.
     """
-    stem, wanted = LANGUAGES[language], None if only is None else set(only)
+    wanted = None if only is None else set(only)
     kind = chunks.schema[chunk_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        names: list[str] = []
-
-        def number(word: str) -> int:
-            lexeme = "" if word in STOP else stem(word)
-            if not lexeme or (wanted is not None and lexeme not in wanted):
-                return -1
-            if lexeme not in known:
-                known[lexeme] = len(names)
-                names.append(lexeme)
-            return known[lexeme]
+        number = _Numbers(language, wanted)
+        for batch in batches:
+            own, what, place = _posted(batch, number)
+            first = _changes(own, what)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(own[first])), number.names().take(pa.array(what[first])), _lists(first, len(own), pa.array(place.astype(np.int32)))], names=["chunk_id", "lexeme", "positions"])
+            if len(number.known) > 1 << 20:
+                number = _Numbers(language, wanted)
+
+    return _tokenised(chunks, chunk_id, text).mapInArrow(run, f"chunk_id {kind}, lexeme string, positions array<int>")
+
+
+def places(chunks: DataFrame, terms: list[str], language: str = "portuguese") -> DataFrame:
+    """chunk_id, places (map from those of terms that the chunk holds to their positions) of chunks that hold any: one pass, no shuffle."""
+    wanted, kind = set(terms), chunks.schema["chunk_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _Numbers(language, wanted)
         for batch in batches:
-            lists = batch.column("lex")
-            words = pc.list_flatten(lists).dictionary_encode()
-            own = pc.list_parent_indices(lists).to_numpy()
-            if not len(own):
-                continue
-            start = np.searchsorted(own, own)
-            what = np.fromiter(map(number, words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
-            at = np.flatnonzero(what >= 0)
-            at = at[np.lexsort((at, what[at], own[at]))]
-            new = np.ones(len(at), bool)
-            new[1:] = (own[at][1:] != own[at][:-1]) | (what[at][1:] != what[at][:-1])
-            first = np.flatnonzero(new)
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array((at - start[at] + 1).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(own[at[first]])), pa.array([names[i] for i in what[at[first]].tolist()], pa.string()), places], names=["chunk_id", "lexeme", "positions"])
-            if len(names) > 1 << 20:
-                known, names = {}, []
-
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), lexemes(F.col(text)).alias("lex")).where(F.size("lex") > 0).mapInArrow(run, f"chunk_id {kind}, lexeme string, positions array<int>")
+            own, what, place = _posted(batch, number)
+            first = _changes(own, what)
+            chunk = _changes(own[first])
+            values = _lists(first, len(own), pa.array(place.astype(np.int32)))
+            maps = pa.MapArray.from_arrays(pa.array(np.append(chunk, len(first)).astype(np.int32)), number.names().take(pa.array(what[first])), values)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(own[first][chunk])), maps], names=["chunk_id", "places"])
+
+    return _tokenised(chunks, "chunk_id", "text").mapInArrow(run, f"chunk_id {kind}, places map<string, array<int>>")
 
 
 @dataclass(frozen=True)
@@ -123,10 +234,16 @@ class Query:
         return any(needs) if self.kind == "and" else self.kind == "or" and all(needs)
 
 
-def _words(text: str, fold: bool, language: str) -> list[tuple[str, int]]:
-    """The lexemes with their places; stop words keep theirs."""
-    found = re.findall(r"[^\W_]+", strip_accents(text.lower()) if fold else text.lower())
-    return [(LANGUAGES[language](t), i) for i, t in enumerate(found) if t not in STOP]
+def _units(text: str, fold_accents: bool, language: str) -> list[list[tuple[str, int]]]:
+    """Of each token its lexemes with their places in the text; stop words keep theirs, tokens of stop words alone are left out."""
+    out, place = [], 0
+    for token in _TOKEN.findall(fold(text) if fold_accents else text.lower()):
+        words = counted_as(token)
+        unit = [(x, place + i) for i, w in enumerate(words) if (x := lexeme(w, language))]
+        place += len(words)
+        if unit:
+            out.append(unit)
+    return out
 
 
 def _joined(kind: str, parts: list[Query | None]) -> Query | None:
@@ -134,28 +251,31 @@ def _joined(kind: str, parts: list[Query | None]) -> Query | None:
     return None if not some else some[0] if len(some) == 1 else Query(kind, tuple(some))
 
 
+def _unit(words: list[tuple[str, int]]) -> Query:
+    """One lexeme, or several that stand as far apart as here."""
+    return Query("term", (words[0][0],)) if len(words) == 1 else Query("phrase", tuple((t, i - words[0][1]) for t, i in words))
+
+
 def plain(text: str, fold: bool = True, language: str = "portuguese") -> Query | None:
-    """All terms."""
-    return _joined("and", [Query("term", (t,)) for t, _ in _words(text, fold, language)])
+    """All tokens."""
+    return _joined("and", [_unit(u) for u in _units(text, fold, language)])
 
 
 def any_of(text: str, fold: bool = True, language: str = "portuguese") -> Query | None:
-    """Any term."""
-    return _joined("or", [Query("term", (t,)) for t, _ in _words(text, fold, language)])
+    """Any token."""
+    return _joined("or", [_unit(u) for u in _units(text, fold, language)])
 
 
 def websearch(text: str, fold: bool = True, language: str = "portuguese") -> Query | None:
     """All terms; "..." is a phrase (stop words in it are gaps), or makes alternatives, a leading - excludes."""
     branches: list[list[Query]] = [[]]
-    for minus, phrase, bare in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
+    for minus, phrase, bare in regex.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
         if not minus and bare.casefold() == "or":
             branches.append([])
             continue
-        words = _words(phrase or bare, fold, language)
-        if not words:
-            continue
-        one = Query("term", (words[0][0],)) if len(words) == 1 else Query("phrase", tuple((t, i - words[0][1]) for t, i in words))
-        branches[-1].append(Query("not", (one,)) if minus else one)
+        words = [w for u in _units(phrase or bare, fold, language) for w in u]
+        if words:
+            branches[-1].append(Query("not", (_unit(words),)) if minus else _unit(words))
     return _joined("or", [_joined("and", b) for b in branches])
 
 
@@ -206,23 +326,41 @@ def _grown(moved: Column, begin: Column, n: Column) -> Column:
 
 def found_places(chunks: DataFrame, terms: list[str], every: bool, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
     """chunk_id, places (map from those of terms that the chunk holds to their positions) of the chunks that hold
-    any, or of every chunk. stored: postings, of which only those of the terms are read."""
-    rows = (stored if stored is not None else postings(chunks, language=language, only=terms)).where(F.col("lexeme").isin(*terms))
-    rows = rows.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("places"))
+    any, or of every chunk. stored: postings, of which only those of the terms are read; without, the texts are read once."""
+    if stored is None:
+        rows = places(chunks, terms, language)
+    else:
+        rows = stored.where(F.col("lexeme").isin(*terms)).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("places"))
     if every:
         none = F.map_from_entries(F.array().cast("array<struct<lexeme: string, positions: array<int>>>"))
         return chunks.select("chunk_id").join(rows, "chunk_id", "left").withColumn("places", F.coalesce("places", none))
     return rows if stored is None else rows.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def search(chunks: DataFrame, query: Query | None, top: int, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
-    """chunk_id, fts_score, fts_rank of the best chunks; ties go to the smaller id. Scores have
-    nine digits, so that ranks don't hang on the order of a sum; ranks are numbered on the top rows alone."""
-    if query is None:
-        kind = chunks.schema["chunk_id"].dataType.simpleString()
-        return chunks.sparkSession.createDataFrame([], f"chunk_id {kind}, fts_score double, fts_rank int")
-    rows = found_places(chunks, query.all_terms(), not query.needs_term(), stored, language)
+def score(query: Query) -> Column:
+    """Cover density of the query's own terms that a chunk (places) holds. Nine digits, so that ranks don't hang on the order of a sum."""
     own = F.filter(F.array(*(F.try_element_at("places", F.lit(t)) for t in query.terms())) if query.terms() else F.array().cast("array<array<int>>"), lambda p: p.isNotNull())
-    hits = rows.where(matches(query, F.col("places"))).select("chunk_id", F.round(cover_density(own), 9).alias("fts_score"))
-    best = hits.orderBy(F.desc("fts_score"), "chunk_id").limit(top)
-    return best.selectExpr("chunk_id", "fts_score", "cast(row_number() OVER (ORDER BY fts_score DESC, chunk_id) AS int) AS fts_rank")
+    return F.round(cover_density(own), 9)
+
+
+def search_first(chunks: DataFrame, queries: list[Query | None], top: int, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """form (number of the query), chunk_id, fts_score, fts_rank: the best chunks of the first query that any chunk matches.
+
+    All queries are matched and scored in one pass: the top rows by (query, score) hold what is wanted of the first
+    one with a hit, and ranks are numbered on these rows alone. Ties go to the smaller id.
+    """
+    live = [(i, q) for i, q in enumerate(queries) if q is not None]
+    if not live:
+        kind = chunks.schema["chunk_id"].dataType.simpleString()
+        return chunks.sparkSession.createDataFrame([], f"form int, chunk_id {kind}, fts_score double, fts_rank int")
+    terms = list(dict.fromkeys(t for _, q in live for t in q.all_terms()))
+    rows = found_places(chunks, terms, not all(q.needs_term() for _, q in live), stored, language)
+    hit = F.filter(F.array(*(F.struct(F.lit(i).alias("form"), F.when(matches(q, F.col("places")), score(q)).alias("fts_score")) for i, q in live)), lambda h: h["fts_score"].isNotNull())
+    best = rows.select("chunk_id", F.explode(hit).alias("h")).select("h.form", "chunk_id", "h.fts_score").orderBy("form", F.desc("fts_score"), "chunk_id").limit(top)
+    ranked = best.selectExpr("*", "min(form) OVER () AS taken", "cast(row_number() OVER (ORDER BY form, fts_score DESC, chunk_id) AS int) AS fts_rank")
+    return ranked.where("form = taken").drop("taken")
+
+
+def search(chunks: DataFrame, query: Query | None, top: int, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """chunk_id, fts_score, fts_rank of the best chunks."""
+    return search_first(chunks, [query], top, stored, language).drop("form")

@@ -101,11 +101,11 @@ def fts_hits(chunks: DataFrame, form: str, text: str, stored: DataFrame | None =
     return hits(chunks, [("n", fts.PARSERS[form](text, language=language))], stored, language).first()["n"]
 
 
-def ladder(chunks: DataFrame, question: str, fold: bool = True, stored: DataFrame | None = None, language: str = "portuguese") -> tuple[str, fts.Query | None]:
-    """The first of websearch(question), plain(keywords), or(keywords) with a hit; websearch if none has."""
+def ladder(chunks: DataFrame, question: str, fold: bool = True, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """One row: how many chunks each form of a question matches, and mode, the first form with a hit (websearch if none has)."""
     tries = forms(question, fold, language)
-    counts = hits(chunks, tries, stored, language).first()
-    return next(((name, q) for name, q in tries if counts[name]), tries[0])
+    mode = F.coalesce(*(F.when(F.col(name) > 0, name) for name, _ in tries), F.lit(tries[0][0]))
+    return hits(chunks, tries, stored, language).withColumn("mode", mode)
 
 
 def hybrid(chunks: DataFrame, embeddings: DataFrame | None, question: str, vector: list[float] | None, params: Params = API_QUERY, model: str | None = None, fold: bool = True, pipeline_version: str | None = None, provider: Provider | None = None, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
@@ -116,8 +116,8 @@ def hybrid(chunks: DataFrame, embeddings: DataFrame | None, question: str, vecto
     params.check()
     text = vectors = None
     if params.n1_fts > 0:
-        _, query = ladder(chunks, question, fold, stored, language)
-        text = fts.search(chunks, query, params.n1_fts, stored, language)
+        # the first of websearch(question), plain(keywords), or(keywords) with a hit, in one pass
+        text = fts.search_first(chunks, [q for _, q in forms(question, fold, language)], params.n1_fts, stored, language).drop("form")
     if params.n2_vec > 0:
         if vector is None and provider is not None:
             vector = embed([question], provider, "query")[0]

@@ -78,6 +78,19 @@ _ALL = "SELECT doc_id::VARCHAR AS chunk_id, doc_id, text, lang, source FROM docu
 _GOOD = _ALL + " WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id % 10 <> 9"
 
 
+def sql_tokens(text: str) -> str:
+    """A text's tokens in SQL, and what each counts as."""
+    folded = f"regexp_replace(translate(lower({text}), '{fts.ACCENTED}', '{fts.FOLDED}'), '{fts.MARKS}', '', 'g')"
+    for one, two in fts.DOUBLE.items():
+        folded = f"replace({folded}, '{one}', '{two}')"
+    token = fts.TOKEN.replace("'", "''")
+    address = "regexp_replace(x, '^[a-z]+://', '')"
+    path = f"[{address}, split_part({address}, '/', 1), substr({address}, strpos({address}, '/'))]"
+    return f"""flatten(list_transform(regexp_extract_all({folded}, '{token}'), lambda x: CASE WHEN contains(x, '@') THEN [x]
+ WHEN contains(x, '/') AND contains({address}, '/') THEN {path} WHEN contains(x, '/') THEN [{address}]
+ WHEN contains(x, '-') AND NOT contains(x, '.') THEN list_concat([x], string_split(x, '-')) ELSE [x] END))"""
+
+
 def _sql_fts(source: str, terms: list[str], hit: str, top: int, negated: tuple[str, ...] = (), phrase: tuple[str, str, int] | None = None, every: bool = False) -> str:
     """CTEs up to fts (chunk_id, fts_score, fts_rank); in hit, h0, h1 ... say whether a chunk holds each of terms and then
     of negated, and ph whether it holds the phrase."""
@@ -88,7 +101,7 @@ def _sql_fts(source: str, terms: list[str], hit: str, top: int, negated: tuple[s
     ph = f"SELECT DISTINCT a.chunk_id FROM pl a JOIN pl b ON a.chunk_id = b.chunk_id AND b.p = a.p + {phrase[2]} WHERE a.w = '{phrase[0]}' AND b.w = '{phrase[1]}'" if phrase else "SELECT NULL::VARCHAR AS chunk_id WHERE FALSE"
     return f"""
 src AS (SELECT chunk_id, text FROM ({source})),
-tok AS (SELECT chunk_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT chunk_id, regexp_extract_all(translate(lower(text), '{fts.ACCENTED}', '{fts.FOLDED}'), '[a-z0-9]+') AS t FROM src)),
+tok AS (SELECT chunk_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT chunk_id, {sql_tokens('text')} AS t FROM src)),
 pl AS MATERIALIZED (SELECT chunk_id, w, p FROM tok WHERE w IN ({", ".join(f"'{w}'" for w in words)})),
 phr AS ({ph}),
 hs AS (SELECT chunk_id, {held}, chunk_id IN (SELECT chunk_id FROM phr) AS ph FROM {"src LEFT JOIN pl USING (chunk_id)" if every else "pl"} GROUP BY chunk_id),
@@ -249,7 +262,7 @@ def _sql_holds(words: list[str]) -> list[str]:
 
 
 @query(
-    f"""WITH t AS (SELECT regexp_extract_all(translate(lower(text), '{fts.ACCENTED}', '{fts.FOLDED}'), '[a-z0-9]+') AS t FROM documents),
+    f"""WITH t AS (SELECT {sql_tokens('text')} AS t FROM documents),
 c AS (SELECT count(*) FILTER ({" AND ".join(_sql_holds(["quais", "regras", "that", "with", "from", "0", "2", "rdc", "327"]))})::BIGINT AS a,
  count(*) FILTER ({" AND ".join(_sql_holds(["that", "with", "from", "0", "2"]))})::BIGINT AS b, count(*) FILTER ({" OR ".join(_sql_holds(["that", "with", "from", "0", "2"]))})::BIGINT AS c FROM t)
 SELECT a AS websearch, b AS plain, c AS "or", CASE WHEN a > 0 THEN 'websearch' WHEN b > 0 THEN 'plain' WHEN c > 0 THEN 'or' ELSE 'websearch' END AS mode FROM c"""
@@ -257,13 +270,12 @@ SELECT a AS websearch, b AS plain, c AS "or", CASE WHEN a > 0 THEN 'websearch' W
 def fts_ladder(spark, d):
     """Hits of the three query forms in one pass, and the form that is taken."""
     docs = _texts(spark, d)
-    mode, _ = retrieve.ladder(docs, LADDER, language=LANGUAGE)
-    return retrieve.hits(docs, retrieve.forms(LADDER, language=LANGUAGE), language=LANGUAGE).withColumn("mode", F.lit(mode))
+    return retrieve.ladder(docs, LADDER, language=LANGUAGE)
 
 
 @query(
     f"""SELECT lexeme, count(DISTINCT doc_id)::BIGINT AS n_chunks, count(*)::BIGINT AS n_places, min(pos)::INT AS first_place FROM
-(SELECT doc_id, unnest(t) AS lexeme, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(translate(lower(text), '{fts.ACCENTED}', '{fts.FOLDED}'), '[a-z0-9]+') AS t FROM documents))
+(SELECT doc_id, unnest(t) AS lexeme, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents))
 WHERE lexeme NOT IN ("""
     + ", ".join(f"'{w}'" for w in sorted(fts.STOP))
     + ") GROUP BY lexeme"

@@ -251,9 +251,9 @@ def test_stored_postings_and_ladder(spark):
     for text in ("prazo registro", '"prazo de registro"', "-vencem", "absent or -prazo"):
         query = fts.websearch(text)
         assert fts.search(kb.chunks, query, 9, stored).collect() == fts.search(kb.chunks, query, 9).collect()
-    assert retrieve.ladder(kb.chunks, "prazo vencem", stored=stored)[0] == "or"
-    assert retrieve.ladder(kb.chunks, "prazo do registro")[0] == "websearch"
-    assert retrieve.ladder(kb.chunks, "nada disso")[0] == "websearch"
+    assert retrieve.ladder(kb.chunks, "prazo vencem", stored=stored).first()["mode"] == "or"
+    assert retrieve.ladder(kb.chunks, "prazo do registro").first()["mode"] == "websearch"
+    assert retrieve.ladder(kb.chunks, "nada disso").first()["mode"] == "websearch"
     assert retrieve.fts_hits(kb.chunks, "or", "prazo vencem") == 3 and retrieve.fts_hits(kb.chunks, "plain", "") == 0
     with pytest.raises(ValueError, match="form"):
         retrieve.fts_hits(kb.chunks, "odd", "prazo")

@@ -165,7 +165,8 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 def _tokenised(chunks: DataFrame, chunk_id: str, text: str) -> DataFrame:
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text)).alias("lex")).where(F.size("lex") > 0)
+    # no filter on lex: it would be worked out twice
+    return chunks.select(F.col(chunk_id).alias("chunk_id"), F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("lex"))
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", language: str = "portuguese", only: list[str] | None = None) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Vectors of a cell on average, cells at most (their centroids are broadcast: 16384 of 1024 numbers are 128 MB at most), and vectors sampled to learn a cell from.
-CELL_ROWS, MOST_CELLS, SAMPLE_A_CELL = 1000, 16384, 256
+#: Cells at most (half the root of the number of vectors, unless given; their centroids are broadcast: 16384 of 1024 numbers are 128 MB at most), and vectors sampled to learn a cell from.
+MOST_CELLS, SAMPLE_A_CELL = 16384, 256
 #: Cells that a search of width 40 reads unless it was calibrated; wider searches read more in proportion.
 WIDTH, WIDTH_CELLS = 40, 4
 #: Stored vectors that a calibration asks with, and what it adds to the recall that is wanted, as it measures on some questions only.
@@ -67,7 +67,7 @@ class VectorIndex:
             return VectorIndex(spark, path)
         dim, n = by_size
         usable = usable.where(F.size("embedding") == dim)
-        cells = min(cells or max(1, round(n / CELL_ROWS)), MOST_CELLS, n)
+        cells = min(max(2, cells or round(n**0.5 / 2)), MOST_CELLS)
         share = min(1.0, cells * SAMPLE_A_CELL / n)
         sample = usable.where(F.abs(F.xxhash64("chunk_id", F.lit(seed)) % 1_000_000) < share * 1_000_000) if share < 1 else usable
         largest = F.array_max(F.transform("embedding", lambda x: F.abs(x)))

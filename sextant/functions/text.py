@@ -66,6 +66,14 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)
 
 
+def canonical_text(text: str | None) -> str | None:
+    """A JSON text in canonical form, nothing if it is none."""
+    try:
+        return None if text is None else canonical_json(json.loads(text))
+    except (ValueError, RecursionError):
+        return None
+
+
 def search_keywords(question: str | None, most: int = 8) -> str:
     """The question's terms for full-text search: no stop words, no act with its number, domain terms first."""
     tokens = re.findall(TOKEN, (question or "").casefold())
@@ -124,13 +132,13 @@ def _series(function):
 
 def column(name: str):
     """One of the functions above as a column function (Arrow batches)."""
-    kinds = {"normalize": normalize, "normalize_lines": normalize_lines, "hash_form": hash_form, "chunk_form": chunk_form, "slug": slug, "search_keywords": search_keywords, "answer_keywords": lambda q: " ".join(answer_keywords(q)), "strip_accents": lambda s: None if s is None else strip_accents(s)}
+    kinds = {"normalize": normalize, "normalize_lines": normalize_lines, "hash_form": hash_form, "chunk_form": chunk_form, "slug": slug, "search_keywords": search_keywords, "answer_keywords": lambda q: " ".join(answer_keywords(q)), "strip_accents": lambda s: None if s is None else strip_accents(s), "canonical": canonical_text}
     return _series(kinds[name])
 
 
 def register(spark: SparkSession) -> None:
     """Make them callable from SQL."""
-    for name in ("normalize", "normalize_lines", "hash_form", "chunk_form", "slug", "search_keywords", "answer_keywords", "strip_accents"):
+    for name in ("normalize", "normalize_lines", "hash_form", "chunk_form", "slug", "search_keywords", "answer_keywords", "strip_accents", "canonical"):
         spark.udf.register(f"text_{name}", column(name))
 
 

@@ -20,7 +20,8 @@ from ..operators import export, ingest, lifecycle, retrieve
 from ..operators.chunk import Sizes, chunks_of
 from ..operators.retrieve import Params, cosine_distance, vector_top
 from ..schemas import TABLES
-from ..sources.pages import lines_report, parsed
+from ..scratch import new_path
+from ..sources.pages import json_lines_report, parsed
 
 QUESTION, ASKED = "that with", "that with from 0,2"
 LADDER = "Quais regras para that with from 0,2 da RDC 327?"
@@ -408,9 +409,34 @@ def jobs_enqueued(spark, d):
     return new.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("job_id").alias("first"), F.max("job_id").alias("last"), F.countDistinct("job_id").alias("n_ids"))
 
 
-@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (trim(props) <> '' AND NOT json_valid(props))::BIGINT AS invalid, 0 AS n_errors FROM events")
+_LINES = "l AS (SELECT row_number() OVER (ORDER BY click_id, coalesce(props, '')) AS line, coalesce(props, '') AS value FROM clicks)"
+
+
+@query(
+    f"""WITH {_LINES}, b AS (SELECT line, 'Expecting '','' delimiter: line 1 column ' || (length(value) + 1) || ' (char ' || length(value) || ')' AS message, left(value, 220) AS preview FROM l WHERE value <> '' AND NOT json_valid(value))
+SELECT (SELECT count(*) FROM l)::BIGINT AS total, (SELECT count(*) FROM b)::BIGINT AS invalid, line, message, preview FROM b ORDER BY line LIMIT 5"""
+)
 def jsonl_validate(spark, d):
-    return lines_report(table(spark, d, "events").select(F.col("props").alias("value"))).select("total", "invalid", F.size("errors").alias("n_errors"))
+    """Lines written to files and read again: how many, how many are no JSON, and the first five of these by number."""
+    lines = table(spark, d, "clicks").select("click_id", F.coalesce("props", F.lit("")).alias("value"))
+    path = new_path(spark, "lines")
+    lines.repartitionByRange("click_id", "value").sortWithinPartitions("click_id", "value").select("value").write.text(path)
+    return json_lines_report(spark, path).select("total", "invalid", F.explode("errors").alias("e")).select("total", "invalid", "e.line", "e.message", "e.preview")
+
+
+_HAS = "list_contains(json_keys(props), '{}')"
+
+
+@query(
+    f"""SELECT click_id, sha256('{{' || array_to_string(list_filter([
+ CASE WHEN {_HAS.format("device")} THEN '"device":{{"os":' || (props->'$.device.os')::VARCHAR || ',"ver":' || (props->'$.device.ver')::VARCHAR || '}}' END,
+ CASE WHEN {_HAS.format("items")} THEN '"items":[' || array_to_string(list_transform(json_extract(props, '$.items[*]'), lambda x: '{{"qty":' || (x->'qty')::VARCHAR || ',"sku":' || (x->'sku')::VARCHAR || '}}'), ',') || ']' END,
+ CASE WHEN {_HAS.format("k")} THEN '"k":' || (props->'k')::VARCHAR END, CASE WHEN {_HAS.format("tags")} THEN '"tags":' || (props->'tags')::VARCHAR END], lambda x: x IS NOT NULL), ',') || '}}') AS digest
+FROM clicks WHERE json_valid(props) UNION ALL SELECT click_id, NULL FROM clicks WHERE NOT coalesce(json_valid(props), false)"""
+)
+def props_digests(spark, d):
+    """Every JSON text in canonical form, keys in order at every level, as a digest; null where it is none."""
+    return table(spark, d, "clicks").select("click_id", F.sha2(column("canonical")(F.col("props")), 256).alias("digest"))
 
 
 @query(

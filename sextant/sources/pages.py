@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
@@ -9,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .html import content_hash, extract
@@ -98,13 +100,50 @@ def latest_run(spark: SparkSession, folder: str, suffix: str = "_query.json", by
     return spark.read.text(found[0]["path"], wholetext=True).select(F.lit(found[0]["path"]).alias("path"), F.col("value").alias("json"))
 
 
-def lines_report(lines: DataFrame) -> DataFrame:
-    """total, invalid and the first five errors (line text to 220 characters) of value; blank lines count but aren't invalid."""
-    bad = (F.trim("value") != "") & F.try_parse_json("value").isNull()
-    errors = lines.where(bad).select(F.left("value", F.lit(220)).alias("value")).limit(5)
-    totals = lines.agg(F.count(F.lit(1)).alias("total"), F.count_if(bad).alias("invalid"))
-    return totals.crossJoin(F.broadcast(errors.agg(F.collect_list("value").alias("errors"))))  # one row each
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, file_line, value: all lines of text files, numbered from 1 over the files in the order of their names, and in each.
+
+    No task sees more than its splits: lines keep the order of their split, splits are counted, and the counts before each are added.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = read.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("begin"))
+    before = "coalesce(sum(n) OVER ({} ORDER BY {} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    splits = splits.selectExpr("file", "split", "begin", before.format("", "file, split") + " AS earlier", before.format("PARTITION BY file", "split") + " AS file_earlier")  # a row a split
+    place = F.col("at") - F.col("begin") + 1
+    return read.join(splits, ["file", "split"]).select("file", (F.col("earlier") + place).alias("line"), (F.col("file_earlier") + place).alias("file_line"), "value")
+
+
+def json_error(line: str) -> str | None:
+    """What is wrong with a line, nothing if it is JSON."""
+    try:
+        json.loads(line)
+    except (ValueError, RecursionError) as e:
+        return str(e)
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def _errors(lines: pd.Series) -> pd.Series:
+    return lines.map(json_error)
+
+
+def invalid_lines(lines: DataFrame) -> DataFrame:
+    """lines (value and others) that are no JSON, with message; empty lines aren't invalid, lines of white space are.
+
+    Only lines that Spark can't read as a variant go through Python, which decides (repeated keys and NaN are allowed there)."""
+    doubtful = lines.where((F.col("value") != "") & F.try_parse_json("value").isNull())
+    return doubtful.withColumn("message", _errors("value")).where(F.col("message").isNotNull())
+
+
+def lines_report(lines: DataFrame, first: int = 5, shown: int = 220) -> DataFrame:
+    """total, invalid and errors: of the first invalid lines (line, value; file too if there) their number, message and beginning."""
+    bad = invalid_lines(lines)
+    names = [c for c in ("file", "file_line") if c in lines.columns]
+    errors = bad.select(*names, "line", "message", F.left("value", F.lit(shown)).alias("preview")).orderBy("line").limit(first)
+    found = errors.agg(F.array_sort(F.collect_list(F.struct("line", *names, "message", "preview"))).alias("errors"))
+    totals = lines.agg(F.count(F.lit(1)).alias("total"))
+    return totals.crossJoin(F.broadcast(bad.agg(F.count(F.lit(1)).alias("invalid")))).crossJoin(F.broadcast(found))  # one row each
 
 
 def json_lines_report(spark: SparkSession, path: str) -> DataFrame:
-    return lines_report(spark.read.text(path))
+    return lines_report(numbered_lines(spark, path))

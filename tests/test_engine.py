@@ -102,7 +102,7 @@ def test_exports_and_reports(spark, tmp_path):
     assert (report["total"], report["invalid"], report["errors"]) == (3, 0, [])
     (tmp_path / "bad.jsonl").write_text('{"a":1}\n\nnot json\n')
     report = json_lines_report(spark, str(tmp_path / "bad.jsonl")).first()
-    assert (report["total"], report["invalid"], report["errors"]) == (3, 1, ["not json"])
+    assert (report["total"], report["invalid"], report["errors"]) == (3, 1, [(3, report["errors"][0]["file"], 3, "Expecting value: line 1 column 1 (char 0)", "not json")])
     assert export.article_report(got.versions, got.documents, got.nodes).count() == 2
     row = lambda i, t: {"rank": i, "chunk": {"text": t}, "document": {"title": "T"}, "citations": [{"heading": "H2"}, {"heading": "H1"}, {"heading": "H2"}]}
     text = export.prompt({"query": "q?", "results": [row(2, "second"), row(1, "first")]})

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import written
 from .text import strip_accents
 
 Provider = Callable[[list[str]], np.ndarray]
@@ -69,3 +70,20 @@ def embedded(chunks: DataFrame, make: Callable[[], Provider], model_id: str, tex
             yield pd.Series(embed(batch.tolist(), provider, "passage"))
 
     return chunks.withColumns({"embedding": run(F.col(text)), "embedding_model_id": F.lit(model_id)})
+
+
+def embedded_once(chunks: DataFrame, known: DataFrame, make: Callable[[], Provider], model_id: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """chunks with embedding and embedding_model_id, and the vectors that were not known before (content_hash, embedding_model_id, embedding).
+
+    known: vectors by content and model. A text that is known, or that several chunks have, is embedded once in all; what is
+    left is embedded in the order of its length, so that a batch's texts are alike. The second table is written before it is
+    joined, so the provider is asked once for each text.
+    """
+    hashed_text = chunks.withColumn("content_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    known = known.where(F.col("embedding_model_id") == model_id).select("content_hash", "embedding_model_id", "embedding")
+    # a text leaves each task once, however many chunks have it
+    fresh = hashed_text.groupBy("content_hash").agg(F.any_value(F.coalesce(F.col(text), F.lit(""))).alias("text")).join(known, "content_hash", "left_anti")
+    fresh = fresh.repartition("content_hash").sortWithinPartitions(F.length("text"), "content_hash")
+    new = written(embedded(fresh, make, model_id).select("content_hash", "embedding_model_id", "embedding"), "vectors")
+    # a content that a third of the chunks has is dealt to several tasks by the join (skew), its vector to each
+    return hashed_text.join(known.unionByName(new), "content_hash", "left").drop("content_hash"), new

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_hash
@@ -189,3 +189,23 @@ def chunks_of(nodes: DataFrame, pipeline_version: str, sizes: Sizes = Sizes()) -
 
     ordered = nodes.select("version_id", "node_id", "node_index", "path", "heading_text", F.col("text_normalized").alias("text")).repartition("version_id").sortWithinPartitions("version_id", "node_index")
     return ordered.mapInArrow(run, CHUNK).withColumn("chunk_id", F.sha2(F.concat_ws("|", "version_id", "pipeline_version", "chunk_hash"), 256))
+
+
+class _ChunkNodes:
+    """Chunks of the nodes of one version, which come in order."""
+
+    def __init__(self):
+        self.version, self.pipeline, self.rows = None, "", []
+
+    def eval(self, pipeline_version: str, node):
+        self.version, self.pipeline = node["version_id"], pipeline_version
+        self.rows.append({"node_id": node["node_id"], "path": node["path"], "heading_text": node["heading_text"], "text": node["text_normalized"]})
+
+    def terminate(self):
+        for c in build_chunks(self.rows, self.pipeline):
+            yield self.version, self.pipeline, c["chunk_index"], c["chunk_hash"], c["text"], c["node_refs"], c["tokens_count"]
+
+
+def register(spark: SparkSession) -> None:
+    """Make chunking a table function: SELECT * FROM chunk_nodes('p1', TABLE(nodes) PARTITION BY version_id ORDER BY node_index)."""
+    spark.udtf.register("chunk_nodes", F.udtf(_ChunkNodes, returnType=CHUNK))

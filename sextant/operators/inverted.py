@@ -36,8 +36,11 @@ def bucket_of(lexeme: Column, buckets: int) -> Column:
 class InvertedIndex:
     """A table of blocks under a path: lexeme, segment, n, most, chunk_ids, positions, by bucket."""
 
-    def __init__(self, spark: SparkSession, path: str, language: str = "portuguese", buckets: int = BUCKETS):
-        self.spark, self.path, self.language, self.buckets = spark, path.rstrip("/"), language, buckets
+    def __init__(self, spark: SparkSession, path: str, language: str = "portuguese", buckets: int = BUCKETS, kind: T.DataType = T.StringType()):
+        """kind: type of the chunks' ids."""
+        self.spark, self.path, self.language, self.buckets, self.kind = spark, path.rstrip("/"), language, buckets, kind
+        columns = [("lexeme", T.StringType()), ("segment", T.LongType()), ("n", T.IntegerType()), ("most", T.IntegerType()), ("chunk_ids", T.ArrayType(kind)), ("positions", T.ArrayType(T.ArrayType(T.IntegerType())))]
+        self.schema = T.StructType([T.StructField(*c) for c in columns])
 
     @staticmethod
     def build(chunks: DataFrame, path: str, language: str = "portuguese", buckets: int = BUCKETS, segment: int = SEGMENT) -> InvertedIndex:
@@ -81,15 +84,15 @@ class InvertedIndex:
             if rows:
                 yield block_rows()
 
-        schema = T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("segment", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("most", T.IntegerType()), T.StructField("chunk_ids", T.ArrayType(kind)), T.StructField("positions", T.ArrayType(T.ArrayType(T.IntegerType())))])
-        blocks = dealt.mapInArrow(run, schema).withColumn("bucket", bucket_of(F.col("lexeme"), buckets))
+        index = InvertedIndex(spark, path, language, buckets, kind)
+        blocks = dealt.mapInArrow(run, index.schema).withColumn("bucket", bucket_of(F.col("lexeme"), buckets))
         # a bucket's blocks come together, in files of even size; sorted, so that row groups are skipped by lexeme and bound
         blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", F.desc("most")).write.mode("overwrite").partitionBy("bucket").parquet(path)
-        return InvertedIndex(spark, path, language, buckets)
+        return index
 
     def blocks(self, terms: list[str] | None = None) -> DataFrame:
         """All blocks, or those of some lexemes: only their buckets are read."""
-        rows = self.spark.read.parquet(self.path)
+        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path)
         if terms is None:
             return rows
         numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"), self.buckets)).distinct().collect()] if terms else []
@@ -117,8 +120,7 @@ class InvertedIndex:
 
     def top(self, query: fts.Query | None, top: int, read: list | None = None) -> DataFrame:
         """chunk_id, fts_score, fts_rank: the same rows as fts.search. read: gets the number of segments scored and of all, round by round."""
-        kind = self.spark.read.parquet(self.path).schema["chunk_ids"].dataType.elementType
-        schema = T.StructType([T.StructField("chunk_id", kind), T.StructField("fts_score", T.DoubleType())])
+        schema = T.StructType([T.StructField("chunk_id", self.kind), T.StructField("fts_score", T.DoubleType())])
         if query is not None and not query.needs_term():
             raise ValueError("a query that chunks without its terms match has no use for an index")
         best, bound, edge = [], None, None

@@ -50,21 +50,22 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 class VectorIndex:
     """Tables under a path: centroids (cell, centroid) and vectors (chunk_id, embedding, by cell)."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, kind: str = "bigint"):
+        """kind: type of the chunks' ids."""
+        self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
         rows = spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()  # MOST_CELLS at most
-        self.centroids = np.array([r["centroid"] for r in rows], float).reshape(len(rows), -1)
+        self.centroids = np.array([r["centroid"] for r in rows], float).reshape(len(rows), len(rows[0]["centroid"]) if rows else 0)
 
     @staticmethod
     def build(rows: DataFrame, path: str, cells: int | None = None, seed: int = 7) -> VectorIndex:
         """Learn the cells from a sample of rows (chunk_id, embedding) and store every row."""
-        spark, path = rows.sparkSession, path.rstrip("/")
+        spark, path, kind = rows.sparkSession, path.rstrip("/"), rows.schema["chunk_id"].dataType.simpleString()
         usable = rows.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).where(has_direction(F.col("embedding")))
         by_size = usable.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()  # a row a dimension
         if by_size is None:
             spark.createDataFrame([], "cell int, centroid array<double>").write.parquet(f"{path}/centroids")
             usable.withColumn("cell", F.lit(0)).write.partitionBy("cell").parquet(f"{path}/vectors")
-            return VectorIndex(spark, path)
+            return VectorIndex(spark, path, kind)
         dim, n = by_size
         usable = usable.where(F.size("embedding") == dim)
         cells = min(max(2, cells or round(n**0.5 / 2)), MOST_CELLS)
@@ -75,7 +76,7 @@ class VectorIndex:
         model = KMeans(k=cells, distanceMeasure="cosine", seed=seed, maxIter=10, initSteps=2).fit(points)
         centers = [c / max(np.sqrt((c * c).sum()), 1e-300) for c in model.clusterCenters()]
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
-        index = VectorIndex(spark, path)
+        index = VectorIndex(spark, path, kind)
         index.add(usable)
         return index
 
@@ -86,7 +87,6 @@ class VectorIndex:
     def add(self, rows: DataFrame) -> None:
         """Store more rows under the cells that were learnt."""
         dim, shared = self.centroids.shape[1], self.spark.sparkContext.broadcast(self.centroids)
-        kind = rows.schema["chunk_id"].dataType.simpleString()
         usable = rows.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding")).where(has_direction(F.col("embedding")) & (F.size("embedding") == dim))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,12 +95,12 @@ class VectorIndex:
                     near = np.argmax(_unit(matrix(batch.column("embedding"), dim)) @ shared.value.T, axis=1)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], names=["chunk_id", "embedding", "cell"])
 
-        placed = usable.mapInArrow(run, f"chunk_id {kind}, embedding array<double>, cell int")
+        placed = usable.mapInArrow(run, f"chunk_id {self.kind}, embedding array<double>, cell int")
         # rows of a cell come together in files of even size, also those of a cell that holds a third of all
         placed.hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        return self.spark.read.schema(f"chunk_id {self.kind}, embedding array<double>, cell int").parquet(f"{self.path}/vectors")
 
     def probes(self, width: int) -> int:
         """Cells that a search of this width reads."""
@@ -140,7 +140,7 @@ class VectorIndex:
         Each question is sent to the cells that it reads; a cell's questions and a piece of its vectors meet in one task.
         """
         dim, probes, shared = self.centroids.shape[1] if self.cells else 0, self.probes(width), self.spark.sparkContext.broadcast(self.centroids)
-        kinds = questions.schema["query_id"].dataType.simpleString(), self.vectors().schema["chunk_id"].dataType.simpleString()
+        kinds = questions.schema["query_id"].dataType.simpleString(), self.kind
         asked = questions.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where(has_direction(F.col("embedding")) & (F.size("embedding") == dim))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,8 +97,7 @@ def test_segments_are_skipped_and_buckets_pruned(spark, indexed):
     assert sum(n for n, _ in read) < read[0][1] / 2
     plan = index.blocks(["comum"])._jdf.queryExecution().executedPlan().toString()
     bucket = spark.range(1).select(bucket_of(F.lit("comum"), 8)).first()[0]
-    assert f"bucket#" in plan and re.search(rf"PartitionFilters: \[[^\]]*= {bucket}\)|PartitionFilters: \[[^\]]*IN \({bucket}\)", plan) and "PushedFilters: [" in plan
-    assert {int(re.search(r"bucket=(\d+)", f)[1]) for f in index.blocks(["comum"]).inputFiles()} >= {bucket}
+    assert "bucket#" in plan and re.search(rf"PartitionFilters: \[[^\]]*= {bucket}\)|PartitionFilters: \[[^\]]*IN \({bucket}\)", plan) and "PushedFilters: [" in plan
 
 
 def test_bounds_hold_for_every_chunk(indexed):
@@ -118,7 +117,7 @@ def test_index_holds_all_postings_and_stands_empty_tables(spark, indexed):
     rows = lambda df: sorted((r["chunk_id"], r["lexeme"], list(r["positions"])) for r in df.collect())
     assert rows(index.postings()) == rows(fts.postings(chunks, language="simple"))
     none = InvertedIndex.build(chunks.where("false"), new_path(spark, "test-inverted"), "simple")
-    assert none.top(fts.plain("alfa", language="simple"), 5).collect() == [] if none.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(none.path).where("path like '%.parquet'").count() else True
+    assert none.top(fts.plain("alfa", language="simple"), 5).collect() == [] and none.postings().collect() == []
     with pytest.raises(ValueError, match="no use"):
         index.top(fts.websearch("-alfa", language="simple"), 5)
     assert index.top(None, 5).collect() == []
@@ -157,6 +156,8 @@ def test_vector_index_finds_what_it_was_calibrated_for(spark):
 def test_vector_index_of_nothing_and_of_one(spark):
     kind = "chunk_id long, embedding array<double>"
     empty = spark.createDataFrame([], kind)
+    none = VectorIndex.build(empty, new_path(spark, "test-cells"))
+    assert none.candidates([1.0, 2.0]).collect() == [] and none.calibrated() > 0
     assert vector_top_many(empty, empty.withColumnRenamed("chunk_id", "query_id"), 3).collect() == []
     one = VectorIndex.build(spark.createDataFrame([(1, [1.0, 2.0])], kind), new_path(spark, "test-cells"))
     assert [r["chunk_id"] for r in one.candidates([2.0, 1.0]).collect()] == [1]

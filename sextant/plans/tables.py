@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 from ..functions.embed import embedded_once, hashed
 from ..operators import chunk
 from ..operators.partitioned import PartitionedTable
+from ..operators.stored import StoredIndex
 from ..scratch import new_path
-from .queries import _SQL_CHUNK, PIPELINE, query, table
+from .queries import _SQL_CHUNK, LANGUAGE, NOW, PIPELINE, query, table
 
 _ROWS = T.StructType([T.StructField("version_id", T.StringType()), T.StructField("pipeline_version", T.StringType()), T.StructField("chunk_hash", T.StringType())])
 
@@ -43,14 +44,37 @@ def vectors_by_content(spark, d):
     return counts.crossJoin(F.broadcast(first.agg(F.count(F.lit(1)).alias("n_embedded")))).crossJoin(F.broadcast(again.agg(F.count(F.lit(1)).alias("n_again"))))  # one row each
 
 
+def _nodes(spark, d):
+    """benchmark items as nodes of twenty versions."""
+    items = table(spark, d, "benchmark")
+    return items.select(
+        F.concat(F.lit("v"), (F.col("item_id") % 20).cast("string")).alias("version_id"), F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("node_id"), F.col("item_id").cast("int").alias("node_index"),
+        F.lit("p").alias("path"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("heading_text"), F.col("text").alias("text_normalized"),
+    )
+
+
+@query(
+    "WITH " + _SQL_CHUNK + f""", u AS (SELECT *, 'm@1' AS model FROM h WHERE substr(version_id, 2)::INT % 3 <> 0)
+SELECT version_id, chunk_hash, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT AS tokens_count,
+ CASE WHEN substr(version_id, 2)::INT % 3 = 1 THEN '2024-02-01' ELSE '2024-01-15' END AS made, 1::BIGINT AS n_vectors, true AS has_postings FROM u"""
+)
+def stored_reindex(spark, d):
+    """Two thirds of the versions indexed into stored tables, then one third of all again: only their partitions change."""
+    nodes = _nodes(spark, d)
+    number = F.substring("version_id", 2, 3).cast("int")
+    versions = nodes.select("version_id").distinct().withColumn("status", F.when(number % 3 == 0, "INDEXED").otherwise("READY_FOR_INDEX"))
+    stored = StoredIndex(spark, new_path(spark, "stored"), LANGUAGE, buckets=4)
+    stored.index(versions, nodes, PIPELINE, "m@1", hashed, NOW)
+    stored.index(versions, nodes, PIPELINE, "m@1", hashed, "2024-02-01 00:00:00", version_ids=versions.where(number % 3 == 1), force=True)
+    vectors = stored.vectors.read().groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+    posts = stored.postings.read().select("chunk_id", F.lit(True).alias("has_postings")).distinct()
+    rows = stored.chunks.read().join(vectors, "chunk_id", "left").join(posts, "chunk_id", "left")
+    return rows.select("version_id", "chunk_hash", "tokens_count", F.date_format("created_at", "yyyy-MM-dd").alias("made"), "n_vectors", "has_postings")
+
+
 @query("WITH " + _SQL_CHUNK + f" SELECT version_id, '{PIPELINE}' AS pipeline_version, 0 AS chunk_index, chunk_hash, sha256(text) AS text_sha256, n::INT AS n_refs FROM h")
 def chunk_function(spark, d):
     """Chunking called from SQL as a table function over the nodes of each version."""
     chunk.register(spark)
-    items = table(spark, d, "benchmark")
-    nodes = items.select(
-        F.concat(F.lit("v"), (F.col("item_id") % 20).cast("string")).alias("version_id"), F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("node_id"), F.col("item_id").alias("node_index"),
-        F.lit("p").alias("path"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("heading_text"), F.col("text").alias("text_normalized"),
-    )
-    found = spark.sql(f"SELECT * FROM chunk_nodes('{PIPELINE}', TABLE({{nodes}}) PARTITION BY version_id ORDER BY node_index)", nodes=nodes)
+    found = spark.sql(f"SELECT * FROM chunk_nodes('{PIPELINE}', TABLE({{nodes}}) PARTITION BY version_id ORDER BY node_index)", nodes=_nodes(spark, d))
     return found.select("version_id", "pipeline_version", "chunk_index", "chunk_hash", F.sha2("text", 256).alias("text_sha256"), F.size("node_refs").alias("n_refs"))

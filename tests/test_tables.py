@@ -7,10 +7,11 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sextant.functions import embed
+from sextant.functions import embed, fts
 from sextant.functions.text import canonical_text
 from sextant.operators import chunk
 from sextant.operators.partitioned import PartitionedTable, bucket_of
+from sextant.operators.stored import StoredIndex
 from sextant.sources.pages import json_lines_report, numbered_lines
 
 ROWS = T.StructType([T.StructField(n, T.StringType()) for n in ("version_id", "pipeline_version", "text")])
@@ -122,3 +123,24 @@ def test_table_function_chunks_as_the_library_does(spark):
     want = chunk.chunks_of(frame, "p1").drop("chunk_id")
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 20
+
+
+def test_a_reindex_leaves_other_partitions_alone(spark, tmp_path):
+    stored = StoredIndex(spark, str(tmp_path), "simple", buckets=8)
+    nodes = spark.createDataFrame([(f"v{i}", f"n{i}-{k}", k, "p", f"H{k}", f"text {i} {k} word") for i in range(12) for k in range(2)], "version_id string, node_id string, node_index int, path string, heading_text string, text_normalized string")
+    versions = spark.createDataFrame([(f"v{i}", "READY_FOR_INDEX") for i in range(13)], "version_id string, status string")  # v12 has no nodes
+    assert stored.index(versions, nodes, "p1", "m@1", embed.hashed, "2024-01-01 00:00:00").count() == 12
+    before = files(str(tmp_path))
+    rows = {r["version_id"]: r for r in stored.chunks.read().collect()}
+    assert len(rows) == 12 and all("word" in r["text"] for r in rows.values())
+    changed = nodes.where("version_id = 'v3'").withColumn("text_normalized", F.concat("text_normalized", F.lit(" changed")))
+    stored.index(versions, changed, "p1", "m@1", embed.hashed, "2024-01-02 00:00:00", version_ids=["v3", "v12"], force=True)
+    after = files(str(tmp_path))
+    own = spark.createDataFrame([("v3",)], "v string").select(bucket_of(F.col("v"), 8)).first()[0]
+    assert {f for f in before if f not in after} and all(f"/bucket={own}/" in f for f in before if after.get(f) != before[f])
+    new = {r["version_id"]: r for r in stored.chunks.read().collect()}
+    assert {v for v in new if new[v] != rows[v]} == {"v3"} and "changed" in new["v3"]["text"]
+    assert stored.postings.read().where("lexeme = 'changed'").select("chunk_id").collect() == [(new["v3"]["chunk_id"],)]
+    assert stored.vectors.read().count() == 12
+    found = fts.search(stored.chunks.read(), fts.plain("changed", language="simple"), 5, stored.postings.read("p1"), "simple").collect()
+    assert [r["chunk_id"] for r in found] == [new["v3"]["chunk_id"]]

@@ -325,6 +325,29 @@ def _grown(moved: Column, begin: Column, n: Column) -> Column:
     return F.struct(moved["last"].alias("last"), F.greatest(begin, moved["old"]).alias("begin"), (moved["score"] + F.when(new, worth).otherwise(0.0)).alias("score"))
 
 
+#: Fixed values of the plain rank: weight of a position, and how the weight of two falls with their distance; nothing beyond FAR.
+WEIGHT, FAR = 0.1, 100
+
+
+def _near(distance: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.005) + F.lit(0.05) * F.exp(distance / F.lit(1.5) - F.lit(2.0)))
+
+
+def plain_rank(places: Column, every: bool) -> Column:
+    """The rank that goes by frequency and nearness, not by covers; places: array of position arrays.
+
+    every (of several terms): 1 minus the product over pairs of positions of different terms of 1 - WEIGHT * sqrt(nearness).
+    Otherwise the mean over terms of the sum of WEIGHT / j^2 over their positions, scaled to the limit of that sum.
+    """
+    pair = lambda p, q: F.when((F.abs(p - q) > 0) & (F.abs(p - q) <= FAR), F.log(F.lit(1.0) - F.lit(WEIGHT) * F.sqrt(_near(F.abs(p - q))))).otherwise(0.0)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    # each position against those of the terms before its own
+    logs = F.transform(places, lambda own, i: total(F.transform(own, lambda p: total(F.transform(F.flatten(F.slice(places, 1, i)), lambda q: pair(p, q))))))
+    single = F.transform(places, lambda own: total(F.transform(own, lambda p, j: F.lit(WEIGHT) / ((j + 1) * (j + 1)))) / F.lit(1.64493406685))
+    by_frequency = total(single) / F.size(places)
+    return F.when(F.size(places) > 1, F.lit(1.0) - F.exp(total(logs))).otherwise(by_frequency) if every else by_frequency
+
+
 def found_places(chunks: DataFrame, terms: list[str], every: bool, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
     """chunk_id, places (map from those of terms that the chunk holds to their positions) of the chunks that hold
     any, or of every chunk. stored: postings, of which only those of the terms are read; without, the texts are read once."""

@@ -78,6 +78,16 @@ def indexed_chunks(chunks: DataFrame, versions: DataFrame, pipeline_version: str
     return chunks.join(good, "version_id", "left_semi")
 
 
+def fts_debug(chunks: DataFrame, text: str, looked_for: str, top: int = 10, shown: int = 140, stored: DataFrame | None = None, language: str = "portuguese") -> DataFrame:
+    """chunk_id, rank, found and preview of the chunks that hold all words of text: whether the one that is looked for is among them."""
+    query = fts.plain(text, language=language)
+    rows = fts.found_places(chunks, query.all_terms() if query else [], False, stored, language)
+    own = F.array(*(F.element_at("places", F.lit(t)) for t in (query.terms() if query else [])))
+    hits = rows.where(fts.matches(query, F.col("places")) if query else F.lit(False)).select("chunk_id", F.round(fts.plain_rank(own, True), 9).alias("rank"))
+    best = hits.orderBy(F.desc("rank"), "chunk_id").limit(top)
+    return chunks.join(F.broadcast(best), "chunk_id").select("chunk_id", "rank", F.col("text").ilike(f"%{looked_for}%").alias("found"), F.left("text", F.lit(shown)).alias("preview"))  # top rows
+
+
 def forms(question: str, fold: bool = True, language: str = "portuguese") -> list[tuple[str, fts.Query | None]]:
     """The query forms of a question, in the order in which they are tried."""
     words = search_keywords(question)

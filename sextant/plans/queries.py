@@ -730,12 +730,17 @@ def vec_by_label(spark, d):
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x"), 9).alias("nearest"))
 
 
-@query("WITH " + _sql_fts(_ALL, ["that", "with", "from"], "h0 OR h1 OR h2", 10) + f"SELECT chunk_id, fts_score, text ILIKE '%that%' AS has_text, left(text, 220) AS preview FROM fts JOIN ({_ALL}) USING (chunk_id)")
+@query(
+    f"""WITH tok AS (SELECT chunk_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS p FROM (SELECT chunk_id, {sql_tokens("text")} AS t FROM ({_ALL}))),
+pl AS (SELECT chunk_id, w, p FROM tok WHERE w IN ('that', 'with', 'from')),
+hit AS (SELECT chunk_id FROM pl GROUP BY chunk_id HAVING count(DISTINCT w) = 3),
+pr AS (SELECT a.chunk_id, ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.p - b.p) / 1.5::DOUBLE - 2)))) AS l FROM pl a JOIN pl b ON a.chunk_id = b.chunk_id AND a.w < b.w AND abs(a.p - b.p) BETWEEN 1 AND 100),
+rk AS (SELECT chunk_id, round(1 - exp(coalesce(sum(l), 0.0)), 9) AS rank FROM hit LEFT JOIN pr USING (chunk_id) GROUP BY chunk_id)
+SELECT chunk_id, rank, text ILIKE '%of the%' AS found, left(text, 140) AS preview FROM (SELECT * FROM rk ORDER BY rank DESC, chunk_id LIMIT 10) JOIN ({_ALL}) USING (chunk_id)"""
+)
 def fts_debug(spark, d):
-    """The best hits with a plain substring test beside them."""
-    docs = _texts(spark, d)
-    best = fts.search(docs, fts.any_of("that with from", language=LANGUAGE), 10, language=LANGUAGE).select("chunk_id", "fts_score")
-    return docs.join(F.broadcast(best), "chunk_id").select("chunk_id", "fts_score", F.col("text").ilike("%that%").alias("has_text"), F.left("text", F.lit(220)).alias("preview"))
+    """The best hits by the plain rank with a substring test beside them."""
+    return retrieve.fts_debug(_texts(spark, d), "that with from", "of the", language=LANGUAGE)
 
 
 @query()

@@ -181,3 +181,26 @@ def test_many_questions_as_one_at_a_time(spark):
         want = retrieve.hybrid(chunks, embeddings, q or "", None if i == 3 else vectors[rows[i][0]], one, stored=stored, language="simple")
         assert got.get(i, []) == [(x["chunk_id"], x["fts_rank"], x["vec_rank"]) for x in want.orderBy(F.desc("rrf_score"), "chunk_id").collect()], q
     assert text_top_many(stored, questions.where("false"), 5, "simple").collect() == []
+
+
+def test_plain_rank_as_a_loop(spark):
+    import math
+
+    def brute(places, every):
+        if every and len(places) > 1:
+            left = 1.0
+            for i in range(len(places)):
+                for k in range(i):
+                    for p in places[i]:
+                        for q in places[k]:
+                            if 0 < abs(p - q) <= 100:
+                                left *= 1 - 0.1 * math.sqrt(1 / (1.005 + 0.05 * math.exp(abs(p - q) / 1.5 - 2)))
+            return 1 - left
+        return sum(sum(0.1 / (j + 1) ** 2 for j in range(len(p))) / 1.64493406685 for p in places) / len(places)
+
+    chance = random.Random(3)
+    rows = [[sorted(chance.sample(range(1, 300), chance.randrange(1, 9))) for _ in range(n)] for n in (1, 2, 3, 4)] + [[[1], [2]], [[1], [500]], [[5], [5]]]
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, p array<array<int>>")
+    for every in (True, False):
+        got = {r["i"]: r["x"] for r in frame.select("i", fts.plain_rank(F.col("p"), every).alias("x")).collect()}
+        assert all(abs(got[i] - brute(r, every)) < 1e-12 for i, r in enumerate(rows))

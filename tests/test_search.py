@@ -204,3 +204,29 @@ def test_plain_rank_as_a_loop(spark):
     for every in (True, False):
         got = {r["i"]: r["x"] for r in frame.select("i", fts.plain_rank(F.col("p"), every).alias("x")).collect()}
         assert all(abs(got[i] - brute(r, every)) < 1e-12 for i, r in enumerate(rows))
+
+
+def test_embedded_search_as_brute_force(spark, sf_small):
+    """The registered query, vectors and distances worked out in memory."""
+    import hashlib
+
+    from sextant.plans import queries
+
+    def vector(text):
+        out = np.zeros(64)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+        for word in plain.split():
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+            out[h % 64] += 1 if h >> 63 else -1
+        return out / max(np.sqrt((out * out).sum()), 1e-12)
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    q = vector("query: " + queries.LADDER)
+    far = {}
+    for i, t in texts.items():
+        v = vector("passage: " + t).astype(np.float32).astype(float)
+        if v.any():
+            far[i] = round(1 - (v @ q) / (np.sqrt(v @ v) * np.sqrt(q @ q)), 6)
+    want = sorted((d, i) for i, d in far.items())[: queries.N2]
+    got = sorted((r["vec_distance"], r["chunk_id"]) for r in queries.embedded_search(spark, sf_small).collect())
+    assert [i for _, i in got] == [i for _, i in want] and np.allclose([d for d, _ in got], [d for d, _ in want], atol=2e-6)

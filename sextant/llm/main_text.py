@@ -6,8 +6,8 @@ those that mark their article themselves (exactly one outermost <article>, or el
 the block it stands in (long or short, heading, link), a tag's on its name, and each is the log-odds of standing
 inside the marked article, cut to its sign. Pages without such a mark are scored by what the others taught.
 
-The best run is then brought to the bounds of the page's own structure: to the <article> or <main> around it, or
-else to the deepest element that holds all of it (not the page's body), and to a heading right before it; blocks
+The best run is then brought to the bounds of the page's own structure: to the <article> that makes up most of it, to the <main>
+around it, or else to the deepest of HOLDERS that holds all of it, and to a heading right before it; blocks
 that are mostly links don't join that way. Elements that say that they are no content (PARTS, ROLES, NAMES: menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments, and what is hidden) neither score nor stay. Of a header
 inside an article the headings stay.
@@ -49,6 +49,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 #: Where the search for an element to close ends.
 SCOPES = frozenset("ul ol dl table td th select body html article section div".split())
 CELLS = frozenset("td th table".split())
+#: Elements that a whole text may fill.
+HOLDERS = frozenset("article main section div center td details".split())
 ROWS = frozenset("tr tbody thead tfoot table body html".split())
 # elements, roles and names that no main text stands in
 PARTS = frozenset("head nav footer aside form button select label dialog template noscript svg math object canvas audio video menu".split())
@@ -56,11 +58,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "ad ads adbox adslot adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login register paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer masthead comment comments commentlist disqus discussion respond reply replies share sharing social related recommended recommendations pagination pager paging toolbar search searchbox skip".split()
 )
-#: What keeps an element's text out: nothing, standing in a header of an article (its headings stay), in a form (an article in it stays), or any other part.
-CONTENT, HEADER, FORM, PART = range(4)
+#: What keeps an element's text out: nothing, standing in a header of an article (its headings stay), in a form (an article or main in it
+#: stays), in what only its name makes a part (a main in it stays), or in any other part.
+CONTENT, HEADER, FORM, NAMED, PART = range(5)
 COMMENTS = frozenset("comment comments commentlist reply replies".split())
-#: Before a name of NAMES: says that the element has or lacks such a part, not that it is one.
-NOT_ITSELF = frozenset("has with no without is not hide show".split())
+#: Before a name of NAMES: says that the element has or lacks such a part, not that it is one. At the end: says what state a part is in.
+NOT_ITSELF = frozenset("has have with no without is not hide show".split())
+STATES = frozenset("open opened visible enabled disabled active on off ready loaded collapsed expanded".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z][^>]*>?|<[!?][^>]*>?"
@@ -100,12 +104,15 @@ def kept_out(name: str, rest: str) -> int:
         if key in ("class", "id", "aria-label", "itemprop"):
             for one in value.split():
                 own = WORDS.findall(CAMEL.sub(" ", one).lower())
-                if own and own[0] not in NOT_ITSELF:
+                own = own[: next((i for i, w in enumerate(own) if w in NOT_ITSELF), len(own))]
+                if own and own[-1] not in STATES:
                     words += own
     if name in ("html", "body", "main"):
         return found
-    if not (COMMENTS if name == "article" else NAMES).isdisjoint(words):
+    if not COMMENTS.isdisjoint(words):
         return PART
+    if name != "article" and not NAMES.isdisjoint(words):
+        return NAMED
     return found or (HEADER if "header" in words and name != "article" else CONTENT)
 
 
@@ -123,13 +130,13 @@ class Frame:
         name = self.name
         if self.state == PART:
             return
-        if why in (PART, FORM):
-            self.state = why
+        if why > HEADER:
+            self.state = max(why, self.state) if self.state > HEADER else why
         elif why == HEADER:
             self.state = HEADER if self.state == CONTENT and (self.article or self.main) else PART
         elif name == "article" and self.article:  # an article in an article is a comment on it
             self.state = PART
-        elif (self.state == FORM and name in ("article", "main")) or (self.state == HEADER and name in HEADINGS):
+        elif (self.state == FORM and name in ("article", "main")) or (self.state == NAMED and name == "main") or (self.state == HEADER and name in HEADINGS):
             self.state = CONTENT
 
 
@@ -291,18 +298,28 @@ class Page:
         return found
 
     def holder(self, first: int, last: int) -> int:
-        """Number of the element to whose bounds a run is brought: article, main, or the deepest that holds it; 0 if that is the page."""
-        inner = self.inside[first]
-        above = []
+        """Number of the element to whose bounds a run is brought, 0 if that is the page: of the articles that the run reaches the one of
+        the greatest score, if what stands outside of all doesn't exceed it; else main, or the deepest element that holds the run."""
+        article = [0]  # the outermost one around each element
+        for e in range(1, len(self.names)):
+            article.append(article[self.up[e]] or (e if self.names[e] == "article" else 0))
+        score = Counter()
+        for k in range(first, last + 1):
+            score[article[self.inside[k]]] += self.scores[k]
+        outside = score.pop(0, 0.0)
+        if score:
+            best = max(score, key=lambda e: (score[e], -e))
+            if score[best] >= outside:
+                return best
+        above, inner = [], self.inside[first]
         while inner > 0:
-            if self.first[inner] <= first and last < self.end[inner]:
+            if self.names[inner] in HOLDERS and self.first[inner] <= first and last < self.end[inner]:
                 above.append(inner)
             inner = self.up[inner]
-        for wanted in ("article", "main"):
-            marked = [e for e in above if self.names[e] == wanted]
-            if marked:
-                return marked[-1]
-        return above[0] if above and self.names[above[0]] not in ("body", "html") else 0
+        mains = [e for e in above if self.names[e] == "main"]
+        if mains:
+            return mains[-1]
+        return above[0] if above else 0
 
     def main_text(self) -> str:
         run = self.best_run()

@@ -43,6 +43,11 @@ LAYOUTS = {
     "unmarked menu": (f"<body><table><tr><td><a href=a>One</a><br><a href=b>Two</a></td><td><p>{LONG}</p><p>{LONG2}</p></td></tr></table></body>", [LONG, LONG2]),
     "form around all": (f"<body><form action=x><div class=menu>Menu</div><article><p>{LONG}</p></article><input></form></body>", [LONG]),
     "scripts": (marked(f"<p>{LONG}<script>var t='</p><p>no';</script> and on.</p><noscript>Turn it on</noscript><!-- <p>no</p> --><template><p>no</p></template><textarea>no</textarea>"), [f"{LONG} and on."]),
+    "layout names": (f"<body class='nav-open'><div class='content-with-sidebar menu-open'><div class='sidebar-left'>Most read</div><div class='text has-ads'><h1>B</h1><p>{LONG}</p><p>{LONG2}</p></div></div></body>", ["B", LONG, LONG2]),
+    "teasers": (f"<body><main><article><h1>B</h1><p>{LONG}</p><p>{LONG2}</p></article><section class=more>" + "".join(f"<article><h2>More {k}</h2><p>{LONG2}</p></article>" for k in range(3)) + "</section></main></body>", ["B", LONG, LONG2]),
+    "named wrapper": (f"<body><div id='widget-page'><div class='top-banner'>Sale</div><main><h1>B</h1><p>{LONG}</p></main></div></body>", ["B", LONG]),
+    "comment list": (f"<body><div class=post><h1>B</h1><p>{LONG}</p><figure><img src=x><figcaption>A view.</figcaption></figure></div><ol class=commentlist><li id=comment-12><p>{LONG2}</p></li></ol><div id=respond><form><p>Leave a reply</p></form></div></body>", ["B", LONG, "A view."]),
+    "notices": (marked(f"<div role=alert>Old browser</div><p class='notice'>Members only.</p><p>{LONG}</p><div class='newsletter-signup'><p>Get it by mail every day of the week.</p></div><iframe src=x>no</iframe>"), [LONG]),
     "hidden": (marked(f"<p>{LONG}</p><p hidden>no</p><p style='display: none'>no</p><span aria-hidden=true>no</span>"), [LONG]),
     "table": (marked(f"<p>{LONG}</p><table><tr><th>Year<td>2024<tr><td>Cost<td>3 &lt; 4</table>"), [LONG, "Year", "2024", "Cost", "3 < 4"]),
     "pre and inline": (marked(f"<p>{LONG}</p><pre>a\n  b\tc</pre><p>H<sub>2</sub>O <a href=x>here</a></p>"), [LONG, "a b c", "H2O here"]),

@@ -134,10 +134,11 @@ def test_entry_and_registry(spark):
 def test_queries_equal_their_sql(spark, sf_small):
     import duckdb
 
+    from sextant.plans import search, tables  # noqa: F401  they register their queries
     from sextant.plans.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in "documents embeddings pages labels events conversations benchmark".split():
+    for t in "documents embeddings pages labels events conversations benchmark clicks".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     plain = lambda v: f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     for name, sql in ORACLE_SQL.items():

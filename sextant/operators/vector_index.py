@@ -172,7 +172,7 @@ def tile_top(top: int, digits: int = 9):
         parts = []
         for at in range(0, len(a), TILE_QUESTIONS):  # bounds the matrix of distances
             some = a.iloc[at : at + TILE_QUESTIONS]
-            far = np.round(1.0 - _unit(np.stack(some["v"].to_numpy())) @ candidates, digits)
+            far = np.round(1.0 - _unit(np.stack(some["v"].to_numpy())) @ candidates, digits) + 0.0  # no negative zeros
             best = np.argsort(far, axis=1, kind="stable")[:, :top]
             parts.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), best.shape[1]), "chunk_id": b["chunk_id"].to_numpy()[best.ravel()], "vec_distance": np.take_along_axis(far, best, 1).ravel()}))
         return pd.concat(parts)

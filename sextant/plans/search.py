@@ -51,7 +51,7 @@ def _every_hundredth(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """SELECT query_id, chunk_id, vec_distance, rank::INT AS vec_rank FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_distance, chunk_id) AS rank FROM (
-  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS vec_distance
+  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) + 0.0::DOUBLE AS vec_distance
   FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"""
 )
 def vec_many(spark, d):
@@ -86,10 +86,10 @@ _LACKS = " + ".join(f"(l{i} IS NOT NULL)::INT" for i in range(_TERMS))
 @query(
     f"""WITH ask AS (SELECT conv_id || '-' || turn AS query_id, text, conv_id FROM conversations WHERE conv_id % 100 = 0 AND role = 'user'),
 kt AS (SELECT query_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{TOKEN}') AS t FROM ask),
-kk AS (SELECT query_id, unnest(list_filter(t, lambda x, i: NOT (list_contains([{_TYPES}], x) AND i < len(t) AND regexp_full_match(coalesce(t[i + 1], ''), '[0-9]+'))
+kk AS (SELECT query_id, list_filter(t, lambda x, i: NOT (list_contains([{_TYPES}], x) AND i < len(t) AND regexp_full_match(coalesce(t[i + 1], ''), '[0-9]+'))
   AND NOT (regexp_full_match(x, '[0-9]+') AND i > 1 AND list_contains([{_TYPES}], coalesce(t[i - 1], ''))) AND NOT list_contains([{_STOPS}], x)
-  AND CASE WHEN regexp_full_match(x, '[0-9]+') THEN len(x) <= 2 ELSE len(x) >= 3 END)) AS w FROM kt),
-kn AS (SELECT query_id, w, row_number() OVER (PARTITION BY query_id) AS nr FROM kk),
+  AND CASE WHEN regexp_full_match(x, '[0-9]+') THEN len(x) <= 2 ELSE len(x) >= 3 END) AS l FROM kt),
+kn AS (SELECT query_id, unnest(l) AS w, unnest(range(len(l))) AS nr FROM kk),
 kd AS (SELECT query_id, w, coalesce(list_position([{", ".join(f"'{w}'" for w in DOMAIN_TERMS)}], w), 100) AS ahead, min(nr) AS nr FROM kn GROUP BY query_id, w),
 k8 AS (SELECT query_id, string_agg(w, ' ' ORDER BY ahead, nr) AS text FROM (SELECT * FROM kd QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY ahead, nr) <= 8) GROUP BY query_id),
 tm AS (SELECT DISTINCT query_id, s, w FROM (SELECT query_id, 0 AS s, unnest({sql_tokens("text")}) AS w FROM ask UNION ALL SELECT query_id, 1, unnest({sql_tokens("text")}) FROM k8)
@@ -104,7 +104,7 @@ cv AS (SELECT query_id, s, chunk_id, b, min(p) AS e, any_value(k) AS k, any_valu
 sc AS (SELECT query_id, form, chunk_id, round(sum(1.0::DOUBLE / (1 + greatest(0, e - b + 1 - k))), 9) AS fts_score FROM cv GROUP BY query_id, form, chunk_id),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY form, fts_score DESC, chunk_id)::INT AS fts_rank, min(form) OVER (PARTITION BY query_id) AS taken FROM sc),
 fx AS (SELECT query_id, chunk_id, fts_score, fts_rank FROM fr WHERE form = taken AND fts_rank <= 30),
-vd AS (SELECT query_id, c.vec_id::VARCHAR AS chunk_id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS vec_distance FROM ask JOIN embeddings q ON q.vec_id = ask.conv_id, embeddings c),
+vd AS (SELECT query_id, c.vec_id::VARCHAR AS chunk_id, round(list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) + 0.0::DOUBLE AS vec_distance FROM ask JOIN embeddings q ON q.vec_id = ask.conv_id, embeddings c),
 vx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vec_distance, chunk_id)::INT AS vec_rank FROM vd) WHERE vec_rank <= 30)
 SELECT * FROM (SELECT query_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0), 12) AS rrf_score, fts_rank, fts_score, vec_rank, vec_distance,
  row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(1.0::DOUBLE / (60 + fts_rank), 0) + coalesce(1.0::DOUBLE / (60 + vec_rank), 0), 12) DESC, chunk_id)::INT AS rank

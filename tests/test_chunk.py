@@ -51,3 +51,79 @@ def test_offsets_and_hashes(sizes):
     assert len({c["chunk_hash"] for c in got}) == len(got)
     for c in got:
         assert "\n\n".join(c["text"][r["char_start"] : r["char_end"]] for r in c["node_refs"]) == c["text"]
+
+
+def brute_parts(text, budget, most=650):
+    """Cut by scanning: paragraphs, their sentences, their words; then as much as fits into each part."""
+    if len(text.split()) <= most:
+        return [text.strip()] if text.strip() else []
+    head, _, body = text.strip().partition("\n")
+    if not _:
+        head, body = "", head
+    budget = max(50, budget - len(head.split()))
+    paragraphs = [p.strip() for p in body.strip().split("\n\n" if "\n\n" in body.strip() else "\n") if p.strip()]
+    pieces = []
+    for p in paragraphs:
+        if len(p.split()) <= budget:
+            pieces.append(p)
+            continue
+        sentence = ""
+        for i, c in enumerate(p + " "):
+            if c.isspace() and sentence.rstrip() == sentence and sentence[-1:] in (".", "!", "?"):
+                pieces.append(sentence)
+                sentence = ""
+            sentence = (sentence + c) if sentence or not c.isspace() else ""
+        if sentence.strip():
+            pieces.append(sentence.strip())
+    cut = []
+    for piece in pieces:
+        words = piece.split()
+        cut += [piece] if len(words) <= budget else [" ".join(words[i : i + budget]) for i in range(0, len(words), budget)]
+    parts = []
+    while cut:
+        n = 1
+        while n < len(cut) and sum(len(x.split()) for x in cut[: n + 1]) <= budget:
+            n += 1
+        parts.append("\n".join(([head.strip()] if head.strip() else []) + cut[:n]))
+        cut = cut[n:]
+    return parts
+
+
+def test_every_document_as_brute_force(spark, sf_small):
+    """The registered query: all documents cut and packed, against cutting by scanning; each text alone is a version."""
+    from sextant.functions.text import chunk_form, sha256
+    from sextant.plans import queries
+
+    want = set()
+    for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect():
+        chunks, held, seen = [], [], set()
+
+        def close(own):
+            text = "\n\n".join(own)
+            digest = sha256(f"v1|{chunk_form(text)}")
+            if digest in seen:  # noqa: B023
+                return []
+            seen.add(digest)  # noqa: B023
+            chunks.append((len(chunks), len(text.split()), len(own), digest))  # noqa: B023
+            back, total = [], 0
+            for u in reversed(own):
+                if len(u.split()) > 80:
+                    return []
+                back, total = [u, *back], total + len(u.split())
+                if total >= 80:
+                    break
+            return back
+
+        fresh = False
+        size = lambda x: sum(len(u.split()) for u in x)
+        for unit in brute_parts(r["text"] or "", 450):
+            if size(held) + len(unit.split()) > 650 and size(held) >= 200 and fresh:
+                held, fresh = close(held), False
+            held, fresh = [*held, unit], True
+            if size(held) >= 450:
+                held, fresh = close(held), False
+        if held and fresh:
+            close(held)
+        want |= {(str(r["doc_id"]), *c) for c in chunks}
+    got = {(r["version_id"], r["chunk_index"], r["tokens_count"], r["n_refs"], r["chunk_hash"]) for r in queries.chunks(spark, sf_small).collect()}
+    assert len(got) > 200 and got == want

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import word_count
+from ..scratch import release, written
 
 
 def digest(*columns):
@@ -25,8 +26,8 @@ class Landing:
     parsed: DataFrame
 
     def done(self) -> None:
-        """All has been written."""
-        self.parsed.unpersist()
+        """All has been written: the parsed pages go before the driver ends."""
+        release(self.parsed)
 
 
 def node_rows(parsed: DataFrame) -> DataFrame:
@@ -67,13 +68,13 @@ def land(parsed: DataFrame, documents: DataFrame, versions: DataFrame, source_or
     parsed: url, title, content_hash, sections, and optionally final_url, http_status, captured_at. A content
     known under any URL only refreshes capture data; of equal contents in the batch the smallest URL
     wins; a version with repeated paths is rejected alone; a new document has the least title of its versions.
-    parsed is kept while its results are in use, so that pages are parsed once: see Landing.done.
+    parsed is written once and read again, so that pages are parsed once, also if executors are lost: see Landing.done.
     """
     stamp = F.lit(now).cast("timestamp")
     for name, kind in (("final_url", "string"), ("http_status", "int"), ("captured_at", "timestamp")):
         if name not in parsed.columns:
             parsed = parsed.withColumn(name, F.lit(None).cast(kind))
-    parsed = parsed.persist()
+    parsed = written(parsed, "landed")
     batch = parsed.withColumn("version_id", digest(F.lit("version"), "content_hash"))
     first = Window.partitionBy("content_hash").orderBy("url", F.col("captured_at").desc())
     batch = batch.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")

@@ -69,14 +69,14 @@ class _PageReader(DataSourceReader):
             yield page["url"], page["html"], page["final_url"], page["http_status"], page["captured_at"]
 
 
-def parsed(pages: DataFrame, deepest: int = 3) -> DataFrame:
-    """pages (url, html, other columns) with title, content_hash and sections."""
+def parsed(pages: DataFrame, deepest: int = 3, closed: bool = False) -> DataFrame:
+    """pages (url, html, other columns) with title, content_hash and sections. closed: see html.parse."""
     keep = [c for c in pages.columns if c not in ("html", "title", "content_hash", "sections")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [extract(h, deepest) for h in batch["html"]]
+            rows = [extract(h, deepest, closed) for h in batch["html"]]
             out = batch[keep].copy()
             out["title"] = [t for t, _ in rows]
             out["content_hash"] = [content_hash(s) for _, s in rows]

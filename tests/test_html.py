@@ -81,3 +81,22 @@ def test_act_that_is_there_twice():
     assert [s.heading_text for s in extract(page)[1]] == ["Preâmbulo", "Art. 1", "Art. 2"]
     again = act("Art. 1 Um", "ANEXO I", "conteudo", "MINISTÉRIO DA SAÚDE", "Art. 2 fora")
     assert [s.heading_text for s in again] == ["Art. 1", "ANEXO I", "ANEXO I"] and "fora" not in again[-1].text
+
+
+def test_queries_read_closed_references_only(spark, tmp_path):
+    """A title cut within a reference: its SQL keeps what has no semicolon."""
+    import duckdb
+
+    from sextant.plans.queries import ORACLE_SQL, QUERIES
+
+    heads = ["a&amp;&amp", "b &am", "c&lt", "d&quot;&#x27", "e&amp;lt;", "f & g&", "plain"]
+    pages = [(i, f"u{i}", f"<html><title>{h}</title><body><article><h1>{h}</h1><p>text {h}</p></article></body></html>") for i, h in enumerate(heads)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("html_title", "html_nodes"):
+        frame = QUERIES[name](spark, str(tmp_path))
+        cursor = con.execute(ORACLE_SQL[name])
+        columns = [c[0] for c in cursor.description]
+        assert sorted(map(repr, map(tuple, frame.select(columns).collect()))) == sorted(map(repr, cursor.fetchall()))
+    assert extract("<title>a&amp</title>")[0] == "a&" and extract("<title>a&amp</title>", closed=True)[0] == "a&amp"

@@ -11,7 +11,7 @@ from ..operators.inverted import InvertedIndex
 from ..operators.many import hybrid_many, vector_top_many
 from ..operators.retrieve import Params
 from ..operators.vector_index import VectorIndex
-from ..scratch import new_path, written
+from ..scratch import new_path
 from .queries import _ALL, _sql_fts, _texts, _vectors, LANGUAGE, N1, query, sql_tokens, table
 
 RECALL, NEAR = 0.9, 10
@@ -112,8 +112,8 @@ SELECT * FROM (SELECT query_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + fts
 )
 def rrf_many(spark, d):
     """Hybrid search for many questions in one plan: the user turns of every hundredth conversation against all texts and vectors."""
-    stored = written(fts.postings(_texts(spark, d), language=LANGUAGE), "postings")
-    return hybrid_many(stored, _vectors(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string")), turn_questions(spark, d, 100), Params(30, 30, 60, 12), LANGUAGE)
+    vectors = _vectors(spark, d).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    return hybrid_many(None, vectors, turn_questions(spark, d, 100), Params(30, 30, 60, 12), LANGUAGE, _texts(spark, d))
 
 
 def turn_questions(spark: SparkSession, d: str, every: int) -> DataFrame:

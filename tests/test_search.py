@@ -183,6 +183,33 @@ def test_many_questions_as_one_at_a_time(spark):
     assert text_top_many(stored, questions.where("false"), 5, "simple").collect() == []
 
 
+def test_many_questions_over_texts_in_small_batches(spark, monkeypatch):
+    """Texts are read without stored postings, no pair of a question and a chunk is shuffled, and what is skipped changes nothing."""
+    from sextant.operators import many
+
+    monkeypatch.setattr(many, "QUESTIONS", 5)
+    monkeypatch.setattr(many, "AT_ONCE", 64)
+    chunks = spark.createDataFrame(corpus(600, 5), "chunk_id string, text string").repartition(3).cache()
+    words = sorted({w for _, t in corpus(600, 5) for w in re.findall(r"[a-z]{3,}", t or "")})
+    r = random.Random(5)
+    asked = [" ".join(r.sample(words, r.randint(1, min(5, len(words))))) for _ in range(14)] + ["", None, "absentword", "comum absentword"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "query_id int, question string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        frame = text_top_many(None, questions, 4, "simple", chunks)
+        got = {}
+        for x in frame.orderBy("query_id", "fts_rank").collect():
+            got.setdefault(x["query_id"], []).append((x["chunk_id"], x["fts_score"], x["fts_rank"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()
+    for i, q in enumerate(asked):
+        forms = [fts.plain(q or "", language="simple"), *(f for _, f in retrieve.forms(q or "", language="simple")[1:])]
+        want = fts.search_first(chunks, forms, 4, None, "simple").orderBy("fts_rank").collect()
+        assert got.get(i, []) == [(x["chunk_id"], x["fts_score"], x["fts_rank"]) for x in want], q
+
+
 def test_plain_rank_as_a_loop(spark):
     import math
 

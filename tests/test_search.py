@@ -39,6 +39,31 @@ def test_token_classes_in_text_and_question(spark):
             assert fts._TOKEN.findall(fts.fold(text)) == want
 
 
+def test_folds_as_python_does_letter_by_letter(spark):
+    """Also the short ways: plain ASCII, and texts without marks and double letters."""
+    letters = [chr(c) for c in range(1, 0x2100) if not 0xD800 <= c < 0xE000] + list(fts.DOUBLE) + ["x\u0301", "Ǽ\u0301", "plain Text", "só", None]
+    frame = spark.createDataFrame([(x,) for x in letters if x is None or unicodedata.category(x[0]) != "Cn"], "t string")
+    got = frame.select("t", fts.folded(F.col("t")).alias("f"), F.lower("t").alias("l")).collect()
+    assert len(got) > 7000
+    for r in got:  # where Java and Python agree on the lower case
+        if r["t"] is None or r["l"] == r["t"].lower():
+            assert r["f"] == (None if r["t"] is None else fts.fold(r["t"])), r["t"]
+
+
+def test_arrow_batches_of_texts_are_bounded(spark, tmp_path):
+    """A worker's memory goes by the batch, not by the rows of its task, and lexemes are numbered anew in each."""
+    from pyspark.sql.functions import pandas_udf
+
+    from sextant.plans.queries import table
+
+    spark.createDataFrame([(i, "word " * 2000) for i in range(3000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    docs = table(spark, str(tmp_path), "documents")
+    size = pandas_udf(lambda x: x.map(lambda _: len(x)), "int")
+    assert docs.select(size("text").alias("n")).agg(F.max("n")).first()[0] < 1000
+
+
 @pytest.mark.parametrize(
     ("token", "words"),
     [("auto-escola", ["auto-escola", "auto", "escola"]), ("http://ex.com/a/b", ["ex.com/a/b", "ex.com", "/a/b"]), ("ftp://ex.com", ["ex.com"]), ("ex.com/p", ["ex.com/p", "ex.com", "/p"]), ("a-b@ex-a.com", ["a-b@ex-a.com"]), ("ex-a.com", ["ex-a.com"]), ("1.5e-3", ["1.5e-3"]), ("word", ["word"])],

@@ -33,13 +33,13 @@ class Landing:
 def node_rows(parsed: DataFrame) -> DataFrame:
     """One row a section, with deterministic ids and the parent that stands before it.
 
-    parsed: version_id and sections; the parent is an equi-join on version and path.
+    parsed: version_id and sections; the parent is looked for in the version's own sections, so pages are parsed once and no text is shuffled.
     """
-    rows = parsed.select("version_id", F.inline("sections"))
-    rows = rows.select(digest("version_id", "path").alias("node_id"), "version_id", "node_index", F.lit("heading_section").alias("kind"), "path", "parent_path", F.coalesce("heading_text", F.lit("")).alias("heading_text"), "heading_level", F.coalesce("text", F.lit("")).alias("text_normalized"))
-    parents = rows.select("version_id", F.col("path").alias("parent_path"), F.col("node_id").alias("parent_id"), F.col("node_index").alias("parent_index"))
-    out = rows.join(parents, ["version_id", "parent_path"], "left")
-    return out.withColumn("parent_id", F.when(F.col("parent_index") < F.col("node_index"), F.col("parent_id"))).drop("parent_path", "parent_index")
+    before = lambda s: F.exists("sections", lambda p: (p["path"] == s["parent_path"]) & (p["node_index"] < s["node_index"]))
+    names = ("node_index", "heading_level", "heading_text", "path", "parent_path", "text")
+    own = F.transform("sections", lambda s: F.struct(*(s[n].alias(n) for n in names), before(s).alias("has_parent")))
+    rows = parsed.select("version_id", F.inline(own))
+    return rows.select("version_id", digest("version_id", "path").alias("node_id"), "node_index", F.lit("heading_section").alias("kind"), "path", F.coalesce("heading_text", F.lit("")).alias("heading_text"), "heading_level", F.coalesce("text", F.lit("")).alias("text_normalized"), F.when(F.col("has_parent"), digest("version_id", "parent_path")).alias("parent_id"))
 
 
 def repeated_paths(parsed: DataFrame) -> DataFrame:

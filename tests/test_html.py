@@ -100,3 +100,17 @@ def test_queries_read_closed_references_only(spark, tmp_path):
         columns = [c[0] for c in cursor.description]
         assert sorted(map(repr, map(tuple, frame.select(columns).collect()))) == sorted(map(repr, cursor.fetchall()))
     assert extract("<title>a&amp</title>")[0] == "a&" and extract("<title>a&amp</title>", closed=True)[0] == "a&amp"
+
+
+def test_parents_of_nodes_without_a_join(spark):
+    """One row a section, pages parsed once: the parent is an earlier section of the same version, also where a path repeats."""
+    from sextant.operators.ingest import digest, node_rows
+    from sextant.sources.pages import SECTIONS
+
+    section = lambda i, path, parent: (i, 1, None, path, parent, "t")
+    versions = [("a", [section(0, "x", None), section(1, "x", None), section(2, "x/y", "x"), section(3, "z", "later"), section(4, "later", None)]), ("b", [section(0, "x/y", "x")]), ("c", None)]
+    frame = node_rows(spark.createDataFrame(versions, f"version_id string, sections {SECTIONS}"))
+    ids = {r["n"]: r["v"] for r in spark.createDataFrame([("x",)], "p string").selectExpr("'a' AS version_id", "p").select(digest("version_id", "p").alias("v"), "p").toDF("v", "n").collect()}
+    got = [(r["version_id"], r["node_index"], r["parent_id"]) for r in frame.orderBy("version_id", "node_index").collect()]
+    assert got == [("a", 0, None), ("a", 1, None), ("a", 2, ids["x"]), ("a", 3, None), ("a", 4, None), ("b", 0, None)]
+    assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()

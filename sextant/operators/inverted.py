@@ -1,7 +1,8 @@
 """Stored inverted index: postings by lexeme in blocks with upper bounds, and a top-n search that skips blocks.
 
-Chunks are dealt into segments of SEGMENT chunks of like length. A row of the index is a block: what one lexeme has in one segment,
-with the most positions that any chunk of it has. Blocks are stored by bucket of the lexeme and sorted in it, so a search
+Chunks are dealt to tasks by their id, so that each gets as much text, and within a task into segments of SEGMENT chunks of like
+length. A row of the index is a block: what one lexeme has in one segment, with the most positions that any chunk of it has. A block's
+positions are stored as one list, with the end of each chunk's part. Blocks are stored by bucket of the lexeme and sorted in it, so a search
 reads the buckets of its lexemes. All blocks of a segment together hold everything about its chunks, so a segment is
 scored by itself, and its blocks say beforehand what a chunk in it can reach at most:
 
@@ -34,21 +35,21 @@ def bucket_of(lexeme: Column, buckets: int) -> Column:
 
 
 class InvertedIndex:
-    """A table of blocks under a path: lexeme, segment, n, most, chunk_ids, positions, by bucket."""
+    """A table of blocks under a path: lexeme, segment, n, total (positions of all chunks), most, chunk_ids, ends, places, by bucket."""
 
     def __init__(self, spark: SparkSession, path: str, language: str = "portuguese", buckets: int = BUCKETS, kind: T.DataType = T.StringType()):
         """kind: type of the chunks' ids."""
         self.spark, self.path, self.language, self.buckets, self.kind = spark, path.rstrip("/"), language, buckets, kind
-        columns = [("lexeme", T.StringType()), ("segment", T.LongType()), ("n", T.IntegerType()), ("most", T.IntegerType()), ("chunk_ids", T.ArrayType(kind)), ("positions", T.ArrayType(T.ArrayType(T.IntegerType())))]
+        columns = [("lexeme", T.StringType()), ("segment", T.LongType()), ("n", T.IntegerType()), ("total", T.LongType()), ("most", T.IntegerType()), ("chunk_ids", T.ArrayType(kind)), ("ends", T.ArrayType(T.IntegerType())), ("places", T.ArrayType(T.IntegerType()))]
         self.schema = T.StructType([T.StructField(*c) for c in columns])
 
     @staticmethod
     def build(chunks: DataFrame, path: str, language: str = "portuguese", buckets: int = BUCKETS, segment: int = SEGMENT) -> InvertedIndex:
         """Index all chunks (chunk_id, text). Chunks meet those of like length, whose scores are alike, so that bounds tell segments apart."""
         spark = chunks.sparkSession
-        kind = chunks.schema["chunk_id"].dataType
-        length = F.octet_length("text").desc_nulls_last()
-        dealt = fts._tokenised(chunks.select("chunk_id", "text").repartitionByRange(length, "chunk_id").sortWithinPartitions(length, "chunk_id"), "chunk_id", "text")
+        index = InvertedIndex(spark, path, language, buckets, chunks.schema["chunk_id"].dataType)
+        names = index.schema.names
+        dealt = chunks.select("chunk_id", "text").repartition("chunk_id").sortWithinPartitions(F.octet_length("text").desc_nulls_last(), "chunk_id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, count = TaskContext.get().partitionId() << 32, 0
@@ -57,20 +58,22 @@ class InvertedIndex:
 
             def block_rows() -> pa.RecordBatch:
                 nonlocal count
-                number = fts._Numbers(language, None)
                 table = pa.Table.from_batches(held).combine_chunks()
-                own, what, place = fts._posted(table.to_batches()[0], number)
-                by = np.lexsort((place, own, what))
+                own, what, place, lexemes = fts._placed(table.to_batches()[0], language)
+                # by lexeme; rows and places are in order
+                by = np.argsort(what.astype(np.min_scalar_type(len(lexemes))), kind="stable")
                 own, what, place = own[by], what[by], place[by]
                 posting = fts._changes(what, own)
                 block = fts._changes(what[posting])
-                size = np.diff(np.append(posting, len(own)))
-                positions = fts._lists(posting, len(own), pa.array(place.astype(np.int32)))
+                size, chunks_of = np.diff(np.append(posting, len(own))), np.diff(np.append(block, len(posting)))
+                most, total = (f.reduceat(size, block) if len(block) else np.zeros(0, np.int64) for f in (np.maximum, np.add))
+                ends = np.cumsum(size) - np.repeat(posting[block], chunks_of)
                 ids = table.column("chunk_id").combine_chunks().take(pa.array(own[posting]))
-                most = np.maximum.reduceat(size, block) if len(block) else np.zeros(0, np.int64)
-                columns = [number.names().take(pa.array(what[posting][block])), pa.array(np.full(len(block), base + count)), pa.array(np.diff(np.append(block, len(posting))).astype(np.int32)), pa.array(most.astype(np.int32)), fts._lists(block, len(posting), ids), fts._lists(block, len(posting), positions)]
+                ints = lambda a: pa.array(a.astype(np.int32))
+                lists = [fts._lists(block, len(posting), ids), fts._lists(block, len(posting), ints(ends)), fts._lists(posting[block], len(own), ints(place))]
+                columns = [lexemes.take(pa.array(what[posting][block])), pa.array(np.full(len(block), base + count)), ints(chunks_of), pa.array(total), ints(most), *lists]
                 count += 1
-                return pa.RecordBatch.from_arrays(columns, names=["lexeme", "segment", "n", "most", "chunk_ids", "positions"])
+                return pa.RecordBatch.from_arrays(columns, names=names)
 
             for batch in batches:
                 while batch.num_rows:
@@ -84,15 +87,16 @@ class InvertedIndex:
             if rows:
                 yield block_rows()
 
-        index = InvertedIndex(spark, path, language, buckets, kind)
-        blocks = dealt.mapInArrow(run, index.schema).withColumn("bucket", bucket_of(F.col("lexeme"), buckets))
+        blocks = fts._lowered(dealt, "chunk_id", "text").mapInArrow(run, index.schema).withColumn("bucket", bucket_of(F.col("lexeme"), buckets))
         # a bucket's blocks come together, in files of even size; sorted, so that row groups are skipped by lexeme and bound
         blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", F.desc("most")).write.mode("overwrite").partitionBy("bucket").parquet(path)
         return index
 
     def blocks(self, terms: list[str] | None = None) -> DataFrame:
-        """All blocks, or those of some lexemes: only their buckets are read."""
+        """All blocks, with the positions of each chunk, or those of some lexemes: only their buckets are read."""
         rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path)
+        before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
+        rows = rows.withColumn("positions", F.transform("ends", lambda end, i: F.slice("places", before(i) + 1, end - before(i))))
         if terms is None:
             return rows
         numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"), self.buckets)).distinct().collect()] if terms else []

@@ -148,6 +148,33 @@ def test_index_holds_all_postings_and_stands_empty_tables(spark, indexed):
     assert index.top(None, 5).collect() == []
 
 
+def test_tasks_of_the_index_get_as_much_text(spark):
+    """Long texts don't all go to one task; a segment's number holds its task."""
+    rows = [(f"c{i:04d}", "comum " * (2000 if i % 10 == 0 else 1)) for i in range(800)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = InvertedIndex.build(spark.createDataFrame(rows, "chunk_id string, text string"), new_path(spark, "test-inverted"), "simple", buckets=2, segment=16)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = [r["n"] for r in index.blocks().groupBy(F.shiftright("segment", 32)).agg(F.sum("total").alias("n")).collect()]
+    assert len(held) == 4 and sum(held) == 80 * 2000 + 720 and max(held) < 0.4 * sum(held)
+
+
+def test_pieces_between_white_space_are_tokenised_as_whole_texts(spark):
+    """The short way of the index against the column expression, also in white space that Java doesn't count."""
+    chance = random.Random(3)
+    signs = "aAbßéǽ\u0301.-@/:+_ \t\x0b\xa0\x1c 1०²文हि(),<\"ς"
+    texts = ["".join(chance.choices(signs, k=chance.choice([0, 1, 5, 30, 200]))) for _ in range(500)] + [t for t, _ in TOKENS] + ["http://ex.com/a\xa0b/ de co-op- -x ex.com/."]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string")
+    for language in ("simple", "portuguese"):
+        got = sorted((r["chunk_id"], r["lexeme"], p) for r in fts.postings(chunks, language=language).collect() for p in r["positions"])
+        want = []
+        for r in chunks.select("chunk_id", fts.tokens(F.col("text")).alias("lex")).collect():
+            words = [fts.lexeme(w, language) for t in r["lex"] or [] for w in fts.counted_as(t)]
+            want += [(r["chunk_id"], w, i + 1) for i, w in enumerate(words) if w]
+        assert got == sorted(want)
+
+
 def unit(rows):
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 

@@ -39,8 +39,7 @@ WHERE lexeme NOT IN ({", ".join(f"'{w}'" for w in sorted(fts.STOP))}) GROUP BY l
 )
 def inverted_stats(spark, d):
     """What the stored blocks hold, summed by lexeme."""
-    blocks = _index(spark, d).blocks().select("lexeme", F.col("n").alias("chunks"), F.aggregate("positions", F.lit(0), lambda a, p: a + F.size(p)).alias("places"))
-    return blocks.groupBy("lexeme").agg(F.sum("chunks").alias("n_chunks"), F.sum("places").cast("long").alias("n_places"))
+    return _index(spark, d).blocks().groupBy("lexeme").agg(F.sum("n").alias("n_chunks"), F.sum("total").alias("n_places"))
 
 
 def _every_hundredth(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Chunks are dealt to tasks by their id, so that each gets as much text, and within a task into segments of SEGMENT chunks of like
 length. A row of the index is a block: what one lexeme has in one segment, with the most positions that any chunk of it has. A block's
-positions are stored as one list, with the end of each chunk's part. Blocks are stored by bucket of the lexeme and sorted in it, so a search
+positions are stored as one list, with the end of each chunk's part, and its chunks by their number in the segment; one more row of a
+segment, with no lexeme, in the buckets below 0, has their ids. Blocks are stored by bucket of the lexeme and sorted in it, so a search
 reads the buckets of its lexemes. All blocks of a segment together hold everything about its chunks, so a segment is
 scored by itself, and its blocks say beforehand what a chunk in it can reach at most:
 
@@ -28,6 +29,8 @@ from ..functions import fts
 
 #: Chunks of a segment, buckets of lexemes, and segments that are scored first; each round takes RATE times as many.
 SEGMENT, BUCKETS, FIRST, RATE = 128, 64, 16, 8
+#: Buckets of the ids.
+ID_BUCKETS = 8
 
 
 def bucket_of(lexeme: Column, buckets: int) -> Column:
@@ -35,12 +38,12 @@ def bucket_of(lexeme: Column, buckets: int) -> Column:
 
 
 class InvertedIndex:
-    """A table of blocks under a path: lexeme, segment, n, total (positions of all chunks), most, chunk_ids, ends, places, by bucket."""
+    """A table of blocks under a path: lexeme, segment, n, total (positions of all chunks), most, rows (numbers of the chunks), ends, places, by bucket; chunk_ids by segment."""
 
     def __init__(self, spark: SparkSession, path: str, language: str = "portuguese", buckets: int = BUCKETS, kind: T.DataType = T.StringType()):
         """kind: type of the chunks' ids."""
         self.spark, self.path, self.language, self.buckets, self.kind = spark, path.rstrip("/"), language, buckets, kind
-        columns = [("lexeme", T.StringType()), ("segment", T.LongType()), ("n", T.IntegerType()), ("total", T.LongType()), ("most", T.IntegerType()), ("chunk_ids", T.ArrayType(kind)), ("ends", T.ArrayType(T.IntegerType())), ("places", T.ArrayType(T.IntegerType()))]
+        columns = [("lexeme", T.StringType()), ("segment", T.LongType()), ("n", T.IntegerType()), ("total", T.LongType()), ("most", T.IntegerType()), ("rows", T.ArrayType(T.IntegerType())), ("chunk_ids", T.ArrayType(kind)), ("ends", T.ArrayType(T.IntegerType())), ("places", T.ArrayType(T.IntegerType()))]
         self.schema = T.StructType([T.StructField(*c) for c in columns])
 
     @staticmethod
@@ -56,7 +59,7 @@ class InvertedIndex:
             held: list[pa.RecordBatch] = []
             rows = 0
 
-            def block_rows() -> pa.RecordBatch:
+            def block_rows() -> Iterator[pa.RecordBatch]:
                 nonlocal count
                 table = pa.Table.from_batches(held).combine_chunks()
                 own, what, place, lexemes = fts._placed(table.to_batches()[0], language)
@@ -68,12 +71,13 @@ class InvertedIndex:
                 size, chunks_of = np.diff(np.append(posting, len(own))), np.diff(np.append(block, len(posting)))
                 most, total = (f.reduceat(size, block) if len(block) else np.zeros(0, np.int64) for f in (np.maximum, np.add))
                 ends = np.cumsum(size) - np.repeat(posting[block], chunks_of)
-                ids = table.column("chunk_id").combine_chunks().take(pa.array(own[posting]))
+                ids = fts._lists(np.zeros(1, np.int64), len(table), table.column("chunk_id").combine_chunks())
                 ints = lambda a: pa.array(a.astype(np.int32))
-                lists = [fts._lists(block, len(posting), ids), fts._lists(block, len(posting), ints(ends)), fts._lists(posting[block], len(own), ints(place))]
+                lists = [fts._lists(block, len(posting), ints(own[posting])), pa.nulls(len(block), ids.type), fts._lists(block, len(posting), ints(ends)), fts._lists(posting[block], len(own), ints(place))]
                 columns = [lexemes.take(pa.array(what[posting][block])), pa.array(np.full(len(block), base + count)), ints(chunks_of), pa.array(total), ints(most), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([base + count]) if x == "segment" else ids if x == "chunk_ids" else pa.nulls(1, c.type) for x, c in zip(names, columns, strict=True)], names=names)
                 count += 1
-                return pa.RecordBatch.from_arrays(columns, names=names)
 
             for batch in batches:
                 while batch.num_rows:
@@ -82,26 +86,37 @@ class InvertedIndex:
                     rows += take.num_rows
                     batch = batch.slice(take.num_rows)
                     if rows == segment:
-                        yield block_rows()
+                        yield from block_rows()
                         held, rows = [], 0
             if rows:
-                yield block_rows()
+                yield from block_rows()
 
-        blocks = fts._lowered(dealt, "chunk_id", "text").mapInArrow(run, index.schema).withColumn("bucket", bucket_of(F.col("lexeme"), buckets))
+        blocks = fts._lowered(dealt, "chunk_id", "text").mapInArrow(run, index.schema).withColumn("bucket", F.when(F.col("lexeme").isNull(), -1 - F.pmod("segment", F.lit(ID_BUCKETS)).cast("int")).otherwise(bucket_of(F.col("lexeme"), buckets)))
         # a bucket's blocks come together, in files of even size; sorted, so that row groups are skipped by lexeme and bound
         blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", F.desc("most")).write.mode("overwrite").partitionBy("bucket").parquet(path)
         return index
 
-    def blocks(self, terms: list[str] | None = None) -> DataFrame:
+    def _table(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path)
+
+    def _ids(self) -> DataFrame:
+        """segment, chunk_ids."""
+        return self._table().where("bucket < 0").select("segment", "chunk_ids")
+
+    def stored(self, terms: list[str] | None = None) -> DataFrame:
         """All blocks, with the positions of each chunk, or those of some lexemes: only their buckets are read."""
-        rows = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path)
         before = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
-        rows = rows.withColumn("positions", F.transform("ends", lambda end, i: F.slice("places", before(i) + 1, end - before(i))))
+        rows = self._table().drop("chunk_ids").withColumn("positions", F.transform("ends", lambda end, i: F.slice("places", before(i) + 1, end - before(i))))
         if terms is None:
-            return rows
+            return rows.where("bucket >= 0")
         numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"), self.buckets)).distinct().collect()] if terms else []
         return rows.where(F.col("bucket").isin(numbers) & F.col("lexeme").isin(*terms))
 
+    def blocks(self, terms: list[str] | None = None) -> DataFrame:
+        """The same with the chunks' ids."""
+        found = self.stored(terms).join(self._ids().withColumnRenamed("chunk_ids", "all_ids"), "segment")
+        return found.withColumn("chunk_ids", F.transform("rows", lambda r: F.get("all_ids", r))).drop("all_ids")
+
     def postings(self) -> DataFrame:
         """chunk_id, lexeme, positions: what fts.postings makes of the chunks."""
         each = F.explode(F.arrays_zip("chunk_ids", "positions")).alias("x")
@@ -110,17 +125,20 @@ class InvertedIndex:
     def bounds(self, query: fts.Query) -> DataFrame:
         """segment, bound: what no chunk's score in it exceeds; segments that hold no match for want of a lexeme are left out."""
         terms = query.terms()
-        per = self.blocks(terms).groupBy("segment").agg(F.sum("most").alias("all"), F.min("most").alias("least"), F.count(F.lit(1)).alias("held"))
+        per = self.stored(terms).groupBy("segment").agg(F.sum("most").alias("all"), F.min("most").alias("least"), F.count(F.lit(1)).alias("held"))
         if needs_all(query):
             return per.where(F.col("held") == len(terms)).select("segment", F.least("all", F.col("least") * len(terms)).alias("bound"))
         return per.select("segment", F.col("all").alias("bound"))
 
     def _scored(self, query: fts.Query, segments: DataFrame) -> DataFrame:
         """chunk_id and fts_score of the matches in some segments."""
-        rows = self.blocks(query.all_terms()).join(segments.select("segment"), "segment", "left_semi")
-        each = rows.select("lexeme", F.explode(F.arrays_zip("chunk_ids", "positions")).alias("x"))
-        whole = each.groupBy(F.col("x.chunk_ids").alias("chunk_id")).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", F.col("x.positions").alias("positions")))).alias("places"))
-        return whole.where(fts.matches(query, F.col("places"))).select("chunk_id", fts.score(query).alias("fts_score"))
+        chosen = segments.select("segment")
+        rows = self.stored(query.all_terms()).join(chosen, "segment", "left_semi")
+        each = rows.select("segment", "lexeme", F.explode(F.arrays_zip("rows", "positions")).alias("x"))
+        whole = each.groupBy("segment", F.col("x.rows").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", F.col("x.positions").alias("positions")))).alias("places"))
+        found = whole.where(fts.matches(query, F.col("places"))).select("segment", "row", fts.score(query).alias("fts_score"))
+        ids = self._ids().join(chosen, "segment", "left_semi").select("segment", F.posexplode("chunk_ids").alias("row", "chunk_id"))
+        return found.join(ids, ["segment", "row"]).select("chunk_id", "fts_score")
 
     def top(self, query: fts.Query | None, top: int, read: list | None = None) -> DataFrame:
         """chunk_id, fts_score, fts_rank: the same rows as fts.search. read: gets the number of segments scored and of all, round by round."""

@@ -39,7 +39,7 @@ WHERE lexeme NOT IN ({", ".join(f"'{w}'" for w in sorted(fts.STOP))}) GROUP BY l
 )
 def inverted_stats(spark, d):
     """What the stored blocks hold, summed by lexeme."""
-    return _index(spark, d).blocks().groupBy("lexeme").agg(F.sum("n").alias("n_chunks"), F.sum("total").alias("n_places"))
+    return _index(spark, d).stored().groupBy("lexeme").agg(F.sum("n").alias("n_chunks"), F.sum("total").alias("n_places"))
 
 
 def _every_hundredth(spark: SparkSession, d: str) -> DataFrame:

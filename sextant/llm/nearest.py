@@ -1,12 +1,14 @@
 """Nearest neighbours by a block matrix join (operator 3).
 
-Queries and candidates are cut into stripes; each pair of stripes is a tile of one task. In a tile,
-int8 codes are multiplied, and the error bound of each vector's code turns a product into an interval
-that holds the cosine. Pairs whose upper end reaches the k-th best lower end are computed again in
-double precision from the original vectors; heaps merge the tiles' best. The result is exact.
+Queries and candidates are cut into stripes; each pair of stripes is a tile of one task. A task holds its
+queries and the best of each so far, and reads its candidates batch by batch, so its memory doesn't grow with
+the table. Of a block of both, int8 codes are multiplied, and the error bound of each vector's code turns a
+product into an interval that holds the cosine. Pairs whose upper end reaches the k-th best score so far and the
+k-th best lower end of the block are computed again in double precision from the original vectors; heaps merge
+the tiles' best. The result is exact.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part, nor do null ids.
-Rows repeated with one id count once. Of equal vectors a tile keeps the k + 1 smallest ids: no query,
+Rows repeated with one id count once. Of equal vectors a block keeps the k + 1 smallest ids: no query,
 itself possibly one of them, can use more. Vectors of another length than the query's are no
 candidates. With fewer than k candidates all are returned. Ties go to the smaller id. Vectors are scaled
 by powers of two before anything is squared, so very large and very small ones have their cosines, too.
@@ -19,15 +21,18 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._runtime import BATCH_ROWS, prepare, trim
+
 #: Dimensions whose products of codes add up to whole numbers that float32 holds exactly (127 * 127 * 1024 < 2^24).
 EXACT = 1024
-#: Numbers of a tile's queries and candidates, and rows and candidates that are multiplied at once.
-QUERY_NUMBERS, CANDIDATE_NUMBERS, TILE_ROWS = 1 << 19, 1 << 22, 1024
+#: Numbers of a tile's queries (2 k more for each, its best) and candidates.
+QUERY_NUMBERS, CANDIDATE_NUMBERS = 1 << 21, 1 << 22
+#: Rows and candidates that are multiplied at once, and numbers of the candidates, and of either side of pairs, that are doubles at once.
+TILE_ROWS, TILE_COLUMNS, BLOCK_NUMBERS = 512, 2048, 1 << 19
 
 
 def scaled(v: np.ndarray) -> np.ndarray:
@@ -48,54 +53,100 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
+def _unit_codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _codes(v / np.sqrt((v**2).sum(axis=1))[:, None])
+
+
+class Best:
+    """The k best candidates so far of each query. Candidates are added by ascending id, any number at once."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.k, self.last = k, None
+        self.asks, first = np.unique(ids, return_index=True)
+        self.vectors = scaled(vectors[first])
+        self.codes, self.scale, self.miss = _unit_codes(self.vectors)
+        self.ids = np.full((len(self.asks), k), np.iinfo(np.int64).max)
+        self.scores = np.full((len(self.asks), k), -np.inf)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        some = max(1, min(TILE_COLUMNS, BLOCK_NUMBERS // vectors.shape[1]))
+        for at in range(0, len(ids), some):
+            self._block(ids[at : at + some], np.ascontiguousarray(vectors[at : at + some], np.float64))
+
+    def _block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        keep = np.concatenate([[self.last is None or ids[0] != self.last], ids[1:] != ids[:-1]])
+        self.last = ids[-1]
+        ids, vectors = ids[keep], vectors[keep]
+        if not len(ids):
+            return
+        same = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
+        by = np.lexsort((ids, same))
+        first = np.flatnonzero(np.concatenate([[True], same[by][1:] != same[by][:-1]]))
+        place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+        kept = np.sort(by[place <= self.k])
+        ids, vectors = ids[kept], scaled(vectors[kept])
+        codes, scale, miss = _unit_codes(vectors)
+        codes = codes.astype(np.float32)
+        rounding = 1e-9 + (vectors.shape[1] + 16) * 2.0**-50  # of unit vectors and their products in doubles
+        for at in range(0, len(self.asks), TILE_ROWS):
+            own = slice(at, at + TILE_ROWS)
+            asked = self.codes[own].astype(np.float32)
+            near = np.zeros((len(asked), len(codes)))
+            for d in range(0, codes.shape[1], EXACT):
+                near += asked[:, d : d + EXACT] @ codes[:, d : d + EXACT].T
+            near *= self.scale[own, None] * scale[None, :]
+            error = self.miss[own, None] + (1 + self.miss[own, None]) * miss[None, :] + rounding
+            place = np.searchsorted(ids, self.asks[own])
+            self_at = np.flatnonzero(ids[np.minimum(place, len(ids) - 1)] == self.asks[own])
+            near[self_at, place[self_at]] = -np.inf
+            least = self.scores[own, -1]
+            hits = near + error >= least[:, None]
+            if np.count_nonzero(hits) > 4 * self.k * len(asked) and len(ids) >= self.k:  # the best so far leave out little
+                low = near - error
+                low.partition(len(ids) - self.k, axis=1)
+                hits = near + error >= np.maximum(least, low[:, len(ids) - self.k])[:, None]
+            hits[self_at, place[self_at]] = False
+            self._merge(at, *np.nonzero(hits), ids, vectors)
+
+    def _merge(self, at: int, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Pairs of the queries from place at on (rows, ascending) and the candidates, computed exactly, go among the best."""
+        if not len(rows):
+            return
+        scores, some = np.empty(len(rows)), max(1, BLOCK_NUMBERS // vectors.shape[1])
+        for i in range(0, len(rows), some):
+            scores[i : i + some] = _exact(self.vectors[at + rows[i : i + some]], vectors[cols[i : i + some]])
+        asked = np.unique(rows)
+        rows = np.concatenate([rows, np.repeat(asked, self.k)])
+        ids = np.concatenate([ids[cols], self.ids[at + asked].ravel()])
+        scores = np.concatenate([scores, self.scores[at + asked].ravel()])
+        by = np.lexsort((ids, -scores, rows))
+        begin = np.searchsorted(rows[by], asked)
+        by = by[np.arange(len(by)) - np.repeat(begin, np.diff(np.append(begin, len(by)))) < self.k]
+        self.ids[at + asked], self.scores[at + asked] = ids[by].reshape(-1, self.k), scores[by].reshape(-1, self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, candidate, cosine; best first."""
+        some = np.isfinite(self.scores)
+        return np.repeat(self.asks, some.sum(axis=1)), self.ids[some], self.scores[some]
+
+
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
     """The k best candidates of each query in one tile: (query, candidate, cosine)."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-    keep = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
-    ids, vectors = ids[keep], vectors[keep]
-    same = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
-    by = np.lexsort((ids, same))
-    first = np.flatnonzero(np.concatenate([[True], same[by][1:] != same[by][:-1]]))
-    place = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
-    kept = np.sort(by[place <= k])
-    ids, vectors, queries = ids[kept], scaled(vectors[kept]), scaled(queries)
-    unit = lambda v: v / np.sqrt((v**2).sum(axis=1))[:, None]
-    codes, scale, miss = _codes(unit(vectors))
-    codes = codes.astype(np.float32)
-    q_codes, q_scale, q_miss = _codes(unit(queries))
-    rounding = 1e-9 + (vectors.shape[1] + 16) * 2.0**-50  # of unit vectors and their products in doubles
-    for at in range(0, len(queries), TILE_ROWS):
-        own = slice(at, at + TILE_ROWS)
-        asked = q_codes[own].astype(np.float32)
-        near = np.zeros((len(asked), len(codes)))
-        for d in range(0, codes.shape[1], EXACT):
-            near += asked[:, d : d + EXACT] @ codes[:, d : d + EXACT].T
-        near *= q_scale[own, None] * scale[None, :]
-        error = q_miss[own, None] + (1 + q_miss[own, None]) * miss[None, :] + rounding
-        low = near - error
-        low[query_ids[own, None] == ids[None, :]] = -np.inf
-        least = np.partition(low, max(0, low.shape[1] - k), axis=1)[:, max(0, low.shape[1] - k)] if low.shape[1] >= k else np.full(len(low), -np.inf)
-        rows, cols = np.nonzero((near + error >= least[:, None]) & np.isfinite(low))
-        for some in range(0, len(rows), 1 << 18):
-            r, c = rows[some : some + (1 << 18)], cols[some : some + (1 << 18)]
-            scores = _exact(queries[own][r], vectors[c])
-            best = np.lexsort((ids[c], -scores, r))
-            r, c, scores = r[best], c[best], scores[best]
-            begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            rank = np.arange(len(r)) - np.repeat(begin, np.diff(np.append(begin, len(r))))
-            for i in np.flatnonzero(rank < k):
-                yield int(query_ids[own][r[i]]), int(ids[c[i]]), float(scores[i])
+    best, order = Best(query_ids, queries, k), np.argsort(ids, kind="stable")
+    best.add(ids[order], vectors[order])
+    yield from zip(*(c.tolist() for c in best.found()), strict=True)
 
 
 def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of each row whose id is divisible by every."""
-    v = F.col(vector).cast("array<double>")
+    prepare(df.sparkSession)
+    given = df.select(vector).dtypes[0][1] in ("array<float>", "array<double>")
+    v = F.col(vector) if given else F.col(vector).cast("array<double>")
     usable = F.col(vec_id).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where(usable).withColumn("dim", F.size("v"))
     is_query = F.pmod("id", F.lit(every)) == 0
     numbers = F.coalesce(F.size(F.col(vector)), F.lit(0)).cast("long")
-    total, all_numbers, query_numbers = df.select(F.count(F.lit(1)), F.coalesce(F.sum(numbers), F.lit(0)), F.coalesce(F.sum(F.when(F.pmod(F.col(vec_id).cast("long"), F.lit(every)) == 0, numbers)), F.lit(0))).first()
+    total, all_numbers, query_numbers = df.select(F.count(F.lit(1)), F.coalesce(F.sum(numbers), F.lit(0)), F.coalesce(F.sum(F.when(F.pmod(F.col(vec_id).cast("long"), F.lit(every)) == 0, numbers + 2 * k)), F.lit(0))).first()
     down, across = max(1, -(-query_numbers // QUERY_NUMBERS)), max(1, -(-all_numbers // CANDIDATE_NUMBERS))
     # more tasks than tiles of full size, as long as tiles stay worth their copies
     spread = df.sparkSession.sparkContext.defaultParallelism
@@ -103,19 +154,42 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id",
     stripe = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     queries = rows.where(is_query).withColumn("q", F.lit(True)).withColumn("i", stripe(down)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
     candidates = rows.withColumn("q", F.lit(False)).withColumn("j", stripe(across)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    names = ["dim", "i", "j", "q", "id", "v"]
-    tiles = queries.select(*(F.col(c).cast("long") if c in "ij" else F.col(c) for c in names)).unionByName(candidates.select(*(F.col(c).cast("long") if c in "ij" else F.col(c) for c in names)))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group[group["q"]].drop_duplicates("id")
-        has = group[~group["q"]]
-        found: list[tuple[int, int, float]] = []
-        if len(asks) and len(has):
-            matrix = lambda g: np.stack(g["v"].to_numpy()).astype(np.float64)
-            found = list(tile(asks["id"].to_numpy(), matrix(asks), has["id"].to_numpy(), matrix(has), k))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    best = tiles.groupBy("dim", "i", "j").applyInPandas(run, "query_id long, vec_id long, score double")
+    names = [(F.col("i") * across + F.col("j")).cast("int").alias("tile"), "dim", "q", "id", "v"]
+    tiles = queries.select(*names).unionByName(candidates.select(*names))
+    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by tile and length, queries first, then by id."""
+        of, asks, best = None, [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = [pa.array(c, t) for c, t in zip(best.found(), kinds.values(), strict=True)] if best else [()]
+            for at in range(0, len(found[0]), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([c.slice(at, BATCH_ROWS) for c in found], names=list(kinds))
+
+        for batch in batches:
+            part, dim, asking, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "dim", "q", "id"))
+            vectors = batch.column("v")
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (dim[1:] != dim[:-1]) | (asking[1:] != asking[:-1])) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(ids)], strict=True):
+                if begin == end:
+                    continue
+                if of != (part[begin], dim[begin]):
+                    yield from close()
+                    of, asks, best = (part[begin], dim[begin]), [], None
+                rows = ids[begin:end], vectors.slice(begin, end - begin).flatten().to_numpy(zero_copy_only=False).reshape(end - begin, -1)
+                if asking[begin]:
+                    asks.append((rows[0].copy(), rows[1].astype(np.float64)))
+                    continue
+                if asks:
+                    best, asks = Best(*(np.concatenate(c) for c in zip(*asks, strict=True)), k), []
+                if best:
+                    best.add(*rows)
+        yield from close()
+        trim()
+
+    dealt = tiles.repartitionById(down * across, "tile").sortWithinPartitions("tile", "dim", F.desc("q"), "id")
+    best = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by query; a heap holds the best of one."""

@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -84,3 +85,51 @@ def test_extra_columns_are_ignored(spark):
     frame = spark.createDataFrame(rows, SCHEMA)
     plain = sorted(map(tuple, nearest(frame).collect()))
     assert sorted(map(tuple, nearest(frame.selectExpr("*", "7 AS id", "'x' AS v", "8 AS dim", "9 AS i", "9 AS j", "true AS q", "1 AS rank", "2 AS score")).collect())) == plain
+
+
+@pytest.mark.parametrize("shape", ["many candidates", "long near copies"])
+def test_memory_of_a_tile_is_bounded(shape):
+    """A tile of full size holds a block of products and of exact pairs at once, not all of them."""
+    r = np.random.default_rng(11)
+    if shape == "many candidates":
+        vectors = r.normal(size=(60_000, 8))
+    else:
+        vectors = r.normal(size=2048) + 1e-6 * r.normal(size=(600, 2048))
+    ids, asked = np.arange(len(vectors)), 1024 if shape == "many candidates" else 60
+    tracemalloc.start()
+    try:
+        found = list(tile(ids[:asked], vectors[:asked], ids, vectors, 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 160e6
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    for q in range(0, asked, 20):
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        got = sorted(((-s, i) for a, i, s in found if a == q))
+        assert len(got) == 5 and np.allclose([-s for s, _ in got], np.sort(cosine)[::-1][:5], rtol=0, atol=1e-13)
+        assert np.allclose(cosine[[i for _, i in got]], [-s for s, _ in got], rtol=0, atol=1e-13)
+
+
+@pytest.mark.parametrize("order", ["nearer", "farther"])
+def test_candidates_that_come_nearer_or_farther(order):
+    """Blocks after the first are cut by the best so far, wherever the nearest stand."""
+    angle = np.linspace(1.5, 0.01, 9001)
+    vectors = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    vectors = vectors if order == "nearer" else vectors[::-1]
+    ids = np.arange(1, len(vectors) + 1)
+    got = sorted(tile(np.array([0]), np.array([[3.0, 0.0]]), ids, vectors, 5), key=lambda x: -x[2])
+    assert [i for _, i, _ in got] == (ids[::-1][:5].tolist() if order == "nearer" else ids[:5].tolist())
+
+
+def test_tiles_of_several_batches(spark):
+    """Ids repeated over the ends of batches, lengths side by side, doubles and floats."""
+    r = np.random.default_rng(12)
+    rows = [(i, v) for i, v in enumerate(r.normal(size=(18_000, 16)).astype(np.float32).tolist())]
+    rows += [(20_000 + i, v) for i, v in enumerate(r.normal(size=(400, 3)).astype(np.float32).tolist())]
+    rows += [row for row in rows if row[0] % 7 == 0] * 2
+    compare(spark, rows, every=2000)
+    wide = spark.createDataFrame(rows, SCHEMA).selectExpr("vec_id", "CAST(embedding AS array<double>) AS embedding")
+    plain = nearest(spark.createDataFrame(rows, SCHEMA), every=2000)
+    assert sorted(map(tuple, nearest(wide, every=2000).collect())) == sorted(map(tuple, plain.collect()))
